@@ -1,16 +1,20 @@
 """Ranking without a hot partition (R1-R4 building blocks).
 
 ``row_number() over (partition by label order by key)`` puts a whole class in
-one task; with one class holding most rows that task holds most of the data.
-Instead the random key's leading hex digits split every class into
-``16**digits`` buckets:
+one task; with one class holding a third of the rows that task holds a third
+of the data. Instead the random key's leading hex digits split every class
+into ``16**digits`` buckets (default 5 digits: about a million buckets, so a
+class of 3e11 rows still gives ~3e5 rows per window task):
 
 1. count rows per ``(class, bucket)``  (partial + final hash aggregate; the
-   table has at most ``classes * 16**digits`` rows),
+   table has at most ``classes * 16**digits`` rows, however large the input),
 2. prefix-sum the counts per class -> each bucket's offset,
-3. join the offsets back (broadcast when the class domain is bounded, else
-   let AQE pick from runtime size), and drop every bucket whose offset is
-   already past the class limit *before* the exchange,
+3. join the offsets back and drop every bucket whose offset is already past
+   the class limit; when the surviving offsets have a row bound (from the
+   parameters) under ``BROADCAST_ROW_LIMIT`` they are broadcast, so the drop
+   happens *before* the exchange and only about ``limit`` rows per class are
+   shuffled; past that bound the join is left to AQE (sort-merge join on
+   ``(class, bucket)``, whose exchange the window then reuses),
 4. ``rank = offset + row_number() over (partition by class, bucket order by key)``.
 
 Because ordering by the key orders by its prefix first, the result equals
@@ -29,6 +33,13 @@ from labelscope.functions.hashing import bucket_of
 BUCKET = "_bucket"
 BUCKET_ROWS = "_bucket_rows"
 OFFSET = "_offset"
+DEFAULT_DIGITS = 5
+# An explicit broadcast is only hinted for tables whose row count is bounded
+# by parameters below this (offset rows are ~32 bytes: <= ~64 MB).
+BROADCAST_ROW_LIMIT = 2_000_000
+# R4 range buckets: aim for this many rows per window task.
+ROWS_PER_RANGE_BUCKET = 1_000_000
+MAX_RANGE_BUCKETS = 1 << 16
 
 
 def _as_list(x) -> list:
@@ -39,8 +50,18 @@ def _as_list(x) -> list:
     return list(x)
 
 
+def bounded_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
+    """Broadcast ``df`` only when a parameter-derived row bound is known and small."""
+    if row_bound is not None and row_bound <= BROADCAST_ROW_LIMIT:
+        return F.broadcast(df)
+    return df
+
+
 def bucket_offsets(keyed: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:
-    """(partition_cols..., _bucket, _bucket_rows, _offset) from a bucketed table."""
+    """(partition_cols..., _bucket, _bucket_rows, _offset) from a bucketed table.
+
+    The prefix-sum window runs over the counts table (<= 16**digits rows per
+    partition value), never over the data."""
     pcols = list(partition_cols)
     counts = keyed.groupBy(*pcols, BUCKET).agg(F.count(F.lit(1)).alias(BUCKET_ROWS))
     w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,31 +72,35 @@ def bucket_offsets(keyed: DataFrame, partition_cols: Sequence[str] = ()) -> Data
 
 
 def bucketed_rank(df: DataFrame, key_col: str, tiebreak: Sequence[str] = (),
-                  partition_cols: Sequence[str] = (), digits: int = 3,
+                  partition_cols: Sequence[str] = (), digits: int = DEFAULT_DIGITS,
                   limits: DataFrame | None = None, limit_col: str = "_limit",
-                  limit: int | None = None,
-                  bounded_domain: bool = False, rank_col: str = "rank",
-                  keep_columns: bool = False) -> DataFrame:
+                  limit: int | None = None, domain_size: int | None = None,
+                  rank_col: str = "rank", keep_columns: bool = False) -> DataFrame:
     """1-based rank of every row by ``(key_col, *tiebreak)`` within ``partition_cols``.
 
     ``key_col`` must be a lowercase hex string (an md5). ``limits`` is an
-    optional table ``(partition_cols..., limit_col)``; rows whose rank would
-    exceed it are pruned by whole buckets before the shuffle and then
-    exactly. ``bounded_domain`` says the partition values come from a fixed
-    list (so the offsets table is provably small and is broadcast).
+    optional table ``(partition_cols..., limit_col)`` and ``limit`` a scalar;
+    rows whose rank would exceed them are pruned by whole buckets before the
+    shuffle (when the pruned offsets are provably small) and then exactly.
+    ``domain_size`` is the number of partition values when it is known from
+    parameters (a fixed label list); it bounds the offsets table.
     """
     pcols = list(partition_cols)
     keyed = df.withColumn(BUCKET, bucket_of(key_col, digits))
     offsets = bucket_offsets(keyed, pcols)
     if limits is not None:
-        offsets = (offsets.join(limits.select(*pcols, limit_col), pcols, "inner")
+        offsets = (offsets.join(bounded_broadcast(limits.select(*pcols, limit_col), domain_size),
+                                pcols, "inner")
                    .where(F.col(OFFSET) < F.col(limit_col)))
     if limit is not None:
         offsets = offsets.where(F.col(OFFSET) < F.lit(int(limit)))
-    # offsets has <= |domain| * 16**digits rows: broadcast when that is bounded
-    # by parameters; with no partition column it is 16**digits rows.
-    small = F.broadcast(offsets) if (bounded_domain or not pcols) else offsets
-    joined = keyed.join(small, pcols + [BUCKET], "inner")
+    # row bound of the surviving offsets: buckets per partition value, cut by
+    # the limit (a surviving bucket starts before it, so it holds >= 1 of the
+    # first `limit` rows), times the number of partition values
+    per_value = 16 ** digits if limit is None else min(16 ** digits, int(limit))
+    n_values = 1 if not pcols else domain_size
+    bound = None if n_values is None else per_value * n_values
+    joined = keyed.join(bounded_broadcast(offsets, bound), pcols + [BUCKET], "inner")
     w = Window.partitionBy(*pcols, BUCKET).orderBy(F.col(key_col), *[F.col(c) for c in tiebreak])
     ranked = joined.withColumn(rank_col, F.col(OFFSET) + F.row_number().over(w))
     if limits is not None:
@@ -90,7 +115,7 @@ def bucketed_rank(df: DataFrame, key_col: str, tiebreak: Sequence[str] = (),
     return ranked
 
 
-def shuffled_row_id(df: DataFrame, seed, id_cols: Sequence[str], digits: int = 3,
+def shuffled_row_id(df: DataFrame, seed, id_cols: Sequence[str], digits: int = DEFAULT_DIGITS,
                     out: str = "row_id") -> DataFrame:
     """Seeded random permutation, then consecutive 0-based ids."""
     from labelscope.functions.hashing import seeded_key
@@ -101,29 +126,38 @@ def shuffled_row_id(df: DataFrame, seed, id_cols: Sequence[str], digits: int = 3
     return ranked.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_shuffle_key")
 
 
-def row_ids(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), buckets: int = 256,
-            relative_error: float = 0.001, out: str = "row_id") -> DataFrame:
-    """Consecutive 0-based ids in ``order_col`` order, without one global task.
+def range_buckets(n_rows: int) -> int:
+    """Number of R4 range buckets for a table of ``n_rows`` rows."""
+    return int(min(MAX_RANGE_BUCKETS, max(16, n_rows // ROWS_PER_RANGE_BUCKET + 1)))
+
+
+def row_ids(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), buckets: int | None = None,
+            out: str = "row_id") -> DataFrame:
+    """Consecutive 0-based ids in ``order_col`` (numeric) order, without one global task.
 
-    Rows are range-bucketed by approximate cut points (a bounded list of
-    ``buckets`` numbers computed on the executors), each bucket's offset is the
-    prefix sum of bucket counts, and ids are ``offset + local row_number``.
-    Any cut points give the same ids; the approximation only affects balance.
+    Rows are range-bucketed by approximate cut points (``percentile_approx``
+    on the executors; a bounded list of ``buckets - 1`` numbers reaches the
+    driver), each bucket's offset is the prefix sum of bucket counts, and ids
+    are ``offset + local row_number``. Any cut points give the same ids; the
+    approximation only affects balance. ``buckets`` defaults to one per
+    ``ROWS_PER_RANGE_BUCKET`` rows (counted first), at least 16.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.stat.approxQuantile(order_col, probs, relative_error) if buckets > 1 else []
-    splits = sorted({float(c) for c in cuts if c is not None})
     x = F.col(order_col).cast("double")
-    # bucket = number of cut points <= x; cut points sorted, so a binary-search
-    # style comparison chain is unnecessary: Bucketizer does it JVM-side.
-    from pyspark.ml.feature import Bucketizer
+    if buckets is None:
+        buckets = range_buckets(df.select(F.count(F.lit(1))).first()[0])
+    splits: list[float] = []
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = df.select(F.percentile_approx(x, probs, 4 * buckets).alias("q")).first()["q"] or []
+        splits = sorted({float(c) for c in cuts if c is not None})
+    from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the cut points
 
     bounds = [float("-inf")] + splits + [float("inf")]
     tmp = df.withColumn("_order_d", x)
     bz = Bucketizer(splits=bounds, inputCol="_order_d", outputCol="_rb", handleInvalid="keep")
     bucketed = bz.transform(tmp).withColumn(BUCKET, F.col("_rb").cast("int")).drop("_rb", "_order_d")
-    offsets = bucket_offsets(bucketed, [])
-    joined = bucketed.join(F.broadcast(offsets), [BUCKET], "inner")
+    offsets = bucket_offsets(bucketed, [])  # <= buckets + 1 rows
+    joined = bucketed.join(bounded_broadcast(offsets, len(bounds)), [BUCKET], "inner")
     w = Window.partitionBy(BUCKET).orderBy(F.col(order_col), *[F.col(c) for c in tiebreak])
     return (joined.withColumn(out, (F.col(OFFSET) + F.row_number().over(w) - 1).cast("bigint"))
             .drop(BUCKET, BUCKET_ROWS, OFFSET))

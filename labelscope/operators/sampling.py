@@ -5,115 +5,151 @@ with-replacement draw ``i`` of class ``c`` picks rank
 ``md5('<seed>:<c>:<i>')[:8] mod count(c) + 1``. Same seed and input give the
 same rows whatever the partitioning; every size is exact.
 
-Physical plan: one scan keyed by label (no per-class filter passes), one
-bucket-count aggregate, one exchange of the rows that can still be kept
-(buckets past the class limit are dropped before it), and an equi join of
-generated draws on ``(label, rank)`` whose keys are uniform, so not hot.
+Physical plan. One narrow aggregate gives the per-class row counts (at most
+one row per class reaches the driver), from which the per-class plan is
+decided; then every class takes one of three paths:
+
+* keep all rows: a filter on the label, no shuffle at all;
+* keep the first ``n`` rows by key (R1): bucketed rank (``ranking.py``) whose
+  offsets are pruned to buckets that start before ``n`` -- a table with an
+  exact, parameter-derived row bound, broadcast when small -- so only about
+  ``n`` rows of the class are shuffled, however hot the class is;
+* bootstrap to ``n`` rows (R2): the class is ranked in full and a generated
+  draws table (``n`` rows per class) is equi-joined on ``(label, rank)``;
+  ranks are uniform, so the join key is not hot.
+
+The branches are glued by ``unionByName`` (U1) and, when asked, get
+consecutive ids in seeded random order (R3).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.hashing import hex_prefix_int, seeded_key
-from labelscope.operators.ranking import BUCKET, BUCKET_ROWS, OFFSET, bucket_offsets, shuffled_row_id
-from labelscope.functions.hashing import bucket_of
+from labelscope.functions.hashing import bucket_of, hex_prefix_int, seeded_key
+from labelscope.operators.ranking import (BUCKET, BUCKET_ROWS, DEFAULT_DIGITS, OFFSET,
+                                          bounded_broadcast, bucket_offsets, shuffled_row_id)
 
 REFERENCE_LABELS = list(range(11))
-BIG = 1 << 62
-
-
-def _keyed(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
-           labels: Sequence[int] | None, digits: int) -> DataFrame:
-    if labels is not None:
-        df = df.where(F.col(label_col).isin([int(x) for x in labels]))
-    return (df.withColumn("_key", seeded_key(seed, *id_cols))
-            .withColumn(BUCKET, bucket_of("_key", digits)))
-
-
-def _plan_counts(spark: SparkSession, offsets: DataFrame, label_col: str,
-                 labels: Sequence[int] | None) -> DataFrame:
-    """(label, n_rows) for every label of the domain, 0 where absent."""
-    counts = offsets.groupBy(label_col).agg(F.sum(BUCKET_ROWS).cast("bigint").alias("n_rows"))
+# with an open label domain, refuse to plan more classes than this
+MAX_PLAN_CLASSES = 100_000
+
+
+def class_counts(df: DataFrame, label_col: str = "label",
+                 labels: Sequence[int] | None = REFERENCE_LABELS) -> dict[int, int]:
+    """Rows per class (partial + final aggregate; <= one row per class to the driver).
+
+    With ``labels`` every listed class is present (0 where absent); without,
+    the distinct labels are collected, at most ``MAX_PLAN_CLASSES``."""
+    src = _in_domain(df, label_col, labels)
+    agg = src.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    rows = agg.limit(MAX_PLAN_CLASSES + 1).collect()
+    if len(rows) > MAX_PLAN_CLASSES:
+        raise ValueError(f"more than {MAX_PLAN_CLASSES} classes in {label_col}: pass labels=")
+    got = {int(r[0]): int(r[1]) for r in rows}
     if labels is None:
-        return counts
-    dim = spark.createDataFrame([(int(x),) for x in labels], f"{label_col} INT")
-    return (dim.join(counts, label_col, "left")
-            .select(label_col, F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))
-
+        return dict(sorted(got.items()))
+    return {int(x): got.get(int(x), 0) for x in labels}
 
-def _rank_rows(keyed: DataFrame, offsets: DataFrame, plan: DataFrame, label_col: str,
-               id_cols: Sequence[str], bounded: bool) -> DataFrame:
-    """Rows with ``rank <= _rank_limit`` of their class, pruned by bucket before the shuffle."""
-    plan_cols = plan.select(label_col, "_rank_limit", "_keep_limit", "n_draw", "n_rows")
-    offs = (offsets.join(F.broadcast(plan_cols) if bounded else plan_cols, label_col)
-            .where(F.col(OFFSET) < F.col("_rank_limit")))
-    offs = F.broadcast(offs) if bounded else offs
-    from pyspark.sql import Window
 
+def _in_domain(df: DataFrame, label_col: str, labels: Sequence[int] | None) -> DataFrame:
+    if labels is not None:
+        return df.where(F.col(label_col).isin([int(x) for x in labels]))
+    return df.where(F.col(label_col).isNotNull())
+
+
+def _case(label_col: str, values: dict[int, int]) -> Column:
+    """``CASE label WHEN k THEN v ... END`` over a per-class dict (<= one entry per class)."""
+    expr = None
+    for k, v in values.items():
+        cond = F.col(label_col) == F.lit(int(k))
+        expr = F.when(cond, F.lit(int(v))) if expr is None else expr.when(cond, F.lit(int(v)))
+    return expr.cast("bigint")
+
+
+def _id_str(id_cols: Sequence[str]) -> Column:
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
+
+
+def _rank_classes(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
+                  limits: dict[int, int], digits: int) -> DataFrame:
+    """Rows of the classes in ``limits`` with ``_rank`` (1-based, by seeded key)
+    and ``_rank <= limits[class]``. Offsets are pruned to buckets starting
+    before the limit; their row bound is exact, so they are broadcast when small."""
+    classes = list(limits)
+    keyed = (df.where(F.col(label_col).isin(classes))
+             .withColumn("_key", seeded_key(seed, *id_cols))
+             .withColumn(BUCKET, bucket_of("_key", digits)))
+    offsets = bucket_offsets(keyed, [label_col]).where(F.col(OFFSET) < _case(label_col, limits))
+    bound = sum(min(16 ** digits, int(v)) for v in limits.values())
     w = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
-    return (keyed.join(offs, [label_col, BUCKET], "inner")
+    return (keyed.join(bounded_broadcast(offsets, bound), [label_col, BUCKET], "inner")
             .withColumn("_rank", F.col(OFFSET) + F.row_number().over(w))
-            .where(F.col("_rank") <= F.col("_rank_limit")))
-
-
-def _draws(spark: SparkSession, plan: DataFrame, label_col: str, labels: Sequence[int],
-           per_class: int, seed) -> DataFrame:
-    """``per_class`` draws for each planned class: (label, _draw, _rank)."""
-    k = len(labels)
-    arr = F.array(*[F.lit(int(x)) for x in labels])
-    draws = spark.range(k * per_class).select(
-        F.element_at(arr, (F.col("id") / per_class).cast("int") + 1).alias(label_col),
-        (F.col("id") % per_class).alias("_draw"))
-    need = plan.where(F.col("n_draw") > 0).select(
-        label_col, "n_rows",
-        # Drawing from an empty class raises, naming the class
-        F.when(F.col("n_rows") > 0, F.col("n_rows")).otherwise(
-            F.raise_error(F.concat(F.lit("cannot draw with replacement from empty class "),
-                                   F.col(label_col).cast("string")))).alias("_n"))
-    return (draws.join(F.broadcast(need), label_col)
-            .withColumn("_rank", F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), 8),
-                                        F.col("_n")) + 1)
-            .select(label_col, "_draw", "_rank"))
-
-
-def plan_and_sample(spark: SparkSession, df: DataFrame, plan_fn, *, seed=42,
-                    id_cols: Sequence[str] = ("id",), label_col: str = "label",
-                    labels: Sequence[int] | None = REFERENCE_LABELS, digits: int = 3,
-                    draws_per_class: int = 0, shuffle: bool = True,
-                    row_id_col: str = "row_id") -> DataFrame:
-    """Generic engine: ``plan_fn(counts) -> counts + _keep_limit, n_draw``.
-
-    Classes with ``n_draw > 0`` are bootstrapped to exactly ``n_draw`` rows
-    (R2); the others keep their first ``_keep_limit`` rows by key (R1).
-    Output: input columns + ``sample_key`` (unique per output row) and, when
-    ``shuffle``, consecutive ``row_id`` in seeded random order (R3).
-    """
+            .where(F.col("_rank") <= _case(label_col, limits))
+            .drop(BUCKET, BUCKET_ROWS, OFFSET, "_key"))
+
+
+def _draws(spark: SparkSession, label_col: str, draws: dict[int, int], sizes: dict[int, int],
+           seed) -> DataFrame:
+    """``draws[c]`` with-replacement draws of class ``c``: (label, _draw, _rank),
+    rank uniform in ``1..sizes[c]``, generated from one range (no data read)."""
+    order = list(draws)
+    starts, total = [], 0
+    for c in order:
+        starts.append(total)
+        total += int(draws[c])
+    # class of generated row i: the last class whose start <= i (<= K literals)
+    cls = F.lit(int(order[0]))
+    start = F.lit(0).cast("bigint")
+    for c, s in zip(order[1:], starts[1:]):
+        cls = F.when(F.col("id") >= s, F.lit(int(c))).otherwise(cls)
+        start = F.when(F.col("id") >= s, F.lit(int(s))).otherwise(start)
+    gen = spark.range(total).select(cls.cast("int").alias(label_col), (F.col("id") - start).alias("_draw"))
+    return gen.withColumn("_rank", F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), 8),
+                                          _case(label_col, sizes)) + 1)
+
+
+def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
+                 keep: dict[int, int], draw: dict[int, int], *, seed=42,
+                 id_cols: Sequence[str] = ("id",), label_col: str = "label",
+                 digits: int = DEFAULT_DIGITS, shuffle: bool = True,
+                 row_id_col: str = "row_id") -> DataFrame:
+    """Run a per-class plan: ``keep[c]`` = rows to keep without replacement
+    (``>= counts[c]`` keeps the class whole), ``draw[c]`` = rows to draw with
+    replacement instead. Output: input columns + ``sample_key`` (unique per
+    output row) and, when ``shuffle``, consecutive ``row_id`` in random order."""
     id_cols = list(id_cols)
     cols = df.columns
-    keyed = _keyed(df, seed, id_cols, label_col, labels, digits)
-    offsets = bucket_offsets(keyed, [label_col])
-    plan = plan_fn(_plan_counts(spark, offsets, label_col, labels))
-    plan = plan.withColumn(
-        "_rank_limit", F.when(F.col("n_draw") > 0, F.col("n_rows")).otherwise(F.col("_keep_limit")))
-    bounded = labels is not None
-    ranked = _rank_rows(keyed, offsets, plan, label_col, id_cols, bounded)
-    id_str = F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
-    kept = (ranked.where((F.col("n_draw") == 0) & (F.col("_rank") <= F.col("_keep_limit")))
-            .select(*cols, F.concat(F.lit("k:"), id_str).alias("sample_key")))
-    out = kept
-    if draws_per_class > 0:
-        if labels is None:
-            raise ValueError("with-replacement draws need an explicit label list")
-        draws = _draws(spark, plan, label_col, labels, draws_per_class, seed)
-        pool = ranked.where(F.col("n_draw") > 0).select(*cols, "_rank")
-        drawn = (draws.join(pool, [label_col, "_rank"], "inner")
-                 .select(*cols, F.concat(F.lit("d:"), F.col(label_col).cast("string"), F.lit(":"),
-                                         F.col("_draw").cast("string")).alias("sample_key")))
-        out = kept.unionByName(drawn)  # U1
+    for c, n in draw.items():
+        if n > 0 and counts.get(c, 0) == 0:  # S15
+            raise ValueError(f"cannot draw with replacement from empty class {c}")
+    whole = [c for c, n in keep.items() if c not in draw and counts.get(c, 0) > 0 and n >= counts[c]]
+    cut = {c: n for c, n in keep.items() if c not in draw and 0 < n < counts.get(c, 0)}
+    boot = {c: n for c, n in draw.items() if n > 0}
+    parts = []
+    if whole:
+        parts.append(df.where(F.col(label_col).isin(whole))
+                     .select(*cols, F.concat(F.lit("k:"), _id_str(id_cols)).alias("sample_key")))
+    if cut:
+        parts.append(_rank_classes(df, seed, id_cols, label_col, cut, digits)
+                     .select(*cols, F.concat(F.lit("k:"), _id_str(id_cols)).alias("sample_key")))
+    if boot:
+        sizes = {c: counts[c] for c in boot}
+        pool = _rank_classes(df, seed, id_cols, label_col, sizes, digits)
+        gen = _draws(spark, label_col, boot, sizes, seed)
+        gen = bounded_broadcast(gen, sum(boot.values()))
+        parts.append(pool.join(gen, [label_col, "_rank"], "inner").select(
+            *cols, F.concat(F.lit("d:"), F.col(label_col).cast("string"), F.lit(":"),
+                            F.col("_draw").cast("string")).alias("sample_key")))
+    if not parts:
+        out = df.limit(0).select(*cols, F.lit(None).cast("string").alias("sample_key"))
+    else:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)  # U1
     if shuffle:
         out = shuffled_row_id(out, seed, ["sample_key"], digits=digits, out=row_id_col)
     return out
@@ -123,17 +159,16 @@ def plan_and_sample(spark: SparkSession, df: DataFrame, plan_fn, *, seed=42,
 
 def sample_by_class(spark: SparkSession, df: DataFrame, samples_per_class: int = 5000, *,
                     seed=42, id_cols=("id",), label_col="label",
-                    labels: Sequence[int] | None = REFERENCE_LABELS, digits: int = 3,
+                    labels: Sequence[int] | None = REFERENCE_LABELS, digits: int = DEFAULT_DIGITS,
                     shuffle: bool = True) -> DataFrame:
     """``min(n, count)`` rows per class without replacement."""
-    def plan(c):
-        return c.withColumn("_keep_limit", F.lit(int(samples_per_class)).cast("bigint")) \
-                .withColumn("n_draw", F.lit(0).cast("bigint"))
-    return plan_and_sample(spark, df, plan, seed=seed, id_cols=id_cols, label_col=label_col,
-                           labels=labels, digits=digits, shuffle=shuffle)
+    counts = class_counts(df, label_col, labels)
+    keep = {c: int(samples_per_class) for c in counts}
+    return execute_plan(spark, df, counts, keep, {}, seed=seed, id_cols=id_cols,
+                        label_col=label_col, digits=digits, shuffle=shuffle)
 
 
-def sample_n(df: DataFrame, n: int, *, seed=42, id_cols=("id",), digits: int = 3,
+def sample_n(df: DataFrame, n: int, *, seed=42, id_cols=("id",), digits: int = DEFAULT_DIGITS,
              rank_col: str = "sample_rank") -> DataFrame:
     """R1/R10 without a class key: ``min(n, count)`` rows, exactly, by seeded key.
     Buckets past ``n`` are dropped before the exchange."""
@@ -150,52 +185,50 @@ def sample_n(df: DataFrame, n: int, *, seed=42, id_cols=("id",), digits: int = 3
 def balance_majority(spark: SparkSession, df: DataFrame, human_samples: int = 50000,
                      oversample_minority: bool = False, target_per_class: int | None = None, *,
                      seed=42, id_cols=("id",), label_col="label", majority_label: int = 0,
-                     labels: Sequence[int] = REFERENCE_LABELS, digits: int = 3,
+                     labels: Sequence[int] = REFERENCE_LABELS, digits: int = DEFAULT_DIGITS,
                      shuffle: bool = True) -> DataFrame:
-    """Cut the majority class to ``human_samples``; optionally bootstrap
-    minority classes below ``target_per_class`` to exactly that size.
+    """Cut the majority class to ``human_samples`` (all kept when it has no
+    more, S4); optionally bootstrap minority classes below ``target_per_class``
+    to exactly that size (a pure bootstrap, not "all rows + top-up").
     Labels outside ``labels`` are dropped (S17)."""
     if target_per_class and not oversample_minority:
         raise ValueError("target_per_class needs oversample_minority=True")  # S16
-    draw_to = int(target_per_class) if (oversample_minority and target_per_class) else 0
-
-    def plan(c):
-        is_major = F.col(label_col) == majority_label
-        n_draw = F.when((~is_major) & F.lit(draw_to > 0) & (F.col("n_rows") < draw_to),
-                        F.lit(draw_to)).otherwise(0)
-        keep = F.when(is_major, F.lit(int(human_samples))).otherwise(F.lit(BIG))
-        return c.withColumn("n_draw", n_draw.cast("bigint")).withColumn("_keep_limit", keep.cast("bigint"))
-
-    return plan_and_sample(spark, df, plan, seed=seed, id_cols=id_cols, label_col=label_col,
-                           labels=labels, digits=digits, draws_per_class=draw_to, shuffle=shuffle)
+    counts = class_counts(df, label_col, labels)
+    keep, draw = {}, {}
+    for c, n in counts.items():
+        if c == majority_label:
+            keep[c] = int(human_samples)
+        elif oversample_minority and target_per_class and n < int(target_per_class):
+            draw[c] = int(target_per_class)
+        else:
+            keep[c] = n
+    return execute_plan(spark, df, counts, keep, draw, seed=seed, id_cols=id_cols,
+                        label_col=label_col, digits=digits, shuffle=shuffle)
 
 
 def balance_equal(spark: SparkSession, df: DataFrame, samples_per_class: int = 5000, *,
                   seed=42, id_cols=("id",), label_col="label",
-                  labels: Sequence[int] = REFERENCE_LABELS, digits: int = 3,
+                  labels: Sequence[int] = REFERENCE_LABELS, digits: int = DEFAULT_DIGITS,
                   shuffle: bool = True) -> DataFrame:
     """Every class to exactly ``samples_per_class`` (R1 if enough rows, else R2)."""
     n = int(samples_per_class)
-
-    def plan(c):
-        return (c.withColumn("n_draw", F.when(F.col("n_rows") < n, F.lit(n)).otherwise(0).cast("bigint"))
-                .withColumn("_keep_limit", F.lit(n).cast("bigint")))
-
-    return plan_and_sample(spark, df, plan, seed=seed, id_cols=id_cols, label_col=label_col,
-                           labels=labels, digits=digits, draws_per_class=n, shuffle=shuffle)
+    counts = class_counts(df, label_col, labels)
+    keep = {c: n for c, k in counts.items() if k >= n}
+    draw = {c: n for c, k in counts.items() if k < n}
+    return execute_plan(spark, df, counts, keep, draw, seed=seed, id_cols=id_cols,
+                        label_col=label_col, digits=digits, shuffle=shuffle)
 
 
 def sample_with_replacement(spark: SparkSession, df: DataFrame, n: int, *, seed=42,
                             id_cols=("id",), label_col="label",
-                            labels: Sequence[int] = REFERENCE_LABELS, digits: int = 3) -> DataFrame:
+                            labels: Sequence[int] = REFERENCE_LABELS,
+                            digits: int = DEFAULT_DIGITS) -> DataFrame:
     """R2 per class: exactly ``n`` independent draws from every present class.
     Output adds ``draw`` (0..n-1)."""
-    def plan(c):
-        return (c.where(F.col("n_rows") > 0)
-                .withColumn("n_draw", F.lit(int(n)).cast("bigint"))
-                .withColumn("_keep_limit", F.lit(0).cast("bigint")))
-    out = plan_and_sample(spark, df, plan, seed=seed, id_cols=id_cols, label_col=label_col,
-                          labels=labels, digits=digits, draws_per_class=int(n), shuffle=False)
+    counts = class_counts(df, label_col, labels)
+    draw = {c: int(n) for c, k in counts.items() if k > 0}
+    out = execute_plan(spark, df, counts, {}, draw, seed=seed, id_cols=id_cols,
+                       label_col=label_col, digits=digits, shuffle=False)
     return out.withColumn("draw", F.element_at(F.split("sample_key", ":"), 3).cast("bigint")) \
               .drop("sample_key")
 
@@ -204,38 +237,28 @@ def sample_with_replacement(spark: SparkSession, df: DataFrame, n: int, *, seed=
 
 def weighted_sample(spark: SparkSession, df: DataFrame, *, seed=42, id_cols=("id",),
                     label_col="label", labels: Sequence[int] | None = REFERENCE_LABELS,
-                    digits: int = 3) -> DataFrame:
+                    digits: int = DEFAULT_DIGITS) -> DataFrame:
     """R5 with weight ``1/count(class)``: ``len(df)`` draws with replacement.
 
     With those weights every present class is equally likely and rows within a
     class are uniform, so draw ``d`` (one per input row, keyed by the row's id)
     picks class ``md5(seed:c:d) mod K`` among present classes, then rank
     ``md5(seed:r:d) mod count + 1`` inside it. Output: ``draw_id`` (the id of
-    the row that spawned the draw) + the drawn row's columns.
+    the row that spawned the draw) + the drawn row's columns. Both join sides
+    grow with the data; their key ``(label, rank)`` is uniform, so not hot.
     """
     id_cols = list(id_cols)
     cols = df.columns
-    keyed = _keyed(df, seed, id_cols, label_col, labels, digits)
-    offsets = bucket_offsets(keyed, [label_col])
-    counts = offsets.groupBy(label_col).agg(F.sum(BUCKET_ROWS).cast("bigint").alias("n_rows"))
-    from pyspark.sql import Window
-
-    # <= |labels| rows (one per present class): a single-partition window is fine
-    classes = counts.withColumn("_class_idx", F.row_number().over(Window.orderBy(label_col)) - 1)
-    small = F.broadcast(offsets) if labels is not None else offsets
-    w = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
-    ranked = (keyed.join(small, [label_col, BUCKET]).withColumn("_rank", F.col(OFFSET) + F.row_number().over(w))
-              .select(*cols, "_rank"))
-    id_str = F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
-    # number of present classes as a scalar subquery (evaluated once, inlined)
-    n_classes = counts.select(F.count(F.lit(1))).scalar()
-    draws = (keyed.select(id_str.alias("draw_id"))
-             .withColumn("_class_idx", F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id")),
-                                              n_classes))
-             .join(F.broadcast(classes.select("_class_idx", label_col, "n_rows")), "_class_idx")
+    counts = {c: n for c, n in class_counts(df, label_col, labels).items() if n > 0}
+    present = list(counts)  # ascending label order
+    src = _in_domain(df, label_col, labels)
+    ranked = _rank_classes(src, seed, id_cols, label_col, counts, digits).select(*cols, "_rank")
+    idx = F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id")), F.lit(len(present)))
+    cls = F.element_at(F.array(*[F.lit(int(c)) for c in present]), idx.cast("int") + 1)
+    draws = (src.select(_id_str(id_cols).alias("draw_id"))
+             .withColumn(label_col, cls.cast(df.schema[label_col].dataType))
              .withColumn("_rank", F.pmod(hex_prefix_int(seeded_key(seed, F.lit("r"), "draw_id")),
-                                         F.col("n_rows")) + 1)
-             .select("draw_id", label_col, "_rank"))
+                                         _case(label_col, counts)) + 1))
     return draws.join(ranked, [label_col, "_rank"]).drop("_rank")
 
 
@@ -248,13 +271,18 @@ def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def balance_report(before: DataFrame, after: DataFrame, label_col: str = "label") -> DataFrame:
-    """One row of sizes, reduction percent and both imbalance ratios."""
-    b = label_counts(before, label_col).agg(
-        F.sum("n").cast("bigint").alias("rows_before"),
-        (F.max("n") / F.min("n")).alias("imbalance_before"))
-    a = label_counts(after, label_col)
-    return (b.withColumn("rows_after", a.select(F.sum("n").cast("bigint")).scalar())
-            .withColumn("imbalance_after", a.select(F.max("n") / F.min("n")).scalar())
+    """One row of sizes, reduction percent and both imbalance ratios.
+    Both sides are reduced to per-class counts (<= K rows) before they meet."""
+    both = (label_counts(before, label_col).withColumn("_after", F.lit(False))
+            .unionByName(label_counts(after, label_col).withColumn("_after", F.lit(True))))
+
+    def side(agg, after_side: bool):
+        return agg(F.when(F.col("_after") == F.lit(after_side), F.col("n")))
+
+    return (both.agg(side(F.sum, False).cast("bigint").alias("rows_before"),
+                     side(F.sum, True).cast("bigint").alias("rows_after"),
+                     (side(F.max, False) / side(F.min, False)).alias("imbalance_before"),
+                     (side(F.max, True) / side(F.min, True)).alias("imbalance_after"))
             .withColumn("reduction_pct", 100.0 * (1 - F.col("rows_after") / F.col("rows_before")))
             .select("rows_before", "rows_after", "reduction_pct", "imbalance_before", "imbalance_after"))
 

@@ -27,9 +27,9 @@ def test_bucketed_rank_equals_row_number(spark, skewed):
     keyed = skewed.withColumn("_key", seeded_key(7, "id"))
     plain = keyed.withColumn("r1", F.row_number().over(
         Window.partitionBy("label").orderBy("_key", "id")))
-    for digits, parts in [(1, 1), (2, 7), (3, 13)]:
+    for digits, parts, domain in [(1, 1, 4), (2, 7, 4), (3, 13, None), (5, 3, 4)]:
         b = ranking.bucketed_rank(keyed.repartition(parts), "_key", ["id"], ["label"], digits=digits,
-                                  bounded_domain=True, rank_col="r2")
+                                  domain_size=domain, rank_col="r2")
         j = plain.join(b.select("id", "r2"), "id")
         assert j.count() == skewed.count()
         assert j.where("r1 <> r2").count() == 0
