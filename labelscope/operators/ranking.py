@@ -163,6 +163,12 @@ def row_ids(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), buckets
             .drop(BUCKET, BUCKET_ROWS, OFFSET))
 
 
+def batch_ids(df: DataFrame, row_id_col: str = "row_id", batch_size: int = 16,
+              out: str = "batch") -> DataFrame:
+    """Consecutive batches of ``batch_size`` rows over 0-based row ids; the last may be short."""
+    return df.withColumn(out, F.floor(F.col(row_id_col) / int(batch_size)).cast("bigint"))
+
+
 def assert_unique(df: DataFrame, key_cols: Sequence[str]) -> None:
     """Raise if ``key_cols`` is not a key (ranks would not be deterministic)."""
     dup = df.groupBy(*key_cols).count().where(F.col("count") > 1).limit(1).collect()

@@ -93,6 +93,11 @@ def first_failure(checks: DataFrame) -> DataFrame:
     return checks.where(~F.col("passed")).orderBy("check_id").limit(1)
 
 
+def preview(df: DataFrame, order_col: str = "ID", n: int = 10) -> DataFrame:
+    """S-5: the first ``n`` rows in ``order_col`` order (a top-n: TakeOrderedAndProject)."""
+    return df.orderBy(order_col).limit(int(n))
+
+
 def invalid_labels(spark: SparkSession, df: DataFrame, label_col: str = "label",
                    valid_labels: Sequence[int] = VALID_LABELS) -> DataFrame:
     """Distinct labels outside the valid set (left anti join to the dimension)."""

@@ -347,4 +347,75 @@ SELECT doc_id,
        CAST(list_transform(range({L}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END) AS INTEGER[]) AS attention_mask
 FROM j""",
     }
+    names10 = ", ".join(f"({i}, '{Q.LABEL_NAMES[i]}')" for i in K10)
+    grid_cm = f"""{PAIRS},
+grid AS (SELECT CAST(a.range AS INTEGER) AS y_true, CAST(b.range AS INTEGER) AS y_pred FROM range(10) a, range(10) b),
+cm AS (SELECT g.y_true, g.y_pred, CAST(coalesce(p.n, 0) AS BIGINT) AS n
+       FROM grid g LEFT JOIN pairs p ON g.y_true = p.y_true AND g.y_pred = p.y_pred)"""
+    report_rows = f"""{_roles_pc(K10)},
+names AS (SELECT * FROM (VALUES {names10}) t(label, name)),
+tot AS (SELECT sum(n) AS total, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS correct FROM pairs),
+rows AS (
+  SELECT CAST(p.label AS INTEGER) AS row_order, n.name, p.precision, p.recall, p.f1 AS f1_score,
+         CAST(p.support AS BIGINT) AS support
+  FROM prf p JOIN names n ON p.label = n.label
+  UNION ALL SELECT 10, 'accuracy', NULL, NULL, correct / total, CAST(total AS BIGINT) FROM tot
+  UNION ALL SELECT 11, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM prf
+  UNION ALL SELECT 12, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+         sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM prf),
+rep AS (SELECT row_order, name, round_even(precision, 3) AS precision, round_even(recall, 3) AS recall,
+               round_even(f1_score, 3) AS f1_score, support FROM rows)"""
+    sql.update({
+        "class_weights_reciprocal": f"""WITH {CORPUS},
+c AS (SELECT label, count(*) AS count FROM corpus WHERE label IS NOT NULL GROUP BY label)
+SELECT label, count, round(1.0 / count, 6) AS weight FROM c""",
+        "class_weights_balanced": f"""WITH {SCORES},
+c AS (SELECT y_true AS label, count(*) AS count FROM scores WHERE y_true IS NOT NULL GROUP BY y_true)
+SELECT label, count, round((SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count), 6) AS weight FROM c""",
+        "weights_report": f"""WITH {CORPUS},
+c AS (SELECT label, count(*) AS count FROM corpus WHERE label IS NOT NULL GROUP BY label)
+SELECT label, count, round((SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count), 6) AS weight_inverse,
+       round((1 - 0.9999) / (1 - pow(0.9999, count)), 6) AS weight_effective FROM c""",
+        "distinct_labels": f"WITH {SCORES} SELECT DISTINCT y_true AS label FROM scores WHERE y_true IS NOT NULL",
+        "prediction_distribution": f"""WITH {SCORES},
+names AS (SELECT * FROM (VALUES {names10}) t(label, name))
+SELECT s.y_pred AS label, n.name, count(*) AS count,
+       round(100.0 * count(*) / (SELECT count(*) FROM scores), 6) AS pct
+FROM scores s LEFT JOIN names n ON s.y_pred = n.label WHERE s.y_pred IS NOT NULL GROUP BY s.y_pred, n.name""",
+        "confusion_wide": f"""WITH {grid_cm}
+SELECT y_true, {", ".join(f'sum(n) FILTER (WHERE y_pred = {k}) AS "{k}"' for k in K10)}
+FROM cm GROUP BY y_true""",
+        "report_lines": f"""WITH {report_rows}
+SELECT row_order, CASE WHEN precision IS NULL
+         THEN printf('%15s %9s %9s %9.3f %9d', name, '', '', f1_score, support)
+         ELSE printf('%15s %9.3f %9.3f %9.3f %9d', name, precision, recall, f1_score, support) END AS value
+FROM rep""",
+        "submission_summary": f"""WITH {PRED_TABLE}
+SELECT label, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM preds), 6) AS pct,
+       (SELECT count(*) FROM preds) AS total FROM preds GROUP BY label""",
+        "submission_preview": f"""WITH {PRED_TABLE},
+t AS (SELECT vec_id AS "ID", row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)
+SELECT CAST(t."ID" AS BIGINT) AS "ID", CAST(p.label AS INTEGER) AS label FROM t JOIN preds p ON p.id = t.pos
+ORDER BY "ID" LIMIT 10""",
+        "submission_first_failure": """WITH s AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_linenumber + 5 AS VARCHAR) AS label FROM lineitem),
+one AS (
+  SELECT count(*) FILTER (WHERE NOT coalesce(regexp_matches(id, '^[+-]?[0-9]+$') AND TRY_CAST(id AS BIGINT) IS NOT NULL, false)) AS bad_id,
+         count(*) FILTER (WHERE NOT coalesce(regexp_matches(label, '^[+-]?[0-9]+$') AND TRY_CAST(label AS BIGINT) IS NOT NULL, false)) AS bad_label,
+         count(*) FILTER (WHERE TRY_CAST(label AS BIGINT) IS NOT NULL AND TRY_CAST(label AS BIGINT) NOT IN (0,1,2,3,4,5,6,7,8,9,10)) AS invalid,
+         count(*) FILTER (WHERE id IS NULL OR label IS NULL) AS nulls FROM s),
+dups AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS d FROM (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) > 1)),
+checks AS (
+  SELECT 1 AS check_id, 'columns' AS "check", CAST(0 AS BIGINT) AS bad_rows
+  UNION ALL SELECT 2, 'id_integer', bad_id FROM one
+  UNION ALL SELECT 3, 'label_integer', bad_label FROM one
+  UNION ALL SELECT 4, 'label_range', invalid FROM one
+  UNION ALL SELECT 5, 'unique_id', d FROM dups
+  UNION ALL SELECT 6, 'no_missing', nulls FROM one)
+SELECT CAST(check_id AS INTEGER) AS check_id, "check", bad_rows = 0 AS passed, CAST(bad_rows AS BIGINT) AS bad_rows
+FROM checks WHERE bad_rows <> 0 ORDER BY check_id LIMIT 1""",
+        "batch_ids": f"""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id,
+       CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
+FROM embeddings""",
+    })
     return sql

@@ -359,6 +359,71 @@ def q_train_classifier(spark, d):
     return model.predict(m, c, "doc_id").join(c.select("doc_id", F.col("label").alias("y_true")), "doc_id")
 
 
+# ------------------------------------------------------------------ coverage: weights, labels, tables
+
+def q_class_weights_reciprocal(spark, d):
+    w = weights.class_weights(roles.corpus(spark, d, with_text=False), "reciprocal")
+    return w.select("label", "count", r6("weight").alias("weight"))
+
+
+def q_class_weights_balanced(spark, d):
+    # The "balanced" weights over the sorted distinct true labels of the scores role
+    s = roles.scores(spark, d).select(F.col("y_true").alias("label"))
+    w = weights.class_weights(s, "balanced")
+    return w.select("label", "count", r6("weight").alias("weight"))
+
+
+def q_weights_report(spark, d):
+    r = weights.weights_report(roles.corpus(spark, d, with_text=False))
+    return r.select("label", "count", r6("weight_inverse").alias("weight_inverse"),
+                    r6("weight_effective").alias("weight_effective"))
+
+
+def q_distinct_labels(spark, d):
+    return profile.distinct_labels(roles.scores(spark, d).select(F.col("y_true").alias("label")))
+
+
+def q_prediction_distribution(spark, d):
+    # A22 + P4: the predicted labels' distribution with class names
+    p = roles.scores(spark, d).select(F.col("y_pred").alias("label"))
+    labels = roles.SCORE_CLASSES
+    dist = profile.label_distribution(spark, p, "label", labels, [LABEL_NAMES[i] for i in labels])
+    return dist.select("label", "name", "count", r6("pct").alias("pct"))
+
+
+def q_confusion_wide(spark, d):
+    return metrics.confusion_wide(spark, _pairs(spark, d), roles.SCORE_CLASSES)
+
+
+def q_report_lines(spark, d):
+    labels = roles.SCORE_CLASSES
+    rep = metrics.classification_report(spark, _pairs(spark, d), labels,
+                                        [LABEL_NAMES[i] for i in labels])
+    return metrics.report_text(rep).select(F.col("row_order").cast("int").alias("row_order"), "value")
+
+
+def q_submission_summary(spark, d):
+    s = submission.submission_summary(_predictions(spark, d))
+    return s.select("label", "count", r6("pct").alias("pct"), "total")
+
+
+def q_submission_preview(spark, d):
+    return submission.preview(q_submission_join(spark, d), "ID", 10)
+
+
+def q_submission_first_failure(spark, d):
+    # a submission built from lineitem: ids repeat and labels run past 10
+    li = roles.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber"])
+    sub = li.select(F.col("l_orderkey").cast("string").alias("id"),
+                    (F.col("l_linenumber") + 5).cast("string").alias("label"))
+    return submission.first_failure(submission.submission_checks(spark, sub))
+
+
+def q_batch_ids(spark, d):
+    s = ranking.row_ids(roles.scores(spark, d).select("vec_id"), "vec_id")
+    return ranking.batch_ids(s, "row_id", BATCH_SIZE).select("vec_id", "row_id", "batch")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
 
 FLAGSHIP = "per_class_prf"
