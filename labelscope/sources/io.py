@@ -40,24 +40,31 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
     w.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None) -> None:
+def write_csv(df: DataFrame, path: str, order_by: Sequence[str] | None = None,
+              single_file: bool = False) -> None:
     """IO5/IO6: CSV with header, no index. ``order_by`` range-partitions and
-    sorts, so the part files concatenate in key order (no single-task sort)."""
+    sorts, so the part files concatenate in key order (no single-task sort).
+    ``single_file`` is for outputs bounded by the number of classes or groups:
+    the sorted partitions are concatenated in order into one file."""
     if order_by:
         df = df.orderBy(*order_by)
+    if single_file:
+        df = df.coalesce(1)
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
     """IO7/IO8: JSON lines."""
-    df.write.mode("overwrite").json(path)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").json(path)
 
 
 def write_text(lines: DataFrame, path: str, order_col: str | None = None,
-               value_col: str = "value") -> None:
+               value_col: str = "value", single_file: bool = False) -> None:
     """IO9: one formatted line per row."""
     if order_col:
         lines = lines.orderBy(order_col)
+    if single_file:
+        lines = lines.coalesce(1)
     lines.select(F.col(value_col).alias("value")).write.mode("overwrite").text(path)
 
 
