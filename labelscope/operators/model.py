@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,21 +50,24 @@ def batch_score(df: DataFrame, key: str, make_scorer: Callable[[], Callable] | N
     return df.select(*need).mapInPandas(run, schema)
 
 
-def _pipeline(text_col: str, num_features: int, reg: float, max_iter: int, weight_col: str | None):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+def _feature_stages(text_col: str, num_features: int):
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="[ \t\r\n]+",
                          toLowercase=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_features")
+    return tok, tf
+
+
+def _classifier(reg: float, max_iter: int, weight_col: str | None):
+    from pyspark.ml.classification import LogisticRegression
+
     lr = LogisticRegression(featuresCol="_features", labelCol="label", family="multinomial",
                             regParam=reg, maxIter=max_iter, predictionCol="_prediction",
                             probabilityCol="_probability", rawPredictionCol="_raw")
     if weight_col:
         lr.setWeightCol(weight_col)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return lr
 
 
 def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFrame,
@@ -72,29 +76,46 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                      num_features: int = 1 << 16, class_weighted: bool = True):
     """T5: fit one candidate per ``reg_param`` and keep the best by validation
     macro F1 (M4); returns ``(model, history)`` where history has one row per
-    candidate (T7: candidate, reg_param, train_f1, val_f1)."""
+    candidate (T7: candidate, reg_param, train_f1, val_f1).
+
+    Texts are tokenized and hashed once: the sparse TF-IDF vectors (not the
+    texts) are persisted and every candidate is fitted and evaluated on them.
+    A lost executor's cached blocks are recomputed from the short lineage
+    (scan -> tokenize -> hash -> IDF)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import IDF
+
     tr = train.select(F.col(text_col).cast("string").alias("_text"),
                       F.col(label_col).cast("int").alias("label"))
     weight_col = None
     if class_weighted:
         tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w", bounded=False)
         weight_col = "_w"
-    # the features are re-read every optimiser iteration: keep them close,
-    # and cut lineage so a lost executor recomputes from the checkpoint
-    tr = tr.persist()
-    va = validation.select(F.col(text_col).cast("string").alias("_text"),
-                           F.col(label_col).cast("int").alias("label"))
+    tok, tf = _feature_stages("_text", num_features)
+    keep = ["label"] + ([weight_col] if weight_col else [])
+    tf_tr = tf.transform(tok.transform(tr)).select("_tf", *keep).persist(StorageLevel.MEMORY_AND_DISK)
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(tf_tr)
+    feats_tr = idf.transform(tf_tr).select("_features", *keep).persist(StorageLevel.MEMORY_AND_DISK)
+    same = validation is train
+    if same:
+        feats_va = feats_tr
+    else:
+        va = validation.select(F.col(text_col).cast("string").alias("_text"),
+                               F.col(label_col).cast("int").alias("label"))
+        feats_va = (idf.transform(tf.transform(tok.transform(va))).select("_features", "label")
+                    .persist(StorageLevel.MEMORY_AND_DISK))
     rows, best, best_f1 = [], None, -1.0
     for i, reg in enumerate(reg_params):
-        model = _pipeline("_text", num_features, reg, max_iter, weight_col).fit(tr)
-        f_tr = _macro(model, tr)
-        f_va = _macro(model, va)
+        lr = _classifier(reg, max_iter, weight_col).fit(feats_tr)
+        f_tr = _macro(lr, feats_tr)
+        f_va = f_tr if same else _macro(lr, feats_va)
         rows.append((i + 1, float(reg), f_tr, f_va))
         if f_va > best_f1:
-            best, best_f1 = model, f_va
-    tr.unpersist()
+            best, best_f1 = lr, f_va
+    for df in {id(x): x for x in (tf_tr, feats_tr, feats_va)}.values():
+        df.unpersist()
     history = spark.createDataFrame(rows, "epoch INT, reg_param DOUBLE, train_f1 DOUBLE, val_f1 DOUBLE")
-    return best, history
+    return PipelineModel(stages=[tok, tf, idf, best]), history
 
 
 def _macro(model, df: DataFrame) -> float:

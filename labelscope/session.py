@@ -48,6 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        # only a single-machine session (tests) may use a machine-local folder;
+        # on a cluster the shared folder must be named in spark.checkpoint.dir
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder the executors can reach")
         configured = tempfile.mkdtemp(prefix="labelscope-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
