@@ -109,9 +109,11 @@ def accuracy(pairs: DataFrame) -> DataFrame:
 
 
 def metrics_record(pairs: DataFrame) -> DataFrame:
-    """M8: one row (macro_f1, accuracy)."""
-    acc = accuracy(pairs).select("accuracy").scalar()
-    return macro_f1(pairs).withColumn("accuracy", acc)
+    """M8: one row (macro_f1, accuracy), one aggregate over the class roles:
+    their supports sum to the row count and their true positives to the hits."""
+    return _prf(class_roles(pairs)).agg(
+        F.avg("f1").alias("macro_f1"),
+        (F.sum("tp").cast("double") / F.sum("support")).alias("accuracy"))
 
 
 def classification_report(spark: SparkSession, pairs: DataFrame, labels: Sequence[int],
@@ -121,41 +123,54 @@ def classification_report(spark: SparkSession, pairs: DataFrame, labels: Sequenc
 
     Columns: (row_order, name, precision, recall, f1_score, support), values
     rounded half-even to ``digits``. ``strict`` raises when the classes
-    present are not exactly the names given (S11)."""
+    present are not exactly the names given (S11).
+
+    One derivation of the pair counts: accuracy totals are windows over the
+    class roles (all classes seen), the averages windows over the dense
+    per-class rows (<= K rows), and the first class's row also emits the
+    three summary rows, so no branch re-reads the input."""
     if names is None:
         names = [LABEL_NAMES[i] if 0 <= i < len(LABEL_NAMES) else str(i) for i in labels]
+    labels = [int(x) for x in labels]
+    every = Window.partitionBy()  # windows below run over <= K rows
+    roles = (class_roles(pairs)
+             .withColumn("_total", F.sum("support").over(every))
+             .withColumn("_correct", F.sum("tp").over(every))
+             .withColumn("_present", F.count(F.lit(1)).over(every)))
     dim = label_dimension(spark, labels, names)
-    pc = per_class(spark, pairs, labels)
+    pc = _prf(dim.join(F.broadcast(roles.where(F.col("label").isin(labels))), "label", "left").select(
+        "label", "name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+                           for c in ("support", "predicted", "tp")],
+        "_total", "_correct", "_present"))
     if strict:
-        present = class_roles(pairs).select(F.count(F.lit(1))).scalar()
-        pc = pc.withColumn("_chk", F.when(present == len(labels), F.lit(True)).otherwise(
-            F.raise_error(F.lit("number of classes present does not match target names"))))
-        pc = pc.where(F.col("_chk")).drop("_chk")
-    rows = pc.join(F.broadcast(dim), "label").select(
-        F.col("label").alias("row_order"), "name", "precision", "recall",
-        F.col("f1").alias("f1_score"), "support")
-    total = pairs.select(F.sum("n")).scalar()
-    correct = pairs.select(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))).scalar()
-    summary = pc.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum("support").alias("s"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
+        pc = pc.withColumn("_chk", F.when(F.max("_present").over(every) == len(labels), F.lit(True))
+                           .otherwise(F.raise_error(F.lit("number of classes present does not match "
+                                                          "target names")))).where(F.col("_chk"))
+    total = F.max("_total").over(every)
+    s = F.sum("support").over(every)
+    pc = pc.select(
+        "label", "name", "precision", "recall", "f1", "support",
+        total.alias("_t"), (F.max("_correct").over(every) / total).alias("_acc"),
+        F.avg("precision").over(every).alias("_mp"), F.avg("recall").over(every).alias("_mr"),
+        F.avg("f1").over(every).alias("_mf"), s.alias("_s"),
+        (F.sum(F.col("precision") * F.col("support")).over(every) / s).alias("_wp"),
+        (F.sum(F.col("recall") * F.col("support")).over(every) / s).alias("_wr"),
+        (F.sum(F.col("f1") * F.col("support")).over(every) / s).alias("_wf"))
     n = len(labels)
-    acc_val = correct / total
-    extra = summary.select(F.explode(F.array(
-        F.struct(F.lit(n).alias("row_order"), F.lit("accuracy").alias("name"),
-                 F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-                 acc_val.alias("f1_score"), total.cast("bigint").alias("support")),
-        F.struct(F.lit(n + 1).alias("row_order"), F.lit("macro avg").alias("name"),
-                 F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1_score"), F.col("s").cast("bigint").alias("support")),
-        F.struct(F.lit(n + 2).alias("row_order"), F.lit("weighted avg").alias("name"),
-                 F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                 F.col("wf").alias("f1_score"), F.col("s").cast("bigint").alias("support")))).alias("r")).select("r.*")
-    out = rows.select("row_order", "name", "precision", "recall", "f1_score",
-                      F.col("support").cast("bigint").alias("support")).unionByName(extra)
+
+    def row(order, name, p, r, f, sup):
+        return F.struct(order.cast("int").alias("row_order"), name.alias("name"),
+                        p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                        f.cast("double").alias("f1_score"), sup.cast("bigint").alias("support"))
+
+    own = row(F.col("label"), F.col("name"), F.col("precision"), F.col("recall"), F.col("f1"),
+              F.col("support"))
+    null = F.lit(None)
+    summary = [row(F.lit(n), F.lit("accuracy"), null, null, F.col("_acc"), F.col("_t")),
+               row(F.lit(n + 1), F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_s")),
+               row(F.lit(n + 2), F.lit("weighted avg"), F.col("_wp"), F.col("_wr"), F.col("_wf"), F.col("_s"))]
+    rows = F.when(F.col("label") == labels[0], F.array(own, *summary)).otherwise(F.array(own))
+    out = pc.select(F.explode(rows).alias("r")).select("r.*")
     return out.select("row_order", "name",
                       *[F.bround(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
                       "support")
@@ -174,14 +189,13 @@ def report_text(report: DataFrame, digits: int = 3) -> DataFrame:
 def f1_series(spark: SparkSession, pairs: DataFrame, labels: Sequence[int],
               names: Sequence[str] | None = None) -> DataFrame:
     """Table behind the per-class F1 chart: label, name, f1, above_half (P10),
-    and the fixed-K macro F1 line (M5)."""
+    and the fixed-K macro F1 line (M5, a window over the <= K class rows)."""
     if names is None:
         names = [LABEL_NAMES[i] if 0 <= i < len(LABEL_NAMES) else str(i) for i in labels]
     pc = per_class(spark, pairs, labels)
-    mf = pc.select(F.avg("f1")).scalar()
     return (pc.join(F.broadcast(label_dimension(spark, labels, names)), "label")
             .select("label", "name", "f1", (F.col("f1") > 0.5).alias("above_half"),
-                    mf.alias("macro_f1")))
+                    F.avg("f1").over(Window.partitionBy()).alias("macro_f1")))
 
 
 def dense_distribution(spark: SparkSession, pairs: DataFrame, labels: Sequence[int]) -> DataFrame:

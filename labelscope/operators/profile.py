@@ -22,9 +22,13 @@ def label_distribution(spark: SparkSession, df: DataFrame, label_col: str = "lab
                        unknown: str = "raise") -> DataFrame:
     """A4: label, name, count, pct = 100*count/total where total counts every
     row, null labels too (S8). An unknown label raises by default (P4) or keeps
-    a null name with ``unknown="null"``."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    counts = label_counts(df, label_col)
+    a null name with ``unknown="null"``. One aggregate (the null label is a
+    group of its own); the total is a window over its <= K + 1 rows."""
+    from pyspark.sql import Window
+
+    counts = (df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("count"))
+              .withColumn("_total", F.sum("count").over(Window.partitionBy()))
+              .where(F.col("label").isNotNull()))
     dim = label_dimension(spark, labels, names)
     j = counts.join(F.broadcast(dim), "label", "left")
     name = F.col("name")
@@ -32,7 +36,7 @@ def label_distribution(spark: SparkSession, df: DataFrame, label_col: str = "lab
         name = F.when(F.col("name").isNotNull(), F.col("name")).otherwise(
             F.raise_error(F.concat(F.lit("unknown label "), F.col("label").cast("string"))))
     return j.select("label", name.alias("name"), "count",
-                    (100.0 * F.col("count") / total).alias("pct"))
+                    (100.0 * F.col("count") / F.col("_total")).alias("pct"))
 
 
 def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -89,16 +93,31 @@ def corpus_profile(df: DataFrame, label_col: str = "label", text_col: str = "cod
                    language_col: str | None = "language",
                    generator_col: str | None = "generator") -> DataFrame:
     """T9 summary row in one scan: rows, classes, imbalance, languages,
-    generators and length statistics (A1, A2, A6, A8, A7)."""
-    counts = label_counts(df, label_col)
+    generators and length statistics (A1, A2, A6, A8, A7).
+
+    A ``rollup`` over the label gives the per-class counts and the grand
+    total (with the distinct counts) in one aggregate of <= K + 2 rows, which
+    one more aggregate folds into the summary row."""
     n = F.length(as_text(text_col))
-    aggs = [F.count(F.lit(1)).alias("rows"),
-            F.avg(n).alias("mean_length"), F.min(n).cast("bigint").alias("min_length"),
-            F.max(n).cast("bigint").alias("max_length")]
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(n).alias("_len_sum"),
+            F.min(n).cast("bigint").alias("min_length"), F.max(n).cast("bigint").alias("max_length")]
+    outs = []
     if language_col and language_col in df.columns:
         aggs.append(F.count_distinct(language_col).alias("n_languages"))
+        outs.append("n_languages")
     if generator_col and generator_col in df.columns:
         aggs.append(F.count_distinct(generator_col).alias("n_generators"))
-    base = df.agg(*aggs)
-    return (base.withColumn("n_classes", counts.select(F.count(F.lit(1))).scalar())
-            .withColumn("imbalance_ratio", counts.select(F.max("count") / F.min("count")).scalar()))
+        outs.append("n_generators")
+    r = df.rollup(F.col(label_col).alias("_label")).agg(F.grouping_id().alias("_gid"), *aggs)
+    top = F.col("_gid") == 1
+    cls = (F.col("_gid") == 0) & F.col("_label").isNotNull()
+
+    def grand(c):
+        return F.max(F.when(top, F.col(c)))
+
+    return r.agg(grand("rows").alias("rows"),
+                 (grand("_len_sum") / grand("rows")).alias("mean_length"),
+                 grand("min_length").alias("min_length"), grand("max_length").alias("max_length"),
+                 *[grand(c).alias(c) for c in outs],
+                 F.count_if(cls).alias("n_classes"),
+                 (F.max(F.when(cls, F.col("rows"))) / F.min(F.when(cls, F.col("rows")))).alias("imbalance_ratio"))

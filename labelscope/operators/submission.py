@@ -70,13 +70,21 @@ def submission_checks(spark: SparkSession, df: DataFrame,
     any_null = F.lit(False)
     for c in df.columns:
         any_null = any_null | F.col(c).isNull()
-    one = df.agg(
-        F.count_if(~F.coalesce(_is_int("id"), F.lit(False))).alias("bad_id"),
-        F.count_if(~F.coalesce(_is_int("label"), F.lit(False))).alias("bad_label"),
-        F.count_if(lab_int.isNotNull() & ~lab_int.isin([int(x) for x in valid_labels])).alias("invalid"),
-        F.count_if(any_null).alias("nulls"))
-    dups = (df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-            .select(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).scalar())
+    # one pass: the V5 group-by on id also carries the per-id counts of bad
+    # rows (partial aggregation before the shuffle), then one global sum
+    per_id = df.groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(~F.coalesce(_is_int("id"), F.lit(False))).alias("_bad_id"),
+        F.count_if(~F.coalesce(_is_int("label"), F.lit(False))).alias("_bad_label"),
+        F.count_if(lab_int.isNotNull() & ~lab_int.isin([int(x) for x in valid_labels])).alias("_invalid"),
+        F.count_if(any_null).alias("_nulls"))
+    one = per_id.agg(
+        F.coalesce(F.sum("_bad_id"), F.lit(0)).alias("bad_id"),
+        F.coalesce(F.sum("_bad_label"), F.lit(0)).alias("bad_label"),
+        F.coalesce(F.sum("_invalid"), F.lit(0)).alias("invalid"),
+        F.coalesce(F.sum("_nulls"), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("dups"))
+    dups = F.col("dups")
     rows = one.select(F.explode(F.array(
         F.struct(F.lit(1).alias("check_id"), F.lit("columns").alias("check"),
                  F.lit(0).cast("bigint").alias("bad_rows")),
@@ -113,7 +121,10 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def submission_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """V7: total and label distribution with percent."""
-    total = df.select(F.count(F.lit(1))).scalar()
+    """V7: total and label distribution with percent (total: a window over the
+    <= one row per label of the count aggregate)."""
+    from pyspark.sql import Window
+
+    total = F.sum("count").over(Window.partitionBy())
     return (df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("count"))
             .withColumn("pct", 100.0 * F.col("count") / total).withColumn("total", total))

@@ -6,7 +6,7 @@ class) and attached to rows by a join on ``label``; never positionally (S7).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.operators.profile import label_counts
@@ -14,6 +14,19 @@ from labelscope.operators.profile import label_counts
 BETA = 0.9999
 
 
+def _weight(method: str, beta: float) -> Column:
+    """Weight expression over a per-class count table (one row per class).
+    Totals come from a window over that table, so the data is read once."""
+    every = Window.partitionBy()  # over <= one row per class
+    if method in ("inverse", "balanced"):
+        return F.sum("count").over(every) / (F.count(F.lit(1)).over(every) * F.col("count"))
+    if method == "effective":
+        return (1.0 - beta) / (1.0 - F.pow(F.lit(beta), F.col("count")))
+    if method == "reciprocal":
+        return 1.0 / F.col("count")
+    raise ValueError(f"unknown weighting method {method!r}")
+
+
 def class_weights(df: DataFrame, method: str = "inverse", label_col: str = "label",
                   beta: float = BETA) -> DataFrame:
     """(label, count, weight).
@@ -22,26 +35,15 @@ def class_weights(df: DataFrame, method: str = "inverse", label_col: str = "labe
     effective (A10): (1 - beta) / (1 - beta ** count)
     reciprocal (A12): 1 / count
     """
-    counts = label_counts(df, label_col)
-    if method in ("inverse", "balanced"):
-        total = counts.select(F.sum("count")).scalar()
-        k = counts.select(F.count(F.lit(1))).scalar()
-        w = total / (k * F.col("count"))
-    elif method == "effective":
-        w = (1.0 - beta) / (1.0 - F.pow(F.lit(beta), F.col("count")))
-    elif method == "reciprocal":
-        w = 1.0 / F.col("count")
-    else:
-        raise ValueError(f"unknown weighting method {method!r}")
-    return counts.select("label", "count", w.cast("double").alias("weight"))
+    w = _weight(method, beta)
+    return label_counts(df, label_col).select("label", "count", w.cast("double").alias("weight"))
 
 
 def weights_report(df: DataFrame, label_col: str = "label", beta: float = BETA) -> DataFrame:
-    """Both methods side by side, one row per class."""
-    inv = class_weights(df, "inverse", label_col)
-    eff = class_weights(df, "effective", label_col, beta).select(
-        "label", F.col("weight").alias("weight_effective"))
-    return inv.withColumnRenamed("weight", "weight_inverse").join(eff, "label")
+    """Both methods side by side, one row per class, from one count aggregate."""
+    return label_counts(df, label_col).select(
+        "label", "count", _weight("inverse", beta).cast("double").alias("weight_inverse"),
+        _weight("effective", beta).cast("double").alias("weight_effective"))
 
 
 def attach_weights(df: DataFrame, weights: DataFrame, label_col: str = "label",
