@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import bucket_of, hex_prefix_int, seeded_key
+from labelscope.session import stage_table
 from labelscope.operators.ranking import (BUCKET, BUCKET_ROWS, DEFAULT_DIGITS, OFFSET,
                                           bounded_broadcast, bucket_offsets, shuffled_row_id)
 
@@ -116,11 +117,13 @@ def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
                  keep: dict[int, int], draw: dict[int, int], *, seed=42,
                  id_cols: Sequence[str] = ("id",), label_col: str = "label",
                  digits: int = DEFAULT_DIGITS, shuffle: bool = True,
-                 row_id_col: str = "row_id") -> DataFrame:
+                 row_id_col: str = "row_id", stage: bool = True) -> DataFrame:
     """Run a per-class plan: ``keep[c]`` = rows to keep without replacement
     (``>= counts[c]`` keeps the class whole), ``draw[c]`` = rows to draw with
     replacement instead. Output: input columns + ``sample_key`` (unique per
-    output row) and, when ``shuffle``, consecutive ``row_id`` in random order."""
+    output row) and, when ``shuffle``, consecutive ``row_id`` in random order.
+    R3 reads the sample twice (bucket counts, then ids), so with ``stage``
+    the sample is first written under the shared checkpoint folder."""
     id_cols = list(id_cols)
     cols = df.columns
     for c, n in draw.items():
@@ -151,6 +154,8 @@ def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
         for p in parts[1:]:
             out = out.unionByName(p)  # U1
     if shuffle:
+        if stage:
+            out = stage_table(out, "sample")
         out = shuffled_row_id(out, seed, ["sample_key"], digits=digits, out=row_id_col)
     return out
 

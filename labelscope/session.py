@@ -8,6 +8,7 @@ is unset (local tests).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="labelscope-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def stage_table(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the plan above it is computed once, and its lineage ends there (a
+    lost executor re-reads files instead of recomputing upstream stages)."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/labelscope-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
