@@ -28,4 +28,4 @@ def metadata_prefix(code, language=None) -> Column:
 
 def tokens(text) -> Column:
     """Whitespace tokens, case kept, empty tokens dropped."""
-    return F.filter(F.split(as_text(text), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(as_text(text), TOKEN_SPLIT), "")
