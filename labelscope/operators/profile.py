@@ -39,6 +39,16 @@ def label_distribution(spark: SparkSession, df: DataFrame, label_col: str = "lab
                     (100.0 * F.col("count") / F.col("_total")).alias("pct"))
 
 
+# The line format of the printed class distribution.
+DISTRIBUTION_LINE = "  %d: %-15s - %7d samples (%5.2f%%)"
+
+
+def distribution_lines(dist: DataFrame) -> DataFrame:
+    """F4 over A4: one formatted text line per class, in label order (IO9 input)."""
+    return dist.select("label", F.format_string(DISTRIBUTION_LINE, "label", "name", "count", "pct")
+                       .alias("value"))
+
+
 def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Max / min class count among present classes."""
     return label_counts(df, label_col).agg(

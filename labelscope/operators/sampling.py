@@ -292,6 +292,22 @@ def balance_report(before: DataFrame, after: DataFrame, label_col: str = "label"
             .select("rows_before", "rows_after", "reduction_pct", "imbalance_before", "imbalance_after"))
 
 
+# The printed size summary of a balancing run.
+SUMMARY_LINES = ("Original size: ", "Balanced size: ", "Reduction: ")
+
+
+def balance_summary_lines(report: DataFrame) -> DataFrame:
+    """F4 over A13: thousands-separated sizes and the one-decimal reduction, as
+    (line, value) rows."""
+    a, b, c = SUMMARY_LINES
+    lines = F.array(
+        F.struct(F.lit(1).alias("line"), F.concat(F.lit(a), F.format_number("rows_before", 0)).alias("value")),
+        F.struct(F.lit(2).alias("line"), F.concat(F.lit(b), F.format_number("rows_after", 0)).alias("value")),
+        F.struct(F.lit(3).alias("line"),
+                 F.concat(F.lit(c), F.format_string("%.1f%%", "reduction_pct")).alias("value")))
+    return report.select(F.explode(lines).alias("r")).select("r.*")
+
+
 def balance_audit(before: DataFrame, after: DataFrame, label_col: str = "label") -> DataFrame:
     """Per class original count, new count and action."""
     b = label_counts(before, label_col).withColumnRenamed("n", "n_before")

@@ -414,6 +414,18 @@ checks AS (
   UNION ALL SELECT 6, 'no_missing', nulls FROM one)
 SELECT CAST(check_id AS INTEGER) AS check_id, "check", bad_rows = 0 AS passed, CAST(bad_rows AS BIGINT) AS bad_rows
 FROM checks WHERE bad_rows <> 0 ORDER BY check_id LIMIT 1""",
+        "distribution_lines": f"""WITH {CORPUS},
+names AS (SELECT * FROM (VALUES (0, 'en'), (1, 'de'), (2, 'es'), (3, 'fr')) t(label, name)),
+c AS (SELECT c.label, n.name, count(*) AS count,
+             100.0 * count(*) / (SELECT count(*) FROM corpus) AS pct
+      FROM corpus c LEFT JOIN names n ON c.label = n.label WHERE c.label IS NOT NULL GROUP BY c.label, n.name)
+SELECT label, printf('  %d: %-15s - %7d samples (%5.2f%%)', label, name, count, pct) AS value FROM c""",
+        "balance_summary_lines": f"""WITH bal AS ({BAL_MAJ}),
+b AS (SELECT count(*) AS n FROM orders),
+a AS (SELECT count(*) AS n FROM bal)
+SELECT 1 AS line, 'Original size: ' || format('{{:,}}', (SELECT n FROM b)) AS value
+UNION ALL SELECT 2, 'Balanced size: ' || format('{{:,}}', (SELECT n FROM a))
+UNION ALL SELECT 3, 'Reduction: ' || printf('%.1f%%', 100.0 * (1 - (SELECT n FROM a) / (SELECT n FROM b)))""",
         "batch_ids": f"""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id,
        CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
 FROM embeddings""",

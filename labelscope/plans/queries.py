@@ -425,6 +425,18 @@ def q_batch_ids(spark, d):
     return ranking.batch_ids(s, "row_id", BATCH_SIZE).select("vec_id", "row_id", "batch")
 
 
+def q_distribution_lines(spark, d):
+    labels, names = _corpus_dim()
+    dist = profile.label_distribution(spark, roles.corpus(spark, d, with_text=False), "label",
+                                      labels, names)
+    return profile.distribution_lines(dist)
+
+
+def q_balance_summary_lines(spark, d):
+    rep = sampling.balance_report(_skewed(spark, d), _balanced(spark, d, shuffle=False))
+    return sampling.balance_summary_lines(rep)
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
 
 FLAGSHIP = "per_class_prf"
