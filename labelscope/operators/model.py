@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.operators.metrics import macro_f1, pair_counts
+
+# The whitespace token separator, as a SQL string literal body.
+TOKEN_SPLIT_SQL = "[ \\t\\r\\n]+"
 from labelscope.operators.weights import attach_weights, class_weights
 
 
@@ -51,10 +54,13 @@ def batch_score(df: DataFrame, key: str, make_scorer: Callable[[], Callable] | N
 
 
 def _feature_stages(text_col: str, num_features: int):
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    """Whitespace tokens (case kept, empty tokens dropped) by built-in SQL
+    functions inside a pipeline stage (saved with the model), then hashed TF."""
+    from pyspark.ml.feature import HashingTF, SQLTransformer
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="[ \t\r\n]+",
-                         toLowercase=False)
+    tok = SQLTransformer(statement=(
+        f"SELECT *, array_remove(split(coalesce({text_col}, ''), '{TOKEN_SPLIT_SQL}'), '') AS _tokens "
+        "FROM __THIS__"))
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     return tok, tf
 
@@ -91,6 +97,11 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     if class_weighted:
         tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w", bounded=False)
         weight_col = "_w"
+    # every optimiser iteration is one pass over the persisted vectors: give
+    # that pass every core (a large input already has more partitions than cores)
+    cores = spark.sparkContext.defaultParallelism
+    if tr.rdd.getNumPartitions() < cores:
+        tr = tr.repartition(cores)
     tok, tf = _feature_stages("_text", num_features)
     keep = ["label"] + ([weight_col] if weight_col else [])
     tf_tr = tf.transform(tok.transform(tr)).select("_tf", *keep).persist(StorageLevel.MEMORY_AND_DISK)
