@@ -2,6 +2,8 @@
 
 E1 ``rebalance_run``: scan -> balance (R7/R8/R9) -> Parquet (IO4) -> reports
    (A13, A14) computed from the *written* table, so the lineage is cut there.
+E2 ``train_run``: fit candidates (T5), save the best pipeline (IO10), write the
+   history (T7, IO8) and report the best-epoch row (W-2).
 E3 ``predict_run`` -> ``submission_run`` -> ``validate_submission``: score (T2)
    -> predictions table (T3) -> CSV (IO5) -> test IDs joined by position (T4)
    -> CSV -> read back as text (IO2) -> checks (V1-V7).
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.labels import LABEL_NAMES
-from labelscope.operators import groups, metrics, model, sampling, submission
+from labelscope.operators import groups, history as hist, metrics, model, sampling, submission
 from labelscope.session import ensure_checkpoint_dir
 from labelscope.sources.io import read_csv, write_csv, write_json, write_table, write_text
 
@@ -58,6 +60,17 @@ def rebalance_run(spark: SparkSession, df: DataFrame, out_path: str, mode: str =
             sampling.balance_audit(df, written, label_col))
 
 
+# ---------------------------------------------------------------- E2
+
+def train_run(spark: SparkSession, train: DataFrame, validation: DataFrame, model_dir: str,
+              history_path: str, **train_kw):
+    """Train, save the best model and its history. Returns ``(model, history, best)``."""
+    fitted, history = model.train_classifier(spark, train, validation, **train_kw)
+    model.save_model(fitted, model_dir)
+    write_json(history.orderBy("epoch"), history_path, single_file=True)
+    return fitted, history, hist.best_epoch(history)
+
+
 # ---------------------------------------------------------------- E3
 
 def predict_run(scored: DataFrame, key: str, out_path: str, make_scorer=None,

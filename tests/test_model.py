@@ -32,3 +32,16 @@ def test_batch_score_matches_sql_argmax(spark):
     assert j.count() == s.count() and j.where("y_mip <> y_pred").count() == 0
     rec = metrics.metrics_record(metrics.pair_counts(scored.withColumnRenamed("y_mip", "y_pred"))).first()
     assert 0.0 <= rec["accuracy"] <= 1.0
+
+
+def test_train_run_writes_model_and_history(spark, tmp_path):
+    from labelscope.plans import runs
+
+    c = roles.corpus(spark, SF_SMALL)
+    m, hist, best = runs.train_run(spark, c, c, str(tmp_path / "m"), str(tmp_path / "h"),
+                                   reg_params=(0.0, 0.5), max_iter=5, num_features=1 << 10)
+    back = spark.read.json(str(tmp_path / "h"))
+    assert back.count() == 2 and set(back.columns) == {"epoch", "reg_param", "train_f1", "val_f1"}
+    b = best.collect()
+    assert len(b) == 1 and b[0]["val_f1"] == max(r["val_f1"] for r in hist.collect())
+    assert model.predict(model.load_model(str(tmp_path / "m")), c, "doc_id").count() == c.count()
