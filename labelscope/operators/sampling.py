@@ -308,6 +308,27 @@ def balance_summary_lines(report: DataFrame) -> DataFrame:
     return report.select(F.explode(lines).alias("r")).select("r.*")
 
 
+# The printed per-class lines of a balancing run, by action.
+AUDIT_UNDERSAMPLED = "Undersampling: %d -> %d samples"
+AUDIT_OVERSAMPLED = "Label %d (%-15s): %6d -> %6d (oversampled)"
+AUDIT_KEPT = "Label %d (%-15s): %6d samples (kept all)"
+
+
+def balance_audit_lines(spark: SparkSession, audit: DataFrame, labels: Sequence[int],
+                        names: Sequence[str], label_col: str = "label") -> DataFrame:
+    """F4 over A14: one text line per class of the audit, (label, value)."""
+    from labelscope.functions.labels import label_dimension
+
+    j = audit.join(F.broadcast(label_dimension(spark, labels, names)
+                               .withColumnRenamed("label", label_col)), label_col, "left")
+    line = (F.when(F.col("action") == "undersampled",
+                   F.format_string(AUDIT_UNDERSAMPLED, "n_before", "n_after"))
+            .when(F.col("action") == "oversampled",
+                  F.format_string(AUDIT_OVERSAMPLED, label_col, "name", "n_before", "n_after"))
+            .otherwise(F.format_string(AUDIT_KEPT, label_col, "name", "n_before")))
+    return j.select(F.col(label_col).alias("label"), line.alias("value"))
+
+
 def balance_audit(before: DataFrame, after: DataFrame, label_col: str = "label") -> DataFrame:
     """Per class original count, new count and action."""
     b = label_counts(before, label_col).withColumnRenamed("n", "n_before")

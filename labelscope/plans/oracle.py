@@ -426,6 +426,20 @@ a AS (SELECT count(*) AS n FROM bal)
 SELECT 1 AS line, 'Original size: ' || format('{{:,}}', (SELECT n FROM b)) AS value
 UNION ALL SELECT 2, 'Balanced size: ' || format('{{:,}}', (SELECT n FROM a))
 UNION ALL SELECT 3, 'Reduction: ' || printf('%.1f%%', 100.0 * (1 - (SELECT n FROM a) / (SELECT n FROM b)))""",
+        "balance_audit_lines": f"""WITH {SKEWED},
+{_draws(Q.TARGET_PER_CLASS, f"label <> 0 AND n_rows < {Q.TARGET_PER_CLASS}")},
+bal AS (SELECT label FROM ranked
+        WHERE (label = 0 AND rnk <= {Q.HUMAN_SAMPLES}) OR (label <> 0 AND n_rows >= {Q.TARGET_PER_CLASS})
+        UNION ALL SELECT label FROM drawn),
+b AS (SELECT label, count(*) AS n FROM src GROUP BY label),
+a AS (SELECT label, count(*) AS n FROM bal GROUP BY label),
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{Q.LABEL_NAMES[i]}')" for i in range(4))}) t(label, name)),
+j AS (SELECT coalesce(b.label, a.label) AS label, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after
+      FROM b FULL OUTER JOIN a ON a.label = b.label)
+SELECT j.label, CASE WHEN n_after < n_before THEN printf('Undersampling: %d -> %d samples', n_before, n_after)
+                     WHEN n_after > n_before THEN printf('Label %d (%-15s): %6d -> %6d (oversampled)', j.label, n.name, n_before, n_after)
+                     ELSE printf('Label %d (%-15s): %6d samples (kept all)', j.label, n.name, n_before) END AS value
+FROM j LEFT JOIN names n ON j.label = n.label""",
         "batch_ids": f"""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id,
        CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
 FROM embeddings""",

@@ -437,6 +437,14 @@ def q_balance_summary_lines(spark, d):
     return sampling.balance_summary_lines(rep)
 
 
+def q_balance_audit_lines(spark, d):
+    sk = _skewed(spark, d)
+    out = sampling.balance_majority(spark, sk, HUMAN_SAMPLES, True, TARGET_PER_CLASS, shuffle=False, **_ID)
+    labels = roles.SKEWED_CLASSES
+    return sampling.balance_audit_lines(spark, sampling.balance_audit(sk, out), labels,
+                                        [LABEL_NAMES[i] for i in labels])
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
 
 FLAGSHIP = "per_class_prf"

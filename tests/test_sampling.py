@@ -116,3 +116,13 @@ def test_reports(spark, skewed):
     assert rep["rows_before"] == skewed.count() and rep["rows_after"] == out.count()
     audit = {r["label"]: r["action"] for r in sampling.balance_audit(skewed, out).collect()}
     assert audit[0] == "undersampled" and audit[1] == "kept"
+
+
+def test_audit_lines_all_actions(spark, skewed):
+    out = sampling.balance_majority(spark, skewed, 1000, labels=[0, 1, 2, 3], shuffle=False)
+    audit = sampling.balance_audit(skewed, out)
+    lines = {r["label"]: r["value"] for r in sampling.balance_audit_lines(
+        spark, audit, [0, 1, 2, 3], ["Human", "DeepSeek-AI", "Qwen", "01-ai"]).collect()}
+    n = _counts(skewed)
+    assert lines[0] == f"Undersampling: {n[0]} -> 1000 samples"
+    assert lines[1] == f"Label 1 (DeepSeek-AI    ): {n[1]:6d} samples (kept all)"
