@@ -37,6 +37,9 @@ from labelscope.operators.ranking import (BUCKET, BUCKET_ROWS, DEFAULT_DIGITS, O
 REFERENCE_LABELS = list(range(11))
 # with an open label domain, refuse to plan more classes than this
 MAX_PLAN_CLASSES = 100_000
+# bootstrapped classes holding more rows than this in total are not ranked in
+# full: only the buckets that hold a drawn rank are (see ``_drawn_rows``)
+PRUNE_DRAW_POOL_ROWS = 1_000_000
 
 
 def class_counts(df: DataFrame, label_col: str = "label",
@@ -113,17 +116,49 @@ def _draws(spark: SparkSession, label_col: str, draws: dict[int, int], sizes: di
                                           _case(label_col, sizes)) + 1)
 
 
+def _drawn_rows(df: DataFrame, gen: DataFrame, seed, id_cols: Sequence[str], label_col: str,
+                classes: list[int], n_draws: int, digits: int) -> DataFrame:
+    """Rows of ``classes`` that some draw of ``gen`` (label, _draw, _rank) hits,
+    with their ``_rank``: only the buckets holding a drawn rank are ranked, so
+    drawing n rows from a huge class shuffles at most n buckets of it.
+
+    A draw's bucket is the last bucket starting at or before its rank: bucket
+    starts (``offset + 1``) and drawn ranks are interleaved in one window per
+    class over <= 16**digits + n small rows, carrying the last start forward."""
+    keyed = (df.where(F.col(label_col).isin(classes))
+             .withColumn("_key", seeded_key(seed, *id_cols))
+             .withColumn(BUCKET, bucket_of("_key", digits)))
+    offsets = bucket_offsets(keyed, [label_col])
+    starts = offsets.select(label_col, (F.col(OFFSET) + 1).alias("_pos"), F.lit(0).alias("_is_draw"),
+                            BUCKET, OFFSET)
+    hits = gen.select(label_col, F.col("_rank").alias("_pos"), F.lit(1).alias("_is_draw"),
+                      F.lit(None).cast("int").alias(BUCKET), F.lit(None).cast("bigint").alias(OFFSET))
+    w = (Window.partitionBy(label_col).orderBy("_pos", "_is_draw")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    needed = (starts.unionByName(hits)
+              .select(label_col, "_is_draw", F.last(BUCKET, ignorenulls=True).over(w).alias(BUCKET),
+                      F.last(OFFSET, ignorenulls=True).over(w).alias(OFFSET))
+              .where(F.col("_is_draw") == 1).select(label_col, BUCKET, OFFSET).distinct())
+    wr = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
+    return (keyed.join(bounded_broadcast(needed, n_draws), [label_col, BUCKET], "inner")
+            .withColumn("_rank", F.col(OFFSET) + F.row_number().over(wr))
+            .drop(BUCKET, OFFSET, "_key"))
+
+
 def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
                  keep: dict[int, int], draw: dict[int, int], *, seed=42,
                  id_cols: Sequence[str] = ("id",), label_col: str = "label",
                  digits: int = DEFAULT_DIGITS, shuffle: bool = True,
-                 row_id_col: str = "row_id", stage: bool = True) -> DataFrame:
+                 row_id_col: str = "row_id", stage: bool = True,
+                 prune_draws: bool | None = None) -> DataFrame:
     """Run a per-class plan: ``keep[c]`` = rows to keep without replacement
     (``>= counts[c]`` keeps the class whole), ``draw[c]`` = rows to draw with
     replacement instead. Output: input columns + ``sample_key`` (unique per
     output row) and, when ``shuffle``, consecutive ``row_id`` in random order.
     R3 reads the sample twice (bucket counts, then ids), so with ``stage``
-    the sample is first written under the shared checkpoint folder."""
+    the sample is first written under the shared checkpoint folder.
+    ``prune_draws`` (default: when the bootstrapped classes exceed
+    ``PRUNE_DRAW_POOL_ROWS`` rows) ranks only the buckets the draws hit."""
     id_cols = list(id_cols)
     cols = df.columns
     for c, n in draw.items():
@@ -141,8 +176,13 @@ def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
                      .select(*cols, F.concat(F.lit("k:"), _id_str(id_cols)).alias("sample_key")))
     if boot:
         sizes = {c: counts[c] for c in boot}
-        pool = _rank_classes(df, seed, id_cols, label_col, sizes, digits)
         gen = _draws(spark, label_col, boot, sizes, seed)
+        if prune_draws is None:
+            prune_draws = sum(sizes.values()) > PRUNE_DRAW_POOL_ROWS
+        if prune_draws:
+            pool = _drawn_rows(df, gen, seed, id_cols, label_col, list(boot), sum(boot.values()), digits)
+        else:
+            pool = _rank_classes(df, seed, id_cols, label_col, sizes, digits)
         gen = bounded_broadcast(gen, sum(boot.values()))
         parts.append(pool.join(gen, [label_col, "_rank"], "inner").select(
             *cols, F.concat(F.lit("d:"), F.col(label_col).cast("string"), F.lit(":"),

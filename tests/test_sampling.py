@@ -126,3 +126,14 @@ def test_audit_lines_all_actions(spark, skewed):
     n = _counts(skewed)
     assert lines[0] == f"Undersampling: {n[0]} -> 1000 samples"
     assert lines[1] == f"Label 1 (DeepSeek-AI    ): {n[1]:6d} samples (kept all)"
+
+
+def test_pruned_draw_pool_equals_full_rank(spark, skewed):
+    counts = sampling.class_counts(skewed, "label", [0, 1, 2, 3])
+    draw = {c: 300 for c in counts}
+    kw = dict(seed=9, id_cols=["id"], label_col="label", shuffle=False)
+    full = sampling.execute_plan(spark, skewed, counts, {}, draw, prune_draws=False, **kw)
+    pruned = sampling.execute_plan(spark, skewed.repartition(7), counts, {}, draw, prune_draws=True, **kw)
+    a = sorted((r["sample_key"], r["id"]) for r in full.collect())
+    b = sorted((r["sample_key"], r["id"]) for r in pruned.collect())
+    assert a == b and len(a) == 4 * 300
