@@ -37,3 +37,19 @@ def label_grid(spark: SparkSession, labels: Sequence[int],
     return (spark.range(k * k)
             .select(F.element_at(arr, (F.col("id") / k).cast("int") + 1).alias(left),
                     F.element_at(arr, (F.col("id") % k).cast("int") + 1).alias(right)))
+
+
+def attach_names(spark: SparkSession, df: DataFrame, label_col: str = "label",
+                 labels: Sequence[int] | None = None, names: Sequence[str] | None = None,
+                 unknown: str = "raise", out: str = "name") -> DataFrame:
+    """Label -> name by a broadcast join to the (<= len(labels) rows)
+    dimension. A label outside it raises (the reference's failing dict
+    lookup) or, with ``unknown="null"``, keeps a null name."""
+    dim = label_dimension(spark, labels, names).select(
+        F.col("label").alias("_dim_label"), F.col("name").alias("_dim_name"))
+    j = df.join(F.broadcast(dim), F.col(label_col) == F.col("_dim_label"), "left")
+    name = F.col("_dim_name")
+    if unknown == "raise":
+        name = F.when(F.col(label_col).isNull() | F.col("_dim_name").isNotNull(), name).otherwise(
+            F.raise_error(F.concat(F.lit("unknown label "), F.col(label_col).cast("string"))))
+    return j.withColumn(out, name).drop("_dim_label", "_dim_name")

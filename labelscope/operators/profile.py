@@ -11,6 +11,17 @@ from labelscope.functions.labels import label_dimension
 from labelscope.functions.text import as_text
 
 
+def filter_class(df: DataFrame, label, label_col: str = "label") -> DataFrame:
+    """Rows of one class (an equality filter that reaches the Parquet scan
+    when ``label_col`` is a stored column)."""
+    return df.where(F.col(label_col) == F.lit(label))
+
+
+def select_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """The label column alone (Catalyst prunes the scan to it)."""
+    return df.select(F.col(label_col))
+
+
 def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
     """A2: (label, count), null labels dropped; partial + final aggregate."""
     return (df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label"))

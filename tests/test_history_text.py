@@ -87,3 +87,19 @@ def test_length_describe(spark):
     df = spark.createDataFrame([("a",), ("ab",), ("abcd",), ("abcdefghi",)], "code STRING")
     r = profile.length_describe(df).first()
     assert r["p25"] == 1.75 and r["count"] == 4 and r["max"] == 9.0
+
+
+def test_names_filter_select(spark):
+    import pytest
+    from labelscope.functions.labels import attach_names
+    from labelscope.operators import profile
+
+    df = spark.createDataFrame([(1, 0), (2, 10), (3, None)], "id INT, label INT")
+    got = {r["id"]: r["name"] for r in attach_names(spark, df).collect()}
+    assert got == {1: "Human", 2: "OpenAI", 3: None}
+    bad = spark.createDataFrame([(1, 11)], "id INT, label INT")
+    with pytest.raises(Exception, match="unknown label 11"):
+        attach_names(spark, bad).collect()
+    assert attach_names(spark, bad, unknown="null").first()["name"] is None
+    assert profile.filter_class(df, 10).count() == 1
+    assert profile.select_labels(df).columns == ["label"]
