@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def align_full(pred: DataFrame, truth: DataFrame, key: str, pred_col: str = "label",
+               out: str = "predicted") -> DataFrame:
+    """J1 as one full outer join with side markers ``_in_pred`` / ``_in_truth``,
+    so unmatched rows on either side are found without another join."""
+    p = pred.select(F.col(key), F.col(pred_col).alias(out), F.lit(True).alias("_in_pred"))
+    t = truth.withColumn("_in_truth", F.lit(True))
+    return t.join(p, key, "full_outer")
+
+
+def matched(full: DataFrame, check: bool = True, key: str = "key") -> DataFrame:
+    """Rows of ``align_full`` present on both sides; ``check`` raises when a
+    row on either side has no partner (the reference's unequal-length error).
+    Persist ``full`` first when it is used for both."""
+    both = F.col("_in_pred").isNotNull() & F.col("_in_truth").isNotNull()
+    if check and full.where(~both).limit(1).count():
+        raise ValueError("prediction and truth tables do not match one to one on " + key)
+    return full.where(both).drop("_in_pred", "_in_truth")
+
+
 def align(pred: DataFrame, truth: DataFrame, key: str, pred_col: str = "label",
           out: str = "predicted", check: bool = False) -> DataFrame:
     """Equi join on a key (S1). Output: truth columns + ``out``.
-
-    ``check`` raises when a row on either side has no partner (the
-    reference's unequal-length error); it costs two anti-join passes."""
-    p = pred.select(F.col(key), F.col(pred_col).alias(out))
-    if check:
-        miss = (p.select(key).join(truth.select(key), key, "left_anti").limit(1).count()
-                + truth.select(key).join(p.select(key), key, "left_anti").limit(1).count())
-        if miss:
-            raise ValueError("prediction and truth tables do not match one to one on " + key)
-    return truth.join(p, key, "inner")
+    With ``check``, one full outer join serves both the check and the result."""
+    if not check:
+        p = pred.select(F.col(key), F.col(pred_col).alias(out))
+        return truth.join(p, key, "inner")
+    return matched(align_full(pred, truth, key, pred_col, out), True, key)
 
 
 def with_correct(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",

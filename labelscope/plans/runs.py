@@ -118,9 +118,14 @@ def evaluation_run(spark: SparkSession, predictions: DataFrame, truth: DataFrame
     gcols = [g for g in group_cols if g in truth.columns]
     t = truth.select(key, F.col(true_col).cast("int").alias("y_true"), *gcols)
     p = predictions.select(key, F.col(pred_col).cast("int").alias("label"))
-    joined = groups.with_correct(
-        groups.align(p, t, key, pred_col="label", out="y_pred", check=check))
-    joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    # one join: persisted, checked for unmatched rows, then filtered to matches
+    full = groups.align_full(p, t, key, pred_col="label", out="y_pred").persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        joined = groups.with_correct(groups.matched(full, check, key))
+    except ValueError:
+        full.unpersist()
+        raise
     # <= K^2 rows; checkpointed so every metric below starts from a stored table
     pairs = metrics.pair_counts(joined).checkpoint()
     report = metrics.classification_report(spark, pairs, labels, names)
@@ -144,5 +149,5 @@ def evaluation_run(spark: SparkSession, predictions: DataFrame, truth: DataFrame
     for g in gcols:
         write_csv(out[f"{g}_stats"], f"{out_dir}/{g}_stats")
         write_csv(out[f"{g}_ranking"], f"{out_dir}/{g}_ranking")
-    joined.unpersist()
+    full.unpersist()
     return out

@@ -71,3 +71,14 @@ def test_evaluation_run_golden(spark, tmp_path):
     dist = {r["label"]: r["true_count"] for r in out["distribution"].collect()}
     assert dist == {r["label"]: r["count"] for r in profile.label_counts(
         df.select(F.col("y_true").alias("label"))).collect()}
+
+
+def test_evaluation_run_raises_on_unmatched(spark, tmp_path):
+    import pytest
+
+    truth = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id BIGINT, label INT")
+    pred = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "id BIGINT, label INT")
+    with pytest.raises(ValueError, match="one to one"):
+        runs.evaluation_run(spark, pred, truth, "id", str(tmp_path / "e"))
+    out = groups.align(pred, truth, "id", check=False)
+    assert sorted(r["id"] for r in out.collect()) == [1, 2]
