@@ -440,6 +440,16 @@ SELECT j.label, CASE WHEN n_after < n_before THEN printf('Undersampling: %d -> %
                      WHEN n_after > n_before THEN printf('Label %d (%-15s): %6d -> %6d (oversampled)', j.label, n.name, n_before, n_after)
                      ELSE printf('Label %d (%-15s): %6d samples (kept all)', j.label, n.name, n_before) END AS value
 FROM j LEFT JOIN names n ON j.label = n.label""",
+        "focal_loss_sum": f"""WITH {CE_ROWS},
+c AS (SELECT y_true AS label, count(*) AS count FROM scores GROUP BY y_true),
+w AS (SELECT label, (SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count) AS weight FROM c),
+f AS (SELECT w.weight * r.nll AS ce FROM ce_rows r LEFT JOIN w ON r.y_true = w.label)
+SELECT round(sum(pow(1 - exp(-ce), {Q.GAMMA}) * ce), 6) AS focal_loss FROM f""",
+        "focal_loss_documented": f"""WITH {CE_ROWS},
+c AS (SELECT y_true AS label, count(*) AS count FROM scores GROUP BY y_true),
+w AS (SELECT label, (SELECT sum(count) FROM c) / ((SELECT count(*) FROM c) * count) AS weight FROM c),
+f AS (SELECT w.weight * r.nll AS ce, exp(-r.nll) AS p FROM ce_rows r LEFT JOIN w ON r.y_true = w.label)
+SELECT round(avg(pow(1 - p, {Q.GAMMA}) * ce), 6) AS focal_loss FROM f""",
         "batch_ids": f"""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id,
        CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
 FROM embeddings""",

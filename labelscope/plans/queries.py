@@ -196,10 +196,10 @@ def q_cross_entropy(spark, d):
         r6("cross_entropy").alias("cross_entropy"))
 
 
-def _focal(spark, d, reduction):
+def _focal(spark, d, reduction, pt="weighted"):
     s = roles.scores(spark, d)
     alpha = weights.class_weights(s.select(F.col("y_true").alias("label")), "inverse")
-    return losses.focal_loss(s, alpha=alpha, gamma=GAMMA, reduction=reduction)
+    return losses.focal_loss(s, alpha=alpha, gamma=GAMMA, reduction=reduction, pt=pt)
 
 
 def q_focal_loss_rows(spark, d):
@@ -445,6 +445,15 @@ def q_balance_audit_lines(spark, d):
                                         [LABEL_NAMES[i] for i in labels])
 
 
+def q_focal_loss_sum(spark, d):
+    return _focal(spark, d, "sum").select(r6("focal_loss").alias("focal_loss"))
+
+
+def q_focal_loss_documented(spark, d):
+    # S5 option: the documented pt = p (unweighted probability) with alpha-weighted CE
+    return _focal(spark, d, "mean", pt="unweighted").select(r6("focal_loss").alias("focal_loss"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
 
 FLAGSHIP = "per_class_prf"
