@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.text import tokens
+from labelscope.operators.ranking import bounded_broadcast
 
 PAD_ID = 0
 UNK_ID = 1
@@ -30,13 +31,15 @@ def vocabulary(df: DataFrame, text_col: str = "code", size: int = 5000) -> DataF
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "code",
-           max_length: int = 512) -> DataFrame:
+           max_length: int = 512, vocab_rows: int | None = None) -> DataFrame:
     """(key, input_ids, attention_mask): first ``max_length`` tokens mapped to
-    ids (unknown = 1), right-padded with 0; mask 1 for kept tokens."""
+    ids (unknown = 1), right-padded with 0; mask 1 for kept tokens.
+    ``vocab_rows`` bounds the vocabulary (the ``size`` it was built with): it
+    is then broadcast; without a bound AQE plans the token join."""
     L = int(max_length)
     toks = df.select(key, F.slice(tokens(text_col), 1, L).alias("_toks"))
     exploded = toks.select(key, F.posexplode_outer("_toks").alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "id"))
+    v = bounded_broadcast(vocab.select("token", "id"), vocab_rows)
     looked = exploded.join(v, "token", "left").select(
         key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK_ID))).alias("id"))
     grouped = looked.groupBy(key).agg(F.sort_array(F.collect_list(

@@ -15,12 +15,13 @@ from labelscope.operators.weights import attach_weights
 
 
 def cross_entropy_rows(df: DataFrame, logits_col: str = "logits", y_col: str = "y_true",
-                       weights: DataFrame | None = None, out: str = "ce") -> DataFrame:
+                       weights: DataFrame | None = None, out: str = "ce",
+                       max_classes: int | None = None) -> DataFrame:
     """``ce = -w[y] * log p_y`` per row (w = 1 without weights)."""
     nll = -log_softmax_at(logits_col, y_col)
     if weights is None:
         return df.withColumn(out, nll)
-    j = attach_weights(df, weights, y_col, out="_alpha")
+    j = attach_weights(df, weights, y_col, out="_alpha", max_classes=max_classes)
     return j.withColumn(out, F.col("_alpha") * nll).drop("_alpha")
 
 
@@ -31,14 +32,14 @@ def cross_entropy(df: DataFrame, logits_col: str = "logits", y_col: str = "y_tru
 
 def focal_loss(df: DataFrame, logits_col: str = "logits", y_col: str = "y_true",
                alpha: DataFrame | None = None, gamma: float = 2.0, reduction: str = "mean",
-               pt: str = "weighted") -> DataFrame:
+               pt: str = "weighted", max_classes: int | None = None) -> DataFrame:
     """``(1 - pt) ** gamma * ce`` with ``ce`` the (alpha-weighted) CE.
 
     ``pt="weighted"`` follows the reference code: ``pt = exp(-ce)``, which is
     ``p ** alpha`` when alpha is set (S5). ``pt="unweighted"`` uses the
     documented ``pt = p``. reduction: ``none`` (per-row column ``focal``),
     ``mean`` (divides by row count) or ``sum``."""
-    rows = cross_entropy_rows(df, logits_col, y_col, alpha)
+    rows = cross_entropy_rows(df, logits_col, y_col, alpha, max_classes=max_classes)
     if pt == "weighted":
         p_t = F.exp(-F.col("ce"))
     elif pt == "unweighted":

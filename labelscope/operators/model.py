@@ -95,7 +95,7 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                       F.col(label_col).cast("int").alias("label"))
     weight_col = None
     if class_weighted:
-        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w", bounded=False)
+        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w")
         weight_col = "_w"
     # every optimiser iteration is one pass over the persisted vectors: give
     # that pass every core (a large input already has more partitions than cores)

@@ -47,9 +47,12 @@ def weights_report(df: DataFrame, label_col: str = "label", beta: float = BETA)
 
 
 def attach_weights(df: DataFrame, weights: DataFrame, label_col: str = "label",
-                   out: str = "weight", bounded: bool = True) -> DataFrame:
+                   out: str = "weight", max_classes: int | None = None) -> DataFrame:
     """Weight per row by an equi join on the label. The weights table has
-    one row per class; broadcast when the class domain is bounded, else AQE
-    decides from the runtime size."""
+    one row per class: broadcast when the caller bounds the classes
+    (``max_classes``, e.g. a fixed label list), else AQE decides from the
+    runtime size of the (small) weights stage."""
+    from labelscope.operators.ranking import bounded_broadcast
+
     w = weights.select(F.col("label").alias(label_col), F.col("weight").alias(out))
-    return df.join(F.broadcast(w) if bounded else w, label_col, "left")
+    return df.join(bounded_broadcast(w, max_classes), label_col, "left")

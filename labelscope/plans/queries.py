@@ -187,7 +187,8 @@ def q_class_weights_effective(spark, d):
 def q_row_weights(spark, d):
     c = roles.corpus(spark, d, with_text=False)
     w = weights.class_weights(c, "inverse")
-    return weights.attach_weights(c.select("doc_id", "label"), w).select(
+    return weights.attach_weights(c.select("doc_id", "label"), w,
+                                  max_classes=len(roles.CORPUS_LANGS)).select(
         "doc_id", "label", r6("weight").alias("weight"))
 
 
@@ -199,7 +200,8 @@ def q_cross_entropy(spark, d):
 def _focal(spark, d, reduction, pt="weighted"):
     s = roles.scores(spark, d)
     alpha = weights.class_weights(s.select(F.col("y_true").alias("label")), "inverse")
-    return losses.focal_loss(s, alpha=alpha, gamma=GAMMA, reduction=reduction, pt=pt)
+    return losses.focal_loss(s, alpha=alpha, gamma=GAMMA, reduction=reduction, pt=pt,
+                             max_classes=len(roles.SCORE_CLASSES))
 
 
 def q_focal_loss_rows(spark, d):
@@ -345,7 +347,7 @@ def q_vocabulary(spark, d):
 def q_encode_fixed_length(spark, d):
     c = roles.corpus(spark, d)
     v = encode.vocabulary(c, "code", VOCAB_SIZE)
-    return encode.encode(c, v, "doc_id", "code", MAX_LENGTH)
+    return encode.encode(c, v, "doc_id", "code", MAX_LENGTH, vocab_rows=VOCAB_SIZE)
 
 
 # ------------------------------------------------------------------ scoring and training
