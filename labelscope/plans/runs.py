@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.labels import LABEL_NAMES
 from labelscope.operators import groups, history as hist, metrics, model, sampling, submission
-from labelscope.session import ensure_checkpoint_dir
+from labelscope.session import ensure_checkpoint_dir, stage_table
 from labelscope.sources.io import read_csv, write_csv, write_json, write_table, write_text
 
 REFERENCE_LABELS = list(range(len(LABEL_NAMES)))
@@ -75,9 +75,13 @@ def train_run(spark: SparkSession, train: DataFrame, validation: DataFrame, mode
 
 def predict_run(scored: DataFrame, key: str, out_path: str, make_scorer=None,
                 logits_col: str = "logits") -> DataFrame:
-    """Score, number rows by ``key`` order, write ``id,label`` CSV sorted by id."""
+    """Score, number rows by ``key`` order, write ``id,label`` CSV sorted by id.
+
+    The model runs once: its narrow output (key, prediction) is staged under
+    the checkpoint folder before R4 numbering reads it in several passes."""
     pred = model.batch_score(scored, key, make_scorer, logits_col=logits_col)
-    table = submission.predictions_table(pred, key)
+    staged = stage_table(pred.select(key, "y_pred"), "predictions")
+    table = submission.predictions_table(staged, key)
     write_csv(table, out_path, order_by=["id"])
     return table
 
