@@ -135,10 +135,12 @@ def _macro(model, df: DataFrame) -> float:
     return float(macro_f1(pair_counts(pred)).first()[0] or 0.0)
 
 
-def predict(model, df: DataFrame, key: str, text_col: str = "code") -> DataFrame:
-    """T6 scoring side: (key, y_pred) from a fitted pipeline."""
-    return (model.transform(df.select(key, F.col(text_col).cast("string").alias("_text")))
-            .select(key, F.col("_prediction").cast("int").alias("y_pred")))
+def predict(model, df: DataFrame, key: str, text_col: str = "code",
+            keep: Sequence[str] = ()) -> DataFrame:
+    """T6 scoring side: (key, *keep, y_pred) from a fitted pipeline; ``keep``
+    columns ride along (no join back to the input)."""
+    return (model.transform(df.select(key, *keep, F.col(text_col).cast("string").alias("_text")))
+            .select(key, *keep, F.col("_prediction").cast("int").alias("y_pred")))
 
 
 def save_model(model, path: str) -> None:

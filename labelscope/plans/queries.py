@@ -359,7 +359,7 @@ def q_batch_score(spark, d):
 def q_train_classifier(spark, d):
     c = roles.corpus(spark, d)
     m, _ = model.train_classifier(spark, c, c, reg_params=(0.01,), max_iter=20, num_features=1 << 14)
-    return model.predict(m, c, "doc_id").join(c.select("doc_id", F.col("label").alias("y_true")), "doc_id")
+    return model.predict(m, c, "doc_id", keep=["label"]).withColumnRenamed("label", "y_true")
 
 
 # ------------------------------------------------------------------ coverage: weights, labels, tables
