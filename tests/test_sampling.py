@@ -137,3 +137,31 @@ def test_pruned_draw_pool_equals_full_rank(spark, skewed):
     a = sorted((r["sample_key"], r["id"]) for r in full.collect())
     b = sorted((r["sample_key"], r["id"]) for r in pruned.collect())
     assert a == b and len(a) == 4 * 300
+
+
+def test_no_broadcast_path_gives_same_rows(spark, skewed, monkeypatch):
+    def run():
+        a = sampling.balance_equal(spark, skewed, 700, labels=[0, 1, 2, 3], seed=3)
+        b = sampling.sample_n(skewed, 900, seed=3)
+        c = ranking.row_ids(skewed, "id", out="rid")
+        return (sorted((r["sample_key"], r["row_id"]) for r in a.collect()),
+                sorted((r["id"], r["sample_rank"]) for r in b.collect()),
+                sorted((r["id"], r["rid"]) for r in c.collect()))
+
+    with_broadcast = run()
+    # no hint from us and no size-based broadcast from Spark: sort-merge joins
+    monkeypatch.setattr(ranking, "BROADCAST_ROW_LIMIT", 0)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        plan = sampling.sample_n(skewed, 900, seed=3)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+        assert run() == with_broadcast
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
