@@ -7,7 +7,6 @@ the DuckDB oracle in ``oracle.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.labels import LABEL_NAMES

@@ -4,7 +4,6 @@ import json
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelscope.functions.text import metadata_prefix
 from labelscope.operators import encode, groups, history, losses, profile, weights
