@@ -165,3 +165,30 @@ def test_no_broadcast_path_gives_same_rows(spark, skewed, monkeypatch):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_class_spread_over_window_tasks(spark, skewed):
+    """The plain per-class row_number puts the whole 88 % class in one task;
+    the bucketed rank spreads it over the shuffle partitions."""
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        keyed = skewed.withColumn("_key", seeded_key(1, "id"))
+        plain = keyed.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("_key")))
+        bucketed = ranking.bucketed_rank(keyed, "_key", ["id"], ["label"], domain_size=4)
+
+        def biggest_share(df):
+            per = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            return max(r["count"] for r in per) / sum(r["count"] for r in per)
+
+        assert biggest_share(plain) > 0.85
+        assert biggest_share(bucketed) < 0.15
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
