@@ -93,15 +93,16 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
 
     tr = train.select(F.col(text_col).cast("string").alias("_text"),
                       F.col(label_col).cast("int").alias("label"))
-    weight_col = None
-    if class_weighted:
-        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w")
-        weight_col = "_w"
     # every optimiser iteration is one pass over the persisted vectors: give
-    # that pass every core (a large input already has more partitions than cores)
+    # that pass every core (a large input already has more partitions than
+    # cores). Counted on the input scan, before any shuffle, so no job runs.
     cores = spark.sparkContext.defaultParallelism
     if tr.rdd.getNumPartitions() < cores:
         tr = tr.repartition(cores)
+    weight_col = None
+    if class_weighted:
+        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w")
+        weight_col = "_w"
     tok, tf = _feature_stages("_text", num_features)
     keep = ["label"] + ([weight_col] if weight_col else [])
     tf_tr = tf.transform(tok.transform(tr)).select("_tf", *keep).persist(StorageLevel.MEMORY_AND_DISK)
