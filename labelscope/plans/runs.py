@@ -1,5 +1,7 @@
 """End-to-end runs of the three flows, each a chain of Spark jobs with file hand-offs.
 
+T9 ``profile_run``: the corpus profile tables of a training split and the
+   size and class distribution of a validation split, written as CSV / text.
 E1 ``rebalance_run``: scan -> balance (R7/R8/R9) -> Parquet (IO4) -> reports
    (A13, A14) computed from the *written* table, so the lineage is cut there.
 E2 ``train_run``: fit candidates (T5), save the best pipeline (IO10), write the
@@ -26,13 +28,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.functions.labels import LABEL_NAMES
-from labelscope.operators import groups, history as hist, metrics, model, sampling, submission
+from labelscope.operators import (groups, history as hist, metrics, model, profile, sampling,
+                                  submission)
 from labelscope.session import ensure_checkpoint_dir, stage_table
 from labelscope.sources.io import read_csv, write_csv, write_json, write_table, write_text
 
 REFERENCE_LABELS = list(range(len(LABEL_NAMES)))
 
 
+# ---------------------------------------------------------------- T9
+
+def profile_run(spark: SparkSession, train: DataFrame, out_dir: str,
+                validation: DataFrame | None = None, label_col: str = "label",
+                text_col: str = "code", labels: Sequence[int] = REFERENCE_LABELS,
+                names: Sequence[str] | None = None, top_k: int = 20) -> dict[str, DataFrame]:
+    """Profile tables (A1-A8, S-4, T9): class distribution with names, the
+    summary row (size, classes, imbalance, distinct languages and generators,
+    lengths), language counts, the top generators with the remainder count and
+    the length statistics; for a validation split its distribution. Tables
+    bounded by the classes or ``top_k`` are written as one file each."""
+    out = {
+        "distribution": profile.label_distribution(spark, train, label_col, labels, names),
+        "summary": profile.corpus_profile(train, label_col, text_col),
+        "length": profile.length_describe(train, text_col),
+    }
+    if "language" in train.columns:
+        out["languages"] = profile.value_counts(train, "language")
+    if "generator" in train.columns:
+        out["generators_top"] = profile.top_values(train, "generator", top_k)
+    if validation is not None:
+        out["validation_distribution"] = profile.label_distribution(
+            spark, validation, label_col, labels, names)
+    write_text(profile.distribution_lines(out["distribution"]), f"{out_dir}/distribution_lines",
+               order_col="label", single_file=True)
+    for name, df in out.items():
+        write_csv(df, f"{out_dir}/{name}", single_file=name != "languages")
+    return out
+
+
 # ---------------------------------------------------------------- E1
 
 def rebalance_run(spark: SparkSession, df: DataFrame, out_path: str, mode: str = "majority", *,

@@ -82,3 +82,18 @@ def test_evaluation_run_raises_on_unmatched(spark, tmp_path):
         runs.evaluation_run(spark, pred, truth, "id", str(tmp_path / "e"))
     out = groups.align(pred, truth, "id", check=False)
     assert sorted(r["id"] for r in out.collect()) == [1, 2]
+
+
+def test_profile_run(spark, tmp_path):
+    c = roles.corpus(spark, SF_SMALL)
+    train, val = c.where("doc_id % 4 <> 0"), c.where("doc_id % 4 = 0")
+    out = runs.profile_run(spark, train, str(tmp_path / "p"), val, labels=[0, 1, 2, 3],
+                           names=roles.CORPUS_LANGS)
+    n_train, n_val = train.count(), val.count()
+    assert out["summary"].first()["rows"] == n_train
+    assert sum(r["count"] for r in out["distribution"].collect()) == n_train
+    assert sum(r["count"] for r in out["validation_distribution"].collect()) == n_val
+    top = out["generators_top"].collect()
+    assert len(top) == min(20, train.select("generator").distinct().count())
+    lines = glob.glob(str(tmp_path / "p" / "distribution_lines" / "part-*"))
+    assert sum(len(open(f).read().splitlines()) for f in lines) == 4
