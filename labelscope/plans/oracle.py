@@ -253,7 +253,7 @@ m AS (SELECT batch, avg(nll) AS l FROM b GROUP BY batch)
 SELECT round(avg(l), 6) AS mean_batch_loss, count(*) AS n_batches FROM m""",
         # ------------------------------------------------------------ sampling
         "sample_exact_n": f"""WITH {SKEWED}
-SELECT o_orderkey, CAST(sample_rank AS INTEGER) AS sample_rank FROM (
+SELECT o_orderkey, CAST(sample_rank AS BIGINT) AS sample_rank FROM (
   SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS sample_rank FROM src)
 WHERE sample_rank <= {Q.EXACT_N}""",
         "sample_with_replacement": f"""WITH {SKEWED},
@@ -326,7 +326,7 @@ SELECT CAST(t."ID" AS BIGINT) AS "ID", CAST(p.label AS INTEGER) AS label FROM t
         # ------------------------------------------------------------ history
         "history_series": f"""WITH {HISTORY}
 SELECT epoch, round(train_loss, 6) AS train_loss, round(train_f1, 6) AS train_f1, round(val_f1, 6) AS val_f1,
-       round(0.0, 6) AS val_loss, false AS plot_val_loss FROM hist""",
+       CAST(0.0 AS DOUBLE) AS val_loss, false AS plot_val_loss FROM hist""",
         "checkpoint_events": f"""WITH {HISTORY}
 SELECT epoch, round(val_f1, 6) AS val_f1 FROM (
   SELECT epoch, val_f1, coalesce(max(val_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
@@ -383,7 +383,7 @@ SELECT s.y_pred AS label, n.name, count(*) AS count,
        round(100.0 * count(*) / (SELECT count(*) FROM scores), 6) AS pct
 FROM scores s LEFT JOIN names n ON s.y_pred = n.label WHERE s.y_pred IS NOT NULL GROUP BY s.y_pred, n.name""",
         "confusion_wide": f"""WITH {grid_cm}
-SELECT y_true, {", ".join(f'sum(n) FILTER (WHERE y_pred = {k}) AS "{k}"' for k in K10)}
+SELECT y_true, {", ".join(f'CAST(sum(n) FILTER (WHERE y_pred = {k}) AS BIGINT) AS "{k}"' for k in K10)}
 FROM cm GROUP BY y_true""",
         "report_lines": f"""WITH {report_rows}
 SELECT row_order, CASE WHEN precision IS NULL

@@ -15,6 +15,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# Spark simpleString -> DuckDB type name
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "float": "FLOAT", "date": "DATE"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -47,11 +52,16 @@ def _one(fn, sql, spark, sf_dir, con):
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.select(*cols).collect()), key=repr)
     if sql is None:
         return ("rows-only", len(got))
-    rel = con.execute(sql)
-    dcols = [d[0] for d in rel.description]
+    rel = con.sql(sql)
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
     drows = rel.fetchall()
     if sorted(dcols) != cols:
         return ("COLUMNS", cols, sorted(dcols))
+    stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in df.schema.fields}
+    bad = {c: (stypes[c], t) for c, t in zip(dcols, dtypes) if stypes[c] != t}
+    if bad:
+        return ("TYPES", bad)
     idx = [dcols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in drows), key=repr)
     if got == exp:
