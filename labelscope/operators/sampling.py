@@ -315,21 +315,31 @@ def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def balance_report(before: DataFrame, after: DataFrame, label_col: str = "label") -> DataFrame:
-    """One row of sizes, reduction percent and both imbalance ratios.
-    Both sides are reduced to per-class counts (<= K rows) before they meet."""
-    both = (label_counts(before, label_col).withColumn("_after", F.lit(False))
-            .unionByName(label_counts(after, label_col).withColumn("_after", F.lit(True))))
-
-    def side(agg, after_side: bool):
-        return agg(F.when(F.col("_after") == F.lit(after_side), F.col("n")))
+def balance_report(before: DataFrame, after: DataFrame, label_col: str = "label",
+                   labels: Sequence[int] | None = None) -> DataFrame:
+    """One row of sizes (every row counted, null labels too), reduction
+    percent, both imbalance ratios (present classes only) and, S17, the rows
+    the balancing dropped (null label or, with ``labels``, outside the list).
+    Both sides are reduced to per-label counts (<= K + 1 rows) before they meet."""
+    def counts(df, after_side):
+        return (df.groupBy(F.col(label_col).alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("_after", F.lit(after_side)))
+
+    both = counts(before, False).unionByName(counts(after, True))
+    known = F.col("_l").isNotNull()
+    in_domain = known & F.col("_l").isin([int(x) for x in labels]) if labels is not None else known
+
+    def side(agg, after_side: bool, cond=F.lit(True)):
+        return agg(F.when((F.col("_after") == F.lit(after_side)) & cond, F.col("n")))
 
     return (both.agg(side(F.sum, False).cast("bigint").alias("rows_before"),
                      side(F.sum, True).cast("bigint").alias("rows_after"),
-                     (side(F.max, False) / side(F.min, False)).alias("imbalance_before"),
-                     (side(F.max, True) / side(F.min, True)).alias("imbalance_after"))
+                     (side(F.max, False, known) / side(F.min, False, known)).alias("imbalance_before"),
+                     (side(F.max, True, known) / side(F.min, True, known)).alias("imbalance_after"),
+                     F.coalesce(side(F.sum, False, ~in_domain), F.lit(0)).cast("bigint").alias("rows_dropped"))
             .withColumn("reduction_pct", 100.0 * (1 - F.col("rows_after") / F.col("rows_before")))
-            .select("rows_before", "rows_after", "reduction_pct", "imbalance_before", "imbalance_after"))
+            .select("rows_before", "rows_after", "reduction_pct", "imbalance_before", "imbalance_after",
+                    "rows_dropped"))
 
 
 # The printed size summary of a balancing run.

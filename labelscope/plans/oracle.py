@@ -290,7 +290,8 @@ a AS (SELECT label, count(*) AS n FROM bal GROUP BY label)
 SELECT CAST((SELECT sum(n) FROM b) AS BIGINT) AS rows_before, CAST((SELECT sum(n) FROM a) AS BIGINT) AS rows_after,
        round(100.0 * (1 - (SELECT sum(n) FROM a) / (SELECT sum(n) FROM b)), 6) AS reduction_pct,
        round((SELECT max(n) / min(n) FROM b), 6) AS imbalance_before,
-       round((SELECT max(n) / min(n) FROM a), 6) AS imbalance_after""",
+       round((SELECT max(n) / min(n) FROM a), 6) AS imbalance_after,
+       CAST(coalesce((SELECT sum(n) FROM b WHERE label IS NULL OR label NOT IN (0, 1, 2, 3)), 0) AS BIGINT) AS rows_dropped""",
         "balance_audit": f"""WITH bal AS ({BAL_MAJ}),
 b AS (SELECT label, count(*) AS n FROM (SELECT CAST(CASE WHEN o_orderkey % 25 < 22 THEN 0 ELSE o_orderkey % 25 - 21 END AS INTEGER) AS label FROM orders) GROUP BY label),
 a AS (SELECT label, count(*) AS n FROM bal GROUP BY label),

@@ -270,10 +270,11 @@ def q_weighted_sampler(spark, d):
 
 def q_balance_report(spark, d):
     # the report needs counts only: no R3 row ids
-    rep = sampling.balance_report(_skewed(spark, d), _balanced(spark, d, shuffle=False))
+    rep = sampling.balance_report(_skewed(spark, d), _balanced(spark, d, shuffle=False),
+                                  labels=roles.SKEWED_CLASSES)
     return rep.select("rows_before", "rows_after", r6("reduction_pct").alias("reduction_pct"),
                       r6("imbalance_before").alias("imbalance_before"),
-                      r6("imbalance_after").alias("imbalance_after"))
+                      r6("imbalance_after").alias("imbalance_after"), "rows_dropped")
 
 
 def q_balance_audit(spark, d):

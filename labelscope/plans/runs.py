@@ -89,7 +89,7 @@ def rebalance_run(spark: SparkSession, df: DataFrame, out_path: str, mode: str =
         raise ValueError(f"unknown balancing mode {mode!r}")
     write_table(out, out_path)
     written = spark.read.parquet(out_path)
-    return (written, sampling.balance_report(df, written, label_col),
+    return (written, sampling.balance_report(df, written, label_col, labels),
             sampling.balance_audit(df, written, label_col))
 
 

@@ -192,3 +192,12 @@ def test_hot_class_spread_over_window_tasks(spark, skewed):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_report_counts_dropped_and_null_labels(spark):
+    df = spark.createDataFrame([(i, lab) for i, lab in enumerate([0] * 6 + [1] * 2 + [11, None])],
+                               "id BIGINT, label INT")
+    out = sampling.balance_majority(spark, df, 3, labels=[0, 1], shuffle=False)
+    rep = sampling.balance_report(df, out, labels=[0, 1]).first()
+    assert rep["rows_before"] == 10 and rep["rows_after"] == 5 and rep["rows_dropped"] == 2
+    assert rep["imbalance_before"] == 6.0 and abs(rep["imbalance_after"] - 1.5) < 1e-12
