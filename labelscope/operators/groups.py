@@ -57,10 +57,15 @@ def accuracy_ranking(df: DataFrame, group_col: str, correct_col: str = "correct"
             .orderBy("accuracy", group_col))
 
 
-def agreement(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "label") -> DataFrame:
-    """T11 / A18 / A19 in one aggregate after J3: agreement, differences, percent."""
-    j = a.select(key, F.col(label_col).alias("_a")).join(
-        b.select(key, F.col(label_col).alias("_b")), key, "inner")
+def agreement(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "label",
+              check: bool = False) -> DataFrame:
+    """T11 / A18 / A19 in one aggregate after J3: agreement, differences, percent.
+    ``check`` (S22) raises unless both sets cover the same keys."""
+    left = a.select(key, F.col(label_col).alias("_a"))
+    if check:
+        j = matched(align_full(b, left, key, pred_col=label_col, out="_b"), True, key)
+    else:
+        j = left.join(b.select(key, F.col(label_col).alias("_b")), key, "inner")
     return j.agg(F.count(F.lit(1)).alias("n"),
                  F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("agreement"),
                  F.count_if(F.col("_a") != F.col("_b")).alias("differences")).withColumn(

@@ -102,3 +102,12 @@ def test_names_filter_select(spark):
     assert attach_names(spark, bad, unknown="null").first()["name"] is None
     assert profile.filter_class(df, 10).count() == 1
     assert profile.select_labels(df).columns == ["label"]
+
+
+def test_agreement_check(spark):
+    a = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id INT, label INT")
+    b = spark.createDataFrame([(1, 0), (2, 2), (3, 2)], "id INT, label INT")
+    r = groups.agreement(a, b, check=True).first()
+    assert r["n"] == 3 and r["differences"] == 1 and abs(r["agreement"] - 2 / 3) < 1e-12
+    with pytest.raises(ValueError):
+        groups.agreement(a, b.where("id < 3"), check=True).collect()
