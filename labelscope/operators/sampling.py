@@ -40,6 +40,8 @@ MAX_PLAN_CLASSES = 100_000
 # bootstrapped classes holding more rows than this in total are not ranked in
 # full: only the buckets that hold a drawn rank are (see ``_drawn_rows``)
 PRUNE_DRAW_POOL_ROWS = 1_000_000
+# per-class values are CASE expressions up to this many classes, a join beyond
+CASE_MAX_CLASSES = 64
 
 
 def class_counts(df: DataFrame, label_col: str = "label",
@@ -74,6 +76,18 @@ def _case(label_col: str, values: dict[int, int]) -> Column:
     return expr.cast("bigint")
 
 
+def _attach(df: DataFrame, label_col: str, values: dict[int, int], name: str) -> DataFrame:
+    """Add the per-class value ``values[label]`` as column ``name``: a CASE
+    expression for a few classes, else a broadcast join to the plan table
+    (<= MAX_PLAN_CLASSES rows), which keeps the generated code small."""
+    if len(values) <= CASE_MAX_CLASSES:
+        return df.withColumn(name, _case(label_col, values))
+    plan = df.sparkSession.createDataFrame([(int(k), int(v)) for k, v in values.items()],
+                                           f"_plan_label BIGINT, {name} BIGINT")
+    return (df.join(F.broadcast(plan), F.col(label_col).cast("bigint") == F.col("_plan_label"), "left")
+            .drop("_plan_label"))
+
+
 def _id_str(id_cols: Sequence[str]) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
 
@@ -87,33 +101,44 @@ def _rank_classes(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
     keyed = (df.where(F.col(label_col).isin(classes))
              .withColumn("_key", seeded_key(seed, *id_cols))
              .withColumn(BUCKET, bucket_of("_key", digits)))
-    offsets = bucket_offsets(keyed, [label_col]).where(F.col(OFFSET) < _case(label_col, limits))
+    offsets = (_attach(bucket_offsets(keyed, [label_col]), label_col, limits, "_limit")
+               .where(F.col(OFFSET) < F.col("_limit")))
     bound = sum(min(16 ** digits, int(v)) for v in limits.values())
     w = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
     return (keyed.join(bounded_broadcast(offsets, bound), [label_col, BUCKET], "inner")
             .withColumn("_rank", F.col(OFFSET) + F.row_number().over(w))
-            .where(F.col("_rank") <= _case(label_col, limits))
-            .drop(BUCKET, BUCKET_ROWS, OFFSET, "_key"))
+            .where(F.col("_rank") <= F.col("_limit"))
+            .drop(BUCKET, BUCKET_ROWS, OFFSET, "_key", "_limit"))
 
 
 def _draws(spark: SparkSession, label_col: str, draws: dict[int, int], sizes: dict[int, int],
            seed) -> DataFrame:
     """``draws[c]`` with-replacement draws of class ``c``: (label, _draw, _rank),
-    rank uniform in ``1..sizes[c]``, generated from one range (no data read)."""
+    rank uniform in ``1..sizes[c]``, generated rows (no data read). A few
+    classes: one range split by literal class boundaries; many classes: the
+    plan table (<= MAX_PLAN_CLASSES rows) exploded into ``draws[c]`` rows each."""
     order = list(draws)
-    starts, total = [], 0
-    for c in order:
-        starts.append(total)
-        total += int(draws[c])
-    # class of generated row i: the last class whose start <= i (<= K literals)
-    cls = F.lit(int(order[0]))
-    start = F.lit(0).cast("bigint")
-    for c, s in zip(order[1:], starts[1:]):
-        cls = F.when(F.col("id") >= s, F.lit(int(c))).otherwise(cls)
-        start = F.when(F.col("id") >= s, F.lit(int(s))).otherwise(start)
-    gen = spark.range(total).select(cls.cast("int").alias(label_col), (F.col("id") - start).alias("_draw"))
-    return gen.withColumn("_rank", F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), 8),
-                                          _case(label_col, sizes)) + 1)
+    if len(order) <= CASE_MAX_CLASSES:
+        starts, total = [], 0
+        for c in order:
+            starts.append(total)
+            total += int(draws[c])
+        # class of generated row i: the last class whose start <= i
+        cls = F.lit(int(order[0]))
+        start = F.lit(0).cast("bigint")
+        for c, s in zip(order[1:], starts[1:]):
+            cls = F.when(F.col("id") >= s, F.lit(int(c))).otherwise(cls)
+            start = F.when(F.col("id") >= s, F.lit(int(s))).otherwise(start)
+        gen = spark.range(total).select(cls.cast("int").alias(label_col),
+                                        (F.col("id") - start).alias("_draw"))
+    else:
+        plan = spark.createDataFrame([(int(c), int(draws[c])) for c in order], "_l INT, _n BIGINT")
+        gen = plan.select(F.col("_l").alias(label_col),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_draw"))
+    gen = _attach(gen, label_col, sizes, "_size")
+    return gen.select(label_col, "_draw",
+                      (F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), 8), F.col("_size")) + 1)
+                      .alias("_rank"))
 
 
 def _drawn_rows(df: DataFrame, gen: DataFrame, seed, id_cols: Sequence[str], label_col: str,
@@ -295,15 +320,18 @@ def weighted_sample(spark: SparkSession, df: DataFrame, *, seed=42, id_cols=("id
     id_cols = list(id_cols)
     cols = df.columns
     counts = {c: n for c, n in class_counts(df, label_col, labels).items() if n > 0}
-    present = list(counts)  # ascending label order
     src = _in_domain(df, label_col, labels)
     ranked = _rank_classes(src, seed, id_cols, label_col, counts, digits).select(*cols, "_rank")
-    idx = F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id")), F.lit(len(present)))
-    cls = F.element_at(F.array(*[F.lit(int(c)) for c in present]), idx.cast("int") + 1)
+    # present classes in label order: (index, label, rows), <= one row per class
+    classes = spark.createDataFrame([(i, int(c), int(n)) for i, (c, n) in enumerate(counts.items())],
+                                    "_class_idx INT, _l BIGINT, _n BIGINT")
+    idx = F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id")), F.lit(len(counts)))
     draws = (src.select(_id_str(id_cols).alias("draw_id"))
-             .withColumn(label_col, cls.cast(df.schema[label_col].dataType))
-             .withColumn("_rank", F.pmod(hex_prefix_int(seeded_key(seed, F.lit("r"), "draw_id")),
-                                         _case(label_col, counts)) + 1))
+             .withColumn("_class_idx", idx.cast("int"))
+             .join(F.broadcast(classes), "_class_idx")
+             .select("draw_id", F.col("_l").cast(df.schema[label_col].dataType).alias(label_col),
+                     (F.pmod(hex_prefix_int(seeded_key(seed, F.lit("r"), "draw_id")), F.col("_n")) + 1)
+                     .alias("_rank")))
     return draws.join(ranked, [label_col, "_rank"]).drop("_rank")
 
 

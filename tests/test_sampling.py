@@ -201,3 +201,15 @@ def test_report_counts_dropped_and_null_labels(spark):
     rep = sampling.balance_report(df, out, labels=[0, 1]).first()
     assert rep["rows_before"] == 10 and rep["rows_after"] == 5 and rep["rows_dropped"] == 2
     assert rep["imbalance_before"] == 6.0 and abs(rep["imbalance_after"] - 1.5) < 1e-12
+
+
+def test_plan_table_path_equals_case_path(spark, skewed, monkeypatch):
+    def run():
+        a = sampling.balance_equal(spark, skewed, 700, labels=[0, 1, 2, 3], seed=5)
+        b = sampling.weighted_sample(spark, skewed, seed=5, labels=[0, 1, 2, 3])
+        return (sorted((r["sample_key"], r["row_id"]) for r in a.collect()),
+                sorted((r["draw_id"], r["id"]) for r in b.collect()))
+
+    case_path = run()
+    monkeypatch.setattr(sampling, "CASE_MAX_CLASSES", 0)
+    assert run() == case_path
