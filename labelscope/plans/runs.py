@@ -31,7 +31,8 @@ from labelscope.functions.labels import LABEL_NAMES
 from labelscope.operators import (groups, history as hist, metrics, model, profile, sampling,
                                   submission)
 from labelscope.session import ensure_checkpoint_dir, stage_table
-from labelscope.sources.io import read_csv, write_csv, write_json, write_table, write_text
+from labelscope.sources.io import (read_csv, write_csv, write_history, write_json, write_table,
+                                   write_text)
 
 REFERENCE_LABELS = list(range(len(LABEL_NAMES)))
 
@@ -100,7 +101,7 @@ def train_run(spark: SparkSession, train: DataFrame, validation: DataFrame, mode
     """Train, save the best model and its history. Returns ``(model, history, best)``."""
     fitted, history = model.train_classifier(spark, train, validation, **train_kw)
     model.save_model(fitted, model_dir)
-    write_json(history.orderBy("epoch"), history_path, single_file=True)
+    write_history(history, history_path)
     return fitted, history, hist.best_epoch(history)
 
 

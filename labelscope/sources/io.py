@@ -58,6 +58,17 @@ def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").json(path)
 
 
+def write_history(history: DataFrame, path: str, order_col: str = "epoch") -> None:
+    """IO8: the history as one top-level JSON array of epoch records (what
+    ``read_history`` reads). One row per epoch or candidate: a small table,
+    gathered into one array value in one task."""
+    cols = [F.col(c) for c in history.columns]
+    one = history.agg(F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_order"),
+                                                           F.struct(*cols).alias("_rec")))).alias("_all"))
+    arr = F.transform(F.col("_all"), lambda x: x["_rec"])
+    one.select(F.to_json(arr).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_text(lines: DataFrame, path: str, order_col: str | None = None,
                value_col: str = "value", single_file: bool = False) -> None:
     """IO9: one formatted line per row."""

@@ -40,7 +40,9 @@ def test_train_run_writes_model_and_history(spark, tmp_path):
     c = roles.corpus(spark, SF_SMALL)
     m, hist, best = runs.train_run(spark, c, c, str(tmp_path / "m"), str(tmp_path / "h"),
                                    reg_params=(0.0, 0.5), max_iter=5, num_features=1 << 10)
-    back = spark.read.json(str(tmp_path / "h"))
+    from labelscope.sources.io import read_history
+
+    back = read_history(spark, str(tmp_path / "h"))
     assert back.count() == 2 and set(back.columns) == {"epoch", "reg_param", "train_f1", "val_f1"}
     b = best.collect()
     assert len(b) == 1 and b[0]["val_f1"] == max(r["val_f1"] for r in hist.collect())
