@@ -1,7 +1,5 @@
 """Row-level operators run unchanged on a streaming DataFrame."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from labelscope.streaming import score_stream
@@ -9,15 +7,15 @@ from labelscope.streaming import score_stream
 from conftest import SF_SMALL
 
 
-def test_score_stream_memory_sink(spark):
-    src = tempfile.mkdtemp(prefix="ls-stream-src-")
+def test_score_stream_memory_sink(spark, tmp_path):
+    src = str(tmp_path / "src")
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     e.select("vec_id", F.col("label").alias("y_true"),
              F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits")) \
         .write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema("vec_id BIGINT, y_true INT, logits ARRAY<DOUBLE>").parquet(src)
     q = (score_stream(stream).writeStream.format("memory").queryName("scored_stream")
-         .option("checkpointLocation", tempfile.mkdtemp(prefix="ls-stream-ckpt-"))
+         .option("checkpointLocation", str(tmp_path / "ckpt"))
          .outputMode("append").start())
     q.processAllAvailable()
     q.stop()
