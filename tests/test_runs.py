@@ -97,3 +97,27 @@ def test_profile_run(spark, tmp_path):
     assert len(top) == min(20, train.select("generator").distinct().count())
     lines = glob.glob(str(tmp_path / "p" / "distribution_lines" / "part-*"))
     assert sum(len(open(f).read().splitlines()) for f in lines) == 4
+
+
+def test_balancing_arithmetic_golden(spark, tmp_path):
+    """SURVEY section 5, identity 4: 442,096 -> 50,000 for class 0, 57,904 kept,
+    107,904 in total, 78.4 % reduction, imbalance 224.6 -> 25.4. The other
+    classes' split is not published; any split with smallest class 1,968 fits."""
+    # Published class-0 size and total of classes 1..10.
+    sizes = [442_096] + [6_215] * 8 + [6_216, 1_968]
+    assert sum(sizes) == 500_000 and sum(sizes[1:]) == 57_904
+    # class of row id: a CASE over the cumulative class boundaries
+    expr, acc = None, 0
+    for c, n in enumerate(sizes):
+        acc += n
+        expr = F.when(F.col("id") < acc, F.lit(c)) if expr is None else expr.when(F.col("id") < acc, F.lit(c))
+    train = spark.range(500_000).select("id", expr.cast("int").alias("label"))
+    written, report, audit = runs.rebalance_run(spark, train, str(tmp_path / "b"), "majority",
+                                                human_samples=50_000)
+    rep = report.first()
+    assert (rep["rows_before"], rep["rows_after"], rep["rows_dropped"]) == (500_000, 107_904, 0)
+    assert round(rep["reduction_pct"], 1) == 78.4
+    assert round(rep["imbalance_before"], 1) == 224.6 and round(rep["imbalance_after"], 1) == 25.4
+    acts = {r["label"]: (r["n_before"], r["n_after"], r["action"]) for r in audit.collect()}
+    assert acts[0] == (442_096, 50_000, "undersampled")
+    assert all(acts[c][2] == "kept" for c in range(1, 11))
