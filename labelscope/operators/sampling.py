@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import bucket_of, hex_prefix_int, seeded_key
+from labelscope.operators.profile import label_counts
 from labelscope.session import stage_table
 from labelscope.operators.ranking import (BUCKET, BUCKET_ROWS, DEFAULT_DIGITS, OFFSET,
                                           bounded_broadcast, bucket_offsets, shuffled_row_id)
@@ -337,12 +338,6 @@ def weighted_sample(spark: SparkSession, df: DataFrame, *, seed=42, id_cols=("id
 
 # ---------------------------------------------------------------- A13 / A14
 
-def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """A2: (label, n) for non-null labels, partial+final aggregate."""
-    return (df.where(F.col(label_col).isNotNull()).groupBy(label_col)
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 def balance_report(before: DataFrame, after: DataFrame, label_col: str = "label",
                    labels: Sequence[int] | None = None) -> DataFrame:
     """One row of sizes (every row counted, null labels too), reduction
@@ -409,10 +404,10 @@ def balance_audit_lines(spark: SparkSession, audit: DataFrame, labels: Sequence[
 
 def balance_audit(before: DataFrame, after: DataFrame, label_col: str = "label") -> DataFrame:
     """Per class original count, new count and action."""
-    b = label_counts(before, label_col).withColumnRenamed("n", "n_before")
-    a = label_counts(after, label_col).withColumnRenamed("n", "n_after")
-    j = b.join(a, label_col, "full_outer").select(
-        label_col, F.coalesce("n_before", F.lit(0)).cast("bigint").alias("n_before"),
+    b = label_counts(before, label_col).withColumnRenamed("count", "n_before")
+    a = label_counts(after, label_col).withColumnRenamed("count", "n_after")
+    j = b.join(a, "label", "full_outer").select(
+        F.col("label").alias(label_col), F.coalesce("n_before", F.lit(0)).cast("bigint").alias("n_before"),
         F.coalesce("n_after", F.lit(0)).cast("bigint").alias("n_after"))
     action = (F.when(F.col("n_after") < F.col("n_before"), "undersampled")
               .when(F.col("n_after") > F.col("n_before"), "oversampled").otherwise("kept"))
