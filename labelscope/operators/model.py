@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelscope.functions.text import as_text, metadata_prefix
 from labelscope.operators.metrics import macro_f1, pair_counts
 
 # The whitespace token separator, as a SQL string literal body.
@@ -79,10 +80,13 @@ def _classifier(reg: float, max_iter: int, weight_col: str | None):
 def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFrame,
                      text_col: str = "code", label_col: str = "label",
                      reg_params: Sequence[float] = (0.0, 0.01), max_iter: int = 30,
-                     num_features: int = 1 << 16, class_weighted: bool = True):
+                     num_features: int = 1 << 16, class_weighted: bool = True,
+                     language_col: str | None = None):
     """T5: fit one candidate per ``reg_param`` and keep the best by validation
     macro F1 (M4); returns ``(model, history)`` where history has one row per
-    candidate (T7: candidate, reg_param, train_f1, val_f1).
+    candidate (T7: candidate, reg_param, train_f1, val_f1). With
+    ``language_col`` present, texts get the metadata prefix (P5); pass the
+    same column to ``predict`` (S19: one function on both sides).
 
     Texts are tokenized and hashed once: the sparse TF-IDF vectors (not the
     texts) are persisted and every candidate is fitted and evaluated on them.
@@ -91,7 +95,7 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IDF
 
-    tr = train.select(F.col(text_col).cast("string").alias("_text"),
+    tr = train.select(_model_text(train, text_col, language_col),
                       F.col(label_col).cast("int").alias("label"))
     # every optimiser iteration is one pass over the persisted vectors: give
     # that pass every core (a large input already has more partitions than
@@ -112,7 +116,7 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     if same:
         feats_va = feats_tr
     else:
-        va = validation.select(F.col(text_col).cast("string").alias("_text"),
+        va = validation.select(_model_text(validation, text_col, language_col),
                                F.col(label_col).cast("int").alias("label"))
         feats_va = (idf.transform(tf.transform(tok.transform(va))).select("_features", "label")
                     .persist(StorageLevel.MEMORY_AND_DISK))
@@ -136,11 +140,19 @@ def _macro(model, df: DataFrame) -> float:
     return float(macro_f1(pair_counts(pred)).first()[0] or 0.0)
 
 
+def _model_text(df: DataFrame, text_col: str, language_col: str | None):
+    """The model's input text: P5 metadata prefix when the language column is
+    asked for and present, else the text itself (null text -> empty, S9)."""
+    if language_col and language_col in df.columns:
+        return metadata_prefix(text_col, language_col).alias("_text")
+    return as_text(text_col).alias("_text")
+
+
 def predict(model, df: DataFrame, key: str, text_col: str = "code",
-            keep: Sequence[str] = ()) -> DataFrame:
+            keep: Sequence[str] = (), language_col: str | None = None) -> DataFrame:
     """T6 scoring side: (key, *keep, y_pred) from a fitted pipeline; ``keep``
     columns ride along (no join back to the input)."""
-    return (model.transform(df.select(key, *keep, F.col(text_col).cast("string").alias("_text")))
+    return (model.transform(df.select(key, *keep, _model_text(df, text_col, language_col)))
             .select(key, *keep, F.col("_prediction").cast("int").alias("y_pred")))
 
 

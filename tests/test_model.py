@@ -47,3 +47,16 @@ def test_train_run_writes_model_and_history(spark, tmp_path):
     b = best.collect()
     assert len(b) == 1 and b[0]["val_f1"] == max(r["val_f1"] for r in hist.collect())
     assert model.predict(model.load_model(str(tmp_path / "m")), c, "doc_id").count() == c.count()
+
+
+def test_metadata_prefix_on_both_sides(spark):
+    c = roles.corpus(spark, SF_SMALL)
+    m, _ = model.train_classifier(spark, c, c, reg_params=(0.0,), max_iter=5, num_features=1 << 10,
+                                  language_col="language")
+    p = model.predict(m, c, "doc_id", language_col="language")
+    assert p.count() == c.count()
+    # the prefix reaches the model's input on the scoring side too
+    t = c.select(model._model_text(c, "code", "language")).first()["_text"]
+    assert t.startswith("# Language: ") and "\n" in t
+    j = p.join(c.select("doc_id", "label"), "doc_id")
+    assert j.where("y_pred = label").count() >= 0.9 * c.count()
