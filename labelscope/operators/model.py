@@ -81,12 +81,15 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                      text_col: str = "code", label_col: str = "label",
                      reg_params: Sequence[float] = (0.0, 0.01), max_iter: int = 30,
                      num_features: int = 1 << 16, class_weighted: bool = True,
-                     language_col: str | None = None):
+                     language_col: str | None = None, sampler: str = "all",
+                     id_col: str | None = None, seed=42):
     """T5: fit one candidate per ``reg_param`` and keep the best by validation
     macro F1 (M4); returns ``(model, history)`` where history has one row per
     candidate (T7: candidate, reg_param, train_f1, val_f1). With
     ``language_col`` present, texts get the metadata prefix (P5); pass the
     same column to ``predict`` (S19: one function on both sides).
+    ``sampler="weighted"`` trains on R5 draws (``len(train)`` draws with
+    probability 1/class count, keyed by ``id_col``) instead of all rows.
 
     Texts are tokenized and hashed once: the sparse TF-IDF vectors (not the
     texts) are persisted and every candidate is fitted and evaluated on them.
@@ -95,6 +98,16 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IDF
 
+    if sampler == "weighted":
+        from labelscope.operators.sampling import weighted_sample
+
+        if id_col is None:
+            raise ValueError("sampler='weighted' needs id_col")
+        train = weighted_sample(spark, train, seed=seed, id_cols=[id_col], label_col=label_col,
+                                labels=None)
+    elif sampler != "all":
+        raise ValueError("sampler must be 'all' or 'weighted'")
+    same = validation is train
     tr = train.select(_model_text(train, text_col, language_col),
                       F.col(label_col).cast("int").alias("label"))
     # every optimiser iteration is one pass over the persisted vectors: give
@@ -112,7 +125,6 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     tf_tr = tf.transform(tok.transform(tr)).select("_tf", *keep).persist(StorageLevel.MEMORY_AND_DISK)
     idf = IDF(inputCol="_tf", outputCol="_features").fit(tf_tr)
     feats_tr = idf.transform(tf_tr).select("_features", *keep).persist(StorageLevel.MEMORY_AND_DISK)
-    same = validation is train
     if same:
         feats_va = feats_tr
     else:

@@ -60,3 +60,12 @@ def test_metadata_prefix_on_both_sides(spark):
     assert t.startswith("# Language: ") and "\n" in t
     j = p.join(c.select("doc_id", "label"), "doc_id")
     assert j.where("y_pred = label").count() >= 0.9 * c.count()
+
+
+def test_weighted_sampler_training(spark):
+    c = roles.corpus(spark, SF_SMALL)
+    m, hist = model.train_classifier(spark, c, c, reg_params=(0.0,), max_iter=5,
+                                     num_features=1 << 10, sampler="weighted", id_col="doc_id")
+    h = hist.first()
+    assert 0.0 <= h["train_f1"] <= 1.0 and 0.0 <= h["val_f1"] <= 1.0
+    assert model.predict(m, c, "doc_id").count() == c.count()
