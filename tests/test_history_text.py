@@ -111,3 +111,13 @@ def test_agreement_check(spark):
     assert r["n"] == 3 and r["differences"] == 1 and abs(r["agreement"] - 2 / 3) < 1e-12
     with pytest.raises(ValueError):
         groups.agreement(a, b.where("id < 3"), check=True).collect()
+
+
+def test_distinct_count_exact_and_approximate(spark):
+    from conftest import SF_MID
+
+    df = spark.read.parquet(f"{SF_MID}/lineitem.parquet").select("l_orderkey")
+    exact = profile.distinct_count(df, "l_orderkey").first()[0]
+    approx = profile.distinct_count(df, "l_orderkey", approximate=True).first()[0]
+    assert exact == df.distinct().count()
+    assert abs(approx - exact) <= 0.1 * exact
