@@ -59,3 +59,24 @@ def test_sampling_exact_subset_unique(spark, labels, n, seed):
     ids = [r["id"] for r in out]
     assert len(ids) == len(set(ids)) and all(labels[i] == r["label"] for i, r in zip(ids, out))
     assert sorted(r["row_id"] for r in out) == list(range(len(out)))
+
+
+@FAST
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=200), st.integers(1, 9),
+       st.sampled_from([1, 2, 5]), st.integers(0, 1000))
+def test_bucketed_rank_equals_row_number(spark, labels, parts, digits, seed):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from labelscope.functions.hashing import seeded_key
+    from labelscope.operators import ranking
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(labels)], "id BIGINT, label INT")
+    keyed = df.withColumn("_key", seeded_key(seed, "id"))
+    want = {r["id"]: r["r"] for r in keyed.select(
+        "id", F.row_number().over(Window.partitionBy("label").orderBy("_key", "id")).alias("r")).collect()}
+    got = ranking.bucketed_rank(keyed.repartition(parts), "_key", ["id"], ["label"], digits=digits,
+                                domain_size=3, rank_col="r")
+    assert {r["id"]: r["r"] for r in got.collect()} == want
+    ids = ranking.row_ids(df.repartition(parts), "id", out="rid").collect()
+    assert sorted((r["id"], r["rid"]) for r in ids) == [(i, i) for i in range(len(labels))]
