@@ -14,9 +14,13 @@ decided; then every class takes one of three paths:
   offsets are pruned to buckets that start before ``n`` -- a table with an
   exact, parameter-derived row bound, broadcast when small -- so only about
   ``n`` rows of the class are shuffled, however hot the class is;
-* bootstrap to ``n`` rows (R2): the class is ranked in full and a generated
-  draws table (``n`` rows per class) is equi-joined on ``(label, rank)``;
-  ranks are uniform, so the join key is not hot.
+* bootstrap to ``n`` rows (R2): a generated draws table (``n`` rows per
+  class) is equi-joined on ``(label, rank)`` to the ranked class; ranks are
+  uniform, so the join key is not hot. Past ``PRUNE_DRAW_POOL_ROWS`` only the
+  buckets holding a drawn rank are ranked (at most ``n`` buckets per class).
+
+Per-class values are CASE expressions for a few classes and a broadcast plan
+table (at most ``MAX_PLAN_CLASSES`` rows) beyond ``CASE_MAX_CLASSES``.
 
 The branches are glued by ``unionByName`` (U1) and, when asked, get
 consecutive ids in seeded random order (R3).
