@@ -85,11 +85,16 @@ def top_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
                       F.greatest(n_distinct - F.lit(k), F.lit(0)).cast("bigint").alias("remaining"))
 
 
-def length_describe(df: DataFrame, text_col: str = "code") -> DataFrame:
+def _text_length(text_col: str, length_col: str | None):
+    """Characters of the text, or a precomputed length column."""
+    return F.col(length_col) if length_col else F.length(as_text(text_col))
+
+
+def length_describe(df: DataFrame, text_col: str = "code", length_col: str | None = None) -> DataFrame:
     """A7 over string length (P3): count, mean, std (sample), min, 25/50/75 %
     (linear interpolation), max. ``percentile`` keeps one counter per distinct
     length, so its state is bounded by the longest text, not by the rows."""
-    n = F.length(as_text(text_col))
+    n = _text_length(text_col, length_col)
     return df.select(n.alias("_len")).agg(
         F.count("_len").alias("count"), F.avg("_len").alias("mean"),
         F.stddev_samp("_len").alias("std"), F.min("_len").cast("double").alias("min"),
@@ -112,14 +117,15 @@ def distinct_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def corpus_profile(df: DataFrame, label_col: str = "label", text_col: str = "code",
                    language_col: str | None = "language",
-                   generator_col: str | None = "generator") -> DataFrame:
+                   generator_col: str | None = "generator",
+                   length_col: str | None = None) -> DataFrame:
     """T9 summary row in one scan: rows, classes, imbalance, languages,
     generators and length statistics (A1, A2, A6, A8, A7).
 
     A ``rollup`` over the label gives the per-class counts and the grand
     total (with the distinct counts) in one aggregate of <= K + 2 rows, which
     one more aggregate folds into the summary row."""
-    n = F.length(as_text(text_col))
+    n = _text_length(text_col, length_col)
     aggs = [F.count(F.lit(1)).alias("rows"), F.sum(n).alias("_len_sum"),
             F.min(n).cast("bigint").alias("min_length"), F.max(n).cast("bigint").alias("max_length")]
     outs = []

@@ -48,15 +48,21 @@ def profile_run(spark: SparkSession, train: DataFrame, out_dir: str,
     lengths), language counts, the top generators with the remainder count and
     the length statistics; for a validation split its distribution. Tables
     bounded by the classes or ``top_k`` are written as one file each."""
+    # the text is read once: a narrow projection with its length is staged
+    # and every table below derives from it
+    meta = [c for c in ("language", "generator") if c in train.columns]
+    narrow = stage_table(train.select(label_col, *meta,
+                                      F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+                                      .alias("_length")), "profile")
     out = {
-        "distribution": profile.label_distribution(spark, train, label_col, labels, names),
-        "summary": profile.corpus_profile(train, label_col, text_col),
-        "length": profile.length_describe(train, text_col),
+        "distribution": profile.label_distribution(spark, narrow, label_col, labels, names),
+        "summary": profile.corpus_profile(narrow, label_col, length_col="_length"),
+        "length": profile.length_describe(narrow, length_col="_length"),
     }
-    if "language" in train.columns:
-        out["languages"] = profile.value_counts(train, "language")
-    if "generator" in train.columns:
-        out["generators_top"] = profile.top_values(train, "generator", top_k)
+    if "language" in meta:
+        out["languages"] = profile.value_counts(narrow, "language")
+    if "generator" in meta:
+        out["generators_top"] = profile.top_values(narrow, "generator", top_k)
     if validation is not None:
         out["validation_distribution"] = profile.label_distribution(
             spark, validation, label_col, labels, names)

@@ -91,6 +91,10 @@ def test_profile_run(spark, tmp_path):
                            names=roles.CORPUS_LANGS)
     n_train, n_val = train.count(), val.count()
     assert out["summary"].first()["rows"] == n_train
+    from labelscope.operators import profile as prof
+
+    assert out["summary"].first().asDict() == prof.corpus_profile(train).first().asDict()
+    assert out["length"].first().asDict() == prof.length_describe(train).first().asDict()
     assert sum(r["count"] for r in out["distribution"].collect()) == n_train
     assert sum(r["count"] for r in out["validation_distribution"].collect()) == n_val
     top = out["generators_top"].collect()
