@@ -9,6 +9,7 @@ E2 ``train_run``: fit candidates (T5), save the best pipeline (IO10), write the
 E3 ``predict_run`` -> ``submission_run`` -> ``validate_submission``: score (T2)
    -> predictions table (T3) -> CSV (IO5) -> test IDs joined by position (T4)
    -> CSV -> read back as text (IO2) -> checks (V1-V7).
+T11 ``compare_run``: two prediction CSVs -> agreement row and differing rows.
 T8 ``evaluation_run``: predictions meet truth once (J1); the narrow joined
    table is persisted and its pair counts (<= K^2 rows) are checkpointed into
    ``spark.checkpoint.dir``; every output derives from those: report text
@@ -149,6 +150,18 @@ def validate_submission(spark: SparkSession, path: str,
     return checks, submission.first_failure(checks), summary
 
 
+# ---------------------------------------------------------------- T11
+
+def compare_run(spark: SparkSession, path_a: str, path_b: str, key: str = "id",
+                label_col: str = "label"):
+    """Compare two prediction files (``id,label`` CSVs): ``(agreement, differences)``.
+    The files must cover the same ids (S22), else a ValueError is raised."""
+    schema = f"{key} BIGINT, {label_col} INT"
+    a, b = read_csv(spark, path_a, schema=schema), read_csv(spark, path_b, schema=schema)
+    return (groups.agreement(a, b, key, label_col, check=True),
+            groups.differences(a, b, key, label_col))
+
+
 # ---------------------------------------------------------------- T8
 
 def evaluation_run(spark: SparkSession, predictions: DataFrame, truth: DataFrame, key: str,

@@ -125,3 +125,17 @@ def test_balancing_arithmetic_golden(spark, tmp_path):
     acts = {r["label"]: (r["n_before"], r["n_after"], r["action"]) for r in audit.collect()}
     assert acts[0] == (442_096, 50_000, "undersampled")
     assert all(acts[c][2] == "kept" for c in range(1, 11))
+
+
+def test_compare_run(spark, tmp_path):
+    from labelscope.sources import io
+
+    s = roles.scores(spark, SF_SMALL)
+    b = roles.scores_b(spark, SF_SMALL)
+    pa, pb = str(tmp_path / "a"), str(tmp_path / "b")
+    io.write_csv(s.select(F.col("vec_id").alias("id"), F.col("y_pred").alias("label")), pa, ["id"])
+    io.write_csv(b.select(F.col("vec_id").alias("id"), F.col("y_pred").alias("label")), pb, ["id"])
+    agree, diff = runs.compare_run(spark, pa, pb)
+    r = agree.first()
+    want = s.join(b.withColumnRenamed("y_pred", "yb"), "vec_id").where("y_pred <> yb").count()
+    assert r["n"] == s.count() and r["differences"] == want == diff.count()
