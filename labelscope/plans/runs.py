@@ -9,6 +9,7 @@ E2 ``train_run``: fit candidates (T5), save the best pipeline (IO10), write the
 E3 ``predict_run`` -> ``submission_run`` -> ``validate_submission``: score (T2)
    -> predictions table (T3) -> CSV (IO5) -> test IDs joined by position (T4)
    -> CSV -> read back as text (IO2) -> checks (V1-V7).
+T12 ``history_run``: a history JSON array -> curve table, checkpoint events, best epoch.
 T11 ``compare_run``: two prediction CSVs -> agreement row and differing rows.
 T8 ``evaluation_run``: predictions meet truth once (J1); the narrow joined
    table is persisted and its pair counts (<= K^2 rows) are checkpointed into
@@ -32,8 +33,8 @@ from labelscope.functions.labels import LABEL_NAMES
 from labelscope.operators import (groups, history as hist, metrics, model, profile, sampling,
                                   submission)
 from labelscope.session import ensure_checkpoint_dir, stage_table
-from labelscope.sources.io import (read_csv, write_csv, write_history, write_json, write_table,
-                                   write_text)
+from labelscope.sources.io import (read_csv, read_history, write_csv, write_history, write_json,
+                                   write_table, write_text)
 
 REFERENCE_LABELS = list(range(len(LABEL_NAMES)))
 
@@ -150,6 +151,16 @@ def validate_submission(spark: SparkSession, path: str,
     return checks, submission.first_failure(checks), summary
 
 
+# ---------------------------------------------------------------- T12
+
+def history_run(spark: SparkSession, path: str, metric: str = "val_f1"):
+    """Read a history file (IO3) and return ``(series, events, best)``: the
+    curve table with the ``val_loss`` default and plot flag (P12, P13), the
+    epochs that would have saved a checkpoint (W-1) and the best epoch (W-2)."""
+    h = read_history(spark, path)
+    return hist.history_series(h), hist.checkpoint_events(h, metric), hist.best_epoch(h, metric)
+
+
 # ---------------------------------------------------------------- T11
 
 def compare_run(spark: SparkSession, path_a: str, path_b: str, key: str = "id",

@@ -139,3 +139,20 @@ def test_compare_run(spark, tmp_path):
     r = agree.first()
     want = s.join(b.withColumnRenamed("y_pred", "yb"), "vec_id").where("y_pred <> yb").count()
     assert r["n"] == s.count() and r["differences"] == want == diff.count()
+
+
+def test_history_run(spark, tmp_path):
+    import json as _json
+
+    # An epoch history in the reference's JSON-array layout
+    recs = [{"epoch": 1, "train_loss": 0.9, "train_f1": 0.3, "val_f1": 0.2},
+            {"epoch": 2, "train_loss": 0.7, "train_f1": 0.4, "val_f1": 0.5},
+            {"epoch": 3, "train_loss": 0.6, "train_f1": 0.5, "val_f1": 0.4},
+            {"epoch": 4, "train_loss": 0.5, "train_f1": 0.6, "val_f1": 0.5}]
+    p = tmp_path / "history.json"
+    p.write_text(_json.dumps(recs, indent=2))
+    series, events, best = runs.history_run(spark, str(p))
+    assert [r["val_loss"] for r in series.orderBy("epoch").collect()] == [0.0] * 4
+    assert series.first()["plot_val_loss"] is False
+    assert [r["epoch"] for r in events.orderBy("epoch").collect()] == [1, 2]
+    assert [(r["epoch"], r["val_f1"]) for r in best.collect()] == [(2, 0.5)]
