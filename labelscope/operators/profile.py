@@ -90,15 +90,21 @@ def _text_length(text_col: str, length_col: str | None):
     return F.col(length_col) if length_col else F.length(as_text(text_col))
 
 
-def length_describe(df: DataFrame, text_col: str = "code", length_col: str | None = None) -> DataFrame:
+def length_describe(df: DataFrame, text_col: str = "code", length_col: str | None = None,
+                    approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
     """A7 over string length (P3): count, mean, std (sample), min, 25/50/75 %
-    (linear interpolation), max. ``percentile`` keeps one counter per distinct
-    length, so its state is bounded by the longest text, not by the rows."""
+    (linear interpolation), max. The exact ``percentile`` keeps one counter per
+    distinct length, so its state is bounded by the longest text, not by the
+    rows; ``approximate`` uses ``percentile_approx`` (fixed-size sketches, an
+    observed value within ``1/accuracy`` rank error) instead."""
     n = _text_length(text_col, length_col)
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = (F.percentile_approx("_len", probs, accuracy).cast("array<double>") if approximate
+         else F.percentile("_len", probs))
     return df.select(n.alias("_len")).agg(
         F.count("_len").alias("count"), F.avg("_len").alias("mean"),
         F.stddev_samp("_len").alias("std"), F.min("_len").cast("double").alias("min"),
-        F.percentile("_len", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+        q.alias("_q"),
         F.max("_len").cast("double").alias("max")).select(
         "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
         F.col("_q")[2].alias("p75"), "max")

@@ -121,3 +121,16 @@ def test_distinct_count_exact_and_approximate(spark):
     approx = profile.distinct_count(df, "l_orderkey", approximate=True).first()[0]
     assert exact == df.distinct().count()
     assert abs(approx - exact) <= 0.1 * exact
+
+
+def test_length_describe_approximate(spark):
+    from conftest import SF_MID
+
+    from labelscope.plans import roles
+
+    c = roles.corpus(spark, SF_MID)
+    exact = profile.length_describe(c).first()
+    approx = profile.length_describe(c, approximate=True).first()
+    assert exact["count"] == approx["count"] and exact["max"] == approx["max"]
+    for k in ("p25", "p50", "p75"):
+        assert abs(approx[k] - exact[k]) <= 0.02 * exact["max"]
