@@ -22,6 +22,7 @@ EXPECTED_SCANS = {
     "submission_first_failure": {"lineitem": 1},
     "sample_exact_n": {"orders": 2},          # bucket counts, then rank
     "encode_fixed_length": {"documents": 2},  # vocabulary, then encode
+    "balance_majority": {},                   # R3 reads the staged sample only
 }
 
 
