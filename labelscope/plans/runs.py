@@ -166,11 +166,19 @@ def history_run(spark: SparkSession, path: str, metric: str = "val_f1"):
 def compare_run(spark: SparkSession, path_a: str, path_b: str, key: str = "id",
                 label_col: str = "label"):
     """Compare two prediction files (``id,label`` CSVs): ``(agreement, differences)``.
-    The files must cover the same ids (S22), else a ValueError is raised."""
+    The files must cover the same ids (S22), else a ValueError is raised.
+    One full outer join is staged (id and both labels); the check, the
+    agreement row and the differing rows all read it."""
     schema = f"{key} BIGINT, {label_col} INT"
     a, b = read_csv(spark, path_a, schema=schema), read_csv(spark, path_b, schema=schema)
-    return (groups.agreement(a, b, key, label_col, check=True),
-            groups.differences(a, b, key, label_col))
+    full = stage_table(groups.align_full(b, a.withColumnRenamed(label_col, "label_a"), key,
+                                         pred_col=label_col, out="label_b"), "compare")
+    both = groups.matched(full, True, key)
+    agreement = both.agg(F.count(F.lit(1)).alias("n"),
+                         F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("agreement"),
+                         F.count_if(F.col("label_a") != F.col("label_b")).alias("differences")).withColumn(
+        "difference_pct", 100.0 * F.col("differences") / F.col("n"))
+    return agreement, both.where(F.col("label_a") != F.col("label_b")).select(key, "label_a", "label_b")
 
 
 # ---------------------------------------------------------------- T8

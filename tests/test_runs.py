@@ -139,6 +139,13 @@ def test_compare_run(spark, tmp_path):
     r = agree.first()
     want = s.join(b.withColumnRenamed("y_pred", "yb"), "vec_id").where("y_pred <> yb").count()
     assert r["n"] == s.count() and r["differences"] == want == diff.count()
+    import pytest
+
+    pc = str(tmp_path / "c")
+    io.write_csv(b.where("vec_id > 0").select(F.col("vec_id").alias("id"), F.col("y_pred").alias("label")),
+                 pc, ["id"])
+    with pytest.raises(ValueError, match="one to one"):
+        runs.compare_run(spark, pa, pc)
 
 
 def test_history_run(spark, tmp_path):
