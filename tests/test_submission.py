@@ -62,3 +62,16 @@ def test_csv_roundtrip(spark, tmp_path):
     back = io.read_csv(spark, path, columns=["id", "label"])
     res = submission.submission_checks(spark, back)
     assert all(r["passed"] for r in res.collect())
+
+
+def test_single_file_csv_keeps_sort_order(spark, tmp_path):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(50_000).select(((F.col("id") * 7919) % 50_000).alias("id")).repartition(13)
+    io.write_csv(df, str(tmp_path / "o"), order_by=["id"], single_file=True)
+    files = glob.glob(str(tmp_path / "o" / "part-*.csv"))
+    assert len(files) == 1
+    lines = open(files[0]).read().splitlines()
+    assert lines[0] == "id" and [int(x) for x in lines[1:]] == list(range(50_000))
