@@ -4,10 +4,30 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelscope.llm import quality_rules
+from labelscope.llm import mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
 from labelscope.llm._io import table
 
+#: Rules of the URL query: (action, host, path).
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Host words of the sites whose pages make up the URL list.
+LISTED_HOSTS = r"(^|[.-])(adult|bets|casino|spam)([.-]|$)"
+#: Times that the mixing query lets a source be read, at most.
+MAX_REPETITION = 1.5
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.round_trip(spark, pages, "page_id", "url", "html").withColumnRenamed("id", "page_id")
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -15,7 +35,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model, carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS))
+    return url_filter.filter_urls(pages, listed, URL_RULES, carry=["page_id"])
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.temperature_mix(table(spark, sf_dir, "documents"), max_repetition=MAX_REPETITION)
+    return mix.copies(mix.sized.select(F.col("id").alias("doc_id"), "source", "n_tokens"), "source", "doc_id")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                     limit=1024, carry=["doc_id"])
+
+
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+                                        carry=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_url_filter, op5_mixing, op8_token_counts,
+                                   op10_piece_sampling)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
