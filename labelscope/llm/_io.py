@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelscope.session import ensure_checkpoint_dir, stage_table
 
-__all__ = ["ensure_checkpoint_dir", "stage_table", "table"]
+__all__ = ["ensure_checkpoint_dir", "stage_table", "table", "tidy_shuffles"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove a query's shuffle files when the query is done, unless
+    the session says otherwise: operators of several jobs stage what they keep."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if spark.conf.get(name, "false") == "false" and not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, "true")
