@@ -161,9 +161,9 @@ def sparse_rows(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             own = bucket[first[i]: first[i + 1]]
             if len(own):
                 ids, n = np.unique(own, return_counts=True)
-                rows[i].append((ids, n * (_SCALE / len(own))))
-    return [(np.concatenate([a for a, _ in r]) if r else np.zeros(0, np.int64),
-             np.concatenate([b for _, b in r]) if r else np.zeros(0)) for r in rows]
+                rows[i].append((ids.astype(np.int32), (n * (_SCALE / len(own))).astype(np.float32)))
+    return [(np.concatenate([a for a, _ in r]) if r else np.zeros(0, np.int32),
+             np.concatenate([b for _, b in r]) if r else np.zeros(0, np.float32)) for r in rows]
 
 
 # --- model ------------------------------------------------------------------
@@ -196,7 +196,7 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray,
     val = np.concatenate([r[1] for r in rows])
     lens = np.array([len(r[0]) for r in rows])
     first = np.concatenate([[0], np.cumsum(lens)])
-    doc = np.repeat(np.arange(len(rows)), lens)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
     n = len(rows)
     w, b = np.zeros(size), 0.0
     vw, vb = w.copy(), b
