@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import kneser_ney, mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
+from labelscope.llm import hnsw, kneser_ney, mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
 from labelscope.llm._io import table
 
 #: Rules of the URL query: (action, host, path).
@@ -50,6 +50,10 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                                      limit=1024, carry=["doc_id"])
@@ -60,7 +64,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_url_filter, op5_mixing, op6_kneser_ney, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_url_filter, op5_mixing, op6_kneser_ney, op7_hnsw, op8_token_counts,
                                    op10_piece_sampling)}
 
 #: DuckDB SQL of the queries that SQL can express.
