@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import hnsw, kneser_ney, mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
+from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
 from labelscope.llm._io import table
 
 #: Rules of the URL query: (action, host, path).
@@ -59,12 +59,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      limit=1024, carry=["doc_id"])
 
 
+def op9_jaccard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.near_components(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sample_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
                                         carry=["doc_id"])
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_url_filter, op5_mixing, op6_kneser_ney, op7_hnsw, op8_token_counts,
+                                   op9_jaccard_tree,
                                    op10_piece_sampling)}
 
 #: DuckDB SQL of the queries that SQL can express.
