@@ -167,13 +167,17 @@ def prefix_rows(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray,
 
 def shared_rows(rows: DataFrame) -> DataFrame:
     """Rows ``(h, id)`` whose shingle ``h`` more than one id has, without the
-    repeats of a row. Partitions are streamed in order; of a shingle that had
-    one id so far, one row is held back. Listed shingles are known to be shared
-    and are not dealt by shingle at all, so none of them gathers in a task."""
+    repeats of a row. Rows are dealt by shingle and streamed in order; of a
+    shingle that had one id so far, one row is held back. Listed shingles are
+    known to be shared and are dealt evenly, so none of them gathers in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, live = None, None
         for batch in batches:
+            listed = batch.column(2).to_numpy(zero_copy_only=False)
+            if listed.any():
+                yield batch.filter(pa.array(listed))
+                batch = batch.filter(pa.array(~listed))
             if not batch.num_rows:
                 continue
             if held is not None:
@@ -194,8 +198,9 @@ def shared_rows(rows: DataFrame) -> DataFrame:
                 yield batch.take(pa.array(got))
 
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rare = rows.where("not common").select("h", "id").repartition(parts, "h").sortWithinPartitions("h", "id")
-    return rare.mapInArrow(run, "h long, id long").unionByName(rows.where("common").select("h", "id"))
+    route = F.when(F.col("common"), F.xxhash64("h", "id")).otherwise(F.col("h"))
+    return (rows.repartition(parts, route).sortWithinPartitions("common", "h", "id")
+            .mapInArrow(run, "h long, id long, common boolean").select("h", "id"))
 
 
 # --- signature trees ------------------------------------------------------------
