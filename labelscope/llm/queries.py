@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, piece_sampling, quality_rules, token_counts, url_filter, warc
+from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, piece_sampling, quality_rules, suffix_dedup, token_counts, url_filter, warc
 from labelscope.llm._io import table
 
 #: Rules of the URL query: (action, host, path).
@@ -35,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model, carry=["doc_id"])
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.remove_spans(docs, suffix_dedup.repeat_spans(docs), carry=["doc_id"], digest=True)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.select("url").where(url_filter.host(F.col("url")).rlike(LISTED_HOSTS))
@@ -68,9 +73,9 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         carry=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_url_filter, op5_mixing, op6_kneser_ney, op7_hnsw, op8_token_counts,
-                                   op9_jaccard_tree,
-                                   op10_piece_sampling)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_quality_rules, op3_suffix_dedup, op4_url_filter, op5_mixing, op6_kneser_ney, op7_hnsw,
+    op8_token_counts, op9_jaccard_tree, op10_piece_sampling)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
