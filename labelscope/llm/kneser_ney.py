@@ -272,7 +272,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int, id_col: str, lan
     asked = src.select("__shard", "__lang", "__text").mapInArrow(ask, "shard int, key long")
     answers = asked.join(model, "key").select("shard", "key", "alpha", "gamma")
     names = ["n_symbols", "perplexity"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if not f.name.startswith("__")),
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*carry).schema),
                         "n_symbols long", "perplexity double"])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:

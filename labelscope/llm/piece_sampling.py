@@ -265,7 +265,8 @@ def _schema(df: DataFrame, extra: str) -> str:
 
 def sample_encode(docs: DataFrame, model_path: str, key_col: str = "doc_id", text_col: str = "text", seed: int = 42,
                   theta: float = THETA, carry: list[str] | None = None, name: str = "piece_ids") -> DataFrame:
-    """``docs`` with a sampled segmentation as an array of piece ids; no shuffle."""
+    """``docs`` with a sampled segmentation as an array of piece ids; no shuffle.
+    Every batch is decoded again and must give its texts back."""
     carry = [c for c in (docs.columns if carry is None else carry) if c != name]
     src = _source(docs, text_col, key_col, seed, carry)
 
@@ -276,6 +277,9 @@ def sample_encode(docs: DataFrame, model_path: str, key_col: str = "doc_id", tex
                 k = part.num_columns
                 seeds = np.asarray(part.column(k - 2)).astype(np.int64).view(np.uint64)
                 ids, off = sampler.encode(part.column(k - 1), seeds)
+                back, text = sampler.decode(ids, off), text_bytes(part.column(k - 1))
+                if not all(np.array_equal(x, y) for x, y in zip(back, text, strict=True)):
+                    raise ValueError("decoding does not give the text back")
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k - 2)), lists], [*carry, name])
 

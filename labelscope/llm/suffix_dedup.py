@@ -341,9 +341,10 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 carry: list[str] | None = None, digest: bool = False) -> DataFrame:
+                 carry: list[str] | None = None, digest: bool = False, untouched: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and what is left: ``kept_text`` (the
-    kept words joined by one space), or with ``digest`` its ``kept_sha256``."""
+    kept words joined by one space), or with ``digest`` its ``kept_sha256``. With
+    ``untouched``, a text that loses no word stays byte for byte as it is."""
     last = "kept_sha256" if digest else "kept_text"
     names = ["n_words", "n_removed", last]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
@@ -372,7 +373,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                 out = []
                 for i in range(words.docs):
                     if not removed[i]:
-                        text = b" ".join((raw[i].as_py() or b"").split())
+                        text = raw[i].as_py()
+                        text = text if untouched else b" ".join((text or b"").split())
                     else:
                         s, e = words.first[i], words.first[i + 1]
                         at = s + np.flatnonzero(~gone[s:e])
@@ -382,7 +384,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k - 3)), pa.array(words.counts), pa.array(removed), kept],
                                                  [*carry, *names])
 
-    own = (f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if not f.name.startswith("__"))
+    own = (f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*carry).schema)
     schema = ", ".join([*own, "n_words long", "n_removed long", f"{last} {'string' if digest else 'binary'}"])
     out = src.mapInArrow(run, schema)
     return out if digest else out.withColumn(last, F.col(last).cast("string"))
