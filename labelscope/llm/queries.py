@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, piece_sampling, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, oracle, piece_sampling, quality_rules, suffix_dedup, token_counts, url_filter, warc
 from labelscope.llm._io import table
 
 #: Rules of the URL query: (action, host, path).
@@ -78,4 +78,4 @@ QUERIES = {f.__name__: f for f in (
     op8_token_counts, op9_jaccard_tree, op10_piece_sampling)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
