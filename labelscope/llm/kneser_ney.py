@@ -7,12 +7,13 @@ never leaves its word, so a document's perplexity is a sum over its distinct
 words. Every n-gram and every context is a 64-bit key that starts from the
 language, so all languages share the tables.
 
-1. Tasks count the n-grams of trusted documents per batch; Spark adds them up.
+1. Documents are dealt into shards of about ``SHARD_BYTES`` by a hash of their
+   id, as compressed blocks of rows. Shards meet the trusted ids in a co-group
+   that counts n-grams; Spark adds the shards' counts up.
 2. Continuation counts, discounts (from the counts of counts of each order)
    and back-off weights are joins and aggregates of the count table.
-3. Documents are dealt into shards by a hash of their id. Each shard asks for
-   its distinct keys; a join with the model answers; shard and answers meet in
-   a co-group that scores whole texts.
+3. Each shard asks for its distinct keys; a join with the model answers; shard
+   and answers meet in a co-group that scores whole texts.
 4. A tenth of the trusted documents (by id hash) trains nothing; the
    ``quantile`` of its perplexities, by language, times ``slack`` is the
    threshold.
@@ -37,6 +38,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from labelscope.llm._io import stage_table, tidy_shuffles
 from labelscope.llm._text import Words, mix, per_doc, text_bytes, text_slices
@@ -45,6 +48,9 @@ ORDER = 5
 QUANTILE = 0.995
 SLACK = 1.5
 MIN_CALIBRATION = 20
+#: Text of one shard, and the least number of shards.
+SHARD_BYTES = 48 << 20
+MIN_SHARDS = 8
 _START, _END = np.uint64(2), np.uint64(3)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,15 +152,56 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray
         yield value, np.flatnonzero(np.asarray(mask))
 
 
-# --- model -------------------------------------------------------------------
+# --- shards ------------------------------------------------------------------
+
+def shard_of(col: str, shards: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), F.col(col)), F.lit(shards).cast("long")).cast("int")
 
-def count_ngrams(trusted: DataFrame, order: int) -> DataFrame:
-    """``(key, ord, ctx, suf, bos, c)`` of ``trusted(__lang, __text)``."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "ord", "ctx", "suf", "bos", "c"]
+def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, carry: list[str], shards: int) -> DataFrame:
+    """``(shard, block)``: rows ``(carry..., __id, __lang, __text)`` of each batch and
+    shard as one compressed Arrow stream, dealt by shard. Text shrinks to about
+    a third, so the shuffle that brings shards together stays small."""
+    src = docs.select(*carry, F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"),
+                      shard_of(id_col, shards).alias("__shard"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
-            for part in text_slices(batch, "__text"):
+            for part in text_slices(batch, "__text", 32 << 20):
+                where = np.asarray(part.column(part.num_columns - 1))
+                rows = part.select(part.schema.names[:-1])
+                order = np.argsort(where, kind="stable")
+                kinds, first = np.unique(where[order], return_index=True)
+                for shard, at in zip(kinds.tolist(), np.split(order, first[1:]), strict=True):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                        writer.write_batch(rows.take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                     ["shard", "block"])
+
+    return src.mapInArrow(pack, "shard int, block binary").repartition(shards, "shard")
+
+
+def unpack(block: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    for batch in pa.ipc.open_stream(block.as_buffer()):
+        yield from text_slices(batch, "__text")
+
+
+# --- model -------------------------------------------------------------------
+
+def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
+    """``(key, ord, ctx, suf, bos, c)`` of the documents whose id is in
+    ``trusted(shard, id)``."""
+    names = ["key", "ord", "ctx", "suf", "bos", "c"]
+    kinds = pa.schema([("key", pa.int64()), ("ord", pa.int32()), ("ctx", pa.int64()), ("suf", pa.int64()), ("bos", pa.bool_()), ("c", pa.int64())])
+
+    def count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
+        out: list[pa.RecordBatch] = []
+        ids = trusted.column("id").combine_chunks() if trusted.num_rows else None
+        for block in docs.column("block") if ids is not None else ():
+            for part in unpack(block):
+                part = part.filter(pc.is_in(part.column(part.schema.get_field_index("__id")), value_set=ids, skip_nulls=True))
                 for lang, rows in _by_language(part):
                     words = Words(part.column(part.schema.get_field_index("__text")).take(pa.array(rows)))
                     code, dictionary = words.encode()
@@ -165,20 +212,33 @@ def count_ngrams(trusted: DataFrame, order: int) -> DataFrame:
                     keys = keys_by_order(symbols, first, language_key(lang), order)
                     j, weight = places(first), np.repeat(times, np.diff(first))
                     for n in range(1, order + 1):
-                        at = np.flatnonzero((j >= max(n - 1, 1)))
+                        at = np.flatnonzero(j >= max(n - 1, 1))
                         key, k, inverse = np.unique(keys[n][at], return_index=True, return_inverse=True)
                         c = np.bincount(inverse, weights=weight[at]).astype(np.int64)
                         one = at[k]
-                        yield pa.RecordBatch.from_arrays([
+                        out.append(pa.RecordBatch.from_arrays([
                             pa.array(key.view(np.int64)), pa.array(np.full(len(key), n, np.int32)),
                             pa.array(keys[n - 1][one - 1].view(np.int64) if n > 1 else keys[0][one].view(np.int64)),
-                            pa.array(keys[n - 1][one].view(np.int64)), pa.array(j[one] == n - 1), pa.array(c)], names)
+                            pa.array(keys[n - 1][one].view(np.int64)), pa.array(j[one] == n - 1), pa.array(c)], names))
+                if len(out) > 64:
+                    out = _added(out, kinds)
+        return pa.Table.from_batches(_added(out, kinds) if out else [], schema=kinds)
 
-    rows = trusted.mapInArrow(count, "key long, ord int, ctx long, suf long, bos boolean, c long")
+    rows = blocks.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInArrow(
+        count, "key long, ord int, ctx long, suf long, bos boolean, c long")
     return rows.groupBy("key").agg(F.first("ord").alias("ord"), F.first("ctx").alias("ctx"), F.first("suf").alias("suf"),
                                    F.first("bos").alias("bos"), F.sum("c").alias("c"))
 
 
+def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBatch]:
+    """Counts of equal keys added up."""
+    table = pa.Table.from_batches(batches)
+    key, first, inverse = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+    c = np.bincount(inverse, weights=table.column("c").to_numpy()).astype(np.int64)
+    table = table.take(pa.array(first)).set_column(5, "c", pa.array(c))
+    return table.combine_chunks().cast(kinds).to_batches()
+
+
 def model_table(counts: DataFrame, order: int) -> DataFrame:
     """``(key, alpha, gamma)``: the discounted probability of each seen n-gram,
     and the back-off weight of each seen context; the empty context's ``alpha``
@@ -236,24 +296,18 @@ def word_costs(symbols: np.ndarray, first: np.ndarray, keys: list[np.ndarray], l
     return np.add.reduceat(cost, first[:-1]) if len(cost) else np.zeros(0)
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int, id_col: str, lang_col: str, text_col: str,
-                 carry: list[str]) -> DataFrame:
-    """``carry`` columns with ``n_symbols`` and ``perplexity`` of whole texts."""
-    spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    src = docs.select(*carry, F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"),
-                      F.pmod(F.xxhash64(F.lit("shard"), id_col), F.lit(shards).cast("long")).cast("int").alias("__shard"))
-    src = src.repartition(shards, "__shard")
+def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list) -> DataFrame:
+    """``kinds`` columns (carried in the blocks) with ``n_symbols`` and
+    ``perplexity`` of whole texts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for part in text_slices(batch, "__text"):
-                shard = np.asarray(part.column(part.schema.get_field_index("__shard")))
-                for s in np.unique(shard).tolist():
-                    own = part.take(pa.array(np.flatnonzero(shard == s)))
-                    for lang, rows in _by_language(own):
-                        words = Words(own.column(own.schema.get_field_index("__text")).take(pa.array(rows)))
+            for shard, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                mine = want.setdefault(shard, [])
+                for part in unpack(block):
+                    for lang, rows in _by_language(part):
+                        words = Words(part.column(part.schema.get_field_index("__text")).take(pa.array(rows)))
                         _, dictionary = words.encode()
                         if not len(dictionary):
                             continue
@@ -261,28 +315,26 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int, id_col: str, lan
                         keys = keys_by_order(symbols, first, language_key(lang), order)
                         j = places(first)
                         got = [keys[0][:1], *(keys[n][j >= n - 1] for n in range(1, order + 1))]
-                        mine = want.setdefault(s, [])
                         mine.append(distinct(np.concatenate(got)))
-                        if len(mine) >= 8:
-                            want[s] = [distinct(np.concatenate(mine))]
-        for s, mine in want.items():
-            key = distinct(np.concatenate(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), s, np.int32)), pa.array(key.view(np.int64))], ["shard", "key"])
-
-    asked = src.select("__shard", "__lang", "__text").mapInArrow(ask, "shard int, key long")
-    answers = asked.join(model, "key").select("shard", "key", "alpha", "gamma")
+                    if len(mine) >= 8:
+                        mine[:] = [distinct(np.concatenate(mine))]
+        for shard, mine in want.items():
+            key = np.sort(distinct(np.concatenate(mine))) if mine else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard, np.int32)), pa.array(key.view(np.int64))], ["shard", "key"])
+
+    asked = blocks.mapInArrow(ask, "shard int, key long")
+    answers = asked.join(model, "key").select("shard", "key", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
+    carry = [f.name for f in kinds]
     names = ["n_symbols", "perplexity"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*carry).schema),
-                        "n_symbols long", "perplexity double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_symbols long", "perplexity double"])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         key = answers.column("key").to_numpy().view(np.uint64)
-        alpha = answers.column("alpha").to_numpy(zero_copy_only=False).astype(np.float64)
-        gamma = answers.column("gamma").to_numpy(zero_copy_only=False).astype(np.float64)
+        alpha, gamma = (answers.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("alpha", "gamma"))
         lookup = Lookup(key)
         out = []
-        for batch in docs.to_batches():
-            for part in text_slices(batch, "__text"):
+        for block in docs.column("block"):
+            for part in unpack(block):
                 symbols_of, result = np.zeros(part.num_rows, np.int64), np.full(part.num_rows, np.nan)
                 for lang, rows in _by_language(part):
                     root = language_key(lang)
@@ -300,10 +352,10 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int, id_col: str, lan
                 keep = [part.column(part.schema.get_field_index(c)) for c in carry]
                 out.append(pa.RecordBatch.from_arrays(
                     [*keep, pa.array(symbols_of), pa.array(result, mask=np.isnan(result))], [*carry, *names]))
-        return pa.Table.from_batches(out) if out else pa.table(
-            {c: docs.column(c) for c in carry} | {"n_symbols": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([], schema=empty)
 
-    return src.groupBy("__shard").cogroup(answers.groupBy("shard")).applyInArrow(score, schema)
+    empty = to_arrow_schema(StructType([*kinds, StructField("n_symbols", LongType()), StructField("perplexity", DoubleType())]))
+    return blocks.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
@@ -313,26 +365,26 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     tidy_shuffles(docs.sparkSession)
     names = ["n_symbols", "perplexity", "threshold", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    ids = stage_table(labels.where(trusted).select(F.col(id_col).alias("__id")).distinct(), "kn-trusted")
-    tenth = F.pmod(F.xxhash64(F.lit("calibration"), "__id"), F.lit(10)) == 0
-    # whether any learning text remains is one bit, asked of the ids alone
-    learn = ids.where(~tenth)
-    text = docs.select(F.col(id_col).alias("__doc"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"))
-    trusted_text = text.join(learn, F.col("__doc") == F.col("__id"), "left_semi").select("__lang", "__text")
-    counts = stage_table(count_ngrams(trusted_text, order), "kn-counts")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    shards = max(MIN_SHARDS, -(-size // SHARD_BYTES))
+    blocks = shard_blocks(docs, id_col, lang_col, text_col, carry, shards)
+    calibration = lambda c: F.pmod(F.xxhash64(F.lit("calibration"), F.col(c)), F.lit(10)) == 0
+
+    ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
+    ids = stage_table(ids.withColumn("shard", shard_of("id", shards)), "kn-trusted")
+    learn = ids.where(~calibration("id")).repartition(shards, "shard")
+    counts = stage_table(count_ngrams(blocks, learn, order), "kn-counts")
     model = stage_table(model_table(counts, order), "kn-model")
-    inner = [c for c in carry if c not in ("__mark_id", "__mark_lang")]
-    marked = docs.withColumns({"__mark_id": F.col(id_col), "__mark_lang": F.col(lang_col)})
-    marked = marked.select(*inner, F.col("__mark_id").alias("own_id__"), F.col("__mark_lang").alias("own_lang__"),
-                           F.col(text_col).alias("own_text__"))
-    scored = stage_table(perplexities(marked, model, order, "own_id__", "own_lang__", "own_text__",
-                                      [*inner, "own_id__", "own_lang__"]), "kn-scores")
-    known = scored.where("perplexity is not null").join(ids, F.col("own_id__") == F.col("__id"), "left_semi")
-    fold = F.pmod(F.xxhash64(F.lit("calibration"), F.col("own_id__")), F.lit(10)) == 0
+
+    kinds = [docs.schema[c] for c in carry]
+    kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
+    scored = stage_table(perplexities(blocks, model, order, kinds), "kn-scores")
+    known = scored.where("perplexity is not null").join(ids, F.col("__id") == F.col("id"), "left_semi")
+    fold = calibration("__id")
     of = lambda mask: F.percentile_approx(F.when(mask, F.col("perplexity")), F.lit(quantile), F.lit(100_000))
-    cut = known.groupBy(F.col("own_lang__").alias("cut_lang__")).agg(
-        F.when(F.sum(fold.cast("long")) >= MIN_CALIBRATION, of(fold)).otherwise(of(F.lit(True))).alias("cut__"))
-    out = scored.join(cut, F.col("own_lang__").eqNullSafe(F.col("cut_lang__")), "left")
-    limit = F.col("cut__") * slack
+    cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(
+        F.when(F.sum(fold.cast("long")) >= MIN_CALIBRATION, of(fold)).otherwise(of(F.lit(True))).alias("__cut"))
+    out = scored.join(cut, F.col("__lang").eqNullSafe(F.col("__cut_lang")), "left")
+    limit = F.col("__cut") * slack
     kept = F.coalesce(F.col("perplexity") <= limit, F.lit(True))
-    return out.select(*inner, "n_symbols", "perplexity", limit.alias("threshold"), kept.alias("kept"))
+    return out.select(*carry, "n_symbols", "perplexity", limit.alias("threshold"), kept.alias("kept"))
