@@ -2,22 +2,29 @@
 
 Vocabulary: whitespace tokens of the whole corpus counted by a partial +
 final aggregate, top ``size`` by (count desc, token) -> ids from 2 (0 = pad,
-1 = unknown). Encoding truncates each text's token list to ``max_length``
-*before* exploding, so the shuffle carries at most rows x max_length small
-(doc, pos, id) triples; the vocabulary has at most ``size`` rows, a bound set
-by the caller, so it is broadcast.
+1 = unknown). Encoding is row by row without a shuffle: the JVM splits and
+truncates each text, and Arrow batches look the flat tokens up in the
+vocabulary, whose rows and bytes are checked before it goes to the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.text import tokens
-from labelscope.operators.ranking import bounded_broadcast
+from labelscope.session import stage_table
 
 PAD_ID = 0
 UNK_ID = 1
+#: Token bytes of a vocabulary that tasks may hold (a token can be any text
+#: without white space, so a row bound alone says nothing).
+VOCABULARY_BYTES = 64 << 20
 
 
 def vocabulary(df: DataFrame, text_col: str = "code", size: int = 5000) -> DataFrame:
@@ -31,22 +38,35 @@ def vocabulary(df: DataFrame, text_col: str = "code", size: int = 5000) -> DataF
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str, text_col: str = "code",
-           max_length: int = 512, vocab_rows: int | None = None) -> DataFrame:
+           max_length: int = 512) -> DataFrame:
     """(key, input_ids, attention_mask): first ``max_length`` tokens mapped to
-    ids (unknown = 1), right-padded with 0; mask 1 for kept tokens.
-    ``vocab_rows`` bounds the vocabulary (the ``size`` it was built with): it
-    is then broadcast; without a bound AQE plans the token join."""
+    ids (unknown = 1), right-padded with 0; mask 1 for kept tokens. One output
+    row per input row, also where keys repeat. A vocabulary over
+    ``VOCABULARY_BYTES`` raises."""
     L = int(max_length)
-    toks = df.select(key, F.slice(tokens(text_col), 1, L).alias("_toks"))
-    exploded = toks.select(key, F.posexplode_outer("_toks").alias("pos", "token"))
-    v = bounded_broadcast(vocab.select("token", "id"), vocab_rows)
-    looked = exploded.join(v, "token", "left").select(
-        key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK_ID))).alias("id"))
-    grouped = looked.groupBy(key).agg(F.sort_array(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_pairs"))
-    ids = F.transform("_pairs", lambda s: s["id"])
-    n = F.size("_pairs")
-    return grouped.select(
-        key,
-        F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.lit(L) - n)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(L) - n)).alias("attention_mask"))
+    vocab = stage_table(vocab.select("token", "id"), "vocabulary")
+    size = vocab.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+    if size > VOCABULARY_BYTES:
+        raise ValueError(f"the vocabulary's tokens take {size} bytes, over {VOCABULARY_BYTES}")
+    known = vocab.toArrow().combine_chunks()
+    words = known.column("token").combine_chunks().cast(pa.string())
+    ids = np.append(np.asarray(known.column("id").combine_chunks()), UNK_ID).astype(np.int32)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            at = np.asarray(pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=words), len(words)))
+            row = np.repeat(np.arange(len(n)), n)
+            col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            out = np.full((len(n), L), PAD_ID, np.int32)
+            mask = np.zeros((len(n), L), np.int32)
+            out[row, col], mask[row, col] = ids[at], 1
+            offsets = pa.array(np.arange(0, (len(n) + 1) * L, L, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (out, mask))],
+                [key, "input_ids", "attention_mask"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.slice(tokens(text_col), 1, L).alias("_toks")).mapInArrow(
+        look_up, f"`{key}` {kind}, input_ids array<int>, attention_mask array<int>")

@@ -37,8 +37,8 @@ def align(pred: DataFrame, truth: DataFrame, key: str, pred_col: str = "label",
 
 def with_correct(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
                  out: str = "correct") -> DataFrame:
-    """0/1 correctness flag."""
-    return df.withColumn(out, (F.col(y_true) == F.col(y_pred)).cast("int"))
+    """0/1 correctness flag (0 where a side is missing)."""
+    return df.withColumn(out, F.coalesce(F.col(y_true) == F.col(y_pred), F.lit(False)).cast("int"))
 
 
 def accuracy_by_group(df: DataFrame, group_col: str, correct_col: str = "correct",
@@ -66,14 +66,14 @@ def agreement(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "lab
         j = matched(align_full(b, left, key, pred_col=label_col, out="_b"), True, key)
     else:
         j = left.join(b.select(key, F.col(label_col).alias("_b")), key, "inner")
-    return j.agg(F.count(F.lit(1)).alias("n"),
-                 F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("agreement"),
-                 F.count_if(F.col("_a") != F.col("_b")).alias("differences")).withColumn(
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))  # a missing label agrees with nothing
+    return j.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("agreement"),
+                 F.count_if(~same).alias("differences")).withColumn(
         "difference_pct", 100.0 * F.col("differences") / F.col("n"))
 
 
 def differences(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "label") -> DataFrame:
-    """Rows where the two prediction sets differ."""
+    """Rows where the two prediction sets differ (a missing label differs)."""
     j = a.select(key, F.col(label_col).alias("label_a")).join(
         b.select(key, F.col(label_col).alias("label_b")), key, "inner")
-    return j.where(F.col("label_a") != F.col("label_b"))
+    return j.where(F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(True)))

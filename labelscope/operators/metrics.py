@@ -23,12 +23,20 @@ def predict_argmax(df: DataFrame, logits_col: str = "logits", out: str = "y_pred
     return df.withColumn(out, argmax(logits_col))
 
 
-def pair_counts(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """(y_true, y_pred, n) over non-null pairs."""
-    return (df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
-            .groupBy(F.col(y_true).cast("int").alias("y_true"),
-                     F.col(y_pred).cast("int").alias("y_pred"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def pair_counts(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", nulls: str = "raise") -> DataFrame:
+    """(y_true, y_pred, n). A row with a missing side raises, as every metric
+    would leave it out unseen; ``nulls="drop"`` leaves such rows out."""
+    if nulls not in ("raise", "drop"):
+        raise ValueError("nulls is 'raise' or 'drop'")
+
+    def side(c: str):
+        if nulls == "drop":
+            return F.col(c).cast("int")
+        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null {c}: metrics need both sides")).cast("int")).otherwise(F.col(c).cast("int"))
+
+    src = df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()) if nulls == "drop" else df
+    return (src.select(side(y_true).alias("y_true"), side(y_pred).alias("y_pred"))
+            .groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")))
 
 
 def confusion_matrix(spark: SparkSession, pairs: DataFrame, labels: Sequence[int]) -> DataFrame:

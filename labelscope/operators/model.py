@@ -85,7 +85,8 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                      id_col: str | None = None, seed=42):
     """T5: fit one candidate per ``reg_param`` and keep the best by validation
     macro F1 (M4); returns ``(model, history)`` where history has one row per
-    candidate (T7: candidate, reg_param, train_f1, val_f1). With
+    candidate (T7: epoch, reg_param, train_loss, train_f1, val_f1; what the
+    history flow reads). With
     ``language_col`` present, texts get the metadata prefix (P5); pass the
     same column to ``predict`` (S19: one function on both sides).
     ``sampler="weighted"`` trains on R5 draws (``len(train)`` draws with
@@ -110,12 +111,6 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     same = validation is train
     tr = train.select(_model_text(train, text_col, language_col),
                       F.col(label_col).cast("int").alias("label"))
-    # every optimiser iteration is one pass over the persisted vectors: give
-    # that pass every core (a large input already has more partitions than
-    # cores). Counted on the input scan, before any shuffle, so no job runs.
-    cores = spark.sparkContext.defaultParallelism
-    if tr.rdd.getNumPartitions() < cores:
-        tr = tr.repartition(cores)
     weight_col = None
     if class_weighted:
         tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w")
@@ -125,6 +120,8 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
     tf_tr = tf.transform(tok.transform(tr)).select("_tf", *keep).persist(StorageLevel.MEMORY_AND_DISK)
     idf = IDF(inputCol="_tf", outputCol="_features").fit(tf_tr)
     feats_tr = idf.transform(tf_tr).select("_features", *keep).persist(StorageLevel.MEMORY_AND_DISK)
+    feats_tr.count()
+    tf_tr.unpersist()  # one copy of the corpus stays
     if same:
         feats_va = feats_tr
     else:
@@ -132,17 +129,17 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                                F.col(label_col).cast("int").alias("label"))
         feats_va = (idf.transform(tf.transform(tok.transform(va))).select("_features", "label")
                     .persist(StorageLevel.MEMORY_AND_DISK))
-    rows, best, best_f1 = [], None, -1.0
+    rows, best, best_f1 = [], None, 0.0
     for i, reg in enumerate(reg_params):
         lr = _classifier(reg, max_iter, weight_col).fit(feats_tr)
         f_tr = _macro(lr, feats_tr)
         f_va = f_tr if same else _macro(lr, feats_va)
-        rows.append((i + 1, float(reg), f_tr, f_va))
-        if f_va > best_f1:
+        rows.append((i + 1, float(reg), float(lr.summary.objectiveHistory[-1]), f_tr, f_va))
+        if best is None or f_va > best_f1:
             best, best_f1 = lr, f_va
     for df in {id(x): x for x in (tf_tr, feats_tr, feats_va)}.values():
         df.unpersist()
-    history = spark.createDataFrame(rows, "epoch INT, reg_param DOUBLE, train_f1 DOUBLE, val_f1 DOUBLE")
+    history = spark.createDataFrame(rows, "epoch INT, reg_param DOUBLE, train_loss DOUBLE, train_f1 DOUBLE, val_f1 DOUBLE")
     return PipelineModel(stages=[tok, tf, idf, best]), history
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelscope.session import stage_table
+
 from labelscope.functions.labels import label_dimension
 from labelscope.functions.text import as_text
 
@@ -74,15 +76,16 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def top_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
     """S-4: the k most frequent values, their rank, and how many distinct values
-    are left beyond them (clamped at 0, S10). The top-k is the feature."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    n_distinct = counts.select(F.count(F.lit(1))).scalar()
-    top = counts.orderBy(F.desc("count"), F.asc(col)).limit(k)  # TakeOrderedAndProject
+    are left beyond them (clamped at 0, S10). The top-k is the feature. The
+    counts are staged once and serve both."""
     from pyspark.sql import Window
 
+    counts = stage_table(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count")), "value-counts")
+    left = max(counts.count() - k, 0)
+    top = counts.orderBy(F.desc("count"), F.asc(col)).limit(k)  # TakeOrderedAndProject
     return top.select(col, "count",
                       F.row_number().over(Window.orderBy(F.desc("count"), F.asc(col))).alias("rank"),
-                      F.greatest(n_distinct - F.lit(k), F.lit(0)).cast("bigint").alias("remaining"))
+                      F.lit(left).cast("bigint").alias("remaining"))
 
 
 def _text_length(text_col: str, length_col: str | None):
@@ -93,21 +96,25 @@ def _text_length(text_col: str, length_col: str | None):
 def length_describe(df: DataFrame, text_col: str = "code", length_col: str | None = None,
                     approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
     """A7 over string length (P3): count, mean, std (sample), min, 25/50/75 %
-    (linear interpolation), max. The exact ``percentile`` keeps one counter per
-    distinct length, so its state is bounded by the longest text, not by the
-    rows; ``approximate`` uses ``percentile_approx`` (fixed-size sketches, an
-    observed value within ``1/accuracy`` rank error) instead."""
+    (linear interpolation), max. Rows are first counted by length, so one task
+    sees a row per distinct length, not the rows; ``approximate`` takes the
+    quantiles by ``percentile_approx`` (fixed-size sketches) instead."""
     n = _text_length(text_col, length_col)
+    by = df.select(n.alias("_len")).where("_len IS NOT NULL").groupBy("_len").agg(F.count(F.lit(1)).alias("_n"))
     probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = (F.percentile_approx("_len", probs, accuracy).cast("array<double>") if approximate
-         else F.percentile("_len", probs))
-    return df.select(n.alias("_len")).agg(
-        F.count("_len").alias("count"), F.avg("_len").alias("mean"),
-        F.stddev_samp("_len").alias("std"), F.min("_len").cast("double").alias("min"),
-        q.alias("_q"),
-        F.max("_len").cast("double").alias("max")).select(
-        "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"), "max")
+    wide = F.col("_len").cast("decimal(38,0)")
+    q = F.percentile("_len", probs, F.col("_n"))
+    one = by.agg(F.sum("_n").alias("count"), F.sum(wide * F.col("_n")).cast("double").alias("_s"),
+                 F.sum(wide * wide * F.col("_n")).cast("double").alias("_ss"),
+                 F.min("_len").cast("double").alias("min"), q.alias("_q"), F.max("_len").cast("double").alias("max"))
+    if approximate:
+        rough = df.select(n.alias("_len")).agg(F.percentile_approx("_len", probs, accuracy).cast("array<double>").alias("_q"))
+        one = one.drop("_q").join(F.broadcast(rough))  # one row each
+    mean = F.col("_s") / F.col("count")
+    std = F.sqrt(F.greatest((F.col("_ss") - F.col("_s") * mean) / F.nullif(F.col("count") - 1, F.lit(0)), F.lit(0.0)))
+    std = F.when(F.col("count") > 1, std)
+    return one.select(F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), mean.alias("mean"), std.alias("std"), "min",
+                      F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
 
 def distinct_count(df: DataFrame, col: str, approximate: bool = False) -> DataFrame:
@@ -128,29 +135,20 @@ def corpus_profile(df: DataFrame, label_col: str = "label", text_col: str = "cod
     """T9 summary row in one scan: rows, classes, imbalance, languages,
     generators and length statistics (A1, A2, A6, A8, A7).
 
-    A ``rollup`` over the label gives the per-class counts and the grand
-    total (with the distinct counts) in one aggregate of <= K + 2 rows, which
-    one more aggregate folds into the summary row."""
-    n = _text_length(text_col, length_col)
-    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(n).alias("_len_sum"),
-            F.min(n).cast("bigint").alias("min_length"), F.max(n).cast("bigint").alias("max_length")]
+    One pass counts rows and lengths by (label, language, generator), with the
+    text already reduced to its length; the summary folds that small table."""
+    cols = {"_label": F.col(label_col), "_n": _text_length(text_col, length_col)}
     outs = []
-    if language_col and language_col in df.columns:
-        aggs.append(F.count_distinct(language_col).alias("n_languages"))
-        outs.append("n_languages")
-    if generator_col and generator_col in df.columns:
-        aggs.append(F.count_distinct(generator_col).alias("n_generators"))
-        outs.append("n_generators")
-    r = df.rollup(F.col(label_col).alias("_label")).agg(F.grouping_id().alias("_gid"), *aggs)
-    top = F.col("_gid") == 1
-    cls = (F.col("_gid") == 0) & F.col("_label").isNotNull()
-
-    def grand(c):
-        return F.max(F.when(top, F.col(c)))
-
-    return r.agg(grand("rows").alias("rows"),
-                 (grand("_len_sum") / grand("rows")).alias("mean_length"),
-                 grand("min_length").alias("min_length"), grand("max_length").alias("max_length"),
-                 *[grand(c).alias(c) for c in outs],
-                 F.count_if(cls).alias("n_classes"),
-                 (F.max(F.when(cls, F.col("rows"))) / F.min(F.when(cls, F.col("rows")))).alias("imbalance_ratio"))
+    for name, col in (("n_languages", language_col), ("n_generators", generator_col)):
+        if col and col in df.columns:
+            cols[f"_{name}"] = F.col(col)
+            outs.append(name)
+    by = (df.select(*(c.alias(k) for k, c in cols.items())).groupBy("_label", *(f"_{o}" for o in outs))
+          .agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("_len"), F.min("_n").alias("_lo"), F.max("_n").alias("_hi")))
+    by = stage_table(by, "profile-counts")  # two folds of it below, one read of the texts
+    total = by.agg(F.sum("rows").cast("bigint").alias("rows"), (F.sum("_len") / F.sum("rows")).alias("mean_length"),
+                   F.min("_lo").cast("bigint").alias("min_length"), F.max("_hi").cast("bigint").alias("max_length"),
+                   *(F.count_distinct(f"_{o}").alias(o) for o in outs))
+    classes = (by.where("_label IS NOT NULL").groupBy("_label").agg(F.sum("rows").alias("rows"))
+               .agg(F.count(F.lit(1)).alias("n_classes"), (F.max("rows") / F.min("rows")).alias("imbalance_ratio")))
+    return total.join(F.broadcast(classes))  # one row each

@@ -37,9 +37,6 @@ DEFAULT_DIGITS = 5
 # An explicit broadcast is only hinted for tables whose row count is bounded
 # by parameters below this (offset rows are ~32 bytes: <= ~64 MB).
 BROADCAST_ROW_LIMIT = 2_000_000
-# R4 range buckets: aim for this many rows per window task.
-ROWS_PER_RANGE_BUCKET = 1_000_000
-MAX_RANGE_BUCKETS = 1 << 16
 
 
 def _as_list(x) -> list:
@@ -126,41 +123,34 @@ def shuffled_row_id(df: DataFrame, seed, id_cols: Sequence[str], digits: int = D
     return ranked.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_shuffle_key")
 
 
-def range_buckets(n_rows: int) -> int:
-    """Number of R4 range buckets for a table of ``n_rows`` rows."""
-    return int(min(MAX_RANGE_BUCKETS, max(16, n_rows // ROWS_PER_RANGE_BUCKET + 1)))
-
-
-def row_ids(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), buckets: int | None = None,
-            out: str = "row_id") -> DataFrame:
-    """Consecutive 0-based ids in ``order_col`` (numeric) order, without one global task.
-
-    Rows are range-bucketed by approximate cut points (``percentile_approx``
-    on the executors; a bounded list of ``buckets - 1`` numbers reaches the
-    driver), each bucket's offset is the prefix sum of bucket counts, and ids
-    are ``offset + local row_number``. Any cut points give the same ids; the
-    approximation only affects balance. ``buckets`` defaults to one per
-    ``ROWS_PER_RANGE_BUCKET`` rows (counted first), at least 16.
-    """
-    x = F.col(order_col).cast("double")
-    if buckets is None:
-        buckets = range_buckets(df.select(F.count(F.lit(1))).first()[0])
-    splits: list[float] = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = df.select(F.percentile_approx(x, probs, 4 * buckets).alias("q")).first()["q"] or []
-        splits = sorted({float(c) for c in cuts if c is not None})
-    from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the cut points
-
-    bounds = [float("-inf")] + splits + [float("inf")]
-    tmp = df.withColumn("_order_d", x)
-    bz = Bucketizer(splits=bounds, inputCol="_order_d", outputCol="_rb", handleInvalid="keep")
-    bucketed = bz.transform(tmp).withColumn(BUCKET, F.col("_rb").cast("int")).drop("_rb", "_order_d")
-    offsets = bucket_offsets(bucketed, [])  # <= buckets + 1 rows
-    joined = bucketed.join(bounded_broadcast(offsets, len(bounds)), [BUCKET], "inner")
-    w = Window.partitionBy(BUCKET).orderBy(F.col(order_col), *[F.col(c) for c in tiebreak])
-    return (joined.withColumn(out, (F.col(OFFSET) + F.row_number().over(w) - 1).cast("bigint"))
-            .drop(BUCKET, BUCKET_ROWS, OFFSET))
+def row_ids(df: DataFrame, order_col: str, tiebreak: Sequence[str] = (), out: str = "row_id") -> DataFrame:
+    """Consecutive 0-based ids in ``order_col`` order, without one global task.
+
+    Spark's range partitioning sorts the rows once; they are staged with their
+    place (partition, row in it), the partitions are counted (one small row
+    each), and an id is the partition's offset plus the row's place. The order
+    columns must be a key; equal ones raise. An empty table has no ids."""
+    from labelscope.session import stage_table
+
+    order = [order_col, *tiebreak]
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+              .withColumn("_place", F.monotonically_increasing_id()))
+    staged = stage_table(placed, "row-ids")
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    w = Window.partitionBy("_part").orderBy("_place")
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w)) & (F.lag(F.lit(1)).over(w).isNotNull())
+    error = F.raise_error(F.lit(f"key {order} is not unique")).cast("bigint")
+    counts = (staged.select(part.alias("_part"), "_place", *order).withColumn("_one", F.when(same, error).otherwise(F.lit(1)))
+              .groupBy("_part").agg(F.sum("_one").alias("_rows")))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # <= partitions rows
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    rows = staged.withColumn("_part", part)
+    return (rows.join(bounded_broadcast(offsets, parts), "_part")
+            .withColumn(out, (F.col("_before") + place).cast("bigint")).drop("_part", "_place", "_before"))
 
 
 def batch_ids(df: DataFrame, row_id_col: str = "row_id", batch_size: int = 16,

@@ -2,7 +2,8 @@
 
 Randomness contract (S2/S3): a row's key is ``md5('<seed>:<id>')``; a
 with-replacement draw ``i`` of class ``c`` picks rank
-``md5('<seed>:<c>:<i>')[:8] mod count(c) + 1``. Same seed and input give the
+``md5('<seed>:<c>:<i>')[:15] mod count(c) + 1`` (60 bits, so the remainder's
+bias stays below 1e-6 for classes of up to 1e12 rows). Same seed and input give the
 same rows whatever the partitioning; every size is exact.
 
 Physical plan. One narrow aggregate gives the per-class row counts (at most
@@ -16,8 +17,9 @@ decided; then every class takes one of three paths:
   ``n`` rows of the class are shuffled, however hot the class is;
 * bootstrap to ``n`` rows (R2): a generated draws table (``n`` rows per
   class) is equi-joined on ``(label, rank)`` to the ranked class; ranks are
-  uniform, so the join key is not hot. Past ``PRUNE_DRAW_POOL_ROWS`` only the
-  buckets holding a drawn rank are ranked (at most ``n`` buckets per class).
+  uniform, so the join key is not hot. Only the buckets holding a drawn rank
+  are ranked (at most ``n`` buckets per class), on ids alone; the other columns
+  join the drawn ids once.
 
 Per-class values are CASE expressions for a few classes and a broadcast plan
 table (at most ``MAX_PLAN_CLASSES`` rows) beyond ``CASE_MAX_CLASSES``.
@@ -42,9 +44,10 @@ from labelscope.operators.ranking import (BUCKET, BUCKET_ROWS, DEFAULT_DIGITS, O
 REFERENCE_LABELS = list(range(11))
 # with an open label domain, refuse to plan more classes than this
 MAX_PLAN_CLASSES = 100_000
-# bootstrapped classes holding more rows than this in total are not ranked in
-# full: only the buckets that hold a drawn rank are (see ``_drawn_rows``)
-PRUNE_DRAW_POOL_ROWS = 1_000_000
+# hex digits of a draw's hash: 60 bits
+DRAW_DIGITS = 15
+# draws generated by one row of the plan
+DRAW_BLOCK = 10_000
 # per-class values are CASE expressions up to this many classes, a join beyond
 CASE_MAX_CLASSES = 64
 
@@ -97,6 +100,14 @@ def _id_str(id_cols: Sequence[str]) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
 
 
+def _checked_rank(w, id_cols: Sequence[str]) -> Column:
+    """``row_number`` over a window ordered by ``_key``; raises where two rows
+    have the same key, that is the same id (a sample of them is not defined)."""
+    same = F.lag("_key").over(w) == F.col("_key")
+    error = F.raise_error(F.concat(F.lit(f"key {list(id_cols)} is not unique: "), _id_str(id_cols)))
+    return F.when(same, error.cast("int")).otherwise(F.row_number().over(w))
+
+
 def _rank_classes(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
                   limits: dict[int, int], digits: int) -> DataFrame:
     """Rows of the classes in ``limits`` with ``_rank`` (1-based, by seeded key)
@@ -111,7 +122,7 @@ def _rank_classes(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
     bound = sum(min(16 ** digits, int(v)) for v in limits.values())
     w = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
     return (keyed.join(bounded_broadcast(offsets, bound), [label_col, BUCKET], "inner")
-            .withColumn("_rank", F.col(OFFSET) + F.row_number().over(w))
+            .withColumn("_rank", F.col(OFFSET) + _checked_rank(w, id_cols))
             .where(F.col("_rank") <= F.col("_limit"))
             .drop(BUCKET, BUCKET_ROWS, OFFSET, "_key", "_limit"))
 
@@ -119,76 +130,60 @@ def _rank_classes(df: DataFrame, seed, id_cols: Sequence[str], label_col: str,
 def _draws(spark: SparkSession, label_col: str, draws: dict[int, int], sizes: dict[int, int],
            seed) -> DataFrame:
     """``draws[c]`` with-replacement draws of class ``c``: (label, _draw, _rank),
-    rank uniform in ``1..sizes[c]``, generated rows (no data read). A few
-    classes: one range split by literal class boundaries; many classes: the
-    plan table (<= MAX_PLAN_CLASSES rows) exploded into ``draws[c]`` rows each."""
-    order = list(draws)
-    if len(order) <= CASE_MAX_CLASSES:
-        starts, total = [], 0
-        for c in order:
-            starts.append(total)
-            total += int(draws[c])
-        # class of generated row i: the last class whose start <= i
-        cls = F.lit(int(order[0]))
-        start = F.lit(0).cast("bigint")
-        for c, s in zip(order[1:], starts[1:]):
-            cls = F.when(F.col("id") >= s, F.lit(int(c))).otherwise(cls)
-            start = F.when(F.col("id") >= s, F.lit(int(s))).otherwise(start)
-        gen = spark.range(total).select(cls.cast("int").alias(label_col),
-                                        (F.col("id") - start).alias("_draw"))
-    else:
-        plan = spark.createDataFrame([(int(c), int(draws[c])) for c in order], "_l INT, _n BIGINT")
-        gen = plan.select(F.col("_l").alias(label_col),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_draw"))
-    gen = _attach(gen, label_col, sizes, "_size")
-    return gen.select(label_col, "_draw",
-                      (F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), 8), F.col("_size")) + 1)
-                      .alias("_rank"))
+    rank uniform in ``1..sizes[c]``, generated rows (no data read): the plan's
+    rows are split into blocks of ``DRAW_BLOCK`` draws, which are spread before
+    they are exploded, whatever the number of classes or draws."""
+    plan = spark.createDataFrame([(int(c), int(n), int(sizes[c])) for c, n in draws.items()], "_l INT, _n BIGINT, _size BIGINT")
+    blocks = plan.select("_l", "_n", "_size", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), (F.col("_n") - 1).cast("bigint"), F.lit(DRAW_BLOCK).cast("bigint"))).alias("_from"))
+    draw = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + DRAW_BLOCK, F.col("_n")) - 1))
+    gen = blocks.repartition("_l", "_from").select(F.col("_l").alias(label_col), "_size", draw.alias("_draw"))
+    return gen.select(label_col, "_draw", (F.pmod(hex_prefix_int(seeded_key(seed, label_col, "_draw"), DRAW_DIGITS),
+                                                  F.col("_size")) + 1).alias("_rank"))
 
 
 def _drawn_rows(df: DataFrame, gen: DataFrame, seed, id_cols: Sequence[str], label_col: str,
-                classes: list[int], n_draws: int, digits: int) -> DataFrame:
-    """Rows of ``classes`` that some draw of ``gen`` (label, _draw, _rank) hits,
-    with their ``_rank``: only the buckets holding a drawn rank are ranked, so
+                sizes: dict[int, int], n_draws: int, digits: int) -> DataFrame:
+    """``(label, id columns, _rank)`` of the rows that some draw of ``gen`` (label,
+    _draw, _rank) hits: only the buckets holding a drawn rank are ranked, so
     drawing n rows from a huge class shuffles at most n buckets of it.
 
-    A draw's bucket is the last bucket starting at or before its rank: bucket
-    starts (``offset + 1``) and drawn ranks are interleaved in one window per
-    class over <= 16**digits + n small rows, carrying the last start forward."""
-    keyed = (df.where(F.col(label_col).isin(classes))
+    A draw finds its bucket by an equi-join: ranks are cut into blocks of about
+    a bucket's width, a bucket is listed under the one or two blocks it reaches,
+    and a draw meets the buckets of its own block."""
+    keyed = (df.where(F.col(label_col).isin(list(sizes))).select(label_col, *id_cols)
              .withColumn("_key", seeded_key(seed, *id_cols))
              .withColumn(BUCKET, bucket_of("_key", digits)))
-    offsets = bucket_offsets(keyed, [label_col])
-    starts = offsets.select(label_col, (F.col(OFFSET) + 1).alias("_pos"), F.lit(0).alias("_is_draw"),
-                            BUCKET, OFFSET)
-    hits = gen.select(label_col, F.col("_rank").alias("_pos"), F.lit(1).alias("_is_draw"),
-                      F.lit(None).cast("int").alias(BUCKET), F.lit(None).cast("bigint").alias(OFFSET))
-    w = (Window.partitionBy(label_col).orderBy("_pos", "_is_draw")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    needed = (starts.unionByName(hits)
-              .select(label_col, "_is_draw", F.last(BUCKET, ignorenulls=True).over(w).alias(BUCKET),
-                      F.last(OFFSET, ignorenulls=True).over(w).alias(OFFSET))
-              .where(F.col("_is_draw") == 1).select(label_col, BUCKET, OFFSET).distinct())
+    widths = {c: max(1, -(-n // 16 ** digits)) for c, n in sizes.items()}
+
+    def block(df: DataFrame, col: Column) -> Column:
+        return F.floor(col / F.col("_width")).cast("bigint")
+
+    offsets = _attach(bucket_offsets(keyed, [label_col]), label_col, widths, "_width")
+    reach = F.sequence(block(offsets, F.col(OFFSET)), block(offsets, F.col(OFFSET) + F.col(BUCKET_ROWS) - 1))
+    listed = offsets.select(label_col, BUCKET, BUCKET_ROWS, OFFSET, F.explode(reach).alias("_block"))
+    hits = _attach(gen.select(label_col, "_rank"), label_col, widths, "_width")
+    hits = hits.select(label_col, "_rank", block(hits, F.col("_rank") - 1).alias("_block"))
+    needed = (listed.join(hits, [label_col, "_block"])
+              .where((F.col("_rank") > F.col(OFFSET)) & (F.col("_rank") <= F.col(OFFSET) + F.col(BUCKET_ROWS)))
+              .select(label_col, BUCKET, OFFSET).distinct())
     wr = Window.partitionBy(label_col, BUCKET).orderBy("_key", *id_cols)
     return (keyed.join(bounded_broadcast(needed, n_draws), [label_col, BUCKET], "inner")
-            .withColumn("_rank", F.col(OFFSET) + F.row_number().over(wr))
-            .drop(BUCKET, OFFSET, "_key"))
+            .select(label_col, *id_cols, (F.col(OFFSET) + _checked_rank(wr, id_cols)).alias("_rank")))
 
 
 def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
                  keep: dict[int, int], draw: dict[int, int], *, seed=42,
                  id_cols: Sequence[str] = ("id",), label_col: str = "label",
                  digits: int = DEFAULT_DIGITS, shuffle: bool = True,
-                 row_id_col: str = "row_id", stage: bool = True,
-                 prune_draws: bool | None = None) -> DataFrame:
+                 row_id_col: str = "row_id", stage: bool = True) -> DataFrame:
     """Run a per-class plan: ``keep[c]`` = rows to keep without replacement
     (``>= counts[c]`` keeps the class whole), ``draw[c]`` = rows to draw with
     replacement instead. Output: input columns + ``sample_key`` (unique per
     output row) and, when ``shuffle``, consecutive ``row_id`` in random order.
     R3 reads the sample twice (bucket counts, then ids), so with ``stage``
-    the sample is first written under the shared checkpoint folder.
-    ``prune_draws`` (default: when the bootstrapped classes exceed
-    ``PRUNE_DRAW_POOL_ROWS`` rows) ranks only the buckets the draws hit."""
+    the sample is first written under the shared checkpoint folder. Ids must be
+    unique among the rows that are ranked; repeated ones raise."""
     id_cols = list(id_cols)
     cols = df.columns
     for c, n in draw.items():
@@ -207,14 +202,11 @@ def execute_plan(spark: SparkSession, df: DataFrame, counts: dict[int, int],
     if boot:
         sizes = {c: counts[c] for c in boot}
         gen = _draws(spark, label_col, boot, sizes, seed)
-        if prune_draws is None:
-            prune_draws = sum(sizes.values()) > PRUNE_DRAW_POOL_ROWS
-        if prune_draws:
-            pool = _drawn_rows(df, gen, seed, id_cols, label_col, list(boot), sum(boot.values()), digits)
-        else:
-            pool = _rank_classes(df, seed, id_cols, label_col, sizes, digits)
-        gen = bounded_broadcast(gen, sum(boot.values()))
-        parts.append(pool.join(gen, [label_col, "_rank"], "inner").select(
+        pool = _drawn_rows(df, gen, seed, id_cols, label_col, sizes, sum(boot.values()), digits)
+        drawn = pool.join(gen, [label_col, "_rank"], "inner").drop("_rank")
+        # the wide columns meet the drawn ids once
+        rest = df.where(F.col(label_col).isin(list(boot)))
+        parts.append(rest.join(drawn, [label_col, *id_cols], "inner").select(
             *cols, F.concat(F.lit("d:"), F.col(label_col).cast("string"), F.lit(":"),
                             F.col("_draw").cast("string")).alias("sample_key")))
     if not parts:
@@ -311,7 +303,7 @@ def sample_with_replacement(spark: SparkSession, df: DataFrame, n: int, *, seed=
 # ---------------------------------------------------------------- R5
 
 def weighted_sample(spark: SparkSession, df: DataFrame, *, seed=42, id_cols=("id",),
-                    label_col="label", labels: Sequence[int] | None = REFERENCE_LABELS,
+                    label_col="label", labels: Sequence[int] | None = None,
                     digits: int = DEFAULT_DIGITS) -> DataFrame:
     """R5 with weight ``1/count(class)``: ``len(df)`` draws with replacement.
 
@@ -320,24 +312,30 @@ def weighted_sample(spark: SparkSession, df: DataFrame, *, seed=42, id_cols=("id
     picks class ``md5(seed:c:d) mod K`` among present classes, then rank
     ``md5(seed:r:d) mod count + 1`` inside it. Output: ``draw_id`` (the id of
     the row that spawned the draw) + the drawn row's columns. Both join sides
-    grow with the data; their key ``(label, rank)`` is uniform, so not hot.
+    grow with the data; their key ``(label, rank)`` is uniform, so not hot. Only
+    ids are ranked; the other columns join the drawn ids once. A null label
+    raises; with ``labels`` rows of other classes are left out, otherwise every
+    class takes part.
     """
     id_cols = list(id_cols)
     cols = df.columns
+    if df.where(F.col(label_col).isNull()).limit(1).count():
+        raise ValueError(f"null {label_col}: the sampler weighs every row by its class")
     counts = {c: n for c, n in class_counts(df, label_col, labels).items() if n > 0}
     src = _in_domain(df, label_col, labels)
-    ranked = _rank_classes(src, seed, id_cols, label_col, counts, digits).select(*cols, "_rank")
+    ranked = _rank_classes(src.select(label_col, *id_cols), seed, id_cols, label_col, counts, digits)
     # present classes in label order: (index, label, rows), <= one row per class
     classes = spark.createDataFrame([(i, int(c), int(n)) for i, (c, n) in enumerate(counts.items())],
-                                    "_class_idx INT, _l BIGINT, _n BIGINT")
-    idx = F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id")), F.lit(len(counts)))
+                                    "_class_idx BIGINT, _l BIGINT, _n BIGINT")
+    idx = F.pmod(hex_prefix_int(seeded_key(seed, F.lit("c"), "draw_id"), DRAW_DIGITS), F.lit(len(counts)).cast("bigint"))
     draws = (src.select(_id_str(id_cols).alias("draw_id"))
-             .withColumn("_class_idx", idx.cast("int"))
+             .withColumn("_class_idx", idx)
              .join(F.broadcast(classes), "_class_idx")
              .select("draw_id", F.col("_l").cast(df.schema[label_col].dataType).alias(label_col),
-                     (F.pmod(hex_prefix_int(seeded_key(seed, F.lit("r"), "draw_id")), F.col("_n")) + 1)
+                     (F.pmod(hex_prefix_int(seeded_key(seed, F.lit("r"), "draw_id"), DRAW_DIGITS), F.col("_n")) + 1)
                      .alias("_rank")))
-    return draws.join(ranked, [label_col, "_rank"]).drop("_rank")
+    drawn = draws.join(ranked, [label_col, "_rank"]).select("draw_id", label_col, *id_cols)
+    return src.join(drawn, [label_col, *id_cols]).select("draw_id", *cols)
 
 
 # ---------------------------------------------------------------- A13 / A14

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelscope.operators.ranking import row_ids
 
-# The integer pattern a CSV column must match to be integer typed.
+# the integer pattern a CSV column must match to be integer typed
 INT_PATTERN = "^[+-]?[0-9]+$"
 VALID_LABELS = list(range(11))
 
@@ -37,19 +37,24 @@ def predictions_table(scored: DataFrame, order_col: str, pred_col: str = "y_pred
         F.col("id").cast("bigint").alias("id"), F.col(pred_col).cast("int").alias("label"))
 
 
-def submission_table(test: DataFrame, predictions: DataFrame, order_col: str | None = None,
-                     check: bool = False) -> DataFrame:
-    """Test IDs joined to predictions by position (R4 row id of the test
-    table against the predictions' 0-based ``id``). Output (ID, label)."""
-    t = resolve_id(test, order_col, out="ID")
-    pos = row_ids(t.select("ID"), "ID", out="_pos")
-    p = predictions.select(F.col("id").alias("_pos"), "label")
-    if check:
-        n_t, n_p = pos.count(), p.count()
-        if n_t != n_p:
-            raise ValueError(f"test has {n_t} rows but predictions have {n_p}")
-    return pos.join(p, "_pos", "inner").select(F.col("ID").cast("bigint").alias("ID"),
-                                               F.col("label").cast("int").alias("label"))
+def submission_table(test: DataFrame, predictions: DataFrame, order_col: str) -> DataFrame:
+    """Test IDs joined to predictions by position: the test table's rows
+    are numbered in ``order_col`` order (also when it has an ID column, which
+    need not follow that order) and meet the predictions' 0-based ``id``. Rows
+    of either side without a partner, and repeated prediction ids, raise.
+    Output (ID, label)."""
+    pos = row_ids(test, order_col, out="_pos")
+    pos = pos.withColumn("ID", F.col("_pos")) if not {"ID", "id"} & set(test.columns) else resolve_id(pos, out="ID")
+    p = predictions.groupBy(F.col("id").alias("_pos")).agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("_n"))
+    both = pos.select("_pos", F.col("ID").cast("bigint").alias("ID"), F.lit(True).alias("_in_test")).join(p, "_pos", "full_outer")
+
+    def fail(text: str):
+        return F.raise_error(F.concat(F.lit(text), F.col("_pos").cast("string"))).cast("bigint")
+
+    checked = (F.when(F.col("_in_test").isNull(), fail("prediction without a test row: "))
+               .when(F.col("_n").isNull(), fail("test row without a prediction: "))
+               .when(F.col("_n") > 1, fail("repeated prediction id: ")).otherwise(F.col("ID")))
+    return both.select(checked.alias("ID"), F.col("label").cast("int").alias("label"))
 
 
 def _is_int(c):
@@ -72,7 +77,9 @@ def submission_checks(spark: SparkSession, df: DataFrame,
         any_null = any_null | F.col(c).isNull()
     # one pass: the V5 group-by on id also carries the per-id counts of bad
     # rows (partial aggregation before the shuffle), then one global sum
-    per_id = df.groupBy("id").agg(
+    # 1, 01 and +1 are the same integer id
+    number = F.coalesce(F.col("id").cast("string").try_cast("bigint").cast("string"), F.col("id").cast("string"))
+    per_id = df.groupBy(number.alias("_id")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(~F.coalesce(_is_int("id"), F.lit(False))).alias("_bad_id"),
         F.count_if(~F.coalesce(_is_int("label"), F.lit(False))).alias("_bad_label"),

@@ -1,7 +1,7 @@
 """DuckDB oracle SQL for the registered queries (same column names and types).
 
 Views ``embeddings documents labels events orders lineitem`` are registered by
-the caller. ``train_classifier`` has no SQL form (rows-only check).
+the caller.
 """
 
 from __future__ import annotations
@@ -76,16 +76,20 @@ ranked AS (
   FROM src WHERE label BETWEEN 0 AND 3)"""
 
 
-def _hex8(s: str) -> str:
-    return f"CAST(('0x' || substr(md5({s}), 1, 8)) AS BIGINT)"
+def _hex15(s: str) -> str:
+    return f"CAST(('0x' || substr(md5({s}), 1, 15)) AS BIGINT)"
 
 
-def _draws(n: int, cond: str) -> str:
+def _share(k: int) -> str:
+    return f"(SELECT count(*) // {k} FROM orders)"
+
+
+def _draws(n: str, cond: str) -> str:
     """Bootstrapped rows for classes matching ``cond`` (over ``cls`` = label, n_rows)."""
     return f"""cls AS (SELECT DISTINCT label, n_rows FROM ranked WHERE {cond}),
 draws AS (
-  SELECT c.label, r.range AS draw, ({_hex8("'42:' || c.label || ':' || r.range")} % c.n_rows) + 1 AS rnk
-  FROM cls c, range({n}) r),
+  SELECT c.label, r.range AS draw, ({_hex15("'42:' || c.label || ':' || r.range")} % c.n_rows) + 1 AS rnk
+  FROM cls c, (SELECT unnest(range(0, {n})) AS range) r),
 drawn AS (
   SELECT k.o_orderkey, k.label, 'd:' || d.label || ':' || d.draw AS sample_key
   FROM draws d JOIN ranked k ON k.label = d.label AND k.rnk = d.rnk)"""
@@ -190,6 +194,13 @@ c AS (SELECT label, count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY l
 SELECT round(max(n) / min(n), 6) AS imbalance_ratio FROM c""",
         "language_counts": f"""WITH {CORPUS}
 SELECT language, count(*) AS count FROM corpus WHERE language IS NOT NULL GROUP BY language""",
+        "customer_top20": """WITH c AS (SELECT o_custkey, count(*) AS "count" FROM orders GROUP BY o_custkey),
+r AS (SELECT *, row_number() OVER (ORDER BY "count" DESC, o_custkey) AS rk, count(*) OVER () AS n FROM c)
+SELECT o_custkey, "count", CAST(rk AS INTEGER) AS rank, CAST(greatest(n - 20, 0) AS BIGINT) AS remaining FROM r WHERE rk <= 20""",
+        "train_classifier": f"""WITH {CORPUS},
+h AS (SELECT label FROM corpus WHERE CAST(('0x' || substr(md5('fold:' || doc_id), 1, 8)) AS BIGINT) % 5 = 0),
+p AS (SELECT label, count(*) AS support FROM h GROUP BY label)
+SELECT label, support, CAST(sum(support) OVER () AS BIGINT) AS scored, true AS labels_in_domain, true AS beats_majority FROM p""",
         "generator_top20": f"""WITH {CORPUS},
 c AS (SELECT generator, count(*) AS count FROM corpus WHERE generator IS NOT NULL GROUP BY generator),
 r AS (SELECT generator, count, CAST(row_number() OVER (ORDER BY count DESC, generator) AS INTEGER) AS rank FROM c)
@@ -223,6 +234,10 @@ j AS (SELECT a.label AS la, b.label AS lb FROM a JOIN b ON a.id = b.id)
 SELECT count(*) AS n, round(avg(CAST(la = lb AS DOUBLE)), 6) AS agreement,
        count(*) FILTER (WHERE la <> lb) AS differences,
        round(100.0 * count(*) FILTER (WHERE la <> lb) / count(*), 6) AS difference_pct FROM j""",
+        "agreement_with_nulls": f"""WITH {TWO_SETS},
+j AS (SELECT a.id % 7 <> 0 AND a.id % 11 <> 0 AND a.label = b.label AS same FROM a JOIN b ON a.id = b.id)
+SELECT count(*) AS n, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) FILTER (WHERE NOT same) AS differences,
+       round(100.0 * count(*) FILTER (WHERE NOT same) / count(*), 6) AS difference_pct FROM j""",
         "disagreements": f"""WITH {TWO_SETS}
 SELECT a.id, a.label AS label_a, b.label AS label_b FROM a JOIN b ON a.id = b.id WHERE a.label <> b.label""",
         # ------------------------------------------------------------ weights and losses
@@ -257,7 +272,7 @@ SELECT o_orderkey, CAST(sample_rank AS BIGINT) AS sample_rank FROM (
   SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS sample_rank FROM src)
 WHERE sample_rank <= {Q.EXACT_N}""",
         "sample_with_replacement": f"""WITH {SKEWED},
-{_draws(Q.DRAWS, "n_rows > 0")}
+{_draws(_share(Q.DRAWS_SHARE), "n_rows > 0")}
 SELECT d.label, CAST(d.draw AS BIGINT) AS draw, k.o_orderkey
 FROM draws d JOIN ranked k ON k.label = d.label AND k.rnk = d.rnk""",
         "shuffle_row_id": f"""WITH {SKEWED}
@@ -265,24 +280,24 @@ SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_
 FROM src""",
         "balance_majority": BAL_MAJ,
         "balance_oversample": f"""WITH {SKEWED},
-{_draws(Q.TARGET_PER_CLASS, f"label <> 0 AND n_rows < {Q.TARGET_PER_CLASS}")}
+{_draws(_share(Q.TARGET_SHARE), f"label <> 0 AND n_rows < {_share(Q.TARGET_SHARE)}")}
 {_shuffled(f'''SELECT o_orderkey, label, 'k:' || o_orderkey AS sample_key FROM ranked
-  WHERE (label = 0 AND rnk <= {Q.HUMAN_SAMPLES}) OR (label <> 0 AND n_rows >= {Q.TARGET_PER_CLASS})
+  WHERE (label = 0 AND rnk <= {Q.HUMAN_SAMPLES}) OR (label <> 0 AND n_rows >= {_share(Q.TARGET_SHARE)})
   UNION ALL SELECT * FROM drawn''')}""",
         "balance_ultra": f"""WITH {SKEWED},
-{_draws(Q.PER_CLASS, f"n_rows < {Q.PER_CLASS}")}
+{_draws(_share(Q.PER_CLASS_SHARE), f"n_rows < {_share(Q.PER_CLASS_SHARE)}")}
 {_shuffled(f'''SELECT o_orderkey, label, 'k:' || o_orderkey AS sample_key FROM ranked
-  WHERE n_rows >= {Q.PER_CLASS} AND rnk <= {Q.PER_CLASS}
+  WHERE n_rows >= {_share(Q.PER_CLASS_SHARE)} AND rnk <= {_share(Q.PER_CLASS_SHARE)}
   UNION ALL SELECT * FROM drawn''')}""",
         "sample_by_class": f"""WITH {SKEWED}
-{_shuffled(f"SELECT o_orderkey, label, 'k:' || o_orderkey AS sample_key FROM ranked WHERE rnk <= {Q.PER_CLASS}")}""",
+{_shuffled(f"SELECT o_orderkey, label, 'k:' || o_orderkey AS sample_key FROM ranked WHERE rnk <= {_share(Q.PER_CLASS_SHARE)}")}""",
         "weighted_sampler": f"""WITH {SKEWED},
 cls AS (SELECT label, n_rows, row_number() OVER (ORDER BY label) - 1 AS idx
         FROM (SELECT DISTINCT label, n_rows FROM ranked)),
 draws AS (SELECT CAST(o_orderkey AS VARCHAR) AS draw_id FROM src WHERE label BETWEEN 0 AND 3),
 picked AS (
-  SELECT d.draw_id, c.label, ({_hex8("'42:r:' || d.draw_id")} % c.n_rows) + 1 AS rnk
-  FROM draws d JOIN cls c ON c.idx = {_hex8("'42:c:' || d.draw_id")} % (SELECT count(*) FROM cls))
+  SELECT d.draw_id, c.label, ({_hex15("'42:r:' || d.draw_id")} % c.n_rows) + 1 AS rnk
+  FROM draws d JOIN cls c ON c.idx = {_hex15("'42:c:' || d.draw_id")} % (SELECT count(*) FROM cls))
 SELECT p.draw_id, p.label, k.o_orderkey FROM picked p JOIN ranked k ON k.label = p.label AND k.rnk = p.rnk""",
         "balance_report": f"""WITH bal AS ({BAL_MAJ}),
 b AS (SELECT label, count(*) AS n FROM (SELECT CAST(CASE WHEN o_orderkey % 25 < 22 THEN 0 ELSE o_orderkey % 25 - 21 END AS INTEGER) AS label FROM orders) GROUP BY label),
@@ -318,6 +333,16 @@ checks AS (
   UNION ALL SELECT 5, 'unique_id', d FROM dups
   UNION ALL SELECT 6, 'no_missing', nulls FROM one)
 SELECT CAST(check_id AS INTEGER) AS check_id, "check", bad_rows = 0 AS passed, CAST(bad_rows AS BIGINT) AS bad_rows FROM checks""",
+        "submission_by_position": """WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY -o_orderkey) - 1 AS pos FROM orders)
+SELECT t.o_orderkey AS "ID", CAST(p.o_custkey % 11 AS INTEGER) AS label FROM o t JOIN o p ON t.pos = p.pos""",
+        "submission_checks_noncanonical": """WITH s AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE '+' END || l_orderkey AS id,
+  CAST(l_linenumber AS VARCHAR) AS label FROM lineitem),
+d AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS d FROM (SELECT TRY_CAST(ltrim(id, '+') AS BIGINT) AS k, count(*) AS n FROM s GROUP BY k HAVING count(*) > 1)),
+c AS (SELECT 1 AS check_id, 'columns' AS "check", CAST(0 AS BIGINT) AS bad_rows
+  UNION ALL SELECT 2, 'id_integer', 0 UNION ALL SELECT 3, 'label_integer', 0
+  UNION ALL SELECT 4, 'label_range', (SELECT count(*) FROM s WHERE CAST(label AS BIGINT) NOT BETWEEN 0 AND 10)
+  UNION ALL SELECT 5, 'unique_id', d FROM d UNION ALL SELECT 6, 'no_missing', 0)
+SELECT CAST(check_id AS INTEGER) AS check_id, "check", bad_rows = 0 AS passed, CAST(bad_rows AS BIGINT) AS bad_rows FROM c""",
         "invalid_labels": """SELECT DISTINCT CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS label
 FROM embeddings WHERE list_position(embedding, list_max(embedding)) - 1 NOT IN (0,1,2,3,4,5,6,7,8,9,10)""",
         "duplicate_ids": """SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""",
@@ -428,9 +453,9 @@ SELECT 1 AS line, 'Original size: ' || format('{{:,}}', (SELECT n FROM b)) AS va
 UNION ALL SELECT 2, 'Balanced size: ' || format('{{:,}}', (SELECT n FROM a))
 UNION ALL SELECT 3, 'Reduction: ' || printf('%.1f%%', 100.0 * (1 - (SELECT n FROM a) / (SELECT n FROM b)))""",
         "balance_audit_lines": f"""WITH {SKEWED},
-{_draws(Q.TARGET_PER_CLASS, f"label <> 0 AND n_rows < {Q.TARGET_PER_CLASS}")},
+{_draws(_share(Q.TARGET_SHARE), f"label <> 0 AND n_rows < {_share(Q.TARGET_SHARE)}")},
 bal AS (SELECT label FROM ranked
-        WHERE (label = 0 AND rnk <= {Q.HUMAN_SAMPLES}) OR (label <> 0 AND n_rows >= {Q.TARGET_PER_CLASS})
+        WHERE (label = 0 AND rnk <= {Q.HUMAN_SAMPLES}) OR (label <> 0 AND n_rows >= {_share(Q.TARGET_SHARE)})
         UNION ALL SELECT label FROM drawn),
 b AS (SELECT label, count(*) AS n FROM src GROUP BY label),
 a AS (SELECT label, count(*) AS n FROM bal GROUP BY label),

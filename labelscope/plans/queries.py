@@ -7,8 +7,10 @@ the DuckDB oracle in ``oracle.py``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from labelscope.functions.hashing import hex_prefix_int
 from labelscope.functions.labels import LABEL_NAMES
 from labelscope.functions.text import metadata_prefix
 from labelscope.operators import (encode, groups, history as hist, losses, metrics, model,
@@ -18,14 +20,16 @@ from labelscope.plans import roles
 SEED = 42
 K_FIXED = list(range(11))  # the reference's 11 classes (M5, A5)
 VOCAB_SIZE = 5000
-MAX_LENGTH = 64
+MAX_LENGTH = 512
 BATCH_SIZE = 16
 GAMMA = 2.0
 # sampling parameters on the skewed role
 HUMAN_SAMPLES = 5000
-TARGET_PER_CLASS = 1000
-PER_CLASS = 2000
-DRAWS = 200
+# shares of the orders, so that the minority classes (a 25th each) are
+# bootstrapped at every size
+TARGET_SHARE = 12
+PER_CLASS_SHARE = 8
+DRAWS_SHARE = 75
 EXACT_N = 5000
 
 
@@ -122,6 +126,13 @@ def q_generator_top20(spark, d):
         "generator", "count", F.col("rank").cast("int").alias("rank"), "remaining")
 
 
+def q_customer_top20(spark, d):
+    # more distinct values than 20: the cut and the remainder both show
+    o = roles.table(spark, d, "orders", ["o_custkey"])
+    return profile.top_values(o, "o_custkey", 20).select(
+        "o_custkey", "count", F.col("rank").cast("int").alias("rank"), "remaining")
+
+
 def q_length_describe(spark, d):
     ds = profile.length_describe(roles.corpus(spark, d), "code")
     return ds.select("count", *[r6(c).alias(c) for c in
@@ -166,6 +177,16 @@ def q_prediction_agreement(spark, d):
                                          r6("difference_pct").alias("difference_pct"))
 
 
+def q_agreement_with_nulls(spark, d):
+    # labels are missing where the id is divisible by 7 (one side) or 11 (both)
+    a, b = _two_sets(spark, d)
+    label = F.col("label")
+    a = a.select("id", F.when((F.col("id") % 7 != 0) & (F.col("id") % 11 != 0), label).alias("label"))
+    b = b.select("id", F.when(F.col("id") % 11 != 0, label).alias("label"))
+    return groups.agreement(a, b, check=True).select("n", r6("agreement").alias("agreement"), "differences",
+                                                     r6("difference_pct").alias("difference_pct"))
+
+
 def q_disagreements(spark, d):
     a, b = _two_sets(spark, d)
     return groups.differences(a, b)
@@ -224,6 +245,10 @@ def _skewed(spark, d):
     return roles.skewed(spark, d)
 
 
+def _share(spark, d, k):
+    return roles.table(spark, d, "orders", ["o_orderkey"]).count() // k
+
+
 _ID = dict(id_cols=["o_orderkey"], seed=SEED, labels=roles.SKEWED_CLASSES)
 
 
@@ -233,7 +258,7 @@ def q_sample_exact_n(spark, d):
 
 
 def q_sample_with_replacement(spark, d):
-    return sampling.sample_with_replacement(spark, _skewed(spark, d), DRAWS, **_ID).select(
+    return sampling.sample_with_replacement(spark, _skewed(spark, d), _share(spark, d, DRAWS_SHARE), **_ID).select(
         "label", "draw", "o_orderkey")
 
 
@@ -250,17 +275,17 @@ def q_balance_majority(spark, d):
 
 
 def q_balance_oversample(spark, d):
-    return sampling.balance_majority(spark, _skewed(spark, d), HUMAN_SAMPLES, True, TARGET_PER_CLASS,
+    return sampling.balance_majority(spark, _skewed(spark, d), HUMAN_SAMPLES, True, _share(spark, d, TARGET_SHARE),
                                      **_ID).select("o_orderkey", "label", "sample_key", "row_id")
 
 
 def q_balance_ultra(spark, d):
-    return sampling.balance_equal(spark, _skewed(spark, d), PER_CLASS, **_ID).select(
+    return sampling.balance_equal(spark, _skewed(spark, d), _share(spark, d, PER_CLASS_SHARE), **_ID).select(
         "o_orderkey", "label", "sample_key", "row_id")
 
 
 def q_sample_by_class(spark, d):
-    return sampling.sample_by_class(spark, _skewed(spark, d), PER_CLASS, **_ID).select(
+    return sampling.sample_by_class(spark, _skewed(spark, d), _share(spark, d, PER_CLASS_SHARE), **_ID).select(
         "o_orderkey", "label", "sample_key", "row_id")
 
 
@@ -312,7 +337,24 @@ def q_duplicate_ids(spark, d):
 
 def q_submission_join(spark, d):
     test = roles.table(spark, d, "embeddings", ["vec_id"]).select(F.col("vec_id").alias("ID"))
-    return submission.submission_table(test, _predictions(spark, d))
+    return submission.submission_table(test, _predictions(spark, d), "ID")
+
+
+def q_submission_by_position(spark, d):
+    # IDs run against the position: the last order comes first
+    test = roles.table(spark, d, "orders", ["o_orderkey"]).select(
+        F.col("o_orderkey").alias("ID"), (-F.col("o_orderkey")).alias("pos"))
+    scored = roles.table(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(
+        (-F.col("o_orderkey")).alias("pos"), (F.col("o_custkey") % 11).alias("y_pred"))
+    return submission.submission_table(test, submission.predictions_table(scored, "pos"), "pos")
+
+
+def q_submission_checks_noncanonical(spark, d):
+    # every integer id occurs as n, 0n and +n
+    li = roles.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber"])
+    sign = F.element_at(F.array(F.lit(""), F.lit("0"), F.lit("+")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return submission.submission_checks(spark, li.select(
+        F.concat(sign, F.col("l_orderkey").cast("string")).alias("id"), F.col("l_linenumber").cast("string").alias("label")))
 
 
 # ------------------------------------------------------------------ history
@@ -347,7 +389,7 @@ def q_vocabulary(spark, d):
 def q_encode_fixed_length(spark, d):
     c = roles.corpus(spark, d)
     v = encode.vocabulary(c, "code", VOCAB_SIZE)
-    return encode.encode(c, v, "doc_id", "code", MAX_LENGTH, vocab_rows=VOCAB_SIZE)
+    return encode.encode(c, v, "doc_id", "code", MAX_LENGTH)
 
 
 # ------------------------------------------------------------------ scoring and training
@@ -357,9 +399,21 @@ def q_batch_score(spark, d):
 
 
 def q_train_classifier(spark, d):
+    """Two candidates trained on four fifths of the documents (by id hash), the
+    better one judged on the rest: held-out rows per class and in all, and
+    whether the accuracy beats always guessing the largest class."""
     c = roles.corpus(spark, d)
-    m, _ = model.train_classifier(spark, c, c, reg_params=(0.01,), max_iter=20, num_features=1 << 14)
-    return model.predict(m, c, "doc_id", keep=["label"]).withColumnRenamed("label", "y_true")
+    fold = hex_prefix_int(F.md5(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))), 8) % 5
+    train, held = c.where(fold != 0), c.where(fold == 0)
+    m, _ = model.train_classifier(spark, train, held)
+    judged = model.predict(m, held, "doc_id", keep=["label"]).withColumnRenamed("label", "y_true")
+    per = judged.groupBy(F.col("y_true").alias("label")).agg(
+        F.count(F.lit(1)).alias("support"), F.count_if(F.col("y_true") == F.col("y_pred")).alias("right"),
+        F.count_if(F.col("y_pred").between(0, len(roles.CORPUS_LANGS) - 1)).alias("in_domain"))
+    every = Window.partitionBy()  # <= one row per class
+    return per.select("label", "support", F.sum("support").over(every).alias("scored"),
+                      (F.sum("in_domain").over(every) == F.sum("support").over(every)).alias("labels_in_domain"),
+                      (F.sum("right").over(every) > F.max("support").over(every)).alias("beats_majority"))
 
 
 # ------------------------------------------------------------------ coverage: weights, labels, tables
@@ -406,7 +460,7 @@ def q_report_lines(spark, d):
 
 
 def q_submission_summary(spark, d):
-    s = submission.submission_summary(_predictions(spark, d))
+    s = submission.submission_summary(roles.scores(spark, d).select(F.col("y_pred").alias("label")))
     return s.select("label", "count", r6("pct").alias("pct"), "total")
 
 
@@ -441,7 +495,7 @@ def q_balance_summary_lines(spark, d):
 
 def q_balance_audit_lines(spark, d):
     sk = _skewed(spark, d)
-    out = sampling.balance_majority(spark, sk, HUMAN_SAMPLES, True, TARGET_PER_CLASS, shuffle=False, **_ID)
+    out = sampling.balance_majority(spark, sk, HUMAN_SAMPLES, True, _share(spark, d, TARGET_SHARE), shuffle=False, **_ID)
     labels = roles.SKEWED_CLASSES
     return sampling.balance_audit_lines(spark, sampling.balance_audit(sk, out), labels,
                                         [LABEL_NAMES[i] for i in labels])

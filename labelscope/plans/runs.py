@@ -105,14 +105,32 @@ def rebalance_run(spark: SparkSession, df: DataFrame, out_path: str, mode: str =
 # ---------------------------------------------------------------- E2
 
 def train_run(spark: SparkSession, train: DataFrame, validation: DataFrame, model_dir: str,
-              history_path: str, **train_kw):
-    """Train, save the best model and its history. Returns ``(model, history, best)``."""
+              history_path: str, sample_train: int | None = None, id_col: str | None = None, **train_kw):
+    """Train, save the best model and its history. ``sample_train`` trains on that
+    many rows (R10, by seeded key of ``id_col``). Returns ``(model, history, best)``."""
+    if sample_train is not None:
+        if id_col is None:
+            raise ValueError("sample_train needs id_col")
+        train = sampling.sample_n(train, sample_train, id_cols=[id_col]).drop("sample_rank")
+    if id_col is not None:
+        train_kw["id_col"] = id_col
     fitted, history = model.train_classifier(spark, train, validation, **train_kw)
     model.save_model(fitted, model_dir)
     write_history(history, history_path)
     return fitted, history, hist.best_epoch(history)
 
 
+def score_run(spark: SparkSession, model_dir: str, test: DataFrame, key: str, out_path: str,
+              text_col: str = "code", language_col: str | None = None) -> DataFrame:
+    """IO10 -> T2 -> T3: score a test table with a saved model and write the
+    positional ``id,label`` CSV in ``key`` order."""
+    ensure_checkpoint_dir(spark)
+    pred = model.predict(model.load_model(model_dir), test, key, text_col, language_col=language_col)
+    table = submission.predictions_table(stage_table(pred, "scored"), key)
+    write_csv(table, out_path, order_by=["id"])
+    return table
+
+
 # ---------------------------------------------------------------- E3
 
 def predict_run(scored: DataFrame, key: str, out_path: str, make_scorer=None,
@@ -129,10 +147,10 @@ def predict_run(scored: DataFrame, key: str, out_path: str, make_scorer=None,
 
 
 def submission_run(spark: SparkSession, test: DataFrame, predictions_path: str, out_path: str,
-                   order_col: str | None = None) -> DataFrame:
+                   order_col: str) -> DataFrame:
     """T4: replace positional prediction ids by the test table's IDs; write ``ID,label``."""
     preds = read_csv(spark, predictions_path, schema="id BIGINT, label INT")
-    sub = submission.submission_table(test, preds, order_col, check=True)
+    sub = submission.submission_table(test, preds, order_col)
     write_csv(sub, out_path, order_by=["ID"])
     return sub
 

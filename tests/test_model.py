@@ -43,10 +43,21 @@ def test_train_run_writes_model_and_history(spark, tmp_path):
     from labelscope.sources.io import read_history
 
     back = read_history(spark, str(tmp_path / "h"))
-    assert back.count() == 2 and set(back.columns) == {"epoch", "reg_param", "train_f1", "val_f1"}
+    assert back.count() == 2 and set(back.columns) == {"epoch", "reg_param", "train_loss", "train_f1", "val_f1"}
+    from labelscope.operators.history import history_series
+
+    series = history_series(back).collect()  # the history flow reads what training wrote
+    assert len(series) == 2 and all(r["train_loss"] > 0 for r in series)
     b = best.collect()
     assert len(b) == 1 and b[0]["val_f1"] == max(r["val_f1"] for r in hist.collect())
     assert model.predict(model.load_model(str(tmp_path / "m")), c, "doc_id").count() == c.count()
+    scored = runs.score_run(spark, str(tmp_path / "m"), c, "doc_id", str(tmp_path / "p"))
+    rows = {r["id"]: r["label"] for r in scored.collect()}
+    expect = [r["y_pred"] for r in model.predict(m, c, "doc_id").orderBy("doc_id").collect()]
+    assert [rows[i] for i in range(len(expect))] == expect
+    small, _, _ = runs.train_run(spark, c, c, str(tmp_path / "m2"), str(tmp_path / "h2"), sample_train=60, id_col="doc_id",
+                                 reg_params=(0.1,), max_iter=3, num_features=1 << 8)
+    assert model.predict(small, c, "doc_id").count() == c.count()
 
 
 def test_metadata_prefix_on_both_sides(spark):

@@ -9,19 +9,19 @@ from conftest import SF_SMALL
 
 from labelscope.plans import queries as Q
 
-# Scans per table in the final plan of each query.
+# scans per table in the final plan of each query.
 EXPECTED_SCANS = {
     "per_class_prf": {"embeddings": 1},
     "classification_report": {"embeddings": 1},
     "metrics_record": {"embeddings": 1},
     "class_weights_inverse": {"documents": 1},
     "label_distribution": {"documents": 1},
-    "corpus_profile": {"documents": 1},
+    "corpus_profile": {},                     # folds the staged counts
     "history_series": {"events": 1},
     "accuracy_by_generator": {"documents": 1, "labels": 1},
     "submission_first_failure": {"lineitem": 1},
     "sample_exact_n": {"orders": 2},          # bucket counts, then rank
-    "encode_fixed_length": {"documents": 2},  # vocabulary, then encode
+    "encode_fixed_length": {"documents": 1},  # the vocabulary is staged
     "balance_majority": {},                   # R3 reads the staged sample only
 }
 

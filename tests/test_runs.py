@@ -35,7 +35,7 @@ def test_predict_submit_validate(spark, tmp_path):
     assert summary.agg(F.sum("count")).first()[0] == n
     # the test table's IDs replace the positional ids; labels keep their order
     test = scores.select(F.col("vec_id").alias("ID"))
-    runs.submission_run(spark, test, pred_path, sub_path)
+    runs.submission_run(spark, test, pred_path, sub_path, order_col="ID")
     sub = spark.read.option("header", True).csv(sub_path)
     assert sub.columns == ["ID", "label"] and sub.count() == n
     got = {int(r["ID"]): int(r["label"]) for r in sub.collect()}

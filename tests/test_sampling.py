@@ -1,6 +1,8 @@
 """Sampling properties: exact sizes, subset, no duplicates, determinism
 independent of partitioning, bucketed rank == plain rank."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -105,7 +107,7 @@ def test_weighted_sampler_uniform_classes(spark, skewed):
 
 
 def test_row_ids_consecutive(spark, skewed):
-    out = ranking.row_ids(skewed.repartition(5), "id", buckets=16)
+    out = ranking.row_ids(skewed.repartition(5), "id")
     rows = sorted((r["id"], r["row_id"]) for r in out.collect())
     assert [r for _, r in rows] == list(range(len(rows)))
 
@@ -128,15 +130,48 @@ def test_audit_lines_all_actions(spark, skewed):
     assert lines[1] == f"Label 1 (DeepSeek-AI    ): {n[1]:6d} samples (kept all)"
 
 
-def test_pruned_draw_pool_equals_full_rank(spark, skewed):
+def test_draws_hit_the_ranked_rows(spark, skewed):
+    """Each draw's row is the row of its rank, whatever the partitioning."""
     counts = sampling.class_counts(skewed, "label", [0, 1, 2, 3])
     draw = {c: 300 for c in counts}
     kw = dict(seed=9, id_cols=["id"], label_col="label", shuffle=False)
-    full = sampling.execute_plan(spark, skewed, counts, {}, draw, prune_draws=False, **kw)
-    pruned = sampling.execute_plan(spark, skewed.repartition(7), counts, {}, draw, prune_draws=True, **kw)
-    a = sorted((r["sample_key"], r["id"]) for r in full.collect())
-    b = sorted((r["sample_key"], r["id"]) for r in pruned.collect())
-    assert a == b and len(a) == 4 * 300
+    for digits in (1, 5):
+        got = {r["sample_key"]: r["id"] for r in sampling.execute_plan(
+            spark, skewed.repartition(7), counts, {}, draw, digits=digits, **kw).collect()}
+        rows = {(r["label"], r["id"]) for r in skewed.select("label", "id").collect()}
+        order = {c: sorted((hashlib.md5(f"9:{i}".encode()).hexdigest(), i) for k, i in rows if k == c) for c in counts}
+        assert len(got) == 4 * 300
+        for key, i in got.items():
+            _, c, d = key.split(":")
+            rank = int(hashlib.md5(f"9:{c}:{d}".encode()).hexdigest()[:15], 16) % counts[int(c)]
+            assert order[int(c)][rank][1] == i
+
+
+@pytest.mark.parametrize("size", [3_000_000_000, 300_000_000_000])
+def test_draws_are_uniform_in_huge_classes(spark, size):
+    gen = sampling._draws(spark, "label", {1: 40_000}, {1: size}, 7)
+    r = gen.agg(F.max("_rank").alias("top"), F.avg((F.col("_rank") <= 0.432 * size).cast("double")).alias("share"),
+                F.count("*").alias("n"), F.min("_rank").alias("low")).first()
+    assert r["n"] == 40_000 and r["low"] >= 1
+    assert 0.999 * size < r["top"] <= size
+    assert abs(r["share"] - 0.432) < 0.01
+
+
+def test_repeated_ids_raise(spark, skewed):
+    twice = skewed.unionByName(skewed)
+    with pytest.raises(Exception, match="not unique"):
+        sampling.sample_by_class(spark, twice, 50, labels=[0], shuffle=False).collect()
+    with pytest.raises(Exception, match="not unique"):
+        ranking.row_ids(twice, "id").collect()
+
+
+def test_row_ids_on_an_empty_table(spark, skewed):
+    assert ranking.row_ids(skewed.where("id < -1"), "id").count() == 0
+
+
+def test_weighted_sampler_rejects_null_labels(spark, skewed):
+    with pytest.raises(ValueError, match="null"):
+        sampling.weighted_sample(spark, skewed.withColumn("label", F.when(F.col("id") > 5, F.col("label"))))
 
 
 def test_no_broadcast_path_gives_same_rows(spark, skewed, monkeypatch):

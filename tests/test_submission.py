@@ -42,10 +42,32 @@ def test_invalid_labels_and_duplicates(spark):
 
 
 def test_submission_join_by_position(spark):
-    test = spark.createDataFrame([(105,), (101,), (103,)], "ID BIGINT")
+    """Row 0 of the test table gets prediction 0, whatever the IDs' order."""
+    test = spark.createDataFrame([(0, 105), (1, 101), (2, 103)], "pos INT, ID BIGINT")
     preds = spark.createDataFrame([(0, 7), (1, 8), (2, 9)], "id BIGINT, label INT")
-    out = sorted(tuple(r) for r in submission.submission_table(test, preds, check=True).collect())
-    assert out == [(101, 7), (103, 8), (105, 9)]
+    out = sorted(tuple(r) for r in submission.submission_table(test, preds, "pos").collect())
+    assert out == [(101, 8), (103, 9), (105, 7)]
+    for bad, text in [(preds.where("id < 2"), "without a prediction"), (preds.unionByName(preds.limit(1)), "repeated"),
+                      (preds.unionByName(spark.createDataFrame([(5, 1)], "id BIGINT, label INT")), "without a test row")]:
+        with pytest.raises(Exception, match=text):
+            submission.submission_table(test, bad, "pos").collect()
+
+
+def test_noncanonical_ids_are_duplicates(spark):
+    rows, first = _checks(spark, [("1", "1"), ("01", "2"), ("+1", "3"), ("2", "4")], ("id", "label"))
+    assert first == "unique_id"
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    path = str(tmp_path / "swapped")
+    spark.createDataFrame([("3", "10"), ("4", "11")], "label STRING, id STRING").coalesce(1).write.option("header", True).csv(path)
+    got = io.read_csv(spark, path, schema="id BIGINT, label INT")
+    assert got.columns == ["id", "label"] and sorted(tuple(r) for r in got.collect()) == [(10, 3), (11, 4)]
+    with pytest.raises(ValueError, match="no column"):
+        io.read_csv(spark, path, schema="id BIGINT, other INT")
+    spark.createDataFrame([("x", "10")], "label STRING, id STRING").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    with pytest.raises(Exception, match="is not int"):
+        io.read_csv(spark, path, schema="id BIGINT, label INT").collect()
 
 
 def test_resolve_id_prefers_ID(spark):
