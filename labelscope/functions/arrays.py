@@ -29,15 +29,3 @@ def log_softmax_at(logits, index) -> Column:
     """log p_index for a 0-based index column."""
     z = _c(logits)
     return F.element_at(z, _c(index) + 1) - logsumexp(z)
-
-
-def pad_to(ids, length: int, pad: int = 0) -> Column:
-    """Truncate an int array to ``length`` and right-pad with ``pad``."""
-    a = F.slice(_c(ids), 1, length)
-    return F.concat(a, F.array_repeat(F.lit(pad), F.lit(length) - F.size(a)))
-
-
-def mask_to(ids, length: int) -> Column:
-    """Attention mask: 1 for every kept id, 0 for padding."""
-    n = F.least(F.size(_c(ids)), F.lit(length))
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))

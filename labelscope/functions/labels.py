@@ -14,10 +14,6 @@ LABEL_NAMES = [
 ]
 
 
-def labels_from_range(k: int) -> list[int]:
-    return list(range(k))
-
-
 def label_dimension(spark: SparkSession, labels: Sequence[int] | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
     """(label INT, name STRING): a tiny table, safe to broadcast (<= len(labels) rows)."""

@@ -184,14 +184,31 @@ def classification_report(spark: SparkSession, pairs: DataFrame, labels: Sequenc
                       "support")
 
 
-def report_text(report: DataFrame, digits: int = 3) -> DataFrame:
-    """IO9 helper: one formatted text line per report row, in report order."""
-    fmt = f"%15s %9.{digits}f %9.{digits}f %9.{digits}f %9d"
-    line = F.when(F.col("precision").isNull(),
-                  F.format_string(f"%15s %9s %9s %9.{digits}f %9d", "name", F.lit(""), F.lit(""),
-                                  "f1_score", "support")).otherwise(
-        F.format_string(fmt, "name", "precision", "recall", "f1_score", "support"))
-    return report.select("row_order", line.alias("value"))
+# The columns of the printed classification report.
+REPORT_COLUMNS = ("precision", "recall", "f1-score", "support")
+
+
+def report_text(report: DataFrame, digits: int = 3, width: int = 12) -> DataFrame:
+    """IO9: the printed report, one line per row: header, blank, a line per class,
+    blank, the three summary lines; ``row_order`` orders the lines. ``width`` is
+    that of the longest name (at least 12, the width of "weighted avg")."""
+    width = max(int(width), 12)
+    text = lambda *c: F.format_string(f"%{width}s  %9s %9s %9s %9s", *c)
+    number = lambda c: F.format_string(f"%9.{digits}f", c)
+    summary = F.col("precision").isNull()
+    blank = F.lit("")
+    own = F.struct((2 * F.col("row_order")).alias("row_order"), text(
+        F.col("name"), F.when(summary, blank).otherwise(number("precision")), F.when(summary, blank).otherwise(number("recall")),
+        number("f1_score"), F.col("support").cast("string")).alias("value"))
+
+    def line(order, value):
+        return F.struct(order.cast("int").alias("row_order"), value.alias("value"))
+
+    # the accuracy row, of which there is one, also brings the header and the blank lines
+    head = [line(F.lit(-2), text(blank, *(F.lit(c) for c in REPORT_COLUMNS))), line(F.lit(-1), blank),
+            line(2 * F.col("row_order") - 1, blank)]
+    rows = F.when(summary, F.array(*head, own)).otherwise(F.array(own))
+    return report.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def f1_series(spark: SparkSession, pairs: DataFrame, labels: Sequence[int],

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.operators.ranking import row_ids
+from labelscope.sources.io import has_column
 
 # the integer pattern a CSV column must match to be integer typed
 INT_PATTERN = "^[+-]?[0-9]+$"
@@ -66,7 +67,7 @@ def submission_checks(spark: SparkSession, df: DataFrame,
                       valid_labels: Sequence[int] = VALID_LABELS) -> DataFrame:
     """V1-V6 as rows (check_id, check, passed, bad_rows). ``df`` is the table as
     read with every column as string (IO2), so type checks see raw text."""
-    has_cols = "id" in df.columns and "label" in df.columns
+    has_cols = has_column(df, "id") and has_column(df, "label")
     if not has_cols:  # V1 fails: nothing else is meaningful
         return spark.createDataFrame(
             [(1, "columns", False, 0)], "check_id INT, check STRING, passed BOOLEAN, bad_rows BIGINT")

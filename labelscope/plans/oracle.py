@@ -412,10 +412,13 @@ FROM scores s LEFT JOIN names n ON s.y_pred = n.label WHERE s.y_pred IS NOT NULL
 SELECT y_true, {", ".join(f'CAST(sum(n) FILTER (WHERE y_pred = {k}) AS BIGINT) AS "{k}"' for k in K10)}
 FROM cm GROUP BY y_true""",
         "report_lines": f"""WITH {report_rows}
-SELECT row_order, CASE WHEN precision IS NULL
-         THEN printf('%15s %9s %9s %9.3f %9d', name, '', '', f1_score, support)
-         ELSE printf('%15s %9.3f %9.3f %9.3f %9d', name, precision, recall, f1_score, support) END AS value
-FROM rep""",
+SELECT 2 * row_order AS row_order, CASE WHEN precision IS NULL
+         THEN printf('%12s  %9s %9s %9.3f %9d', name, '', '', f1_score, support)
+         ELSE printf('%12s  %9.3f %9.3f %9.3f %9d', name, precision, recall, f1_score, support) END AS value
+FROM rep
+UNION ALL SELECT -2, printf('%12s  %9s %9s %9s %9s', '', 'precision', 'recall', 'f1-score', 'support')
+UNION ALL SELECT -1, ''
+UNION ALL SELECT 2 * row_order - 1, '' FROM rep WHERE precision IS NULL""",
         "submission_summary": f"""WITH {PRED_TABLE}
 SELECT label, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM preds), 6) AS pct,
        (SELECT count(*) FROM preds) AS total FROM preds GROUP BY label""",

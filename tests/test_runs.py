@@ -6,7 +6,8 @@ import json
 
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
-from test_metrics import REPORT, golden_pairs
+from labelscope.functions.labels import LABEL_NAMES
+from test_metrics import MACRO, REPORT, SUPPORT, WEIGHTED, golden_pairs
 
 from labelscope.operators import groups, profile
 from labelscope.plans import roles, runs
@@ -58,9 +59,14 @@ def test_evaluation_run_golden(spark, tmp_path):
     lines = []
     for f in sorted(glob.glob(str(tmp_path / "eval" / "classification_report" / "part-*"))):
         lines += open(f).read().splitlines()
-    assert len(lines) == 14
-    for line, (p, r, f1) in zip(lines, REPORT):
-        assert line.split()[-4:-1] == [f"{p:.3f}", f"{r:.3f}", f"{f1:.3f}"]
+    # the published 17 lines: header, classes, summary, with blank lines between
+    assert len(lines) == 17 and lines[1] == lines[13] == ""
+    assert lines[0] == "              precision    recall  f1-score   support"
+    for line, name, (p, r, f1), n in zip(lines[2:13], LABEL_NAMES, REPORT, SUPPORT):
+        assert line == f"{name:>12}  {p:9.3f} {r:9.3f} {f1:9.3f} {n:9d}"
+    assert lines[14] == f"{'accuracy':>12}  {'':9} {'':9} {0.677:9.3f} {1000:9d}"
+    for line, name, row in zip(lines[15:], ("macro avg", "weighted avg"), (MACRO, WEIGHTED)):
+        assert line == f"{name:>12}  {row[0]:9.3f} {row[1]:9.3f} {row[2]:9.3f} {1000:9d}"
     lang = {r["language"]: (r["accuracy"], r["count"]) for r in out["language_stats"].collect()}
     j = df.withColumn("correct", (F.col("y_true") == F.col("y_pred")).cast("int"))
     want = {r["language"]: (r["accuracy"], r["count"])
