@@ -22,7 +22,10 @@ the operator returns the connected components of all links.
    sizes cannot reach the threshold or whose greatest possible overlap,
    ``excess + popcount(OR & OR)``, is too small. Long lists are dealt as pairs
    of blocks, so no list is ever one task.
-5. Surviving pairs are checked exactly on the texts, and all links are united.
+5. Pairs are counted over all shingles. Of two sets, the one whose prefix ends
+   first shares with the other at most the shingles common to both prefixes and
+   its own rest, so a pair with fewer common ones than that needs is dropped.
+6. Surviving pairs are checked exactly on the texts, and all links are united.
 
 Defined results: documents with fewer than five words have the whole sequence
 as their one shingle; documents without words (null, empty) link with nothing;
@@ -45,10 +48,12 @@ from labelscope.llm._text import Words, inside, mix, text_slices, window_hashes
 
 SHINGLE = 5
 PERCENT = 75
-BITS = 1024
+BITS = 512
 HASHES = 4
 FANOUT = 8
 BLOCK = 4096
+#: List rows a task turns into trees at once.
+ROWS_AT_ONCE = 60_000
 #: One document in so many shows which shingles are common.
 COMMON_SAMPLE = 16
 COMMON_TIMES = 3
@@ -99,7 +104,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 maps = []
                 for s in sets:
                     bits = np.zeros(BITS, bool)
-                    bits[(s >> np.uint64(54)).astype(np.int64) % BITS] = True
+                    bits[(s >> np.uint64(32)).astype(np.int64) % BITS] = True
                     maps.append(np.packbits(bits).tobytes())
                 mh = pa.ListArray.from_arrays(pa.array(np.arange(0, HASHES * len(n) + 1, HASHES, dtype=np.int32)), _long(low.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _long(d[0]), _long(d[1]), pa.array(maps, pa.binary()), mh],
@@ -260,13 +265,24 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int = PERCENT, s
     return a.order[i], b.order[j]
 
 
-def tree_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of ``members(h, id, n, bitmap, comp)``, a < b,
-    by the signature trees of each ``h``; lists over ``BLOCK`` in block pairs."""
+def small_lists(bounds: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of the lists of up to ``most`` rows (trees of one node)."""
+    start, size = bounds[:-1], np.diff(bounds)
+    for k in range(2, most + 1):
+        at = start[size == k]
+        x, y = np.triu_indices(k, 1)
+        yield (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+
+
+def tree_pairs(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate pairs ``(a, b, c)`` of ``members(h, id, comp)``, a < b, by the
+    signature trees of each ``h``; ``c`` is the number of shingles whose lists
+    hold both. Lists over ``BLOCK`` are dealt as block pairs."""
     count = members.groupBy(F.col("h").alias("ch")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
     rows = members.join(count, F.col("h") == F.col("ch")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("h", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "id", "n", "comp", "bitmap")
+    rows = rows.select("h", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "id", "comp")
+    rows = rows.join(classes.select(F.col("id").alias("cid"), "n", "bitmap"), F.col("id") == F.col("cid")).drop("cid")
 
     def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h, b1, b2 = (rows.column(k).to_numpy() for k in ("h", "b1", "b2"))
@@ -274,7 +290,15 @@ def tree_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         bounds = np.append(np.flatnonzero(new), len(h))
         ids, n, comp, blk = (rows.column(k).to_numpy() for k in ("id", "n", "comp", "blk"))
         bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(h), BITS // 64)
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        leaves = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64), comp)
+        for i, j in small_lists(bounds, FANOUT):
+            for k in range(0, len(i), 200_000):
+                x, y = i[k: k + 200_000], j[k: k + 200_000]
+                x, y = (v[blk[x] + blk[y] == b1[x] + b2[x]] for v in (x, y))  # of two blocks, one from each
+                ok = _possible(leaves, leaves, x, y, percent)
+                yield ids[x[ok]], ids[y[ok]]
+        long = np.flatnonzero(np.diff(bounds) > FANOUT)
+        for s, e in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
             if b1[s] == b2[s]:
                 tree = SignatureTree(bits[s:e], n[s:e], comp[s:e])
                 i, j = dual_traversal(tree, tree, percent, same=True)
@@ -285,36 +309,47 @@ def tree_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                     i, j = dual_traversal(*(SignatureTree(bits[k], n[k], comp[k]) for k in (left, right)), percent)
                     yield ids[left[i]], ids[right[j]]
 
+    def counted(table: pa.Table) -> pa.RecordBatch:
+        got = list(pairs(table))
+        a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        pair, c = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(c.astype(np.int64))], ["a", "b", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            got = list(pairs(table))
-            if got:
-                a, b = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+            if size < ROWS_AT_ONCE:
                 continue
-            # hold back the last list: it may go on in the next batch (2 blocks at most)
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            key = [table.column(k).to_numpy() for k in ("h", "b1", "b2")]
+            # hold back the last list: it may go on in the next batch (two blocks at most)
+            table = pa.Table.from_batches(held).combine_chunks()
             last = np.ones(table.num_rows, bool)
-            for k in key:
-                last &= k == k[-1]
-            cut = int(np.argmax(last)) if last.any() else table.num_rows
-            # rows are sorted, so the last list is the tail
+            for k in ("h", "b1", "b2"):
+                key = table.column(k).to_numpy()
+                last &= key == key[-1]
+            cut = int(np.argmax(last))
             if cut:
-                yield from flush(table.slice(0, cut).combine_chunks())
+                yield counted(table.slice(0, cut).combine_chunks())
             held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held).combine_chunks())
+            size = table.num_rows - cut
+        if size:
+            yield counted(pa.Table.from_batches(held).combine_chunks())
 
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (rows.repartition(parts, "h", "b1", "b2").sortWithinPartitions("h", "b1", "b2")
-            .mapInArrow(run, "a long, b long").distinct())
+    found = rows.repartition(parts, "h", "b1", "b2").sortWithinPartitions("h", "b1", "b2").mapInArrow(run, "a long, b long, c long")
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def enough_common(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs whose prefixes share as many shingles as the threshold needs."""
+    size = classes.select(F.col("id").alias("cid"), F.col("n").alias("cn"))
+    rows = (pairs.join(size, F.col("a") == F.col("cid")).select("a", "b", "c", F.col("cn").alias("na"))
+            .join(size, F.col("b") == F.col("cid")).select("a", "b", "c", "na", F.col("cn").alias("nb")))
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100 + percent))  # of a linking pair's overlap
+    rest = F.ceil(F.greatest("na", "nb") * percent / F.lit(100)) - 1  # of a set after its prefix
+    return rows.where(F.col("c") >= least - rest).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
@@ -375,11 +410,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stage_table(named, "shared-shingles")
     cross = stage_table(named.groupBy(F.col("h").alias("ch")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                         .where("lo < hi").select("ch"), "cross-shingles")
-    members = (named.join(cross, F.col("h") == F.col("ch"), "left_semi")
-               .join(classes.select(F.col("id").alias("cid"), "n", "bitmap"), F.col("id") == F.col("cid"))
-               .select("h", "id", "n", "comp", "bitmap"))
-    members = stage_table(members, "shingle-members")
-    pairs = stage_table(tree_pairs(members, percent), "tree-pairs")
+    members = stage_table(named.join(cross, F.col("h") == F.col("ch"), "left_semi"), "shingle-members")
+    pairs = stage_table(enough_common(tree_pairs(members, classes, percent), classes, percent), "tree-pairs")
     links = stage_table(verify(pairs, docs, id_col, text_col, percent), "tree-links")
     # components of the first step are the nodes now
     comp = classes.select(F.col("id").alias("cid"), "comp")
