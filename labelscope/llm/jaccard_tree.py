@@ -20,8 +20,10 @@ the operator returns the connected components of all links.
    a node holds the OR of its bitmaps, its range of set sizes and its greatest
    excess of set size over bits. A traversal of node pairs prunes those whose
    sizes cannot reach the threshold or whose greatest possible overlap,
-   ``excess + popcount(OR & OR)``, is too small. Long lists are dealt as pairs
-   of blocks, so no list is ever one task.
+   ``excess + popcount(OR & OR)``, is too small. Lists with the same smallest
+   document go to one task, which gives each pair once with its number of
+   lists; families of documents over ``BLOCK`` are dealt as pairs of blocks,
+   so none is ever one task.
 5. Pairs are counted over all shingles. Of two sets, the one whose prefix ends
    first shares with the other at most the shingles common to both prefixes and
    its own rest, so a pair with fewer common ones than that needs is dropped.
@@ -48,12 +50,12 @@ from labelscope.llm._text import Words, inside, mix, text_slices, window_hashes
 
 SHINGLE = 5
 PERCENT = 75
-BITS = 512
+BITS = 1024
 HASHES = 4
 FANOUT = 8
 BLOCK = 4096
 #: List rows a task turns into trees at once.
-ROWS_AT_ONCE = 60_000
+ROWS_AT_ONCE = 150_000
 #: One document in so many shows which shingles are common.
 COMMON_SAMPLE = 16
 COMMON_TIMES = 3
@@ -277,68 +279,98 @@ def small_lists(bounds: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.
 def tree_pairs(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs ``(a, b, c)`` of ``members(h, id, comp)``, a < b, by the
     signature trees of each ``h``; ``c`` is the number of shingles whose lists
-    hold both. Lists over ``BLOCK`` are dealt as block pairs."""
-    count = members.groupBy(F.col("h").alias("ch")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-    rows = members.join(count, F.col("h") == F.col("ch")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
+    hold both. The lists whose smallest id is the same form a family; a document
+    travels once per family, with its shingles there."""
+    lists = members.groupBy(F.col("h").alias("lh")).agg(F.min("id").alias("family"))
+    own = (members.join(lists, F.col("h") == F.col("lh")).groupBy("family", "id")
+           .agg(F.first("comp").alias("comp"), F.collect_list("h").alias("hs")))
+    own = stage_table(own, "shingle-families")
+    count = own.groupBy(F.col("family").alias("cf")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
+    rows = own.join(count, F.col("family") == F.col("cf")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("h", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "id", "comp")
+    rows = rows.select("family", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "id", "comp", "hs")
     rows = rows.join(classes.select(F.col("id").alias("cid"), "n", "bitmap"), F.col("id") == F.col("cid")).drop("cid")
 
     def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        h, b1, b2 = (rows.column(k).to_numpy() for k in ("h", "b1", "b2"))
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
-        bounds = np.append(np.flatnonzero(new), len(h))
-        ids, n, comp, blk = (rows.column(k).to_numpy() for k in ("id", "n", "comp", "blk"))
-        bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(h), BITS // 64)
+        """Places of the documents of every pair of every list."""
+        family, b1, b2, n, comp, blk = (rows.column(k).to_numpy() for k in ("family", "b1", "b2", "n", "comp", "blk"))
+        hs = rows.column("hs").combine_chunks()
+        hs = hs.chunk(0) if isinstance(hs, pa.ChunkedArray) else hs
+        h, size = np.asarray(hs.flatten()), np.diff(np.asarray(hs.offsets))
+        bits = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(n), BITS // 64)
         leaves = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64), comp)
+        group = np.cumsum(np.concatenate([[True], (family[1:] != family[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])) - 1
+        row = np.repeat(np.arange(len(n)), size)
+        order = np.lexsort((row, h, group[row]))
+        row, h, g = row[order], h[order], group[row][order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        bounds = np.append(np.flatnonzero(new), len(h))
         for i, j in small_lists(bounds, FANOUT):
             for k in range(0, len(i), 200_000):
-                x, y = i[k: k + 200_000], j[k: k + 200_000]
-                x, y = (v[blk[x] + blk[y] == b1[x] + b2[x]] for v in (x, y))  # of two blocks, one from each
+                x, y = row[i[k: k + 200_000]], row[j[k: k + 200_000]]
+                one = blk[x] + blk[y] == b1[x] + b2[x]  # of two blocks, one from each
+                x, y = x[one], y[one]
                 ok = _possible(leaves, leaves, x, y, percent)
-                yield ids[x[ok]], ids[y[ok]]
+                yield x[ok], y[ok]
         long = np.flatnonzero(np.diff(bounds) > FANOUT)
         for s, e in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
-            if b1[s] == b2[s]:
-                tree = SignatureTree(bits[s:e], n[s:e], comp[s:e])
+            at = row[s:e]
+            if b1[at[0]] == b2[at[0]]:
+                tree = SignatureTree(bits[at], n[at], comp[at])
                 i, j = dual_traversal(tree, tree, percent, same=True)
-                yield ids[s + i], ids[s + j]
+                yield at[i], at[j]
             else:
-                left, right = (s + np.flatnonzero(blk[s:e] == v[s]) for v in (b1, b2))
+                left, right = (at[blk[at] == v[at[0]]] for v in (b1, b2))
                 if len(left) and len(right):
                     i, j = dual_traversal(*(SignatureTree(bits[k], n[k], comp[k]) for k in (left, right)), percent)
-                    yield ids[left[i]], ids[right[j]]
+                    yield left[i], right[j]
 
     def counted(table: pa.Table) -> pa.RecordBatch:
-        got = list(pairs(table))
-        a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        pair, c = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(c.astype(np.int64))], ["a", "b", "c"])
+        ids = table.column("id").to_numpy()
+        m = table.num_rows
+        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def add(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            new, inverse = np.unique(np.concatenate([codes, *waiting]), return_inverse=True)
+            weight = np.concatenate([times, np.ones(sum(map(len, waiting)), np.int64)])
+            waiting.clear()
+            return new, np.bincount(inverse, weights=weight, minlength=len(new)).astype(np.int64)
+
+        for x, y in pairs(table):
+            waiting.append(np.minimum(x, y) * m + np.maximum(x, y))
+            if sum(map(len, waiting)) > 1_000_000:
+                codes, times = add(codes, times)
+        codes, times = add(codes, times)
+        a, b = ids[codes // m], ids[codes % m]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(times)], ["a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            size += batch.num_rows
+            size += len(batch.column(batch.schema.get_field_index("hs")).flatten())
             if size < ROWS_AT_ONCE:
                 continue
-            # hold back the last list: it may go on in the next batch (two blocks at most)
+            # hold back the last group: it may go on in the next batch (two blocks at most)
             table = pa.Table.from_batches(held).combine_chunks()
             last = np.ones(table.num_rows, bool)
-            for k in ("h", "b1", "b2"):
+            for k in ("family", "b1", "b2"):
                 key = table.column(k).to_numpy()
                 last &= key == key[-1]
             cut = int(np.argmax(last))
             if cut:
                 yield counted(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).combine_chunks().to_batches()
-            size = table.num_rows - cut
-        if size:
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(len(x.column(x.schema.get_field_index("hs")).flatten()) for x in held)
+        if held:
             yield counted(pa.Table.from_batches(held).combine_chunks())
 
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = rows.repartition(parts, "h", "b1", "b2").sortWithinPartitions("h", "b1", "b2").mapInArrow(run, "a long, b long, c long")
+    found = rows.repartition(parts, "family", "b1", "b2").sortWithinPartitions("family", "b1", "b2").mapInArrow(run, "a long, b long, c long")
     return found.groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
