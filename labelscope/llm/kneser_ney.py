@@ -379,7 +379,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     kinds = [docs.schema[c] for c in carry]
     kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
     scored = stage_table(perplexities(blocks, model, order, kinds), "kn-scores")
-    known = scored.where("perplexity is not null").join(ids, F.col("__id") == F.col("id"), "left_semi")
+    known = scored.where("perplexity is not null").join(ids.select(F.col("id").alias("__trusted")), F.col("__id") == F.col("__trusted"), "left_semi")
     fold = calibration("__id")
     of = lambda mask: F.percentile_approx(F.when(mask, F.col("perplexity")), F.lit(quantile), F.lit(100_000))
     cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(

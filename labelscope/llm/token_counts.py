@@ -200,10 +200,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", limit
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
                         "n_bytes long", "n_tokens long"])
     out = src.where(~huge).mapInArrow(count, schema)
-    large = src.where(huge).withColumn("key", F.sha2("__text", 256))
-    texts = large.select("key", F.col("__text").alias("text")).dropDuplicates(["key"])
+    large = src.where(huge).withColumn("__key", F.sha2("__text", 256))
+    texts = large.select(F.col("__key").alias("key"), F.col("__text").alias("text")).dropDuplicates(["key"])
     counts = huge_counts(texts, vocabulary, chunk_bytes, overlap_bytes)
-    large = large.join(counts.withColumnRenamed("n_tokens", "__n"), "key")
+    large = large.join(counts.select(F.col("key").alias("__key"), F.col("n_tokens").alias("__n")), "__key")
     out = out.unionByName(large.select(*carry, F.octet_length("__text").cast("long").alias("n_bytes"),
                                        F.col("__n").alias("n_tokens")))
     return out if limit is None else out.withColumn("over_limit", F.col("n_tokens") > limit)

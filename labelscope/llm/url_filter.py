@@ -95,6 +95,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     n = urls.count()
     blocks = max(1, math.ceil(n * BITS_PER_URL / BLOCK_BITS))
     bloom = bloom_table(urls, blocks)
+    bloom = bloom.toDF(*(f"__f_{c}" for c in bloom.columns))
     if blocks * 72 <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
     src = pages.select(*carry, F.col(url_col).alias("__url"))
@@ -104,10 +105,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     src = src.withColumns({"rule": rule, "__action": action})
     c = F.col("__canonical")
     probe = src.withColumn("__block", _block(c, blocks))
-    probe = probe.join(bloom, probe["__block"] == bloom["block"], "left")
+    probe = probe.join(bloom, F.col("__block") == F.col("__f_block"), "left")
     in_filter = F.lit(True)
     for i in range(WORDS):
-        in_filter = in_filter & (F.col(f"w{i}").bitwiseAND(_bit(c, i)) == _bit(c, i))
+        in_filter = in_filter & (F.col(f"__f_w{i}").bitwiseAND(_bit(c, i)) == _bit(c, i))
     possible = F.coalesce(in_filter & F.col("__action").isNull() & (c != ""), F.lit(False))
     # rows that cannot be hits get spread keys no URL equals, so they neither
     # match nor gather in one partition

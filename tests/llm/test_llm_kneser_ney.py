@@ -119,10 +119,10 @@ def test_junk_goes_and_clean_documents_stay(spark):
 def test_edge_rows(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "some words here", None), (4, "no model", "xx"), (5, "some words", "en"),
             (5, "some words", "en"), (None, "some words", "en"), (6, "word " * 60_000, "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS kept", "1 AS __y")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS kept", "1 AS __y", "7 AS id", "'s' AS shard")
     labels = spark.createDataFrame([(5, 1), (6, 1), (4, 0), (None, 1), (99, 1)], "doc_id long, quality int")
     got = K.classify(docs, labels).collect()
-    assert len(got) == len(rows) and got[0]["__y"] == 1
+    assert len(got) == len(rows) and got[0]["__y"] == 1 and got[0]["id"] == 7 and got[0]["shard"] == "s"
     by = {(r["doc_id"], r["text"]): r for r in got}
     assert all(r["kept"] for r in got if r["perplexity"] is None)
     assert by[1, None]["perplexity"] is None and by[3, "some words here"]["perplexity"] is None

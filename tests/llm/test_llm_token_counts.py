@@ -48,10 +48,10 @@ def test_chunked_texts_equal_whole_encodings(spark, chunk, overlap):
 
 def test_repeated_huge_rows_extra_columns_and_empty_table(spark):
     huge = "some words and more " * 5000
-    df = spark.createDataFrame([(1, huge, "a", 3), (1, huge, "b", 4), (None, huge, "c", 5)], "doc_id long, text string, x string, n_tokens int")
-    got = T.count_tokens(df, PATH, carry=["doc_id", "x", "n_tokens"]).collect()
+    df = spark.createDataFrame([(1, huge, "a", 3), (1, huge, "b", 4), (None, huge, "c", 5)], "doc_id long, text string, key string, n_tokens int")
+    got = T.count_tokens(df, PATH, carry=["doc_id", "key", "n_tokens"]).collect()
     n = library([huge])[0]
-    assert sorted((r["x"], r["n_tokens"], r["n_bytes"]) for r in got) == [(k, n, len(huge)) for k in "abc"]
+    assert sorted((r["key"], r["n_tokens"], r["n_bytes"]) for r in got) == [(k, n, len(huge)) for k in "abc"]
     assert T.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 

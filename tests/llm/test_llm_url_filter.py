@@ -62,7 +62,7 @@ def test_filter_has_no_false_negatives(spark):
 
 def test_empty_tables_repeats_and_clashing_columns(spark):
     assert rows(spark, [], ["http://a.net/"]) == {}
-    pages = spark.createDataFrame([(1, "http://a.net/x", "p", 5), (1, "http://a.net/x", "p", 5)], "page_id long, url string, path string, k int")
+    pages = spark.createDataFrame([(1, "http://a.net/x", "p", 5), (1, "http://a.net/x", "p", 5)], "page_id long, url string, path string, w0 int").withColumn("block", F.lit("b"))
     lists = spark.createDataFrame([("https://www.a.net/x/",)], "url string")
     got = U.filter_urls(pages, lists).collect()
-    assert [(r["path"], r["verdict"], r["k"]) for r in got] == [("/x", "block", 5)] * 2
+    assert [(r["path"], r["verdict"], r["w0"], r["block"]) for r in got] == [("/x", "block", 5, "b")] * 2
