@@ -93,17 +93,22 @@ class Words:
         self.first = np.searchsorted(start, off).astype(np.int64)
         self._word = word
 
-    def encode(self) -> tuple[np.ndarray, pa.Array]:
-        """Exact dictionary coding: a code per word, and the distinct words."""
+    def tokens(self) -> pa.Array:
+        """All words in order."""
         if not len(self.start):
-            return np.zeros(0, np.int32), pa.array([], pa.binary())
+            return pa.array([], pa.binary())
         ends = np.zeros(len(self.start) + 1, dtype=np.int64)
         np.cumsum(self.end - self.start, out=ends[1:])
         small = ends[-1] < 2**31
-        arr = pa.Array.from_buffers(
+        return pa.Array.from_buffers(
             pa.binary() if small else pa.large_binary(), len(self.start),
             [None, pa.py_buffer(ends.astype(np.int32) if small else ends), pa.py_buffer(self.data[self._word])])
-        enc = arr.dictionary_encode()
+
+    def encode(self) -> tuple[np.ndarray, pa.Array]:
+        """Exact dictionary coding: a code per word, and the distinct words."""
+        if not len(self.start):
+            return np.zeros(0, np.int32), pa.array([], pa.binary())
+        enc = self.tokens().dictionary_encode()
         return np.asarray(enc.indices), enc.dictionary
 
     @property

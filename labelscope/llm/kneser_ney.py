@@ -2,10 +2,12 @@
 model of trusted text, per-document perplexity, and thresholds that are
 quantiles of each language.
 
-A word is read as its characters between a start and an end mark; an n-gram
-never leaves its word, so a document's perplexity is a sum over its distinct
-words. Every n-gram and every context is a 64-bit key that starts from the
-language, so all languages share the tables.
+A document is read as running text: a start mark, then the characters of its
+words, each word closed by an end mark that stands for the space after it, so
+n-grams cross from word to word. A batch is reduced to its distinct n-grams of
+the highest order. Every n-gram and every context is a 64-bit key that starts
+from the language, so all languages share the tables. (The functions below
+``classify`` read each word on its own unless ``across`` is set.)
 
 1. Documents are dealt into shards of about ``SHARD_BYTES`` by a hash of their
    id, as compressed blocks of rows. Shards meet the trusted ids in a co-group
@@ -125,24 +127,57 @@ def word_symbols(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return chars, first + np.arange(words + 1)
 
 
-def keys_by_order(symbols: np.ndarray, first: np.ndarray, root: np.uint64, order: int) -> list[np.ndarray]:
-    """``keys[n][i]``: key of the ``n`` symbols ending at place ``i`` (valid while
-    they lie in the word); ``keys[0]`` is the empty context."""
-    c = symbols * np.uint64(0xD6E8FEB86659FD93)
-    keys = [np.full(len(symbols), root, np.uint64)]
+def text_symbols(words: Words, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the texts (``across``: one start mark a text, else one a word),
+    the number of each since its start mark, and each text's first symbol."""
+    symbols, first = word_symbols(words.tokens())
+    off = first[words.first]
+    if across:
+        keep = np.ones(len(symbols), bool)
+        keep[first[:-1]] = False
+        keep[off[:-1][words.counts > 0]] = True
+        symbols, off = symbols[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+    here = np.arange(len(symbols))
+    return symbols, here - np.maximum.accumulate(np.where(symbols == _START, here, 0)), off
+
+
+def distinct_grams(symbols: np.ndarray, j: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every place but the start marks: the code of the ``order`` symbols (or
+    those since the start mark) that end there; and a place of each code."""
+    kinds = np.flatnonzero(np.bincount(symbols.astype(np.int64)))
+    small = np.zeros(int(kinds[-1]) + 1, np.int64)
+    small[kinds] = np.arange(1, len(kinds) + 1)
+    small = small[symbols.astype(np.int64)]
+    bits = len(kinds).bit_length()
+    window, used = np.zeros(len(symbols), np.int64), 0
+    for n in range(order - 1, -1, -1):
+        if used + bits > 63:  # a large alphabet: number the windows so far
+            numbered = pa.array(window).dictionary_encode()
+            window, used = np.asarray(numbered.indices).astype(np.int64), len(numbered.dictionary).bit_length()
+        window <<= bits
+        window[n:] |= np.where(j[n:] >= n, small[: max(len(small) - n, 0)], 0)
+        used += bits
+    place = np.flatnonzero(j)
+    coded = pa.array(window[place]).dictionary_encode()
+    code = np.asarray(coded.indices)
+    at = np.zeros(len(coded.dictionary), np.int64)
+    at[code] = place
+    return code, at
+
+
+def gram_keys(symbols: np.ndarray, at: np.ndarray, root: np.uint64, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``keys[n]``: keys of the ``n`` symbols that end at the places ``at`` (valid
+    while they reach back to the start mark at most); ``contexts[n]``: of all
+    but the last of them. ``keys[0]`` is the empty context."""
+    c = [symbols[np.maximum(at - k, 0)] * np.uint64(0xD6E8FEB86659FD93) for k in range(order)]
+    keys, contexts = [np.full(len(at), root, np.uint64)], [np.full(len(at), root, np.uint64)]
     for n in range(1, order + 1):
-        before = np.empty_like(keys[-1])
-        before[0] = root
-        before[1:] = keys[-1][:-1]
-        if n == 1:
-            before[:] = root
-        keys.append(mix(before * _K + c + np.uint64(n)))
-    return keys
-
-
-def places(first: np.ndarray) -> np.ndarray:
-    """Number of each symbol in its word (the start mark is 0)."""
-    return np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+        key = keys[0]
+        for k in range(n - 1, -1, -1):
+            before, key = key, mix(key * _K + c[k] + np.uint64(n - k))
+        keys.append(key)
+        contexts.append(before)
+    return keys, contexts
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray]]:
@@ -190,7 +225,7 @@ def unpack(block: pa.Scalar) -> Iterator[pa.RecordBatch]:
 
 # --- model -------------------------------------------------------------------
 
-def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
+def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool = False) -> DataFrame:
     """``(key, ord, ctx, suf, bos, c)`` of the documents whose id is in
     ``trusted(shard, id)``."""
     names = ["key", "ord", "ctx", "suf", "bos", "c"]
@@ -204,22 +239,21 @@ def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int) -> DataFrame
                 part = part.filter(pc.is_in(part.column(part.schema.get_field_index("__id")), value_set=ids, skip_nulls=True))
                 for lang, rows in _by_language(part):
                     words = Words(part.column(part.schema.get_field_index("__text")).take(pa.array(rows)))
-                    code, dictionary = words.encode()
-                    if not len(code):
+                    if not len(words.start):
                         continue
-                    times = np.bincount(code, minlength=len(dictionary))
-                    symbols, first = word_symbols(dictionary)
-                    keys = keys_by_order(symbols, first, language_key(lang), order)
-                    j, weight = places(first), np.repeat(times, np.diff(first))
+                    symbols, since, _ = text_symbols(words, across)
+                    code, at = distinct_grams(symbols, since, order)
+                    times, j = np.bincount(code), since[at]
+                    keys, contexts = gram_keys(symbols, at, language_key(lang), order)
                     for n in range(1, order + 1):
-                        at = np.flatnonzero(j >= max(n - 1, 1))
-                        key, k, inverse = np.unique(keys[n][at], return_index=True, return_inverse=True)
-                        c = np.bincount(inverse, weights=weight[at]).astype(np.int64)
-                        one = at[k]
+                        rows = np.flatnonzero(j >= n - 1)
+                        key, k, inverse = np.unique(keys[n][rows], return_index=True, return_inverse=True)
+                        c = np.bincount(inverse, weights=times[rows]).astype(np.int64)
+                        one = rows[k]
                         out.append(pa.RecordBatch.from_arrays([
                             pa.array(key.view(np.int64)), pa.array(np.full(len(key), n, np.int32)),
-                            pa.array(keys[n - 1][one - 1].view(np.int64) if n > 1 else keys[0][one].view(np.int64)),
-                            pa.array(keys[n - 1][one].view(np.int64)), pa.array(j[one] == n - 1), pa.array(c)], names))
+                            pa.array(contexts[n][one].view(np.int64)), pa.array(keys[n - 1][one].view(np.int64)),
+                            pa.array(j[one] == n - 1), pa.array(c)], names))
                 if len(out) > 64:
                     out = _added(out, kinds)
         return pa.Table.from_batches(_added(out, kinds) if out else [], schema=kinds)
@@ -273,30 +307,24 @@ def model_table(counts: DataFrame, order: int) -> DataFrame:
 
 # --- scoring -----------------------------------------------------------------
 
-def word_costs(symbols: np.ndarray, first: np.ndarray, keys: list[np.ndarray], lookup: Lookup,
+def gram_costs(j: np.ndarray, keys: list[np.ndarray], contexts: list[np.ndarray], lookup: Lookup,
                alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Negative log-probability of each word (interpolated from the shortest context up)."""
-    j = places(first)
-    at = lookup.find(keys[0][:1])[0]
-    p = np.full(len(symbols), alpha[at])
-    context = np.full(len(symbols), at)
+    """Negative log-probability of each gram's last symbol (interpolated from the shortest context up)."""
+    p = np.full(len(j), alpha[lookup.find(keys[0][:1])[0]])
+    live = np.arange(len(j))
     for n in range(1, len(keys)):
-        found = lookup.find(keys[n])
-        ok = (j >= n - 1) & (context >= 0)
-        g = np.where(ok, gamma[context], np.nan)
-        use = ok & ~np.isnan(g)
-        a = np.where(found >= 0, np.nan_to_num(alpha[found]), 0.0)
-        p = np.where(use, a + g * p, p)
-        context = np.empty_like(found)  # the n symbols before each place
-        context[0] = -1
-        context[1:] = found[:-1]
-        context[j < n] = -1
-    cost = -np.log(p)
-    cost[j == 0] = 0.0
-    return np.add.reduceat(cost, first[:-1]) if len(cost) else np.zeros(0)
-
-
-def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list) -> DataFrame:
+        live = live[j[live] >= n - 1]
+        context = lookup.find(contexts[n][live])
+        some = context >= 0
+        live, g = live[some], gamma[context[some]]
+        some = ~np.isnan(g)  # a context unseen has no longer context seen
+        live, g = live[some], g[some]
+        found = lookup.find(keys[n][live])
+        p[live] = np.where(found >= 0, np.nan_to_num(alpha[found]), 0.0) + g * p[live]
+    return -np.log(p)
+
+
+def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, across: bool = False) -> DataFrame:
     """``kinds`` columns (carried in the blocks) with ``n_symbols`` and
     ``perplexity`` of whole texts."""
 
@@ -308,13 +336,13 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list) -
                 for part in unpack(block):
                     for lang, rows in _by_language(part):
                         words = Words(part.column(part.schema.get_field_index("__text")).take(pa.array(rows)))
-                        _, dictionary = words.encode()
-                        if not len(dictionary):
+                        if not len(words.start):
                             continue
-                        symbols, first = word_symbols(dictionary)
-                        keys = keys_by_order(symbols, first, language_key(lang), order)
-                        j = places(first)
-                        got = [keys[0][:1], *(keys[n][j >= n - 1] for n in range(1, order + 1))]
+                        symbols, since, _ = text_symbols(words, across)
+                        _, at = distinct_grams(symbols, since, order)
+                        keys, contexts = gram_keys(symbols, at, language_key(lang), order)
+                        j = since[at]
+                        got = [keys[0][:1], *(k[n][j >= n - 1] for n in range(1, order + 1) for k in (keys, contexts))]
                         mine.append(distinct(np.concatenate(got)))
                     if len(mine) >= 8:
                         mine[:] = [distinct(np.concatenate(mine))]
@@ -339,14 +367,15 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list) -
                 for lang, rows in _by_language(part):
                     root = language_key(lang)
                     words = Words(part.column(part.schema.get_field_index("__text")).take(pa.array(rows)))
-                    code, dictionary = words.encode()
                     known = lookup.find(np.array([root], np.uint64))[0] >= 0
-                    if not len(code) or not known:
+                    if not len(words.start) or not known:
                         continue
-                    symbols, first = word_symbols(dictionary)
-                    cost = word_costs(symbols, first, keys_by_order(symbols, first, root, order), lookup, alpha, gamma)
-                    n = per_doc((np.diff(first) - 1)[code], words.first)
-                    total = per_doc(cost[code], words.first)
+                    symbols, since, off = text_symbols(words, across)
+                    code, at = distinct_grams(symbols, since, order)
+                    cost = gram_costs(since[at], *gram_keys(symbols, at, root, order), lookup, alpha, gamma)
+                    first = np.concatenate([[0], np.cumsum(since > 0)])[off]
+                    n = np.diff(first)
+                    total = per_doc(cost[code], first)
                     symbols_of[rows] = n
                     result[rows] = np.where(n > 0, np.exp(total / np.maximum(n, 1)), np.nan)
                 keep = [part.column(part.schema.get_field_index(c)) for c in carry]
@@ -373,12 +402,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
     ids = stage_table(ids.withColumn("shard", shard_of("id", shards)), "kn-trusted")
     learn = ids.where(~calibration("id")).repartition(shards, "shard")
-    counts = stage_table(count_ngrams(blocks, learn, order), "kn-counts")
+    counts = stage_table(count_ngrams(blocks, learn, order, across=True), "kn-counts")
     model = stage_table(model_table(counts, order), "kn-model")
 
     kinds = [docs.schema[c] for c in carry]
     kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
-    scored = stage_table(perplexities(blocks, model, order, kinds), "kn-scores")
+    scored = stage_table(perplexities(blocks, model, order, kinds, across=True), "kn-scores")
     known = scored.where("perplexity is not null").join(ids.select(F.col("id").alias("__trusted")), F.col("__id") == F.col("__trusted"), "left_semi")
     fold = calibration("__id")
     of = lambda mask: F.percentile_approx(F.when(mask, F.col("perplexity")), F.lit(quantile), F.lit(100_000))

@@ -10,6 +10,8 @@ import pytest
 from labelscope.llm import kneser_ney as K
 
 SF = "/root/testdata/sf0.01"
+#: Least share of rows with repeated words that the model rejects.
+REPEATS = 0.06
 
 
 def plain_model(words, order):
@@ -83,6 +85,61 @@ def test_perplexity_equals_plain(spark, order):
         assert r["perplexity"] == pytest.approx(math.exp(sum(plain_cost(p, w, order) for w in words) / n), rel=1e-5)
 
 
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_running_text_equals_plain(spark, order):
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(TRAIN)], "id long, lang string, text string")
+    blocks = K.shard_blocks(docs, "id", "lang", "text", ["id"], 3)
+    ids = docs.select(K.shard_of("id", 3).alias("shard"), "id").repartition(3, "shard")
+    model = K.model_table(K.count_ngrams(blocks, ids, order, across=True), order)
+    tests = [*TRAIN, "  nab ana\n\tband ", "ban ban ban ban", "zzz unseen ✓", "b", " \n"]
+    more = spark.createDataFrame([(i, "en", t) for i, t in enumerate(tests)], "id long, lang string, text string")
+    got = K.perplexities(K.shard_blocks(more, "id", "lang", "text", ["id"], 2), model, order, [more.schema["id"]], across=True).collect()
+    p = plain_model(["$".join(t.split()) for t in TRAIN], order)
+    assert len(got) == len(tests)
+    for r in got:
+        words = tests[r["id"]].split()
+        n = sum(len(w) + 1 for w in words)
+        assert r["n_symbols"] == n
+        if n:
+            assert r["perplexity"] == pytest.approx(math.exp(plain_cost(p, "$".join(words), order) / n), rel=1e-5)
+        else:
+            assert r["perplexity"] is None
+
+
+def test_large_alphabets_keep_grams_apart():
+    symbols = np.concatenate([[2], np.arange(10, 9000), np.arange(10, 9000), [2], np.arange(10, 9000)]).astype(np.uint64)
+    j = np.concatenate([np.arange(1 + 2 * 8990), np.arange(8991)])
+    for order in (2, 5):
+        code, at = K.distinct_grams(symbols, j, order)
+        place = np.flatnonzero(j)
+        gram = [tuple(symbols[max(i - order + 1, i - j[i]): i + 1].tolist()) for i in place]
+        assert len(at) == len(set(gram)) == len(set(zip(code.tolist(), gram, strict=True)))
+        assert all(gram[k] == gram[int(np.searchsorted(place, at[c]))] for k, c in enumerate(code.tolist()))
+
+
+def test_order_of_words_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    mixed = docs.selectExpr("doc_id + 1000000 AS doc_id", "array_join(array_sort(split(text, '\\\\s+')), ' ') AS text", "lang")
+    got = {r["doc_id"]: r["perplexity"] for r in K.classify(docs.unionByName(mixed), labels, carry=["doc_id"]).collect()}
+    clean = [r["doc_id"] for r in labels.where("quality = 1").collect()]
+    assert np.mean([got[i + 1000000] > 1.05 * got[i] for i in clean]) > 0.95
+
+
+def test_every_kind_of_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = K.classify(docs, labels, carry=["doc_id", "text"]).join(labels, "doc_id").where("quality = 0").collect()
+    kinds = defaultdict(list)
+    for r in got:
+        t = r["text"]
+        kinds["caps" if "!!" in t else "symbols" if "$$$" in t or "###" in t else "menu" if " | " in t else "repeat"].append(not r["kept"])
+    rejected = {k: sum(v) / len(v) for k, v in kinds.items()}
+    assert rejected["caps"] == 1 and rejected["symbols"] == 1 and rejected["menu"] > 0.95
+    # a repeated word inside clean text is partly out of an n-gram's reach
+    assert rejected["repeat"] > REPEATS
+
+
 def test_plain_probabilities_sum_to_one():
     words = [w for t in TRAIN for w in t.split()]
     p = plain_model(words, 3)
