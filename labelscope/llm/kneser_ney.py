@@ -10,25 +10,27 @@ from the language, so all languages share the tables. (The functions below
 ``classify`` read each word on its own unless ``across`` is set.)
 
 1. Documents are dealt into shards of about ``SHARD_BYTES`` by a hash of their
-   id, as compressed blocks of rows. Shards meet the trusted ids in a co-group
-   that counts n-grams; Spark adds the shards' counts up.
-2. Continuation counts, discounts (from the counts of counts of each order)
+   id, as compressed blocks of rows; a shard holds documents of one of
+   ``FOLDS`` folds (also by a hash of the id). Shards meet the trusted ids in a
+   co-group that counts n-grams; Spark adds the shards' counts up by fold.
+2. Each fold has a model of the trusted documents of all other folds.
+   Continuation counts, discounts (from the counts of counts of each order)
    and back-off weights are joins and aggregates of the count table.
-3. Each shard asks for its distinct keys; a join with the model answers; shard
-   and answers meet in a co-group that scores whole texts.
-4. A tenth of the trusted documents (by id hash) trains nothing; the
-   ``quantile`` of its perplexities, by language, times ``slack`` is the
-   threshold.
+3. Each shard asks its fold's model for its distinct keys; a join answers;
+   shard and answers meet in a co-group that scores whole texts. No document
+   is scored with its own counts, so trusted and other documents compare.
+4. The ``quantile`` of the perplexities of all trusted documents of a language,
+   times ``slack``, is its threshold.
 
-Counts and quantiles are taken over all documents; nothing is sampled.
+Every trusted document is counted (for the other folds) and is in its
+language's quantile; nothing is sampled.
 
 Defined results: null and empty texts have no perplexity and are kept (other
 rules judge them); a null language is a language of its own; languages without
 trusted text have no model, and their documents no perplexity and are kept;
-languages whose trusted documents all train, or with fewer than
-``MIN_CALIBRATION`` in the tenth, use the training documents' quantile;
-repeated rows are scored one by one; extra columns pass through unless named
-like a result column.
+where a language's trusted documents all lie in one fold, that fold has no
+model, the language no threshold, and its documents are kept; repeated rows are
+scored one by one; extra columns pass through unless named like a result column.
 """
 
 from __future__ import annotations
@@ -48,8 +50,9 @@ from labelscope.llm._text import Words, mix, per_doc, text_bytes, text_slices
 
 ORDER = 5
 QUANTILE = 0.995
-SLACK = 1.5
-MIN_CALIBRATION = 20
+SLACK = 1.0
+#: Parts of the trusted documents; each is scored with the counts of the others.
+FOLDS = 5
 #: Text of one shard, and the least number of shards.
 SHARD_BYTES = 48 << 20
 MIN_SHARDS = 8
@@ -189,16 +192,20 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray
 
 # --- shards ------------------------------------------------------------------
 
-def shard_of(col: str, shards: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit("shard"), F.col(col)), F.lit(shards).cast("long")).cast("int")
+def shard_of(col: str, shards: int, folds: int = 1) -> F.Column:
+    """``shards`` is a multiple of ``folds``; a row's fold is its shard modulo
+    ``folds`` and does not depend on ``shards``."""
+    part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col(col)), F.lit(n).cast("long")).cast("int")
+    return part("shard", shards) if folds == 1 else part("shard", shards // folds) * folds + part("fold", folds)
 
 
-def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, carry: list[str], shards: int) -> DataFrame:
+def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, carry: list[str], shards: int,
+                 folds: int = 1) -> DataFrame:
     """``(shard, block)``: rows ``(carry..., __id, __lang, __text)`` of each batch and
     shard as one compressed Arrow stream, dealt by shard. Text shrinks to about
     a third, so the shuffle that brings shards together stays small."""
     src = docs.select(*carry, F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"),
-                      shard_of(id_col, shards).alias("__shard"))
+                      shard_of(id_col, shards, folds).alias("__shard"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -225,15 +232,17 @@ def unpack(block: pa.Scalar) -> Iterator[pa.RecordBatch]:
 
 # --- model -------------------------------------------------------------------
 
-def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool = False) -> DataFrame:
-    """``(key, ord, ctx, suf, bos, c)`` of the documents whose id is in
-    ``trusted(shard, id)``."""
-    names = ["key", "ord", "ctx", "suf", "bos", "c"]
-    kinds = pa.schema([("key", pa.int64()), ("ord", pa.int32()), ("ctx", pa.int64()), ("suf", pa.int64()), ("bos", pa.bool_()), ("c", pa.int64())])
+def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool = False, folds: int = 1) -> DataFrame:
+    """``(key, ord, ctx, suf, bos, c, c0...)`` of the documents whose id is in
+    ``trusted(shard, id)``: all counts, and those of each fold."""
+    names = ["key", "ord", "ctx", "suf", "bos", "c", "fold"]
+    kinds = pa.schema([("key", pa.int64()), ("ord", pa.int32()), ("ctx", pa.int64()), ("suf", pa.int64()), ("bos", pa.bool_()), ("c", pa.int64()),
+                       ("fold", pa.int32())])
 
     def count(docs: pa.Table, trusted: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
         ids = trusted.column("id").combine_chunks() if trusted.num_rows else None
+        fold = trusted.column("shard")[0].as_py() % folds if trusted.num_rows else 0
         for block in docs.column("block") if ids is not None else ():
             for part in unpack(block):
                 part = part.filter(pc.is_in(part.column(part.schema.get_field_index("__id")), value_set=ids, skip_nulls=True))
@@ -253,15 +262,16 @@ def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool
                         out.append(pa.RecordBatch.from_arrays([
                             pa.array(key.view(np.int64)), pa.array(np.full(len(key), n, np.int32)),
                             pa.array(contexts[n][one].view(np.int64)), pa.array(keys[n - 1][one].view(np.int64)),
-                            pa.array(j[one] == n - 1), pa.array(c)], names))
+                            pa.array(j[one] == n - 1), pa.array(c), pa.array(np.full(len(key), fold, np.int32))], names))
                 if len(out) > 64:
                     out = _added(out, kinds)
         return pa.Table.from_batches(_added(out, kinds) if out else [], schema=kinds)
 
     rows = blocks.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInArrow(
-        count, "key long, ord int, ctx long, suf long, bos boolean, c long")
+        count, "key long, ord int, ctx long, suf long, bos boolean, c long, fold int")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(folds)] if folds > 1 else []
     return rows.groupBy("key").agg(F.first("ord").alias("ord"), F.first("ctx").alias("ctx"), F.first("suf").alias("suf"),
-                                   F.first("bos").alias("bos"), F.sum("c").alias("c"))
+                                   F.first("bos").alias("bos"), F.sum("c").alias("c"), *by_fold)
 
 
 def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBatch]:
@@ -273,16 +283,21 @@ def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBat
     return table.combine_chunks().cast(kinds).to_batches()
 
 
-def model_table(counts: DataFrame, order: int) -> DataFrame:
-    """``(key, alpha, gamma)``: the discounted probability of each seen n-gram,
-    and the back-off weight of each seen context; the empty context's ``alpha``
-    is one over the number of symbols."""
-    follow = counts.where("ord > 1").groupBy(F.col("suf").alias("k")).agg(F.count("*").alias("left_kinds"))
+def model_table(counts: DataFrame, order: int, folds: int = 1) -> DataFrame:
+    """``(model, key, alpha, gamma)``: the discounted probability of each seen
+    n-gram, and the back-off weight of each seen context; the empty context's
+    ``alpha`` is one over the number of symbols. Model ``k`` leaves fold ``k``
+    out (one fold: nothing)."""
+    rest = [F.col("c") - F.col(f"c{k}") if folds > 1 else F.col("c") for k in range(folds)]
+    follow = counts.where("ord > 1").groupBy(F.col("suf").alias("k")).agg(
+        *(F.sum((c > 0).cast("long")).alias(f"left_kinds{k}") for k, c in enumerate(rest)))
     own = counts.join(follow, F.col("key") == F.col("k"), "left")
     whole = (F.col("ord") == order) | F.col("bos")
     # Kneser-Ney: below the top order, in how many contexts a gram occurs
-    grams = own.select("key", "ord", "ctx", F.when(whole, F.col("c")).otherwise(F.coalesce("left_kinds", "c")).alias("c"))
+    grams = own.select("key", "ord", "ctx", *(
+        F.when(whole | (c == 0), c).otherwise(F.coalesce(f"left_kinds{k}", c)).alias(f"c{k}") for k, c in enumerate(rest)))
     grams = stage_table(grams, "kn-grams")
+    grams = grams.select("key", "ord", "ctx", F.posexplode(F.array(*(f"c{k}" for k in range(folds)))).alias("model", "c")).where("c > 0")
     n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -290,19 +305,20 @@ def model_table(counts: DataFrame, order: int) -> DataFrame:
         d = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.least(F.greatest(F.coalesce(F.when(F.col("n1") > 0, d), F.lit(usual)), F.lit(0.05)), F.lit(float(i)))
 
-    discounts = grams.groupBy("ord").agg(*n).select(
-        F.col("ord").alias("o"), *(discount(i, u).alias(f"d{i}") for i, u in ((1, 0.5), (2, 1.0), (3, 1.5))))
-    # one row per order
-    grams = grams.join(F.broadcast(discounts), F.col("ord") == F.col("o"))
+    discounts = grams.groupBy("model", "ord").agg(*n).select(
+        F.col("model").alias("m"), F.col("ord").alias("o"), *(discount(i, u).alias(f"d{i}") for i, u in ((1, 0.5), (2, 1.0), (3, 1.5))))
+    # one row per fold and order
+    grams = grams.join(F.broadcast(discounts), (F.col("model") == F.col("m")) & (F.col("ord") == F.col("o")))
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     grams = grams.withColumn("d", d)
-    contexts = grams.groupBy(F.col("ctx").alias("x")).agg(
+    contexts = grams.groupBy(F.col("model").alias("y"), F.col("ctx").alias("x")).agg(
         F.sum("c").alias("total"), F.sum("d").alias("held"), F.first("ord").alias("x_ord"), F.count("*").alias("kinds"))
-    alpha = grams.join(contexts.select("x", "total"), F.col("ctx") == F.col("x")).select(
-        "key", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-    gamma = contexts.select(F.col("x").alias("key"), F.when(F.col("x_ord") == 1, 1.0 / (F.col("kinds") + 1)).alias("alpha"),
+    alpha = grams.join(contexts.select("y", "x", "total"), (F.col("model") == F.col("y")) & (F.col("ctx") == F.col("x"))).select(
+        "model", "key", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
+    gamma = contexts.select(F.col("y").alias("model"), F.col("x").alias("key"), F.when(F.col("x_ord") == 1, 1.0 / (F.col("kinds") + 1)).alias("alpha"),
                             (F.col("held") / F.col("total")).alias("gamma"))
-    return alpha.unionByName(gamma).groupBy("key").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
+    return alpha.unionByName(gamma).groupBy("model", "key").agg(
+        F.max("alpha").cast("float").alias("alpha"), F.max("gamma").cast("float").alias("gamma"))
 
 
 # --- scoring -----------------------------------------------------------------
@@ -324,9 +340,9 @@ def gram_costs(j: np.ndarray, keys: list[np.ndarray], contexts: list[np.ndarray]
     return -np.log(p)
 
 
-def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, across: bool = False) -> DataFrame:
+def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, across: bool = False, folds: int = 1) -> DataFrame:
     """``kinds`` columns (carried in the blocks) with ``n_symbols`` and
-    ``perplexity`` of whole texts."""
+    ``perplexity`` of whole texts, by the model of the shard's fold."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want: dict[int, list[np.ndarray]] = {}
@@ -350,8 +366,8 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, a
             key = np.sort(distinct(np.concatenate(mine))) if mine else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard, np.int32)), pa.array(key.view(np.int64))], ["shard", "key"])
 
-    asked = blocks.mapInArrow(ask, "shard int, key long")
-    answers = asked.join(model, "key").select("shard", "key", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
+    asked = blocks.mapInArrow(ask, "shard int, key long").withColumn("model", F.col("shard") % folds)
+    answers = asked.join(model, ["model", "key"]).select("shard", "key", "alpha", "gamma")
     carry = [f.name for f in kinds]
     names = ["n_symbols", "perplexity"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_symbols long", "perplexity double"])
@@ -389,30 +405,25 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, a
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
              trusted: str = "quality = 1", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK,
-             carry: list[str] | None = None) -> DataFrame:
+             carry: list[str] | None = None, folds: int = FOLDS) -> DataFrame:
     """``docs`` with ``n_symbols``, ``perplexity``, ``threshold`` and ``kept``."""
     tidy_shuffles(docs.sparkSession)
     names = ["n_symbols", "perplexity", "threshold", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    shards = max(MIN_SHARDS, -(-size // SHARD_BYTES))
-    blocks = shard_blocks(docs, id_col, lang_col, text_col, carry, shards)
-    calibration = lambda c: F.pmod(F.xxhash64(F.lit("calibration"), F.col(c)), F.lit(10)) == 0
+    shards = folds * -(-max(MIN_SHARDS, -(-size // SHARD_BYTES)) // folds)
+    blocks = shard_blocks(docs, id_col, lang_col, text_col, carry, shards, folds)
 
     ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
-    ids = stage_table(ids.withColumn("shard", shard_of("id", shards)), "kn-trusted")
-    learn = ids.where(~calibration("id")).repartition(shards, "shard")
-    counts = stage_table(count_ngrams(blocks, learn, order, across=True), "kn-counts")
-    model = stage_table(model_table(counts, order), "kn-model")
+    ids = stage_table(ids.withColumn("shard", shard_of("id", shards, folds)), "kn-trusted")
+    counts = stage_table(count_ngrams(blocks, ids.repartition(shards, "shard"), order, True, folds), "kn-counts")
+    model = stage_table(model_table(counts, order, folds), "kn-model")
 
     kinds = [docs.schema[c] for c in carry]
     kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
-    scored = stage_table(perplexities(blocks, model, order, kinds, across=True), "kn-scores")
+    scored = stage_table(perplexities(blocks, model, order, kinds, True, folds), "kn-scores")
     known = scored.where("perplexity is not null").join(ids.select(F.col("id").alias("__trusted")), F.col("__id") == F.col("__trusted"), "left_semi")
-    fold = calibration("__id")
-    of = lambda mask: F.percentile_approx(F.when(mask, F.col("perplexity")), F.lit(quantile), F.lit(100_000))
-    cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(
-        F.when(F.sum(fold.cast("long")) >= MIN_CALIBRATION, of(fold)).otherwise(of(F.lit(True))).alias("__cut"))
+    cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("__cut"))
     out = scored.join(cut, F.col("__lang").eqNullSafe(F.col("__cut_lang")), "left")
     limit = F.col("__cut") * slack
     kept = F.coalesce(F.col("perplexity") <= limit, F.lit(True))
