@@ -7,9 +7,12 @@ shard, queried by every vector.
 2. Each shard's graph is built in one task and staged.
 3. Every pair (shard of queries, shard) is one group. A search descends the
    levels and keeps a beam on the ground level. Beams that end full of links
-   are doubled for those queries; an audit of ``AUDIT`` queries against brute
-   force doubles all beams of the group until its recall is ``RECALL``; a beam
-   as wide as half the shard becomes a scan of it.
+   are widened for those queries. An audit doubles all beams of the group until
+   its recall is ``RECALL``, both for the links of ``AUDIT`` queries (against
+   brute force) and for ``PROBES`` vectors made from the shard's own nodes, each
+   turned away from its node until their cosine is the threshold: links are
+   audited where the data hold none. A beam as wide as half the shard becomes a
+   scan of it.
 4. Candidates are checked by their cosine in double precision. A group reports
    the number of links of each query and a spanning forest of its links, so
    rows grow with vectors, not with linked pairs.
@@ -42,6 +45,7 @@ GROUND_LINKS, UPPER_LINKS = 24, 12
 BUILD_BEAM = 40
 SEARCH_BEAM = 24
 AUDIT = 48
+PROBES = 1000
 RECALL = 0.999
 #: Entries of the visited table of one block of queries.
 VISITED = 8_000_000
@@ -199,18 +203,34 @@ class Graph:
         if not n or not len(q):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
+        probe, home = self._probes(threshold)
+        asked = np.concatenate([q[sample], probe])
         truth = (q[sample] @ self.v.T) >= low
         width = beam
-        while True:
-            rows, nodes = self._widened(q, low, width)
-            found = np.zeros(truth.shape, bool)
-            where = np.full(len(q), -1)
-            where[sample] = np.arange(len(sample))
-            mine = where[rows] >= 0
-            found[where[rows[mine]], nodes[mine]] = True
-            if (found & truth).sum() >= recall * truth.sum() or width * 2 >= n:
-                return rows, nodes
+        while width * 2 < n:
+            rows, nodes = self._widened(asked, low, width)
+            real = rows < len(sample)
+            found = truth[rows[real], nodes[real]].sum()
+            probed = (home[rows[~real] - len(sample)] == nodes[~real]).sum()
+            if found >= recall * truth.sum() and probed >= recall * len(home):
+                break
             width *= 2
+        return self._widened(q, low, width)
+
+    def _probes(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors whose cosine with a node is the threshold, and these nodes; every
+        other one is turned towards another node, the rest anywhere."""
+        home = np.unique(np.linspace(0, len(self.v) - 1, min(PROBES, len(self.v))).astype(int))
+        rng = np.random.default_rng(len(self.v))
+        v = self.v[home].astype(np.float64)
+        away = rng.normal(size=v.shape)
+        away[::2] = self.v[rng.integers(0, len(self.v), len(away[::2]))]
+        away -= (away * v).sum(axis=1, keepdims=True) * v
+        size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+        some = size > 1e-6
+        away = np.where(some, away / np.where(some, size, 1.0), 0.0)
+        probe = np.where(some, threshold * v + np.sqrt(max(1.0 - threshold * threshold, 0.0)) * away, v)
+        return probe.astype(np.float32), home
 
     def _widened(self, q: np.ndarray, low: np.float32, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam searches; queries whose beam is mostly links search again with a

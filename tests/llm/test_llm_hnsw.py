@@ -78,3 +78,36 @@ def test_spanning_stars_connect_the_same():
     a, b = np.array([0, 1, 5, 6]), np.array([1, 2, 6, 7])
     member, root = H.spanning_stars(a, b, 9)
     assert dict(zip(member.tolist(), root.tolist())) == {1: 0, 2: 0, 6: 5, 7: 5}
+
+
+def sparse(seed, n, dim, planted):
+    """Vectors that link with nothing, and a copy near the threshold of every few of them."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    of = np.linspace(0, n - 1, planted).astype(int)
+    side = rng.normal(size=(planted, dim))
+    side -= (side * v[of]).sum(axis=1, keepdims=True) * v[of]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.951, 0.97, (planted, 1))
+    return np.concatenate([v, cos * v[of] + np.sqrt(1 - cos * cos) * side])
+
+
+def test_sparse_links_equal_all_pairs(spark):
+    v = sparse(11, 6000, 64, 120)
+    truth = (v @ v.T) >= 0.95
+    np.fill_diagonal(truth, False)
+    got = run(spark, [(i, x.tolist()) for i, x in enumerate(v)], shards=2, beam=3)
+    links = {i: n for i, n, _ in got}
+    assert truth.sum() == 240
+    assert sum(links.values()) >= 0.99 * truth.sum() and all(links[i] <= n for i, n in enumerate(truth.sum(axis=1)))
+
+
+def test_audit_without_links_widens_the_beam():
+    v = sparse(12, 6000, 64, 0)
+    g = H.Graph(v, np.arange(len(v)))
+    q = sparse(12, 6000, 64, 600)[6000:].astype(np.float32)
+    rows, nodes = g.links_of(np.concatenate([sparse(13, 600, 64, 0).astype(np.float32), q]), 0.95, beam=3, audit=1)
+    of = np.linspace(0, 5999, 600).astype(int)
+    found = set(zip(rows.tolist(), g.order[nodes].tolist()))
+    assert sum((600 + i, int(x)) in found for i, x in enumerate(of)) >= 0.99 * 600
