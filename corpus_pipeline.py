@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm import jaccard_tree, kneser_ney, mixing, piece_sampling, suffix_dedup
-from labelscope.llm._io import stage_table, table
+from labelscope.llm._io import stage_table, table, tidy_shuffles
 from labelscope.llm.queries import MAX_REPETITION, vocabulary
 
 
@@ -36,9 +36,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_tree.near_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    tidy_shuffles(spark)
+    keyed = docs.withColumn("__key", jaccard_tree.row_key("doc_id", "text"))  # rows without id have one too
+    groups = jaccard_tree.key_components(keyed, "__key", "text")
+    kept = groups.where(F.col("__key") == F.col("component_id")).select(F.col("__key").alias("__id")).distinct()
+    found = keyed.join(kept, F.col("__key") == F.col("__id"), "left_semi").drop("__key")
     return found.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 

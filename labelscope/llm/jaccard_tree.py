@@ -32,7 +32,9 @@ the operator returns the connected components of all links.
 Defined results: documents with fewer than five words have the whole sequence
 as their one shingle; documents without words (null, empty) link with nothing;
 repeated rows are equal sets; rows that repeat an id with another text are
-linked by their own text; an empty table gives no rows.
+linked by their own text; rows without id link by their text like others (under
+a 63-bit hash of it), and their component is the smallest id among its rows,
+null where none has one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -419,9 +421,27 @@ def proposals(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return best.select(F.col("best.to").alias("a"), F.col("id").alias("b"))
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """The id; of rows without one, a hash of the text at or above ``2**62``."""
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(text_col), 2) + F.lit(1 << 62))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id`` of every row of ``docs``."""
     tidy_shuffles(docs.sparkSession)
+    named = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col), F.col(id_col).isNull().alias("__none"))
+    out = stage_table(key_components(named, "__key", text_col, percent), "key-components")
+    none = named.where("__none").select(F.col("__key").alias("nk")).distinct()
+    # components with a row without id take the smallest id that is one
+    out = out.join(none, F.col("__key") == F.col("nk"), "left").withColumn("id", F.when(F.col("nk").isNull(), F.col("__key")))
+    mixed = out.where("id is null").select(F.col("component_id").alias("mc")).distinct()
+    low = (out.join(mixed, F.col("component_id") == F.col("mc")).groupBy("mc").agg(F.min("id").alias("low")))
+    out = out.join(low, F.col("component_id") == F.col("mc"), "left")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("mc").isNull(), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def key_components(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """``id, n_shingles, component_id`` of every row of ``docs``, whose ids are not null."""
     rows = stage_table(describe(docs, id_col, text_col), "sets")
     key = ["n", "d1", "d2"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"), F.first("bitmap").alias("bitmap"), F.first("mh").alias("mh"))

@@ -91,6 +91,25 @@ def test_repeated_rows_and_extra_columns(spark):
     assert sorted(got, key=str) == sorted([(3, 2, 2), (3, 2, 2), (2, 2, 2), (None, 1, None)], key=str)
 
 
+def test_rows_without_id_link_by_text(spark):
+    from corpus_pipeline import near_duplicates
+
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base, "x"])), (9, " ".join([*base, "y"])), (None, " ".join(other)),
+            (None, " ".join([*other, "x"])), (4, "nothing like the rest of them"), (None, None)]
+    got = sorted(run_any(spark, rows), key=str)
+    assert got == sorted([(None, 56, 7), (7, 57, 7), (9, 57, 7), (None, 56, None), (None, 57, None), (4, 2, 4), (None, 0, None)], key=str)
+    kept = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:1]) for r in kept) == [
+        (False, 4, "n"), (False, 7, "w"), (True, 0, ""), (True, 0, "v")]
+
+
+def run_any(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.near_components(docs).collect()]
+
+
 def test_traversal_keeps_every_linking_pair():
     rng = np.random.default_rng(1)
     bases = [set(rng.integers(0, 10**6, 150).tolist()) for _ in range(12)]
