@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from labelscope.session import ensure_checkpoint_dir, stage_table
 
-__all__ = ["ensure_checkpoint_dir", "stage_table", "table", "tidy_shuffles"]
+__all__ = ["ensure_checkpoint_dir", "own_name", "stage_table", "table", "tidy_shuffles"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def tidy_shuffles(spark: SparkSession) -> None:
     """Have Spark remove a query's shuffle files when the query is done, unless
     the session says otherwise: operators of several jobs stage what they keep."""
