@@ -116,5 +116,42 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
 FROM w JOIN comp ON w.doc_id = comp.a LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
+#: All pairs; the forest searches tables of up to its least budget whole, so both agree there.
+OP12 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), 'bool_and')
+    AND list_aggregate(list_transform(embedding, lambda x: x <> 0), 'bool_or')),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+#: Equal words a period apart, as islands; of stretches with several periods the smallest counts.
+OP13 = rf"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w0, xor(list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END),
+    4294967295::BIGINT) AS h FROM documents),
+a AS (SELECT *, len(w0) AS n, h // 10 AS g, CASE WHEN len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w0 END AS ws FROM p),
+word AS (SELECT doc_id, len(ws) AS n, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM d),
+eq AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM word x JOIN word y USING (doc_id, word) WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM isle WHERE len >= 6 AND len >= 4 * q GROUP BY doc_id, s, len),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    arg_min({{'s': s, 'len': len, 'q': q}}, {{'x': -len / q, 's': s, 'q': q}}) AS best FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.len // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE = {"op1_warc": OP1, "op3_suffix_dedup": OP3, "op4_url_filter": OP4, "op5_mixing": OP5,
-          "op7_hnsw": OP7, "op9_jaccard_tree": OP9}
+          "op7_hnsw": OP7, "op9_jaccard_tree": OP9,
+          "op12_rp_forest": OP12, "op13_periodic_runs": OP13}

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelscope.llm import hnsw, jaccard_tree, kneser_ney, mixing, oracle, piece_sampling, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from labelscope.llm import (cross_align, hnsw, jaccard_tree, kneser_ney, mixing, oracle, periodic_runs, piece_sampling, quality_rules,
+                            rp_forest, suffix_dedup, token_counts, url_filter, warc)
 from labelscope.llm._io import table
 
 #: Rules of the URL query: (action, host, path).
@@ -73,9 +74,25 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         carry=["doc_id"])
 
 
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                        vocabulary("piece_bpe_32k.model"), carry=["doc_id"], digest=True)
+
+
+def op12_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return rp_forest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.loop_tails("doc_id", "text").alias("text"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs, carry=["doc_id"]), ["doc_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_quality_rules, op3_suffix_dedup, op4_url_filter, op5_mixing, op6_kneser_ney, op7_hnsw,
-    op8_token_counts, op9_jaccard_tree, op10_piece_sampling)}
+    op8_token_counts, op9_jaccard_tree, op10_piece_sampling, op11_cross_align, op12_rp_forest,
+    op13_periodic_runs)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = oracle.ORACLE

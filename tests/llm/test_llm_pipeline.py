@@ -58,11 +58,12 @@ def test_registered_queries_have_their_names(spark):
     import __spark_entry__ as E
 
     ours = [q for q in E.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in ours) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in ours) == list(range(1, 14)) and "pipeline" in E.queries()
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_suffix_dedup", "op4_url_filter", "op5_mixing", "op7_hnsw", "op9_jaccard_tree"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_suffix_dedup", "op4_url_filter", "op5_mixing", "op7_hnsw", "op9_jaccard_tree",
+                                  "op12_rp_forest", "op13_periodic_runs"])
 def test_queries_match_their_sql(spark, name):
     from oracle_compare import compare
 
