@@ -6,6 +6,7 @@ the caller.
 
 from __future__ import annotations
 
+from labelscope.plans import extended
 from labelscope.plans import queries as Q
 
 SPLIT = r"'[ \t\r\n]+'"
@@ -483,4 +484,4 @@ SELECT round(avg(pow(1 - p, {Q.GAMMA}) * ce), 6) AS focal_loss FROM f""",
        CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
 FROM embeddings""",
     })
-    return sql
+    return sql | extended.ORACLE

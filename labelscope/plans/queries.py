@@ -15,7 +15,7 @@ from labelscope.functions.labels import LABEL_NAMES
 from labelscope.functions.text import metadata_prefix
 from labelscope.operators import (encode, groups, history as hist, losses, metrics, model,
                                   profile, ranking, sampling, submission, weights)
-from labelscope.plans import roles
+from labelscope.plans import extended, roles
 
 SEED = 42
 K_FIXED = list(range(11))  # the reference's 11 classes (M5, A5)
@@ -510,6 +510,6 @@ def q_focal_loss_documented(spark, d):
     return _focal(spark, d, "mean", pt="unweighted").select(r6("focal_loss").alias("focal_loss"))
 
 
-QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
+QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")} | extended.QUERIES
 
 FLAGSHIP = "per_class_prf"
