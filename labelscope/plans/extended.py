@@ -5,10 +5,15 @@ read back. Each with its DuckDB SQL beside it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from labelscope.operators import weighted
+from labelscope.functions.hashing import hex_prefix_int
+from labelscope.operators import history as hist
+from labelscope.operators import trainer, weighted
 from labelscope.plans import roles
+from labelscope.session import ensure_checkpoint_dir
 
 SEED = 42
 #: Rows taken without replacement, as one in so many.
@@ -62,3 +67,103 @@ def q_weighted_without_replacement(spark, d):
     taken = weighted.weighted_without_replacement(orders, "o_totalprice", orders.count() // TAKEN_SHARE, seed=SEED,
                                                   id_cols=["o_orderkey"])
     return taken.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+# ------------------------------------------------------------------ T5, T7, W-1, T2: epochs and a saved model
+
+DIMS, EPOCHS, STEPS, RATE, DECAY, GAMMA = 256, 3, 2, 0.1, 0.01, 2.0
+CLASSES = list(range(len(roles.CORPUS_LANGS)))
+
+
+def _split(spark, d):
+    """Labelled documents: four fifths to train on, the rest held out."""
+    c = roles.corpus(spark, d).where("label is not null")
+    fold = hex_prefix_int(F.md5(F.concat(F.lit("fold:"), F.col("doc_id").cast("string"))), 8) % 5
+    return c.where(fold != 0), c.where(fold == 0)
+
+
+def _trained(spark, d):
+    train, held = _split(spark, d)
+    state_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labelscope-train-{uuid.uuid4().hex}"
+    return trainer.train_epochs(spark, train, held, "doc_id", labels=CLASSES, state_dir=state_dir, epochs=EPOCHS, steps=STEPS, dims=DIMS,
+                                loss="focal", gamma=GAMMA, rate=RATE, decay=DECAY, seed=SEED)
+
+
+def _training_sql() -> str:
+    """The training as SQL: one chain of tables per step, unrolled."""
+    k = len(CLASSES)
+    cases = " ".join(f"WHEN '{lang}' THEN {i}" for i, lang in enumerate(roles.CORPUS_LANGS))
+    out = [f"""c AS (SELECT doc_id, text, CASE lang {cases} END AS y,
+  (('0x' || substr(md5('fold:' || doc_id), 1, 8))::BIGINT % 5 = 0) AS held,
+  ('0x' || substr(md5('{SEED}:step:' || doc_id), 1, 12))::BIGINT % {STEPS} AS step FROM documents),
+tok AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+')) AS t FROM c WHERE y IS NOT NULL),
+cnt AS (SELECT doc_id, f, count(*)::DOUBLE AS n FROM (
+    SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {DIMS} AS f FROM tok WHERE t <> '') GROUP BY doc_id, f),
+x AS MATERIALIZED (SELECT doc_id, f, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS v FROM cnt
+  UNION ALL SELECT doc_id, {DIMS}, 1.0 FROM c WHERE y IS NOT NULL),
+lab AS (SELECT doc_id, y, held, step FROM c WHERE y IS NOT NULL),
+a AS (SELECT y, (SELECT count(*) FROM lab WHERE NOT held) / ((SELECT count(DISTINCT y) FROM lab WHERE NOT held) * count(*)) AS alpha
+  FROM lab WHERE NOT held GROUP BY y),
+w0 AS (SELECT k, f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM range({k}) r(k), range({DIMS + 1}) s(f))"""]
+    total, t = EPOCHS * STEPS, 0
+    for e in range(1, EPOCHS + 1):
+        for s in range(STEPS):
+            rate = RATE * trainer.cosine_rate(t, total, int(0.1 * total))
+            t += 1
+            out.append(f"""z{t} AS MATERIALIZED (SELECT lab.doc_id, lab.y, w.k, sum(x.v * w.w) AS z FROM lab JOIN x USING (doc_id)
+  JOIN w{t - 1} w ON w.f = x.f WHERE NOT lab.held AND lab.step = {s} GROUP BY lab.doc_id, lab.y, w.k),
+q{t} AS (SELECT *, max(z) OVER d + ln(sum(exp(z)) OVER d) - max(z) OVER d AS lse FROM z{t} WINDOW d AS (PARTITION BY doc_id)),
+r{t} AS MATERIALIZED (SELECT q.doc_id, q.y, alpha, -alpha * (max(z) FILTER (WHERE k = q.y) - max(lse)) AS ce,
+    arg_min(k, struct_pack(z := -z, k := k)) AS guess FROM q{t} q JOIN a ON a.y = q.y GROUP BY q.doc_id, q.y, alpha),
+s{t} AS (SELECT *, pow(1 - exp(-ce), {GAMMA}) + {GAMMA} * pow(1 - exp(-ce), {GAMMA - 1}) * exp(-ce) * ce AS by_ce FROM r{t}),
+g{t} AS MATERIALIZED (SELECT q.k, x.f, sum(by_ce * alpha * (exp(q.z - q.lse) - (q.k = q.y)::INT) * x.v) / (SELECT count(*) FROM r{t}) AS g
+  FROM q{t} q JOIN s{t} s USING (doc_id) JOIN x USING (doc_id) GROUP BY q.k, x.f),
+n{t} AS (SELECT least(1.0, 1.0 / (sqrt(sum(g * g)) + 1e-6)) AS clip FROM g{t}),
+u{t} AS (SELECT k, f, w, 0.9 * m + 0.1 * coalesce(g, 0) * clip AS m, 0.999 * v + 0.001 * pow(coalesce(g, 0) * clip, 2) AS v
+  FROM w{t - 1} LEFT JOIN g{t} USING (k, f), n{t}),
+w{t} AS MATERIALIZED (SELECT k, f, w * (1 - {rate!r} * {DECAY}) - {rate!r} * (m / (1 - pow(0.9, {t}))) / (sqrt(v / (1 - pow(0.999, {t}))) + 1e-8) AS w, m, v
+  FROM u{t})""")
+        steps = range(t - STEPS + 1, t + 1)
+        loss = " UNION ALL ".join(f"SELECT avg(pow(1 - exp(-ce), {GAMMA}) * ce) AS l FROM r{i}" for i in steps)
+        seen = " UNION ALL ".join(f"SELECT y, guess FROM r{i}" for i in steps)
+        out.append(f"""hz{e} AS (SELECT lab.doc_id, lab.y, w.k, sum(x.v * w.w) AS z FROM lab JOIN x USING (doc_id)
+  JOIN w{t} w ON w.f = x.f WHERE lab.held GROUP BY lab.doc_id, lab.y, w.k),
+hp{e} AS (SELECT y, arg_min(k, struct_pack(z := -z, k := k)) AS guess FROM hz{e} GROUP BY doc_id, y),
+tp{e} AS ({seen}),
+""" + ",\n".join(f"""{p}f{e} AS (SELECT coalesce(avg(2.0 * hit / n), 0) AS f1 FROM (SELECT k, sum(hit) AS hit, sum(n) AS n FROM (
+    SELECT y AS k, (y = guess)::INT AS hit, 1 AS n FROM {p}p{e} UNION ALL SELECT guess, 0, 1 FROM {p}p{e}) GROUP BY k))""" for p in "th") + f""",
+e{e} AS (SELECT {e} AS epoch, (SELECT avg(l) FROM ({loss})) AS train_loss, (SELECT f1 FROM tf{e}) AS train_f1, (SELECT f1 FROM hf{e}) AS val_f1)""")
+    rows = " UNION ALL ".join(f"SELECT * FROM e{e}" for e in range(1, EPOCHS + 1))
+    out.append(f"""hist AS MATERIALIZED ({rows}),
+best AS (SELECT CASE WHEN max(val_f1) > 0 THEN arg_min(epoch, struct_pack(f := -val_f1, e := epoch)) ELSE {EPOCHS} END AS e FROM hist)""")
+    return "WITH " + ",\n".join(out)
+
+
+@query(_training_sql() + """
+SELECT epoch::INTEGER AS epoch, round(train_loss, 6) AS train_loss, round(train_f1, 6) AS train_f1, round(val_f1, 6) AS val_f1,
+  val_f1 > coalesce(max(val_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS saved,
+  epoch = (SELECT e FROM best) AS best FROM hist""")
+def q_train_epochs(spark, d):
+    """Focal loss with balanced class weights: the history, the epochs that would
+    have saved a checkpoint and the best one."""
+    h, path = _trained(spark, d)
+    saved = hist.checkpoint_events(h).select(F.col("epoch").alias("_saved"))
+    best = int(path.rsplit("-", 1)[1])
+    return h.join(saved, F.col("epoch") == F.col("_saved"), "left").select(
+        "epoch", *(F.round(c, 6).alias(c) for c in ("train_loss", "train_f1", "val_f1")),
+        F.col("_saved").isNotNull().alias("saved"), (F.col("epoch") == best).alias("best"))
+
+
+@query(_training_sql() + f""",
+wb AS ({" UNION ALL ".join(f"SELECT * FROM w{e * STEPS} WHERE (SELECT e FROM best) = {e}" for e in range(1, EPOCHS + 1))}),
+every AS (SELECT doc_id, f, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS v FROM (
+    SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {DIMS} AS f, count(*)::DOUBLE AS n FROM (
+      SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+')) AS t FROM documents) WHERE t <> '' GROUP BY 1, 2)
+  UNION ALL SELECT doc_id, {DIMS}, 1.0 FROM documents)
+SELECT doc_id, arg_min(k, struct_pack(z := -z, k := k))::INTEGER AS y_pred, round(max(z), 6) AS logit FROM (
+  SELECT doc_id, k, sum(every.v * wb.w) AS z FROM every JOIN wb USING (f) GROUP BY doc_id, k) GROUP BY doc_id""")
+def q_score_texts(spark, d):
+    """All texts scored with the saved model of the best epoch."""
+    _, path = _trained(spark, d)
+    scored = trainer.score_texts(spark, path, roles.corpus(spark, d), "doc_id")
+    return scored.select("doc_id", "y_pred", F.round(F.array_max("logits"), 6).alias("logit"))
