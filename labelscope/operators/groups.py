@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def align_full(pred: DataFrame, truth: DataFrame, key: str, pred_col: str = "label",
                out: str = "predicted") -> DataFrame:
-    """J1 as one full outer join with side markers ``_in_pred`` / ``_in_truth``,
-    so unmatched rows on either side are found without another join."""
-    p = pred.select(F.col(key), F.col(pred_col).alias(out), F.lit(True).alias("_in_pred"))
-    t = truth.withColumn("_in_truth", F.lit(True))
+    """J1 as one full outer join with side markers ``_in_pred`` / ``_in_truth``:
+    a row's number among those of its side and key (1 when the key is unique,
+    null without a row), so unmatched and repeated keys of either side are found
+    without another join. Numbers and join share one exchange by key."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    p = pred.select(F.col(key), F.col(pred_col).alias(out)).withColumn("_in_pred", number)
+    t = truth.withColumn("_in_truth", number)
     return t.join(p, key, "full_outer")
 
 
 def matched(full: DataFrame, check: bool = True, key: str = "key") -> DataFrame:
     """Rows of ``align_full`` present on both sides; ``check`` raises when a
-    row on either side has no partner (the reference's unequal-length error).
-    Persist ``full`` first when it is used for both."""
+    row on either side has no partner (the reference's unequal-length error)
+    or a key is repeated. Persist ``full`` first when it is used for both."""
     both = F.col("_in_pred").isNotNull() & F.col("_in_truth").isNotNull()
-    if check and full.where(~both).limit(1).count():
+    if check and full.where(~both | (F.col("_in_pred") > 1) | (F.col("_in_truth") > 1)).limit(1).count():
         raise ValueError("prediction and truth tables do not match one to one on " + key)
     return full.where(both).drop("_in_pred", "_in_truth")
 
@@ -57,6 +60,13 @@ def accuracy_ranking(df: DataFrame, group_col: str, correct_col: str = "correct"
             .orderBy("accuracy", group_col))
 
 
+def agreement_row(paired: DataFrame, same: Column) -> DataFrame:
+    """A18/A19 of rows that hold both labels: n, agreement, differences, percent."""
+    return paired.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("agreement"),
+                      F.count_if(~same).alias("differences")).withColumn(
+        "difference_pct", 100.0 * F.col("differences") / F.col("n"))
+
+
 def agreement(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "label",
               check: bool = False) -> DataFrame:
     """T11 / A18 / A19 in one aggregate after J3: agreement, differences, percent.
@@ -67,9 +77,7 @@ def agreement(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "lab
     else:
         j = left.join(b.select(key, F.col(label_col).alias("_b")), key, "inner")
     same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))  # a missing label agrees with nothing
-    return j.agg(F.count(F.lit(1)).alias("n"), F.avg(same.cast("double")).alias("agreement"),
-                 F.count_if(~same).alias("differences")).withColumn(
-        "difference_pct", 100.0 * F.col("differences") / F.col("n"))
+    return agreement_row(j, same)
 
 
 def differences(a: DataFrame, b: DataFrame, key: str = "id", label_col: str = "label") -> DataFrame:

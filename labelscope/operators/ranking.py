@@ -72,8 +72,9 @@ def bucketed_rank(df: DataFrame, key_col: str, tiebreak: Sequence[str] = (),
                   partition_cols: Sequence[str] = (), digits: int = DEFAULT_DIGITS,
                   limits: DataFrame | None = None, limit_col: str = "_limit",
                   limit: int | None = None, domain_size: int | None = None,
-                  rank_col: str = "rank", keep_columns: bool = False) -> DataFrame:
+                  rank_col: str = "rank", keep_columns: bool = False, unique: bool = False) -> DataFrame:
     """1-based rank of every row by ``(key_col, *tiebreak)`` within ``partition_cols``.
+    With ``unique``, ranked rows with equal keys and tiebreaks raise.
 
     ``key_col`` must be a lowercase hex string (an md5). ``limits`` is an
     optional table ``(partition_cols..., limit_col)`` and ``limit`` a scalar;
@@ -99,7 +100,13 @@ def bucketed_rank(df: DataFrame, key_col: str, tiebreak: Sequence[str] = (),
     bound = None if n_values is None else per_value * n_values
     joined = keyed.join(bounded_broadcast(offsets, bound), pcols + [BUCKET], "inner")
     w = Window.partitionBy(*pcols, BUCKET).orderBy(F.col(key_col), *[F.col(c) for c in tiebreak])
-    ranked = joined.withColumn(rank_col, F.col(OFFSET) + F.row_number().over(w))
+    place = F.row_number().over(w)
+    if unique:
+        same = F.lag(key_col).over(w) == F.col(key_col)
+        for c in tiebreak:
+            same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+        place = F.when(same, F.raise_error(F.lit(f"key {list(tiebreak)} is not unique")).cast("int")).otherwise(place)
+    ranked = joined.withColumn(rank_col, F.col(OFFSET) + place)
     if limits is not None:
         ranked = ranked.where(F.col(rank_col) <= F.col(limit_col))
     if limit is not None:
@@ -114,12 +121,13 @@ def bucketed_rank(df: DataFrame, key_col: str, tiebreak: Sequence[str] = (),
 
 def shuffled_row_id(df: DataFrame, seed, id_cols: Sequence[str], digits: int = DEFAULT_DIGITS,
                     out: str = "row_id") -> DataFrame:
-    """Seeded random permutation, then consecutive 0-based ids."""
+    """Seeded random permutation, then consecutive 0-based ids.
+    Repeated values of ``id_cols`` raise: their order would not be defined."""
     from labelscope.functions.hashing import seeded_key
 
     ids = _as_list(id_cols)
     keyed = df.withColumn("_shuffle_key", seeded_key(seed, *ids))
-    ranked = bucketed_rank(keyed, "_shuffle_key", tiebreak=ids, digits=digits, rank_col=out)
+    ranked = bucketed_rank(keyed, "_shuffle_key", tiebreak=ids, digits=digits, rank_col=out, unique=True)
     return ranked.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_shuffle_key")
 
 

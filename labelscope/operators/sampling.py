@@ -238,13 +238,14 @@ def sample_by_class(spark: SparkSession, df: DataFrame, samples_per_class: int =
 def sample_n(df: DataFrame, n: int, *, seed=42, id_cols=("id",), digits: int = DEFAULT_DIGITS,
              rank_col: str = "sample_rank") -> DataFrame:
     """R1/R10 without a class key: ``min(n, count)`` rows, exactly, by seeded key.
-    Buckets past ``n`` are dropped before the exchange."""
+    Buckets past ``n`` are dropped before the exchange. Repeated ids among the
+    ranked rows raise."""
     from labelscope.operators.ranking import bucketed_rank
 
     id_cols = list(id_cols)
     keyed = df.withColumn("_key", seeded_key(seed, *id_cols))
     return bucketed_rank(keyed, "_key", tiebreak=id_cols, digits=digits, limit=int(n),
-                         rank_col=rank_col).drop("_key")
+                         rank_col=rank_col, unique=True).drop("_key")
 
 
 # ---------------------------------------------------------------- R7 / R8

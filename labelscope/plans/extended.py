@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import hex_prefix_int
+from labelscope.operators import groups, trainer, weighted
 from labelscope.operators import history as hist
-from labelscope.operators import trainer, weighted
-from labelscope.plans import roles
+from labelscope.plans import roles, runs
 from labelscope.session import ensure_checkpoint_dir
+from labelscope.sources.io import read_csv, read_table, write_csv, write_history, write_table
+from labelscope.sources.positions import align_positions, read_positions
 
 SEED = 42
 #: Rows taken without replacement, as one in so many.
@@ -167,3 +170,117 @@ def q_score_texts(spark, d):
     _, path = _trained(spark, d)
     scored = trainer.score_texts(spark, path, roles.corpus(spark, d), "doc_id")
     return scored.select("doc_id", "y_pred", F.round(F.array_max("logits"), 6).alias("logit"))
+
+
+# ------------------------------------------------------------------ tables written to files and read back
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/labelscope-{name}-{uuid.uuid4().hex}"
+
+
+def _in_files(df, path: str, parts: int, key: str) -> str:
+    """``df`` in ``key`` order as ``parts`` Parquet files."""
+    df.repartitionByRange(parts, key).sortWithinPartitions(key).drop(key).write.parquet(path)
+    return path
+
+
+_SCORED = """s AS (SELECT vec_id, label::INTEGER AS y_true, (list_position(embedding[1:10]::DOUBLE[], list_max(embedding[1:10]::DOUBLE[])) - 1)::INTEGER AS y_pred,
+  (list_position(embedding[11:20]::DOUBLE[], list_max(embedding[11:20]::DOUBLE[])) - 1)::INTEGER AS y_other FROM embeddings)"""
+
+
+@query(f"""WITH {_SCORED}
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, y_true, y_pred, (y_true = y_pred)::INTEGER AS correct FROM s""")
+def q_positional_alignment(spark, d):
+    """Truth and predictions in files of different numbers and sizes, without ids,
+    paired by row position (P7, J1, P8)."""
+    scored, where = roles.scores(spark, d), _folder(spark, "positions")
+    truth = read_positions(spark, _in_files(scored.select("vec_id", "y_true"), f"{where}/truth", 5, "vec_id"))
+    predicted = read_positions(spark, _in_files(scored.select("vec_id", "y_pred"), f"{where}/predicted", 3, "vec_id"))
+    return groups.with_correct(align_positions(truth, predicted)).select("position", "y_true", "y_pred", "correct")
+
+
+@query(f"""WITH {_SCORED},
+p AS (SELECT CASE WHEN vec_id % 7 <> 0 THEN y_pred END AS a, CASE WHEN vec_id % 5 <> 0 THEN y_other END AS b FROM s)
+SELECT count(*) AS n, round(avg(coalesce(a = b, false)::INTEGER), 6) AS agreement, count(*) FILTER (WHERE NOT coalesce(a = b, false)) AS differences,
+  round(100.0 * count(*) FILTER (WHERE NOT coalesce(a = b, false)) / count(*), 6) AS difference_pct FROM p""")
+def q_compare_files(spark, d):
+    """Two prediction files with missing labels, written, read and compared (T11, IO2, IO5)."""
+    where = _folder(spark, "compare")
+    for name, df, gap in (("a", roles.scores(spark, d), 7), ("b", roles.scores_b(spark, d), 5)):
+        label = F.when(F.col("vec_id") % gap != 0, F.col("y_pred"))
+        write_csv(df.select(F.col("vec_id").alias("id"), label.alias("label")), f"{where}/{name}", order_by=["id"])
+    row, _ = runs.compare_run(spark, f"{where}/a", f"{where}/b")
+    return row.select("n", F.round("agreement", 6).alias("agreement"), "differences", F.round("difference_pct", 6).alias("difference_pct"))
+
+
+@query("""WITH j AS (SELECT d.lang AS language, l.quality::INTEGER AS t, (d.n_chars >= 1000)::INTEGER AS p
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+k AS (SELECT k, count(*) FILTER (WHERE t = k AND p = k) AS hit, count(*) FILTER (WHERE t = k) + count(*) FILTER (WHERE p = k) AS n
+  FROM j, (VALUES (0), (1)) v(k) GROUP BY k),
+r AS (SELECT 'metrics' AS output, 'macro_f1' AS item, avg(2.0 * hit / n) AS value FROM k WHERE n > 0
+  UNION ALL SELECT 'metrics', 'accuracy', avg((t = p)::INTEGER) FROM j
+  UNION ALL SELECT 'language_stats', language || ' accuracy', round_even(avg((t = p)::INTEGER), 3) FROM j WHERE language IS NOT NULL GROUP BY language
+  UNION ALL SELECT 'language_stats', language || ' count', count(*) FROM j WHERE language IS NOT NULL GROUP BY language
+  UNION ALL SELECT 'confusion_normalized', a.k || ' as ' || b.k, coalesce((SELECT count(*) FROM j WHERE t = a.k AND p = b.k)
+    / nullif((SELECT count(*) FROM j WHERE t = a.k), 0), 0) FROM (VALUES (0), (1)) a(k), (VALUES (0), (1)) b(k)
+  UNION ALL SELECT 'classification_report', 'accuracy', round_even(avg((t = p)::INTEGER), 3) FROM j)
+SELECT output, item, round(value::DOUBLE, 6) AS value FROM r""")
+def q_evaluation_files(spark, d):
+    """A full evaluation written to files (T8, IO5, IO6, IO7, IO9), read back."""
+    where, judged = _folder(spark, "evaluation"), roles.judged(spark, d)
+    runs.evaluation_run(spark, judged.select("doc_id", "y_pred"), judged.drop("y_pred"), "doc_id", where, labels=[0, 1],
+                        names=["poor", "good"], pred_col="y_pred", true_col="y_true")
+    record = spark.read.json(f"{where}/metrics")
+    stats = read_csv(spark, f"{where}/language_stats", schema="language STRING, accuracy DOUBLE, count BIGINT")
+    cells = read_csv(spark, f"{where}/confusion_normalized", schema="y_true INT, y_pred INT, n BIGINT, share DOUBLE")
+    lines = spark.read.text(f"{where}/classification_report")
+    out = [record.select(F.lit("metrics").alias("output"), F.lit(c).alias("item"), F.col(c).cast("double").alias("value"))
+           for c in ("macro_f1", "accuracy")]
+    out += [stats.select(F.lit("language_stats"), F.concat("language", F.lit(f" {c}")), F.col(c).cast("double")) for c in ("accuracy", "count")]
+    out.append(cells.select(F.lit("confusion_normalized"), F.concat("y_true", F.lit(" as "), "y_pred"), "share"))
+    accuracy = F.regexp_extract("value", r"^ +accuracy +([0-9.]+)", 1)
+    out.append(lines.where(accuracy != "").select(F.lit("classification_report"), F.lit("accuracy"), accuracy.cast("double")))
+    rows = out[0]
+    for df in out[1:]:
+        rows = rows.union(df)
+    return rows.select("output", "item", F.round("value", 6).alias("value"))
+
+
+@query("""WITH daily AS (SELECT ts::DATE AS day, min(value) / 100 AS train_loss, max(value) / 1000 AS train_f1, avg(value) / 100 AS val_f1,
+    count(*) AS n FROM events GROUP BY ts::DATE),
+h AS (SELECT row_number() OVER (ORDER BY day)::INTEGER AS epoch, train_loss, train_f1, val_f1, CASE WHEN n % 2 = 0 THEN n / 10.0 END AS val_loss FROM daily)
+SELECT epoch, round(train_loss, 6) AS train_loss, round(train_f1, 6) AS train_f1, round(val_f1, 6) AS val_f1,
+  round(coalesce(val_loss, 0.0)::DOUBLE, 6) AS val_loss, coalesce(bool_or(val_loss <> 0) OVER (), false) AS plot_val_loss,
+  val_f1 > coalesce(max(val_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS saved FROM h""")
+def q_history_file(spark, d):
+    """A history with some validation losses, written as one JSON array and read
+    back (IO3, IO8): the curve table (P12, P13) and the checkpoints (W-1)."""
+    path = f"{_folder(spark, 'history')}/history.json"
+    days = roles.table(spark, d, "events", ["ts"]).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    days = days.select(F.row_number().over(Window.orderBy("day")).cast("int").alias("epoch"), "n")  # one row a day
+    losses = days.select("epoch", F.when(F.col("n") % 2 == 0, F.col("n") / 10.0).alias("val_loss"))
+    write_history(roles.history(spark, d).join(losses, "epoch"), path)
+    series, events, _ = runs.history_run(spark, path)
+    saved = events.select(F.col("epoch").cast("int").alias("_saved"))
+    numbers = [F.round(c, 6).alias(c) for c in ("train_loss", "train_f1", "val_f1", "val_loss")]
+    return series.join(saved, F.col("epoch") == F.col("_saved"), "left").select(
+        "epoch", *numbers, "plot_val_loss", F.col("_saved").isNotNull().alias("saved"))
+
+
+@query("""SELECT o_orderkey AS "ID", (o_custkey % 11)::INTEGER AS label, (o_orderkey % 4)::INTEGER AS part FROM orders""")
+def q_written_tables(spark, d):
+    """A labelled table through partitioned Parquet (IO4), a sorted CSV (IO5, S-2)
+    and back, rows matched by id; part files that are not in id order raise."""
+    where = _folder(spark, "written")
+    src = roles.table(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(
+        F.col("o_orderkey").alias("ID"), (F.col("o_custkey") % 11).cast("int").alias("label"), (F.col("o_orderkey") % 4).cast("int").alias("part"))
+    write_table(src, f"{where}/parquet", partition_by=["part"])
+    stored = read_table(spark, f"{where}/parquet", ["ID", "label", "part"])
+    write_csv(stored.select("ID", "label"), f"{where}/csv", order_by=["ID"])
+    back = read_csv(spark, f"{where}/csv", schema="ID BIGINT, label INT")
+    files = back.withColumn("_file", F.input_file_name()).groupBy("_file").agg(F.min("ID").alias("_low"), F.max("ID").alias("_high"))
+    before = F.max("_high").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    disorder = files.withColumn("_bad", F.coalesce(before >= F.col("_low"), F.lit(False))).agg(F.max("_bad").alias("_bad"))
+    checked = back.join(F.broadcast(disorder)).withColumn(  # one row
+        "label", F.when(F.col("_bad"), F.raise_error(F.lit("the files are not in id order")).cast("int")).otherwise(F.col("label")))
+    return checked.join(stored.select("ID", F.col("label").alias("_label"), "part"), "ID").where("label = _label").select("ID", "label", "part")

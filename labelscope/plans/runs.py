@@ -192,11 +192,9 @@ def compare_run(spark: SparkSession, path_a: str, path_b: str, key: str = "id",
     full = stage_table(groups.align_full(b, a.withColumnRenamed(label_col, "label_a"), key,
                                          pred_col=label_col, out="label_b"), "compare")
     both = groups.matched(full, True, key)
-    agreement = both.agg(F.count(F.lit(1)).alias("n"),
-                         F.avg((F.col("label_a") == F.col("label_b")).cast("double")).alias("agreement"),
-                         F.count_if(F.col("label_a") != F.col("label_b")).alias("differences")).withColumn(
-        "difference_pct", 100.0 * F.col("differences") / F.col("n"))
-    return agreement, both.where(F.col("label_a") != F.col("label_b")).select(key, "label_a", "label_b")
+    same = F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))  # a missing label agrees with nothing
+    agreement = groups.agreement_row(both, same)
+    return agreement, both.where(~same).select(key, "label_a", "label_b")
 
 
 # ---------------------------------------------------------------- T8

@@ -4,6 +4,8 @@ validation; full evaluation written to files."""
 import glob
 import json
 
+import pytest
+
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 from labelscope.functions.labels import LABEL_NAMES
@@ -169,3 +171,36 @@ def test_history_run(spark, tmp_path):
     assert series.first()["plot_val_loss"] is False
     assert [r["epoch"] for r in events.orderBy("epoch").collect()] == [1, 2]
     assert [(r["epoch"], r["val_f1"]) for r in best.collect()] == [(2, 0.5)]
+
+
+def test_compared_files_count_missing_labels_as_different(spark, tmp_path):
+    for name, labels in (("a", [1, None, 4]), ("b", [1, 2, 5])):
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "id bigint, label int")
+        rows.write.option("header", True).csv(str(tmp_path / name))
+    row, differing = runs.compare_run(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    r = row.first()
+    assert (r["n"], r["differences"]) == (3, 2) and abs(r["agreement"] - 1 / 3) < 1e-12
+    assert sorted((d["id"], d["label_a"], d["label_b"]) for d in differing.collect()) == [(1, None, 2), (2, 4, 5)]
+
+
+def test_repeated_keys_do_not_align(spark):
+    from labelscope.operators import groups
+
+    once = spark.createDataFrame([(1, 0), (2, 1)], "id bigint, label int")
+    twice = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "id bigint, label int")
+    assert groups.align(once, once.withColumnRenamed("label", "y"), "id", check=True).count() == 2
+    for pred, truth in ((once, twice), (twice, once), (twice, twice)):
+        with pytest.raises(ValueError):
+            groups.align(pred, truth.withColumnRenamed("label", "y"), "id", check=True)
+
+
+def test_repeated_ids_are_not_sampled_or_numbered(spark):
+    from labelscope.operators import ranking, sampling
+
+    df = spark.createDataFrame([(i // 2, i) for i in range(10)], "id bigint, x int")
+    with pytest.raises(Exception, match="not unique"):
+        sampling.sample_n(df, 5).collect()
+    with pytest.raises(Exception, match="not unique"):
+        ranking.shuffled_row_id(df, 1, ["id"]).collect()
+    ids = ranking.shuffled_row_id(df, 1, ["id", "x"])
+    assert sorted(r["row_id"] for r in ids.collect()) == list(range(10))
