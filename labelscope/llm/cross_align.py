@@ -14,8 +14,8 @@ the documents.
 
 Both vocabularies always cut before a space that follows a visible ASCII
 character (checked when the files are loaded; otherwise a text is one unit), so
-inside a task the units between such cuts are encoded and aligned once per
-worker and put together per text. Whole texts are read, however long.
+inside a task the distinct units between such cuts are encoded and aligned once
+and put together per text. Whole texts are read, however long.
 
 Pair counts are looked up in a broadcast table of at most ``table_pairs`` pairs,
 the most frequent ones; where a corpus has more, links of the remaining pairs
@@ -33,6 +33,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm._io import stage_table, tidy_shuffles
-from labelscope.llm._text import text_bytes, text_slices
+from labelscope.llm._text import per_doc, text_bytes, text_slices
 
 #: Pairs whose counts are broadcast, at most (16 bytes each).
 TABLE_PAIRS = 1_000_000
-#: Units a worker remembers before it starts anew.
-CACHE_UNITS = 300_000
+#: Text of units that are encoded in one call.
+JOINED_BYTES = 64 << 10
+#: Text of a slice of whole documents whose distinct units are encoded together.
+SLICE_BYTES = 4 << 20
+
+# Fixed value: how a byte-level vocabulary cuts text before it merges.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -60,7 +66,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Two loaded vocabularies and the units that this worker has aligned."""
+    """Two loaded vocabularies."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
@@ -74,16 +80,17 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
         vocab = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
-                        for t, i in vocab.items()}
+        in_a = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            in_a[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in enumerate(pieces)]
-        self.size_b = len(pieces)
-        self.codes = (max(vocab.values()) + 1) * self.size_b
+        in_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sides = Vocabulary(in_a, ",|"), Vocabulary(in_b, ",;")
+        self.texts = pa.array(self.sides[0].texts + self.sides[1].texts, pa.large_string())
+        self.size_b, self.codes = len(in_b), len(in_a) * len(in_b)
         self.space_b = self.b.piece_to_id("▁")
+        self.fast = self._ranked(path_a, vocab, in_a) if self._cuts_a(path_a) else None
         self.in_units = self._cuts_a(path_a) and self._cuts_b(pieces)
-        self.seen: dict[bytes, tuple] = {}
 
     @staticmethod
     def _cuts_a(path: str) -> bool:
@@ -100,37 +107,125 @@ class Pair:
         prefix = self.b.encode("a", out_type=str)[0].startswith("▁")
         return plain and prefix and self.space_b != self.b.unk_id() and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def units(self, found: list[bytes]) -> list[tuple]:
-        """``(aligned, n_a, n_b, n_groups, link codes, groups)`` of each unit;
-        a unit starts with a space."""
-        new = [u for u in found if u not in self.seen]
-        if len(self.seen) + len(new) > CACHE_UNITS:
-            self.seen.clear()
-            new = found
-        texts = [u.decode("utf-8", "replace") for u in new]
-        for u, a, b in zip(new, self.a.encode_batch(texts, add_special_tokens=False),
-                           self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
-            b = b or [self.space_b]  # a unit of one space: the end of a text
-            self.seen[u] = self._align(u, a.ids, b)
-        return [self.seen[u] for u in found]
-
-    def _align(self, unit: bytes, a: list[int], b: list[int]) -> tuple:
-        in_a, in_b = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        if b"".join(in_a) != unit or b"".join(in_b) != unit:
-            return (False, 0, 0, 0, np.zeros(0, np.int64), "")
-        links, groups, i, j, gi, gj = [], [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while i < len(a) and j < len(b):
-            links.append(a[i] * self.size_b + b[j])
-            to_a, to_b = end_a + len(in_a[i]), end_b + len(in_b[j])
-            if to_a <= to_b:
-                end_a, i = to_a, i + 1
-            if to_b <= to_a:
-                end_b, j = to_b, j + 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[gi:i])) + "|" + ",".join(map(str, b[gj:j])))
-                gi, gj = i, j
-        return (True, len(a), len(b), len(groups), np.array(links, np.int64), ";".join(groups))
+    def _ranked(self, path: str, vocab: dict[str, int], tokens: list[bytes]):
+        """An encoder by ranks with the same merges (several times as fast), where
+        the file's ids follow the order of its merges; None otherwise."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in merges]
+        added = set(self.a.get_added_tokens_decoder())
+        ranks = {t: i for i, t in enumerate(tokens) if t and i not in added}
+        plain = all(bytes([b]) in ranks for b in range(256)) and len(ranks) == 256 + len(made) and min(made) >= 256
+        if not plain or made != sorted(made):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def tokens_a(self, texts: list[bytes]) -> list[list[int]]:
+        if self.fast is not None and all(t.isascii() for t in texts):  # on ASCII both read the pattern alike
+            return [self.fast.encode_ordinary(t.decode()) for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def tokens_b(self, texts: list[bytes]) -> list[list[int]]:
+        """The texts start with the space that B adds; one space alone ends a text."""
+        return [b or [self.space_b] for b in self.b.encode([t[1:].decode("utf-8", "replace") for t in texts], num_threads=1)]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``(token ids, tokens per unit)`` of the units ``data[off[i]:off[i + 1]]``
+        by A and by B. Units that end in a visible ASCII character are joined to
+        stretches of ``JOINED_BYTES`` before they are encoded, which changes no
+        token as both sides cut between them; where the tokens' lengths do not add
+        up to the units' all the same, and for other units, each is encoded alone."""
+        last = data[off[1:] - 1]
+        alone = (last <= 0x20) | (last >= 0x7F) | (not self.in_units)
+        at = np.flatnonzero(data[:-2] == 0xE2)
+        at = at[(data[at + 1] == 0x96) & (data[at + 2] == 0x81)]  # U+2581 reads as a space
+        alone[np.searchsorted(off, at, side="right") - 1] = True
+        size = np.diff(off)
+        found = [([], []), ([], [])]  # places and tokens, by side
+        ascii_ = per_doc(data >= 0x80, off) == 0
+        joined = np.concatenate([np.flatnonzero(~alone & ascii_), np.flatnonzero(~alone & ~ascii_)])
+        total = np.cumsum(size[joined])
+        for part in np.split(joined, np.searchsorted(total, np.arange(JOINED_BYTES, total[-1] if len(total) else 0, JOINED_BYTES))):
+            if not len(part):
+                continue
+            text = data[_spread(size[part], off[part])].tobytes()
+            ends = np.cumsum(size[part])
+            cut = []
+            for vocabulary, encode in zip(self.sides, (self.tokens_a, self.tokens_b), strict=True):
+                flat = np.array(encode([text])[0], np.int64)
+                to = np.cumsum(vocabulary.lens[flat])
+                n = np.searchsorted(to, ends, side="right")
+                cut.append((flat, n, to[-1] == ends[-1] and (to[n - 1] == ends).all()))
+            if not all(c[2] for c in cut):
+                alone[part] = True
+                continue
+            for side, (flat, n, _) in zip(found, cut, strict=True):
+                side[0].append((part, np.diff(n, prepend=0)))
+                side[1].append(flat)
+        rest = np.flatnonzero(alone)
+        texts = [data[off[i]: off[i + 1]].tobytes() for i in rest.tolist()]
+        out = []
+        for side, encode in zip(found, (self.tokens_a, self.tokens_b), strict=True):
+            lists = encode(texts) if texts else []
+            side[0].append((rest, np.fromiter(map(len, lists), np.int64, len(lists))))
+            side[1].append(np.fromiter(chain.from_iterable(lists), np.int64))
+            n = np.zeros(len(size), np.int64)
+            place, each = (np.concatenate(x) for x in zip(*side[0], strict=True))
+            n[place] = each
+            starts = np.zeros(len(size), np.int64)
+            starts[place] = np.cumsum(each) - each
+            out.append((np.concatenate(side[1])[_spread(n, starts)], n))
+        return out
+
+
+class Vocabulary:
+    """Bytes of every token, end to end, and the text of every id with what can follow it."""
+
+    def __init__(self, tokens: list[bytes], marks: str):
+        self.size = len(tokens)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lens = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.texts = [f"{i}{mark}" for mark in marks for i in range(self.size)]
+
+
+class Units:
+    """Distinct units of a slice, aligned together: per unit whether it is aligned,
+    its tokens, groups and links; all link codes; and its groups as text, each
+    closed by a semicolon."""
+
+    def __init__(self, pair: Pair, raw: pa.Array):
+        data, off = text_bytes(raw)
+        size = np.diff(off)
+        ids, counts = zip(*pair.encode(data, off), strict=True)
+        ok = np.ones(len(size), bool)
+        for vocabulary, flat, n in zip(pair.sides, ids, counts, strict=True):
+            ok &= per_doc(vocabulary.lens[flat], np.append(0, np.cumsum(n))) == size
+        for vocabulary, flat, n in zip(pair.sides, ids, counts, strict=True):  # bytes, where the lengths are right
+            flat = flat[np.repeat(ok, n)]
+            same = vocabulary.bytes[_spread(vocabulary.lens[flat], vocabulary.starts[flat])] == data[_spread(size[ok], off[:-1][ok])]
+            ok[ok] = per_doc(~same, np.append(0, np.cumsum(size[ok]))) == 0
+        self.ok = ok
+        a, b = (flat[np.repeat(ok, n)] for flat, n in zip(ids, counts, strict=True))
+        end_a, end_b = (np.cumsum(v.lens[x]) for v, x in zip(pair.sides, (a, b), strict=True))
+        unit_end = np.cumsum(np.where(ok, size, 0))
+        # between neighbouring ends lies one token of each side: a link
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        again = ends[1:] == ends[:-1]
+        shared, ends = ends[1:][again], ends[np.append(True, ~again)[: len(ends)]]
+        self.codes = a[np.searchsorted(end_a, ends)] * pair.sides[1].size + b[np.searchsorted(end_b, ends)]
+        split = [np.append(0, np.searchsorted(x, unit_end, side="right")) for x in (end_a, end_b, shared, ends)]
+        self.counts = np.array([np.diff(x) for x in split])
+        self.first_link = split[3][:-1]
+        # tokens in the order of the text: a group's tokens of A, then those of B
+        last_a, last_b = np.isin(end_a, shared, assume_unique=True), np.isin(end_b, shared, assume_unique=True)
+        group = np.concatenate([2 * np.searchsorted(shared, end_a), 2 * np.searchsorted(shared, end_b) + 1])
+        entry = np.concatenate([a + last_a * pair.sides[0].size, 2 * pair.sides[0].size + b + last_b * pair.sides[1].size])
+        text = pair.texts.take(pa.array(entry[np.argsort(group, kind="stable")]))
+        _, at = text_bytes(text)
+        self.text = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at[split[0] + split[1]]), text.buffers()[2]])
 
 
 _LOADED: dict = {}
@@ -150,16 +245,15 @@ def _spread(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def align_texts(col: pa.Array, pair: Pair) -> dict:
     """Counts, groups and distinct links (code and times, in lists) of each text."""
-    texts = col.fill_null("")
+    texts, n = col.fill_null(""), len(col)
     full = np.asarray(pc.binary_length(texts)) > 0
+    row = np.flatnonzero(full)
+    counts, groups = np.zeros((4, n), np.int64), [b""] * n
+    if not len(row):
+        empty = np.zeros(0, np.int64)
+        return {"counts": counts, "groups": groups, "first": np.zeros(n + 1, np.int64), "code": empty, "times": empty}
     spaced = pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts.filter(pa.array(full)), pa.scalar("", texts.type))
     data, off = text_bytes(spaced.combine_chunks() if isinstance(spaced, pa.ChunkedArray) else spaced)
-    docs, n = len(off) - 1, len(col)
-    counts = np.zeros((4, n), np.int64)
-    ok = np.zeros(n, bool)
-    if not docs:
-        empty = np.zeros(0, np.int64)
-        return {"counts": counts, "groups": [""] * n, "first": np.zeros(n + 1, np.int64), "code": empty, "times": empty}
     edge = np.zeros(len(data) + 1, bool)
     if pair.in_units:
         edge[1:-1] = (data[1:] == 32) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
@@ -167,32 +261,22 @@ def align_texts(col: pa.Array, pair: Pair) -> dict:
     cuts = np.flatnonzero(edge)
     coded = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1,
                                   [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-    unit = np.asarray(coded.indices)
-    found = pair.units(coded.dictionary.to_pylist())
+    units, unit = Units(pair, coded.dictionary), np.asarray(coded.indices)
     first = np.searchsorted(cuts, off)  # units of each document
-    good = np.fromiter((f[0] for f in found), bool, len(found))[unit]
-    good = np.logical_and.reduceat(good, first[:-1])
-    links = [f[4] for f in found]
-    sizes = np.fromiter(map(len, links), np.int64, len(links))
-    per_unit = np.array([[f[1] for f in found], [f[2] for f in found], [f[3] for f in found], sizes], np.int64)
-    sums = np.add.reduceat(per_unit[:, unit], first[:-1], axis=1) * good
-    by_unit = pa.array([f[5] for f in found], pa.large_string()).take(pa.array(unit))
-    groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), by_unit), pa.scalar(";", pa.large_string())).to_pylist()
-    flat, begin = np.concatenate(links) if links else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
-    lens = sizes[unit]
-    code = flat[_spread(lens, begin[unit])]
-    row = np.flatnonzero(full)
-    owner = np.repeat(np.repeat(np.arange(docs), np.diff(first)), lens)
-    keep = good[owner]
-    key, times = np.unique(owner[keep] * np.int64(pair.codes) + code[keep], return_counts=True)
+    good = np.logical_and.reduceat(units.ok[unit], first[:-1])
+    counts[:, row] = np.add.reduceat(units.counts[:, unit], first[:-1], axis=1) * good
+    chosen = units.text.take(pa.array(unit))
+    raw, at = text_bytes(chosen)
+    raw, at = memoryview(raw), at[first]
+    for i, r in enumerate(row.tolist()):
+        if good[i]:
+            groups[r] = bytes(raw[at[i]: at[i + 1] - 1])  # without the last semicolon
+    lens = units.counts[3, unit] * np.repeat(good, np.diff(first))
+    code = units.codes[_spread(lens, units.first_link[unit])]
+    owner = np.repeat(np.repeat(np.arange(len(row)), np.diff(first)), lens)
+    key, times = np.unique(owner * np.int64(pair.codes) + code, return_counts=True)
     owner, code = row[key // pair.codes], key % pair.codes
-    counts[:, row] = sums
-    ok[row] = good
-    text = [""] * n
-    for r, g in zip(row, groups, strict=True):
-        if ok[r]:
-            text[r] = g
-    return {"counts": counts, "groups": text, "first": np.searchsorted(owner, np.arange(n + 1)), "code": code, "times": times}
+    return {"counts": counts, "groups": groups, "first": np.searchsorted(owner, np.arange(n + 1)), "code": code, "times": times}
 
 
 def aligned_texts(docs: DataFrame, vocab_a: str, vocab_b: str, text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -205,15 +289,15 @@ def aligned_texts(docs: DataFrame, vocab_a: str, vocab_b: str, text_col: str = "
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(vocab_a, vocab_b)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 got = align_texts(part.column(0), pair)
                 groups = got["groups"]
                 if digest:
-                    groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                    groups = [hashlib.sha256(g).hexdigest().encode() if g else b"" for g in groups]
                 first = pa.array(got["first"], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.sha256(t).hexdigest() for t in part.column(0).cast(pa.binary()).to_pylist()], pa.string()), part.column(1),
-                     *(pa.array(c) for c in got["counts"]), pa.array(groups, pa.large_string()),
+                     *(pa.array(c) for c in got["counts"]), pa.array(groups, pa.large_binary()).cast(pa.large_string()),
                      pa.ListArray.from_arrays(first, pa.array(got["code"])), pa.ListArray.from_arrays(first, pa.array(got["times"], pa.int32()))],
                     ["key", "n_docs", *MEASURES[:4], "groups", "code", "times"])
 
