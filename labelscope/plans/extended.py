@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import hex_prefix_int
-from labelscope.operators import groups, trainer, weighted
+from labelscope.operators import groups, subword, trainer, weighted
 from labelscope.operators import history as hist
 from labelscope.plans import roles, runs
 from labelscope.session import ensure_checkpoint_dir
@@ -284,3 +284,69 @@ def q_written_tables(spark, d):
     checked = back.join(F.broadcast(disorder)).withColumn(  # one row
         "label", F.when(F.col("_bad"), F.raise_error(F.lit("the files are not in id order")).cast("int")).otherwise(F.col("label")))
     return checked.join(stored.select("ID", F.col("label").alias("_label"), "part"), "ID").where("label = _label").select("ID", "label", "part")
+
+
+# ------------------------------------------------------------------ T1 with a given subword vocabulary
+
+MAX_LENGTH = 512
+
+
+def _vocabulary() -> str:
+    """Path of a public byte-level vocabulary; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _subword_sql(path: str, texts: str) -> str:
+    """Types of ``texts(doc_id, t)`` and their tokens: the lowest-ranked pair of
+    every type is merged at all its places, round by round."""
+    letters = ", ".join("'" + c.replace("'", "''") + "'" for c in subword.byte_letters())
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+".replace("'", "''")
+    return rf"""WITH RECURSIVE file AS (SELECT content::JSON AS j FROM read_text('{path}')),
+vocab AS MATERIALIZED (SELECT unnest(map_entries(json_extract(j, '$.model.vocab')::MAP(VARCHAR, INTEGER))) AS e FROM file),
+pairs AS MATERIALIZED (SELECT m[1] AS l, m[2] AS r, n FROM (
+  SELECT unnest(ms) AS m, unnest(range(len(ms))) AS n FROM (SELECT json_extract(j, '$.model.merges')::VARCHAR[][] AS ms FROM file))),
+texts AS ({texts}),
+cut AS MATERIALIZED (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(coalesce(t, ''), '(\s+)(\s[^\s])', '\1' || chr(1) || '\2', 'g'),
+  '{pattern}'), lambda x: x <> chr(1)) AS types FROM texts),
+alphabet AS (SELECT [{letters}] AS letters),
+kinds AS (SELECT DISTINCT unnest(types) AS type FROM cut),
+start AS (SELECT type, list_transform(range(strlen(type)), lambda i: letters[('0x' || substr(hex(encode(type)), (2 * i + 1)::BIGINT, 2))::INT + 1]) AS ps
+  FROM kinds, alphabet),
+steps AS (SELECT type, ps, 0 AS round FROM start UNION ALL
+  SELECT type, list_reduce(list_transform(ps, lambda x: [x]), lambda acc, x: CASE WHEN acc[len(acc)] = b.l AND x[1] = b.r
+      THEN list_append(acc[1:len(acc) - 1], b.l || b.r) ELSE list_append(acc, x[1]) END), round + 1
+  FROM (SELECT type, round, any_value(ps) AS ps, arg_min(struct_pack(l := pairs.l, r := pairs.r), n) AS b FROM (
+      SELECT type, round, ps, unnest(ps[1:len(ps) - 1]) AS l, unnest(ps[2:]) AS r FROM steps) x
+    JOIN pairs ON pairs.l = x.l AND pairs.r = x.r GROUP BY type, round)),
+done AS (SELECT type, arg_max(ps, round) AS ps FROM steps GROUP BY type),
+tokens AS MATERIALIZED (SELECT type, list(e.value ORDER BY i) AS ids FROM (SELECT type, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM done)
+  JOIN vocab ON e.key = p GROUP BY type)"""
+
+
+def _register_subwords() -> None:
+    try:
+        path = _vocabulary()
+    except ModuleNotFoundError:  # no vocabulary files on this machine
+        return
+
+    @query(_subword_sql(path, "SELECT doc_id, text AS t FROM documents") + """
+SELECT type, count(*) AS count, any_value(ids) AS token_ids FROM (SELECT unnest(types) AS type FROM cut) JOIN tokens USING (type) GROUP BY type""")
+    def q_subword_types(spark, d):
+        """Every type of the corpus with its count and tokens."""
+        return subword.subword_types(roles.corpus(spark, d), _vocabulary(), "code")
+
+    @query(_subword_sql(path, "SELECT doc_id, '# Language: ' || coalesce(lang, '') || chr(10) || coalesce(text, '') AS t FROM documents") + f""",
+f AS (SELECT doc_id, flatten(list(ids ORDER BY i))[1:{MAX_LENGTH - 2}] AS ids FROM (
+    SELECT doc_id, unnest(types) AS type, generate_subscripts(types, 1) AS i FROM cut) JOIN tokens USING (type) GROUP BY doc_id)
+SELECT doc_id, list_concat([50256], ids, [50256], list_transform(range({MAX_LENGTH - 2} - len(ids)), lambda x: 50256))::INTEGER[] AS input_ids,
+  list_transform(range({MAX_LENGTH}), lambda i: (i < len(ids) + 2)::INT)::INTEGER[] AS attention_mask FROM f""")
+    def q_subword_encode(spark, d):
+        """Texts with their language prefix as 512 tokens between marks; the
+        vocabulary's one special id marks both ends and pads."""
+        return subword.subword_encode(roles.corpus(spark, d), _vocabulary(), "doc_id", "code", MAX_LENGTH, bos=50256, eos=50256,
+                                      pad=50256, language_col="language")
+
+
+_register_subwords()
