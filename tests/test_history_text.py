@@ -134,3 +134,20 @@ def test_length_describe_approximate(spark):
     assert exact["count"] == approx["count"] and exact["max"] == approx["max"]
     for k in ("p25", "p50", "p75"):
         assert abs(approx[k] - exact[k]) <= 0.02 * exact["max"]
+
+
+def test_a_vocabulary_past_the_bound_is_joined(spark):
+    import random
+
+    from labelscope.operators import encode
+
+    rng = random.Random(3)
+    rows = [(i // 2, " ".join(rng.choice(["the", "of"] + [f"w{k}" for k in range(60)]) for _ in range(rng.randrange(0, 40))) if i % 9 else None)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, code string").repartition(3)
+    vocab = encode.vocabulary(df, "code", 50)
+    expect = sorted(map(tuple, encode.encode(df, vocab, "id", max_length=20).collect()), key=str)
+    for limit in (0, 40, 100):
+        got = encode.encode(df, vocab, "id", max_length=20, vocabulary_bytes=limit)
+        assert got.columns == ["id", "input_ids", "attention_mask"]
+        assert sorted(map(tuple, got.collect()), key=str) == expect
