@@ -21,7 +21,10 @@ shard, queried by every vector.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are kept as their own component; vectors of
 different lengths never link; repeated ids are one node for components, while
-each of their rows counts as a vector; an empty table gives no rows.
+each of their rows counts as a vector; rows without id count and link like
+others, but name no component: theirs is the smallest id reachable, or null where
+no row of it has one (then the rows of one of its vectors are kept); they are not
+kept in components that have an id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -290,7 +293,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # -0.0 and 0.0 are the same component
     src = src.withColumn("__v", F.when(fine, F.transform(v, lambda x: x + F.lit(0.0))))
     src = stage_table(src.withColumn("k", F.when(v.isNotNull(), F.sha2(F.to_json(F.struct("__v")), 256))), "vec-rows")
+    # vectors whose rows all lack an id are numbered after the largest id
+    known = src.agg(F.max("id").alias("top"), F.count_if(F.col("id").isNull() & F.col("k").isNotNull()).alias("open")).first()
+    after = (known["top"] if known["top"] is not None else -1) + 1
+    if known["open"] and after > 2**63 - 2**54:
+        raise ValueError("no numbers are left above the ids for rows without id")
     nodes = (src.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("__v").alias("v")))
+    if known["open"]:
+        nodes = nodes.withColumn("id", F.coalesce("id", F.lit(after) + F.monotonically_increasing_id()))
     nodes = stage_table(nodes, "vec-nodes")
     total = nodes.count()
     shards = shards or max(MIN_SHARDS, -(-total // SHARD_ROWS))
@@ -361,9 +371,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     key = F.conv(F.substring("k", 1, 15), 16, 10).cast("long")
     node = nodes.select(F.col("k").alias("nk"), "m", F.col("id").alias("low"), key.alias("nkey"))
     node = node.join(links, node["nkey"] == links["key"], "left").join(roots, F.col("low") == F.col("node"), "left")
-    node = stage_table(node.select("nk", F.coalesce("root", "low").alias("component"),
+    node = stage_table(node.select("nk", "low", F.coalesce("root", "low").alias("component"),
                                    (F.coalesce("links", F.lit(0)) + F.col("m") - 1).cast("long").alias("links")), "vec-nodes-out")
     out = src.join(node, F.col("k") == F.col("nk"), "left")
     component = F.coalesce("component", "id")
+    named = F.when(component < after, component)
+    unnamed = F.when(F.col("id").isNull(), F.coalesce((component >= after) & (component == F.col("low")), component.isNull()))
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-                      component.alias("component_id"), (F.col("id") == component).alias("kept"))
+                      named.alias("component_id"), F.coalesce(unnamed, F.col("id") == component).alias("kept"))

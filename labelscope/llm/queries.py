@@ -38,7 +38,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return suffix_dedup.remove_spans(docs, suffix_dedup.repeat_spans(docs), carry=["doc_id"], digest=True)
+    return suffix_dedup.remove_repeats(docs, carry=["doc_id"], digest=True)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,11 @@ so they meet in the same tree, and about one suffix in eight is indexed.
 4. Spans meet their texts again by document id.
 
 Defined results: null and empty texts have no words; documents shorter than a
-window lose nothing; repeated rows with one id are one document, which does not
-repeat itself by being stored twice (spans found for the id apply to each of
-its rows); an empty table gives no rows; extra columns pass through unless
+window lose nothing; rows that repeat id and text are one document, which does
+not repeat itself by being stored twice; rows that share an id but not the text
+are documents of their own, in the order of their texts' digests, and rows
+without id come after all others (``remove_repeats`` sees to both; the functions
+it calls take ids as they are); an empty table gives no rows; extra columns pass through unless
 named like a result column.
 """
 
@@ -43,8 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm._io import stage_table, tidy_shuffles
+from labelscope.llm._io import own_name, stage_table, tidy_shuffles
 from labelscope.llm._text import Words, inside, mix, text_slices, window_hashes
+from labelscope.operators.ranking import row_ids
 
 WINDOW = 20
 PREFIX = 6
@@ -340,6 +343,30 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return stage_table(spans.unionByName(whole), "repeat-spans")
 
 
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells its documents apart: ``id_col`` where
+    every row has an id of its own, else a number by id, then text (rows without
+    id last). Rows that repeat id and text are one document."""
+    ids = docs.groupBy(F.col(id_col).alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null")
+    if ids.isEmpty():
+        return docs, id_col
+    key, digest = own_name("__row", docs.columns), F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)
+    rows = docs.select(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.concat(F.isnull(text_col).cast("string"), digest).alias("h"))
+    numbered = row_ids(rows.distinct(), "o", ["i", "h"], out="r").select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("r").alias(key))
+    marked = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(id_col).alias("__id"),
+                         F.concat(F.isnull(text_col).cast("string"), digest).alias("__hash"))
+    found = marked.join(numbered, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")))
+    return stage_table(found.select(*(F.col("__doc")[c].alias(c) for c in docs.columns), key), "suffix-documents"), key
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
+                   digest: bool = False, untouched: bool = False, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """``repeat_spans`` and ``remove_spans`` of documents whose ids may repeat or be null."""
+    carry = docs.columns if carry is None else carry
+    keyed, key = with_row_key(docs, id_col, text_col)
+    return remove_spans(keyed, repeat_spans(keyed, key, text_col, window, prefix), key, text_col, carry, digest, untouched)
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  carry: list[str] | None = None, digest: bool = False, untouched: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and what is left: ``kept_text`` (the

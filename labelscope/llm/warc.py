@@ -12,7 +12,8 @@ the chunk size, whatever the record's length.
 
 Defined results: a null payload is empty; a null or unsafe URL is stored
 percent-encoded; an empty table gives no archive and no rows; rows that repeat
-the largest id of their group are all responses; a damaged record is reported
+the largest id of their group are all responses, and so are rows without id,
+which no other record refers to and which come back without id; a damaged record is reported
 with ``ok`` false and ``error`` text, and the rest of its file is not read.
 """
 
@@ -72,7 +73,7 @@ def with_revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 # --- writing --------------------------------------------------------------------
 
-def record_bytes(record_id: int, url: str | None, payload: bytes, digest: bytes,
+def record_bytes(record_id: int | None, url: str | None, payload: bytes, digest: bytes,
                  refers_to: int | None, date: str) -> bytes:
     """One WARC record, not compressed."""
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -81,7 +82,7 @@ def record_bytes(record_id: int, url: str | None, payload: bytes, digest: bytes,
     lines = [
         VERSION.decode("ascii"),
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_ID}{record_id}>",
+        f"WARC-Record-ID: <{_ID}{'none' if record_id is None else record_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
         f"Content-Type: {HTTP_TYPE}",
@@ -282,7 +283,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str, url_col: str,
     if folder.startswith("file:/") and not folder.startswith("file://"):
         folder = "file://" + folder[len("file:"):]
     read = read_archives(write_archives(with_revisits(rows, min_bytes), folder))
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"(-?\d+)$", 1), F.lit("")).cast("long")
     failed = F.raise_error(F.concat(F.lit("damaged record in "), F.col("path"), F.lit(": "), F.col("error")))
     return read.select(
         F.when(F.col("ok"), number("record_id")).otherwise(failed.cast("long")).alias("id"),

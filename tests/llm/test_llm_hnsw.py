@@ -111,3 +111,15 @@ def test_audit_without_links_widens_the_beam():
     of = np.linspace(0, 5999, 600).astype(int)
     found = set(zip(rows.tolist(), g.order[nodes].tolist()))
     assert sum((600 + i, int(x)) in found for i, x in enumerate(of)) >= 0.99 * 600
+
+
+def test_rows_without_id(spark):
+    v, w, u = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    big = 2**60
+    rows = [(big + 1, v), (big + 3, w), (None, [0.0, 1.0, 0.0]), (None, v), (None, u), (None, u), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in H.near_duplicates(df, shards=1).collect()), key=str)
+    assert got == sorted([(big + 1, 2, big + 1, True), (big + 3, 2, big + 1, False), (None, 2, big + 1, False), (None, 0, None, True),
+                          (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
+    alone = spark.createDataFrame([(None, v), (None, w)], "vec_id long, embedding array<double>")
+    assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in H.near_duplicates(alone).collect()) == [(1, None, False), (1, None, True)]

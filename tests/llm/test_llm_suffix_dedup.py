@@ -93,3 +93,23 @@ def test_node_names_are_equal_for_equal_runs():
         for i, r in enumerate(runs):
             assert name[first.setdefault(r, i)] == name[i]
         assert len(set(name[: len(runs)].tolist())) == len(set(runs))
+
+
+def test_repeated_and_missing_ids_lose_only_their_own_words(spark):
+    p = " ".join(f"p{i}" for i in range(25))
+    other = " ".join(f"u{i}" for i in range(40))
+    third = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, p, "a"), (2, "a b " + p, "b"), (2, other, "c"), (None, p, "d"), (None, other + " " + third, "e"), (None, third, "f"),
+            (4, third, "g"), (4, third, "h"), (5, None, "i"), (5, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(4)
+    got = {r["__row"]: r for r in S.remove_repeats(df).collect()}
+    assert got["a"]["n_removed"] == 0 and got["c"]["n_removed"] == 0 and got["g"]["n_removed"] == got["h"]["n_removed"] == 0
+    assert got["b"]["kept_text"] == "a b" and got["d"]["n_removed"] == 25  # rows without id come last
+    assert got["e"]["n_removed"] == 70 and got["f"]["n_removed"] == 30
+    assert got["i"]["n_words"] == got["j"]["n_words"] == 0 and len(got) == len(rows)
+
+
+def test_ids_of_their_own_are_used_as_they_are(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    keyed, key = S.with_row_key(df)
+    assert keyed is df and key == "doc_id"

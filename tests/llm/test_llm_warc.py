@@ -99,3 +99,11 @@ def test_revisit_holds_no_payload():
     r = next(iter(W.SequentialReader(io.BytesIO(gzip.compress(body)))))
     assert (r["record_type"], r["payload_bytes"], r["refers_to"]) == ("revisit", 10_000, "urn:record:7")
     assert r["payload_digest"] == W.base32(hashlib.sha1(b"x" * 10_000).digest())
+
+
+def test_rows_without_id_are_responses(spark):
+    rows = [(None, "http://a/", "same"), (3, "http://b/", "same"), (9, None, "same"), (None, None, None), (None, "http://c/", "own")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in W.round_trip(spark, df, "page_id", "url", "html").collect()), key=str)
+    assert got == sorted([(None, "response", None, 4), (3, "revisit", 9, 4), (9, "response", None, 4), (None, "response", None, 0),
+                          (None, "response", None, 3)], key=str)
