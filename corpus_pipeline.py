@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = suffix_dedup.remove_spans(docs, suffix_dedup.repeat_spans(docs), carry=[*rest, "n_chars"], untouched=True)
+    found = suffix_dedup.remove_repeats(docs, carry=[*rest, "n_chars"], untouched=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", n_chars).withColumnRenamed("kept_text", "text").select(*docs.columns)
 
