@@ -11,10 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import hex_prefix_int
-from labelscope.operators import groups, subword, trainer, weighted
+from labelscope.operators import checked_write, cube, groups, subword, trainer, weighted
 from labelscope.operators import history as hist
 from labelscope.plans import roles, runs
-from labelscope.session import ensure_checkpoint_dir
+from labelscope.session import ensure_checkpoint_dir, stage_table
 from labelscope.sources.io import read_csv, read_table, write_csv, write_history, write_table
 from labelscope.sources.positions import align_positions, read_positions
 
@@ -350,3 +350,74 @@ SELECT doc_id, list_concat([50256], ids, [50256], list_transform(range({MAX_LENG
 
 
 _register_subwords()
+
+
+# ------------------------------------------------------------------ T9 in one aggregate, V1-V7 in the writing pass
+
+def _cube(spark, d):
+    """The corpus cube, stored: the tables below read it, not the texts."""
+    return stage_table(cube.profile_cube(roles.corpus(spark, d)), "profile-cube")
+
+
+@query("""WITH c AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END::INTEGER AS label, lang AS language,
+  source AS generator, length(coalesce(text, ''))::INTEGER AS length FROM documents)
+SELECT CASE grouping(label, language, generator, length) WHEN 7 THEN 'label' WHEN 11 THEN 'language' WHEN 13 THEN 'generator' ELSE 'length' END AS part,
+  label, language, generator, length, count(*) AS rows FROM c GROUP BY GROUPING SETS ((label), (language), (generator), (length))""")
+def q_profile_cube(spark, d):
+    """Counts by label, language, generator and text length from one scan; the
+    two halves of the corpus are counted apart and added up."""
+    c = roles.corpus(spark, d)
+    half = F.col("doc_id") % 2 == 0
+    return cube.merge_cubes(cube.profile_cube(c.where(half)), cube.profile_cube(c.where(~half)))
+
+
+def q_cube_distribution(spark, d):
+    t = cube.cube_distribution(spark, _cube(spark, d), CLASSES, roles.CORPUS_LANGS)
+    return t.select("label", "name", "count", F.round("pct", 6).alias("pct"))
+
+
+def q_cube_languages(spark, d):
+    return cube.cube_values(_cube(spark, d), "language")
+
+
+def q_cube_top_generators(spark, d):
+    return cube.cube_top(_cube(spark, d), "generator", 20)
+
+
+def q_cube_lengths(spark, d):
+    t = cube.cube_lengths(_cube(spark, d))
+    return t.select(*("count" if c == "count" else F.round(c, 6).alias(c) for c in t.columns))
+
+
+def q_cube_summary(spark, d):
+    t = cube.cube_summary(_cube(spark, d))
+    return t.select(*(F.round(c, 6).alias(c) if c in ("mean_length", "imbalance_ratio") else c for c in t.columns))
+
+
+def _written(spark, d):
+    """Line items as a submission: order numbers as ids, so many repeat."""
+    items = roles.table(spark, d, "lineitem", ["l_orderkey", "l_linenumber"])
+    rows = items.select(F.col("l_orderkey").cast("string").alias("id"), (F.col("l_linenumber") + 5).cast("string").alias("label"))
+    return checked_write.write_checked(spark, rows, f"{_folder(spark, 'submission')}/submission")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber + 5 AS label FROM lineitem),
+c AS (SELECT 1 AS check_id, 'columns' AS "check", 0 AS bad_rows UNION ALL SELECT 2, 'id_integer', 0 UNION ALL SELECT 3, 'label_integer', 0
+  UNION ALL SELECT 4, 'label_range', count(*) FROM s WHERE label NOT BETWEEN 0 AND 10
+  UNION ALL SELECT 5, 'unique_id', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM s GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 6, 'no_missing', count(*) FROM s WHERE id IS NULL OR label IS NULL)
+SELECT check_id::INTEGER AS check_id, "check", bad_rows = 0 AS passed, bad_rows::BIGINT AS bad_rows FROM c""")
+def q_submission_written(spark, d):
+    return _written(spark, d)[0]
+
+
+@query("""SELECT (l_linenumber + 5)::INTEGER AS label, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM lineitem), 6) AS pct,
+  (SELECT count(*) FROM lineitem) AS total FROM lineitem WHERE l_linenumber + 5 <= 10 GROUP BY l_linenumber""")
+def q_submission_written_summary(spark, d):
+    return _written(spark, d)[1].withColumn("pct", F.round("pct", 6))
+
+
+#: Queries that must equal an older one: their SQL is the same.
+SAME_AS = {"cube_distribution": "label_distribution", "cube_languages": "language_counts", "cube_top_generators": "generator_top20",
+           "cube_lengths": "length_describe", "cube_summary": "corpus_profile"}
+QUERIES |= {name: globals()[f"q_{name}"] for name in SAME_AS}

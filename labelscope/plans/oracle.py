@@ -484,4 +484,4 @@ SELECT round(avg(pow(1 - p, {Q.GAMMA}) * ce), 6) AS focal_loss FROM f""",
        CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {Q.BATCH_SIZE}) AS BIGINT) AS batch
 FROM embeddings""",
     })
-    return sql | extended.ORACLE
+    return sql | extended.ORACLE | {name: sql[other] for name, other in extended.SAME_AS.items()}
