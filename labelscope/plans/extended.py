@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import hex_prefix_int
-from labelscope.operators import checked_write, cube, groups, subword, trainer, weighted
+from labelscope.operators import checked_write, cube, groups, sketches, subword, trainer, weighted
 from labelscope.operators import history as hist
 from labelscope.plans import roles, runs
 from labelscope.session import ensure_checkpoint_dir, stage_table
@@ -421,3 +421,29 @@ def q_submission_written_summary(spark, d):
 SAME_AS = {"cube_distribution": "label_distribution", "cube_languages": "language_counts", "cube_top_generators": "generator_top20",
            "cube_lengths": "length_describe", "cube_summary": "corpus_profile"}
 QUERIES |= {name: globals()[f"q_{name}"] for name in SAME_AS}
+
+
+# ------------------------------------------------------------------ stored sketches
+
+def _sketched(spark, d):
+    """Sketch rows by language, appended one language at a time, read back."""
+    path, c = _folder(spark, "sketches"), roles.corpus(spark, d)
+    for lang in roles.CORPUS_LANGS:
+        sketches.add_parts(sketches.sketch_parts(c.where(F.col("language") == lang), "language"), path)
+    sketches.add_parts(sketches.sketch_parts(c.where(~F.coalesce(F.col("language").isin(roles.CORPUS_LANGS), F.lit(False))), "language"), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT count(*) AS rows, count(DISTINCT source) AS n_values, min(length(coalesce(text, ''))) AS least,
+  quantile_disc(length(coalesce(text, '')), 0.25) AS p25, quantile_disc(length(coalesce(text, '')), 0.5) AS p50,
+  quantile_disc(length(coalesce(text, '')), 0.75) AS p75, max(length(coalesce(text, ''))) AS most FROM documents""")
+def q_sketch_profile(spark, d):
+    """The profile from merged sketches; exact while a corpus has at most 4,096 rows."""
+    return sketches.merged_profile(_sketched(spark, d))
+
+
+@query("""SELECT source AS value, count(*) AS count FROM documents WHERE source IS NOT NULL GROUP BY source
+QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5000""")
+def q_sketch_top(spark, d):
+    """Sources by frequency from merged sketches, up to 5,000 of them (exact for up to 6,000)."""
+    return sketches.merged_top(_sketched(spark, d), 5000)
