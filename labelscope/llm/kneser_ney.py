@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from labelscope.llm._io import stage_table, tidy_shuffles
+from labelscope.llm._io import discard, stage_table, tidy_shuffles
 from labelscope.llm._text import Words, mix, per_doc, text_bytes, text_slices
 
 ORDER = 5
@@ -192,20 +192,24 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray
 
 # --- shards ------------------------------------------------------------------
 
-def shard_of(col: str, shards: int, folds: int = 1) -> F.Column:
+def shard_of(col: str, shards: int, folds: int = 1, spread: str | None = None) -> F.Column:
     """``shards`` is a multiple of ``folds``; a row's fold is its shard modulo
-    ``folds`` and does not depend on ``shards``."""
-    part = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col(col)), F.lit(n).cast("long")).cast("int")
+    ``folds`` and does not depend on ``shards``. Rows without id (never trusted)
+    are dealt by the column ``spread``."""
+    hashed = lambda name: F.xxhash64(F.lit(name), F.col(col))
+    if spread is not None:
+        hashed = lambda name: F.when(F.col(col).isNotNull(), F.xxhash64(F.lit(name), F.col(col))).otherwise(F.xxhash64(F.lit(name), F.col(spread)))
+    part = lambda name, n: F.pmod(hashed(name), F.lit(n).cast("long")).cast("int")
     return part("shard", shards) if folds == 1 else part("shard", shards // folds) * folds + part("fold", folds)
 
 
 def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, carry: list[str], shards: int,
                  folds: int = 1) -> DataFrame:
     """``(shard, block)``: rows ``(carry..., __id, __lang, __text)`` of each batch and
-    shard as one compressed Arrow stream, dealt by shard. Text shrinks to about
-    a third, so the shuffle that brings shards together stays small."""
+    shard as one compressed Arrow stream, one shard a partition. Text shrinks to
+    about a third, so the shuffle that brings shards together stays small."""
     src = docs.select(*carry, F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"),
-                      shard_of(id_col, shards, folds).alias("__shard"))
+                      shard_of(id_col, shards, folds, text_col).alias("__shard"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -222,7 +226,7 @@ def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, car
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                                                      ["shard", "block"])
 
-    return src.mapInArrow(pack, "shard int, block binary").repartition(shards, "shard")
+    return src.mapInArrow(pack, "shard int, block binary").repartitionById(shards, "shard")
 
 
 def unpack(block: pa.Scalar) -> Iterator[pa.RecordBatch]:
@@ -270,8 +274,8 @@ def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool
     rows = blocks.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInArrow(
         count, "key long, ord int, ctx long, suf long, bos boolean, c long, fold int")
     by_fold = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(folds)] if folds > 1 else []
-    return rows.groupBy("key").agg(F.first("ord").alias("ord"), F.first("ctx").alias("ctx"), F.first("suf").alias("suf"),
-                                   F.first("bos").alias("bos"), F.sum("c").alias("c"), *by_fold)
+    # a key has one order, context and suffix; grouped by them, rows are narrower than with a first value of each
+    return rows.groupBy("key", "ord", "ctx", "suf", "bos").agg(F.sum("c").alias("c"), *by_fold)
 
 
 def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBatch]:
@@ -283,12 +287,14 @@ def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBat
     return table.combine_chunks().cast(kinds).to_batches()
 
 
-def model_table(counts: DataFrame, order: int, folds: int = 1) -> DataFrame:
-    """``(model, key, alpha, gamma)``: the discounted probability of each seen
-    n-gram, and the back-off weight of each seen context; the empty context's
-    ``alpha`` is one over the number of symbols. Model ``k`` leaves fold ``k``
-    out (one fold: nothing)."""
-    rest = [F.col("c") - F.col(f"c{k}") if folds > 1 else F.col("c") for k in range(folds)]
+def model_table(counts: DataFrame, order: int, folds: int = 1, drop_counts: bool = False) -> DataFrame:
+    """``(key, alpha, gamma)``, staged: in arrays by model, the discounted
+    probability of each seen n-gram and the back-off weight of each seen context
+    (null where the model has none); the empty context's ``alpha`` is one over
+    the number of symbols. Model ``k`` leaves fold ``k`` out (one fold:
+    nothing). ``drop_counts`` removes the staged counts as soon as they are read."""
+    models = range(folds)
+    rest = [F.col("c") - F.col(f"c{k}") if folds > 1 else F.col("c") for k in models]
     follow = counts.where("ord > 1").groupBy(F.col("suf").alias("k")).agg(
         *(F.sum((c > 0).cast("long")).alias(f"left_kinds{k}") for k, c in enumerate(rest)))
     own = counts.join(follow, F.col("key") == F.col("k"), "left")
@@ -297,28 +303,37 @@ def model_table(counts: DataFrame, order: int, folds: int = 1) -> DataFrame:
     grams = own.select("key", "ord", "ctx", *(
         F.when(whole | (c == 0), c).otherwise(F.coalesce(f"left_kinds{k}", c)).alias(f"c{k}") for k, c in enumerate(rest)))
     grams = stage_table(grams, "kn-grams")
-    grams = grams.select("key", "ord", "ctx", F.posexplode(F.array(*(f"c{k}" for k in range(folds)))).alias("model", "c")).where("c > 0")
-    n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-    def discount(i: int, usual: float):
-        d = F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        return F.least(F.greatest(F.coalesce(F.when(F.col("n1") > 0, d), F.lit(usual)), F.lit(0.05)), F.lit(float(i)))
-
-    discounts = grams.groupBy("model", "ord").agg(*n).select(
-        F.col("model").alias("m"), F.col("ord").alias("o"), *(discount(i, u).alias(f"d{i}") for i, u in ((1, 0.5), (2, 1.0), (3, 1.5))))
-    # one row per fold and order
-    grams = grams.join(F.broadcast(discounts), (F.col("model") == F.col("m")) & (F.col("ord") == F.col("o")))
-    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    grams = grams.withColumn("d", d)
-    contexts = grams.groupBy(F.col("model").alias("y"), F.col("ctx").alias("x")).agg(
-        F.sum("c").alias("total"), F.sum("d").alias("held"), F.first("ord").alias("x_ord"), F.count("*").alias("kinds"))
-    alpha = grams.join(contexts.select("y", "x", "total"), (F.col("model") == F.col("y")) & (F.col("ctx") == F.col("x"))).select(
-        "model", "key", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-    gamma = contexts.select(F.col("y").alias("model"), F.col("x").alias("key"), F.when(F.col("x_ord") == 1, 1.0 / (F.col("kinds") + 1)).alias("alpha"),
-                            (F.col("held") / F.col("total")).alias("gamma"))
-    return alpha.unionByName(gamma).groupBy("model", "key").agg(
-        F.max("alpha").cast("float").alias("alpha"), F.max("gamma").cast("float").alias("gamma"))
+    if drop_counts:
+        discard(counts)
+
+    def discount(k: int, i: int, usual: float):
+        n = [F.sum((F.col(f"c{k}") == j).cast("double")) for j in (1, 2, 3, 4)]
+        y = F.try_divide(n[0], n[0] + 2 * n[1])
+        d = F.lit(float(i)) - (i + 1) * y * F.try_divide(n[i], n[i - 1])
+        return F.least(F.greatest(F.coalesce(F.when(n[0] > 0, d), F.lit(usual)), F.lit(0.05)), F.lit(float(i)))
+
+    discounts = grams.groupBy(F.col("ord").alias("o")).agg(
+        *(discount(k, i, u).alias(f"d{k}_{i}") for k in models for i, u in ((1, 0.5), (2, 1.0), (3, 1.5))))
+    held = grams.join(F.broadcast(discounts), F.col("ord") == F.col("o"))  # one row per order
+    for k in models:
+        c = F.col(f"c{k}")
+        held = held.withColumn(f"d{k}", F.when(c == 1, F.col(f"d{k}_1")).when(c == 2, F.col(f"d{k}_2")).when(c > 0, F.col(f"d{k}_3")))
+    held = held.select("key", "ord", "ctx", *(f"{x}{k}" for k in models for x in "cd"))
+    contexts = held.groupBy(F.col("ctx").alias("x")).agg(F.first("ord").alias("x_ord"), *(
+        a for k in models for a in (F.sum(f"c{k}").alias(f"total{k}"), F.sum(f"d{k}").alias(f"held{k}"), F.count(f"d{k}").alias(f"kinds{k}"))))
+    alpha = held.join(contexts.select("x", *(f"total{k}" for k in models)), F.col("ctx") == F.col("x")).select("key", *(
+        F.when(F.col(f"c{k}") > 0, F.greatest(F.col(f"c{k}") - F.col(f"d{k}"), F.lit(0.0)) / F.col(f"total{k}")).cast("float").alias(f"a{k}")
+        for k in models), *(F.lit(None).cast("float").alias(f"g{k}") for k in models))
+    some = [F.col(f"kinds{k}") > 0 for k in models]
+    gamma = contexts.select(
+        F.col("x").alias("key"),
+        *(F.when(some[k] & (F.col("x_ord") == 1), 1.0 / (F.col(f"kinds{k}") + 1)).cast("float").alias(f"a{k}") for k in models),
+        *(F.when(some[k], F.col(f"held{k}") / F.col(f"total{k}")).cast("float").alias(f"g{k}") for k in models))
+    best = alpha.unionByName(gamma).groupBy("key").agg(*(F.max(f"{x}{k}").alias(f"{x}{k}") for x in "ag" for k in models))
+    model = stage_table(best.select("key", F.array(*(f"a{k}" for k in models)).alias("alpha"),
+                                    F.array(*(f"g{k}" for k in models)).alias("gamma")), "kn-model")
+    discard(grams)
+    return model
 
 
 # --- scoring -----------------------------------------------------------------
@@ -340,9 +355,11 @@ def gram_costs(j: np.ndarray, keys: list[np.ndarray], contexts: list[np.ndarray]
     return -np.log(p)
 
 
-def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, across: bool = False, folds: int = 1) -> DataFrame:
+def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, across: bool = False, folds: int = 1,
+                 shards: int = MIN_SHARDS) -> DataFrame:
     """``kinds`` columns (carried in the blocks) with ``n_symbols`` and
-    ``perplexity`` of whole texts, by the model of the shard's fold."""
+    ``perplexity`` of whole texts, by the model of the shard's fold; ``shards``
+    is the blocks' number of shards, so that answers come one shard a partition too."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want: dict[int, list[np.ndarray]] = {}
@@ -366,8 +383,10 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, a
             key = np.sort(distinct(np.concatenate(mine))) if mine else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard, np.int32)), pa.array(key.view(np.int64))], ["shard", "key"])
 
-    asked = blocks.mapInArrow(ask, "shard int, key long").withColumn("model", F.col("shard") % folds)
-    answers = asked.join(model, ["model", "key"]).select("shard", "key", "alpha", "gamma")
+    asked = blocks.mapInArrow(ask, "shard int, key long")
+    fold = F.col("shard") % folds
+    answers = (asked.join(model, "key").select("shard", "key", F.get("alpha", fold).alias("alpha"), F.get("gamma", fold).alias("gamma"))
+               .where("alpha is not null or gamma is not null").repartitionById(shards, "shard"))
     carry = [f.name for f in kinds]
     names = ["n_symbols", "perplexity"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_symbols long", "perplexity double"])
@@ -416,12 +435,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
 
     ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
     ids = stage_table(ids.withColumn("shard", shard_of("id", shards, folds)), "kn-trusted")
-    counts = stage_table(count_ngrams(blocks, ids.repartition(shards, "shard"), order, True, folds), "kn-counts")
-    model = stage_table(model_table(counts, order, folds), "kn-model")
+    counts = stage_table(count_ngrams(blocks, ids.repartitionById(shards, "shard"), order, True, folds), "kn-counts")
+    model = model_table(counts, order, folds, drop_counts=True)
 
     kinds = [docs.schema[c] for c in carry]
     kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
-    scored = stage_table(perplexities(blocks, model, order, kinds, True, folds), "kn-scores")
+    scored = stage_table(perplexities(blocks, model, order, kinds, True, folds, shards), "kn-scores")
+    discard(model)
     known = scored.where("perplexity is not null").join(ids.select(F.col("id").alias("__trusted")), F.col("__id") == F.col("__trusted"), "left_semi")
     cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("__cut"))
     out = scored.join(cut, F.col("__lang").eqNullSafe(F.col("__cut_lang")), "left")
