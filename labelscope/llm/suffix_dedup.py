@@ -234,13 +234,16 @@ def context_rows(joined: DataFrame, window: int, prefix: int) -> DataFrame:
                     again = np.concatenate([[False], (d[1:] == d[:-1]).all(axis=1)])
                     head = np.flatnonzero(~again)[np.cumsum(~again) - 1]
                     again &= (i != i[head]) | (p != p[head])
-                    k1.append(np.where(again, i, d[:, 0]))
-                    k2.append(np.where(again, p, d[:, 1]))
-                    kinds.append(np.where(again, 2, 1).astype(np.int8))
-                    who.append(i)
-                    begin.append(p)
-                    end.append(p + window)
-                    text += [None] * len(p)
+                    runs = _runs(i[again], p[again], window)  # one span for neighbouring windows
+                    i, p, d = i[~again], p[~again], d[~again]
+                    ri, rp, rq = (c.to_numpy().astype(np.int64) for c in runs.columns)
+                    k1 += [d[:, 0], ri]
+                    k2 += [d[:, 1], rp]
+                    kinds += [np.full(len(p), 1, np.int8), np.full(len(rp), 2, np.int8)]
+                    who += [i, ri]
+                    begin += [p, rp]
+                    end += [p + window, rq]
+                    text += [None] * (len(p) + len(rp))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2)), pa.array(np.concatenate(kinds)),
                     pa.array(np.concatenate(who)), pa.array(np.concatenate(begin).astype(np.int32)),
@@ -291,7 +294,7 @@ def tree_spans(rows: DataFrame, window: int) -> DataFrame:
             kind = batch.column("kind").to_numpy()
             known = np.flatnonzero(kind == 2)
             if len(known):
-                yield _runs(batch.column("id").to_numpy()[known], batch.column("start").to_numpy()[known].astype(np.int64), window)
+                yield batch.select(["id", "start", "stop"]).take(pa.array(known))
             one = np.flatnonzero(kind == 1)
             if len(one):  # streamed in order: the first row of a key is its first occurrence
                 k1, k2, ids, at = (batch.column(c).to_numpy()[one] for c in ("k1", "k2", "id", "start"))

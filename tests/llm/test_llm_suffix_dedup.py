@@ -113,3 +113,14 @@ def test_ids_of_their_own_are_used_as_they_are(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     keyed, key = S.with_row_key(df)
     assert keyed is df and key == "doc_id"
+
+
+def test_neighbouring_windows_of_a_full_prefix_are_one_span(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 4)
+    p = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"a{i} b{i} {p} c{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spans = S.repeat_spans(df).collect()
+    assert len(spans) < 2 * len(rows) and {r["id"] for r in spans} == set(range(1, 60))
+    got = {r["doc_id"]: r["n_removed"] for r in S.remove_spans(df, S.repeat_spans(df)).collect()}
+    assert got == {i: 70 if i else 0 for i in range(60)}
