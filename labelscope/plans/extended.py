@@ -15,6 +15,7 @@ from labelscope.operators import checked_write, cube, groups, sketches, subword,
 from labelscope.operators import history as hist
 from labelscope.plans import roles, runs
 from labelscope.session import ensure_checkpoint_dir, stage_table
+from labelscope.sources.committed import CommittedJson
 from labelscope.sources.io import read_csv, read_table, write_csv, write_history, write_table
 from labelscope.sources.positions import align_positions, read_positions
 
@@ -447,3 +448,17 @@ QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5000""")
 def q_sketch_top(spark, d):
     """Sources by frequency from merged sketches, up to 5,000 of them (exact for up to 6,000)."""
     return sketches.merged_top(_sketched(spark, d), 5000)
+
+
+# ------------------------------------------------------------------ record files with a commit step
+
+@query("""SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderkey % 3 = 0 AS third FROM orders""")
+def q_committed_files(spark, d):
+    """Orders written in two commits through the committed data source, read back."""
+    spark.dataSource.register(CommittedJson)
+    orders = roles.table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"]).withColumn("third", F.col("o_orderkey") % 3 == 0)
+    path = _folder(spark, "committed")
+    for mode, part in (("overwrite", orders.where("third")), ("append", orders.where("not third"))):
+        part.repartition(4).write.format("committed_json").mode(mode).save(path)
+    back = spark.read.format("committed_json").load(path)
+    return back.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"), "third")
