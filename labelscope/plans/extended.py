@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.hashing import hex_prefix_int
-from labelscope.operators import checked_write, cube, groups, sketches, subword, trainer, weighted
+from labelscope.operators import checked_write, cube, groups, sample_layout, sketches, subword, trainer, weighted
 from labelscope.operators import history as hist
 from labelscope.plans import roles, runs
 from labelscope.session import ensure_checkpoint_dir, stage_table
@@ -418,12 +418,6 @@ def q_submission_written_summary(spark, d):
     return _written(spark, d)[1].withColumn("pct", F.round("pct", 6))
 
 
-#: Queries that must equal an older one: their SQL is the same.
-SAME_AS = {"cube_distribution": "label_distribution", "cube_languages": "language_counts", "cube_top_generators": "generator_top20",
-           "cube_lengths": "length_describe", "cube_summary": "corpus_profile"}
-QUERIES |= {name: globals()[f"q_{name}"] for name in SAME_AS}
-
-
 # ------------------------------------------------------------------ stored sketches
 
 def _sketched(spark, d):
@@ -462,3 +456,19 @@ def q_committed_files(spark, d):
         part.repartition(4).write.format("committed_json").mode(mode).save(path)
     back = spark.read.format("committed_json").load(path)
     return back.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"), "third")
+
+
+# ------------------------------------------------------------------ samples from a stored layout
+
+def q_sample_layout(spark, d):
+    """An eighth of the orders per class, from the table stored in sample order."""
+    path, orders = _folder(spark, "layout"), roles.skewed(spark, d)
+    sample_layout.write_layout(orders, path, seed=SEED, id_cols=["o_orderkey"])
+    taken = sample_layout.sample_layout(spark, path, orders.count() // 8, labels=roles.SKEWED_CLASSES, shuffle=True)
+    return taken.select("o_orderkey", "label", "sample_key", "row_id")
+
+
+#: Queries that must equal an older one: their SQL is the same.
+SAME_AS = {"cube_distribution": "label_distribution", "cube_languages": "language_counts", "cube_top_generators": "generator_top20",
+           "cube_lengths": "length_describe", "cube_summary": "corpus_profile", "sample_layout": "sample_by_class"}
+QUERIES |= {name: globals()[f"q_{name}"] for name in SAME_AS}
