@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from labelscope.llm._text import mix, text_bytes, text_slices
 
 #: Bytes of text whose lattices a task holds at once (a longer text alone).
-LATTICE_BYTES = 2 << 20
+LATTICE_BYTES = 1 << 20
 THETA = 1.0
 _LOADED: dict = {}
 _UNKNOWN = 1 << 24  # a character without a piece, plus its code point
