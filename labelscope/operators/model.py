@@ -23,6 +23,8 @@ from labelscope.operators.metrics import macro_f1, pair_counts
 
 # The whitespace token separator, as a SQL string literal body.
 TOKEN_SPLIT_SQL = "[ \\t\\r\\n]+"
+#: More classes than a model can hold: at 2 ** 16 features, 2 ** 17 rows of coefficients take 64 GB.
+MAX_CLASSES = 1 << 17
 from labelscope.operators.weights import attach_weights, class_weights
 
 
@@ -113,7 +115,9 @@ def train_classifier(spark: SparkSession, train: DataFrame, validation: DataFram
                       F.col(label_col).cast("int").alias("label"))
     weight_col = None
     if class_weighted:
-        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w")
+        # a join on the label would deal the texts out by class, one class a task, and the cached vectors stay
+        # as they are dealt; the weights have a row per class, as the model's coefficients (in the driver) do
+        tr = attach_weights(tr, class_weights(tr, "inverse"), "label", out="_w", max_classes=MAX_CLASSES)
         weight_col = "_w"
     tok, tf = _feature_stages("_text", num_features)
     keep = ["label"] + ([weight_col] if weight_col else [])

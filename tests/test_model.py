@@ -80,3 +80,25 @@ def test_weighted_sampler_training(spark):
     h = hist.first()
     assert 0.0 <= h["train_f1"] <= 1.0 and 0.0 <= h["val_f1"] <= 1.0
     assert model.predict(m, c, "doc_id").count() == c.count()
+
+
+def test_training_rows_are_not_dealt_out_by_class(spark, monkeypatch):
+    """One class has nearly all rows; the cached vectors must not lie in its task."""
+    import pyspark.ml.feature as feature
+
+    rows = [(i, f"word{i % 7} line {i}", 0 if i % 20 else 1 + i // 20 % 3) for i in range(800)]
+    c = spark.createDataFrame(rows, "id long, code string, label int").repartition(8)
+    seen, fit = [], feature.IDF.fit
+
+    def look(self, df, *rest):
+        seen.extend(df.rdd.glom().map(len).collect())
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(feature.IDF, "fit", look)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model.train_classifier(spark, c, c, reg_params=(0.1,), max_iter=2, num_features=1 << 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sum(seen) == 800 and max(seen) <= 200, seen
