@@ -11,8 +11,9 @@ from the language, so all languages share the tables. (The functions below
 
 1. Documents are dealt into shards of about ``SHARD_BYTES`` by a hash of their
    id, as compressed blocks of rows; a shard holds documents of one of
-   ``FOLDS`` folds (also by a hash of the id). Shards meet the trusted ids in a
-   co-group that counts n-grams; Spark adds the shards' counts up by fold.
+   ``FOLDS`` folds (also by a hash of the id). A bit filter of the trusted ids
+   leaves out most other documents; the shards of the rest meet the trusted ids
+   in a co-group that counts n-grams; Spark adds the shards' counts up by fold.
 2. Each fold has a model of the trusted documents of all other folds.
    Continuation counts, discounts (from the counts of counts of each order)
    and back-off weights are joins and aggregates of the count table.
@@ -56,6 +57,9 @@ FOLDS = 5
 #: Text of one shard, and the least number of shards.
 SHARD_BYTES = 48 << 20
 MIN_SHARDS = 8
+#: Bits per trusted id in the filter before counting, and its most words of 64 bits.
+FILTER_BITS = 16
+FILTER_WORDS = 1 << 20
 _START, _END = np.uint64(2), np.uint64(3)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,33 +137,71 @@ def word_symbols(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def text_symbols(words: Words, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the texts (``across``: one start mark a text, else one a word),
     the number of each since its start mark, and each text's first symbol."""
+    if across:
+        return _running_symbols(words)
     symbols, first = word_symbols(words.tokens())
     off = first[words.first]
-    if across:
-        keep = np.ones(len(symbols), bool)
-        keep[first[:-1]] = False
-        keep[off[:-1][words.counts > 0]] = True
-        symbols, off = symbols[keep], np.concatenate([[0], np.cumsum(keep)])[off]
     here = np.arange(len(symbols))
     return symbols, here - np.maximum.accumulate(np.where(symbols == _START, here, 0)), off
 
 
+def _running_symbols(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text_symbols`` of running text. No word holds a tab or a space, so they
+    stand for the marks until the bytes are decoded."""
+    raw, ends = text_bytes(words.tokens())
+    some = np.flatnonzero(words.counts > 0)
+    raw = np.insert(raw, ends[1:], np.uint8(32))
+    ends = ends + np.arange(len(ends))  # of the words with their end marks
+    raw = np.insert(raw, ends[words.first[some]], np.uint8(9))
+    lead = np.zeros(words.docs + 1, np.int64)
+    lead[some + 1] = 1
+    off = ends[words.first] + np.cumsum(lead)
+    try:
+        if len(raw) and raw.max() >= 128:
+            chars = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            length = np.zeros(words.docs + 1, np.int64)
+            length[some + 1] = np.add.reduceat((raw & 0xC0) != 0x80, off[some], dtype=np.int64)
+            off = np.cumsum(length)
+        else:
+            chars = raw
+    except UnicodeDecodeError:  # bytes stand for themselves
+        chars = raw
+    symbols = chars.astype(np.uint64)
+    symbols += np.uint64(4)
+    symbols[chars == 32] = _END
+    symbols[off[some]] = _START
+    since = np.arange(len(symbols))
+    since -= np.repeat(off[:-1], np.diff(off))
+    return symbols, since, off
+
+
 def distinct_grams(symbols: np.ndarray, j: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every place but the start marks: the code of the ``order`` symbols (or
     those since the start mark) that end there; and a place of each code."""
-    kinds = np.flatnonzero(np.bincount(symbols.astype(np.int64)))
+    symbols = symbols.view(np.int64)
+    kinds = np.flatnonzero(np.bincount(symbols))
     small = np.zeros(int(kinds[-1]) + 1, np.int64)
     small[kinds] = np.arange(1, len(kinds) + 1)
-    small = small[symbols.astype(np.int64)]
+    small = small[symbols]
     bits = len(kinds).bit_length()
-    window, used = np.zeros(len(symbols), np.int64), 0
-    for n in range(order - 1, -1, -1):
-        if used + bits > 63:  # a large alphabet: number the windows so far
-            numbered = pa.array(window).dictionary_encode()
-            window, used = np.asarray(numbered.indices).astype(np.int64), len(numbered.dictionary).bit_length()
-        window <<= bits
-        window[n:] |= np.where(j[n:] >= n, small[: max(len(small) - n, 0)], 0)
-        used += bits
+    if bits * order <= 63:
+        window, have = small.copy(), 1
+        while have < order:  # of ``have`` symbols; longer ones from two that touch
+            more = min(have, order - have)
+            tail = small if more == 1 else window & ((1 << bits * more) - 1)
+            window[have:] |= tail[: max(len(small) - have, 0)] << bits * have
+            have += more
+        near = np.flatnonzero(j < order - 1)  # nothing from before the start mark
+        window[near] &= (1 << bits * (j[near] + 1)) - 1
+    else:
+        window, used = np.zeros(len(symbols), np.int64), 0
+        for n in range(order - 1, -1, -1):
+            if used + bits > 63:  # a large alphabet: number the windows so far
+                numbered = pa.array(window).dictionary_encode()
+                window, used = np.asarray(numbered.indices).astype(np.int64), len(numbered.dictionary).bit_length()
+            window <<= bits
+            window[n:] |= np.where(j[n:] >= n, small[: max(len(small) - n, 0)], 0)
+            used += bits
     place = np.flatnonzero(j)
     coded = pa.array(window[place]).dictionary_encode()
     code = np.asarray(coded.indices)
@@ -234,6 +276,19 @@ def unpack(block: pa.Scalar) -> Iterator[pa.RecordBatch]:
         yield from text_slices(batch, "__text")
 
 
+def maybe_trusted(docs: DataFrame, id_col: str, trusted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``trusted(id)``, and with all
+    whose id is. Every trusted id sets a bit, out of ``FILTER_BITS`` per id,
+    in words of 64 bits; the words (at most ``FILTER_WORDS``) are broadcast."""
+    words = max(1, min(FILTER_WORDS, trusted.count() * FILTER_BITS // 64))
+    bit = lambda col: F.pmod(F.xxhash64(F.lit("trusted"), F.col(col)), F.lit(64 * words))
+    held = (trusted.select(bit("id").alias("bit")).groupBy(F.expr("bit div 64").alias("__word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("__held")))
+    asked = docs.withColumn("__bit", bit(id_col)).withColumn("__at", F.expr("__bit div 64"))
+    here = asked.join(F.broadcast(held), F.col("__at") == F.col("__word"))
+    return here.where(F.call_function("getbit", "__held", (F.col("__bit") % 64).cast("int")) == 1).select(*docs.columns)
+
+
 # --- model -------------------------------------------------------------------
 
 def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool = False, folds: int = 1) -> DataFrame:
@@ -273,9 +328,13 @@ def count_ngrams(blocks: DataFrame, trusted: DataFrame, order: int, across: bool
 
     rows = blocks.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInArrow(
         count, "key long, ord int, ctx long, suf long, bos boolean, c long, fold int")
-    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(folds)] if folds > 1 else []
     # a key has one order, context and suffix; grouped by them, rows are narrower than with a first value of each
-    return rows.groupBy("key", "ord", "ctx", "suf", "bos").agg(F.sum("c").alias("c"), *by_fold)
+    grams = rows.groupBy("key", "ord", "ctx", "suf", "bos")
+    if folds == 1:
+        return grams.agg(F.sum("c").alias("c"))
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(folds)]
+    every = sum((F.col(f"c{k}") for k in range(1, folds)), F.col("c0"))
+    return grams.agg(*by_fold).select("key", "ord", "ctx", "suf", "bos", every.alias("c"), *(f"c{k}" for k in range(folds)))
 
 
 def _added(batches: list[pa.RecordBatch], kinds: pa.Schema) -> list[pa.RecordBatch]:
@@ -375,7 +434,8 @@ def perplexities(blocks: DataFrame, model: DataFrame, order: int, kinds: list, a
                         _, at = distinct_grams(symbols, since, order)
                         keys, contexts = gram_keys(symbols, at, language_key(lang), order)
                         j = since[at]
-                        got = [keys[0][:1], *(k[n][j >= n - 1] for n in range(1, order + 1) for k in (keys, contexts))]
+                        # a context is a gram that ends one place before, but for the start mark alone
+                        got = [keys[0][:1], *(keys[n][j >= n - 1] for n in range(1, order + 1)), *(k[j == 1][:1] for k in contexts[2:3])]
                         mine.append(distinct(np.concatenate(got)))
                     if len(mine) >= 8:
                         mine[:] = [distinct(np.concatenate(mine))]
@@ -435,7 +495,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
 
     ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
     ids = stage_table(ids.withColumn("shard", shard_of("id", shards, folds)), "kn-trusted")
-    counts = stage_table(count_ngrams(blocks, ids.repartitionById(shards, "shard"), order, True, folds), "kn-counts")
+    # blocks of their own: the counts need no other rows and columns
+    counted = shard_blocks(maybe_trusted(docs.select(*dict.fromkeys([id_col, lang_col, text_col])), id_col, ids),
+                           id_col, lang_col, text_col, [], shards, folds)
+    counts = stage_table(count_ngrams(counted, ids.repartitionById(shards, "shard"), order, True, folds), "kn-counts")
     model = model_table(counts, order, folds, drop_counts=True)
 
     kinds = [docs.schema[c] for c in carry]

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labelscope.llm import kneser_ney as K
+from labelscope.llm._text import Words
 
 SF = "/root/testdata/sf0.01"
 #: Least share of rows with repeated words that the model rejects.
@@ -225,3 +227,27 @@ def test_shards_do_not_change_the_scores(spark, monkeypatch):
     two = {r["doc_id"]: r["perplexity"] for r in K.classify(docs.repartition(5), labels, carry=["doc_id"]).collect()}
     assert one.keys() == two.keys()
     assert all(one[k] == pytest.approx(two[k], rel=1e-6) for k in one if one[k] is not None)
+
+
+def test_only_likely_trusted_rows_are_counted(spark):
+    """Of the rows that are shuffled to be counted, no trusted one is missing and few others are left."""
+    rows = [(None if i % 50 == 7 else i // 2, f"text {i}") for i in range(8000)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        trusted = spark.range(0, 4000, 10).select(F.col("id").cast(kind).alias("id"))
+        kept = [(int(r.doc_id), r.text) for r in K.maybe_trusted(docs, "doc_id", trusted).collect()]
+        want = [(i, t) for i, t in rows if i is not None and i % 10 == 0]
+        assert len(set(kept)) == len(kept) and set(want) <= set(kept) <= set(rows)
+        assert len(kept) - len(want) < len(rows) // 8
+        assert K.maybe_trusted(docs, "doc_id", trusted.limit(0)).count() == 0
+
+
+def test_running_symbols_equal_plain():
+    texts = ["ab c", None, "", " \t", "é漢 x😀\n", "a" * 5, "x\ty  z "]
+    symbols, since, off = K.text_symbols(Words(pa.array([None if t is None else t.encode() for t in texts], pa.binary())), True)
+    plain = [[2, *(s for w in (t or "").split() for s in [*(ord(c) + 4 for c in w), 3])] if (t or "").split() else [] for t in texts]
+    assert [symbols[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == plain
+    assert since.tolist() == [i for p in plain for i in range(len(p))]
+    code, at = K.distinct_grams(symbols, since, 3)
+    ends = [tuple(p[max(i - 2, 0): i + 1]) for p in plain for i in range(1, len(p))]
+    assert len(at) == len(set(ends)) and len({*zip(code.tolist(), ends, strict=True)}) == len(at)
