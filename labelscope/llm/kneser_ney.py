@@ -19,7 +19,8 @@ from the language, so all languages share the tables. (The functions below
    and back-off weights are joins and aggregates of the count table.
 3. Each shard asks its fold's model for its distinct keys; a join answers;
    shard and answers meet in a co-group that scores whole texts. No document
-   is scored with its own counts, so trusted and other documents compare.
+   is scored with its own counts, so trusted and other documents compare. The
+   shards take ``TURNS`` turns, so that half of them lie on the disk at once.
 4. The ``quantile`` of the perplexities of all trusted documents of a language,
    times ``slack``, is its threshold.
 
@@ -37,6 +38,7 @@ scored one by one; extra columns pass through unless named like a result column.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,8 @@ FOLDS = 5
 #: Text of one shard, and the least number of shards.
 SHARD_BYTES = 48 << 20
 MIN_SHARDS = 8
+#: Parts of the shards that are scored one after the other.
+TURNS = 2
 #: Bits per trusted id in the filter before counting, and its most words of 64 bits.
 FILTER_BITS = 16
 FILTER_WORDS = 1 << 20
@@ -246,12 +250,15 @@ def shard_of(col: str, shards: int, folds: int = 1, spread: str | None = None) -
 
 
 def shard_blocks(docs: DataFrame, id_col: str, lang_col: str, text_col: str, carry: list[str], shards: int,
-                 folds: int = 1) -> DataFrame:
+                 folds: int = 1, turn: tuple[int, int] = (0, 1)) -> DataFrame:
     """``(shard, block)``: rows ``(carry..., __id, __lang, __text)`` of each batch and
     shard as one compressed Arrow stream, one shard a partition. Text shrinks to
-    about a third, so the shuffle that brings shards together stays small."""
+    about a third, so the shuffle that brings shards together stays small.
+    ``turn=(k, n)``: only the ``k``-th of ``n`` parts of the shards of every fold."""
     src = docs.select(*carry, F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).cast("binary").alias("__text"),
                       shard_of(id_col, shards, folds, text_col).alias("__shard"))
+    if turn[1] > 1:
+        src = src.where(F.expr(f"(__shard div {folds}) % {turn[1]} = {turn[0]}"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
@@ -491,8 +498,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     shards = folds * -(-max(MIN_SHARDS, -(-size // SHARD_BYTES)) // folds)
-    blocks = shard_blocks(docs, id_col, lang_col, text_col, carry, shards, folds)
-
     ids = labels.where(trusted).select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).where("id is not null").distinct()
     ids = stage_table(ids.withColumn("shard", shard_of("id", shards, folds)), "kn-trusted")
     # blocks of their own: the counts need no other rows and columns
@@ -503,7 +508,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_co
 
     kinds = [docs.schema[c] for c in carry]
     kinds += [StructField("__id", docs.schema[id_col].dataType), StructField("__lang", docs.schema[lang_col].dataType)]
-    scored = stage_table(perplexities(blocks, model, order, kinds, True, folds, shards), "kn-scores")
+    # a turn's blocks, questions and answers are gone from the disk when the next begins
+    turns = [shard_blocks(docs, id_col, lang_col, text_col, carry, shards, folds, (k, TURNS)) for k in range(TURNS)]
+    scored = reduce(DataFrame.unionByName, [stage_table(perplexities(b, model, order, kinds, True, folds, shards), "kn-scores") for b in turns])
     discard(model)
     known = scored.where("perplexity is not null").join(ids.select(F.col("id").alias("__trusted")), F.col("__id") == F.col("__trusted"), "left_semi")
     cut = known.groupBy(F.col("__lang").alias("__cut_lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)).alias("__cut"))

@@ -251,3 +251,14 @@ def test_running_symbols_equal_plain():
     code, at = K.distinct_grams(symbols, since, 3)
     ends = [tuple(p[max(i - 2, 0): i + 1]) for p in plain for i in range(1, len(p))]
     assert len(at) == len(set(ends)) and len({*zip(code.tolist(), ends, strict=True)}) == len(at)
+
+
+def test_turns_share_out_the_shards(spark):
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i, "en", f"text {i}") for i in range(300)], "doc_id long, lang string, text string")
+    seen, texts = [], []
+    for k in range(K.TURNS):
+        rows = K.shard_blocks(docs, "doc_id", "lang", "text", [], 20, 5, (k, K.TURNS)).collect()
+        seen.append({r.shard for r in rows})
+        texts += [t.decode() for r in rows for part in K.unpack(pa.scalar(r.block, pa.binary())) for t in part.column("__text").to_pylist()]
+    assert [len(s) for s in seen] == [10, 10] and not seen[0] & seen[1]
+    assert sorted(texts) == sorted(f"text {i}" for i in range(300))
