@@ -3,20 +3,22 @@ shard, queried by every vector.
 
 1. Equal vectors are one node with a multiplicity; nodes are normalised in
    double precision and dealt into shards by hash: at least ``MIN_SHARDS``, and
-   more so that a shard holds about ``SHARD_ROWS``.
-2. Each shard's graph is built in one task and staged.
-3. Every pair (shard of queries, shard) is one group. A search descends the
-   levels and keeps a beam on the ground level. Beams that end full of links
-   are widened for those queries. An audit doubles all beams of the group until
-   its recall is ``RECALL``, both for the links of ``AUDIT`` queries (against
-   brute force) and for ``PROBES`` vectors made from the shard's own nodes, each
-   turned away from its node until their cosine is the threshold: links are
-   audited where the data hold none. A beam as wide as half the shard becomes a
-   scan of it.
-4. Candidates are checked by their cosine in double precision. A group reports
-   the number of links of each query and a spanning forest of its links, so
-   rows grow with vectors, not with linked pairs.
-5. The forests' edges are united into components.
+   more so that a shard holds about ``SHARD_ROWS``, or fewer long vectors.
+2. Each shard's graph is built in one task and staged in blocks of nodes.
+3. Every shard is asked by every node. A task holds one shard's graph and
+   streams blocks of queries past it; shards are asked in turns, so that few
+   copies of the queries are on disk at once. A search descends the levels and
+   keeps a beam on the ground level. Beams that end full of links are widened
+   for those queries. Audits double the beams until their recall is ``RECALL``:
+   for all queries of a task by ``PROBES`` vectors made from the shard's own
+   nodes, each turned away from its node until their cosine is the threshold
+   (links are audited where the data hold none), and for every ``ASK_ROWS`` of
+   them by the links of ``AUDIT`` queries (against brute force). A beam as wide
+   as half the shard becomes a scan of it.
+4. Candidates are checked by their cosine in double precision. A task reports
+   the number of links of each query, one of its links, and a spanning forest of
+   the shard's nodes, so rows and memory grow with vectors, not with linked pairs.
+5. These edges are united into components.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are kept as their own component; vectors of
@@ -29,22 +31,32 @@ kept in components that have an id; an empty table gives no rows.
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm._components import components
-from labelscope.llm._io import stage_table, tidy_shuffles
+from labelscope.llm._io import discard, stage_table, tidy_shuffles
 from labelscope.llm._text import mix
 
 MIN_SHARDS = 6
 SHARD_ROWS = 200_000
+#: Components of all vectors of a shard, so that long vectors make more shards.
+SHARD_VALUES = 16_000_000
+#: Bytes of the vectors of one staged block.
+BLOCK_BYTES = 1 << 17
+#: Queries that are searched and audited together.
+ASK_ROWS = 8192
+#: Copies of queries that a turn deals out, unless one shard needs more.
+TURN_ROWS = 1_000_000
 #: Links of a node on the ground level, and on the others.
 GROUND_LINKS, UPPER_LINKS = 24, 12
+#: Further links of a node on the ground level, set when the graph is done.
+RETURNED_LINKS = 24
 BUILD_BEAM = 40
 SEARCH_BEAM = 24
 AUDIT = 48
@@ -52,6 +64,12 @@ PROBES = 1000
 RECALL = 0.999
 #: Entries of the visited table of one block of queries.
 VISITED = 8_000_000
+#: Components of vectors that are normalised at once.
+SLICE_VALUES = 2_000_000
+
+
+BLOCK = pa.schema([*((x, pa.int32()) for x in ("shard", "dim", "level", "block", "start", "n")),
+                   *((x, pa.binary()) for x in ("v", "ids", "keys", "m", "links"))])
 
 
 class Graph:
@@ -89,7 +107,28 @@ class Graph:
             ids, sims = np.concatenate([ids, near], 1), np.concatenate([sims, near_sims], 1)
             self._connect(links, used, batch, ids, sims)
             done = int(batch[-1]) + 1
-        return links
+        return self._returned(links) if k == 0 else links
+
+    def _returned(self, links: np.ndarray) -> np.ndarray:
+        """Links that were not returned, or overwritten, are returned in further
+        columns, the nearest first: else nodes that few others link to are missed."""
+        n, width = links.shape
+        to, back, sims = [], [], []
+        for at in _slices(np.arange(n), SLICE_VALUES, width * self.v.shape[1]):
+            own = links[at]
+            near = np.maximum(own, 0)
+            i, j = np.nonzero((own >= 0) & ~(links[near] == at[:, None, None]).any(axis=2))
+            to.append(own[i, j])
+            back.append(at[i].astype(np.int32))
+            sims.append(np.einsum("kd,kd->k", self.v[own[i, j]], self.v[at[i]]))
+        to, back, sims = (np.concatenate(x) if x else links.reshape(-1)[:0] for x in (to, back, sims))
+        by = np.lexsort((-sims, to))
+        to, back = to[by], back[by]
+        nth = np.arange(len(to)) - np.searchsorted(to, to)
+        free = nth < RETURNED_LINKS
+        more = np.full((n, RETURNED_LINKS), -1, np.int32)
+        more[to[free], nth[free]] = back[free]
+        return np.concatenate([links, more], axis=1)
 
     def _nearest(self, rows: np.ndarray, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         s = self.v[rows] @ self.v[among].T
@@ -150,75 +189,85 @@ class Graph:
                 entry[live], best[live] = near[np.arange(len(live)), j], top
         return entry
 
-    def _beam(self, q: np.ndarray, k: int, entry: np.ndarray, width: int, limit: int | None = None,
-              expand: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best nodes found for each query and their similarities."""
+    def _beam(self, q: np.ndarray, k: int, entry: np.ndarray, width: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` best nodes found for each query and their similarities.
+        A step follows the links of the best few that were not followed yet."""
         links, n = self.links[k], len(self.links[k]) if limit is None else limit
         width = min(width, n)
-        step = max(1, VISITED // max(n, 1))
-        if len(q) > step:
-            parts = [self._beam(q[i: i + step], k, entry[i: i + step], width, limit, expand) for i in range(0, len(q), step)]
-            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        ids = np.full((len(q), width), -1, np.int64)
-        sims = np.full((len(q), width), -2, np.float32)
-        fresh = np.zeros((len(q), width), bool)
-        seen = np.zeros((len(q), n), bool)
-        every = np.arange(len(q))
-        start = np.minimum(entry, n - 1)
-        ids[:, 0], sims[:, 0], fresh[:, 0] = start, np.einsum("qd,qd->q", self.v[start], q), True
-        seen[every, start] = True
-        live = every
-        while len(live):
-            rank = np.where(fresh[live], sims[live], -3)
-            top = np.argpartition(-rank, min(expand, width) - 1, axis=1)[:, :expand]
-            ok = np.take_along_axis(rank, top, 1) > -3
-            some = ok.any(axis=1)
-            live, top, ok = live[some], top[some], ok[some]
-            if not len(live):
-                break
-            at = np.where(ok, ids[live[:, None], top], -1)
-            fresh[live[:, None], top] = False
-            near = np.where(at[:, :, None] >= 0, links[np.maximum(at, 0)], -1).reshape(len(live), -1)
-            near[near >= n] = -1
-            near = np.sort(near, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            known = seen[live[:, None], np.maximum(near, 0)]
-            near = np.where(known, -1, near)
-            row, col = np.nonzero(near >= 0)
-            got = np.full(near.shape, -2, np.float32)
-            new = near[row, col]
-            got[row, col] = np.einsum("kd,kd->k", self.v[new], q[live[row]])
-            seen[live[row], new] = True
-            all_ids = np.concatenate([ids[live], near], 1)
-            all_sims = np.concatenate([sims[live], got], 1)
-            all_fresh = np.concatenate([fresh[live], near >= 0], 1)
-            best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            ids[live] = np.take_along_axis(all_ids, best, 1)
-            sims[live] = np.take_along_axis(all_sims, best, 1)
-            fresh[live] = np.take_along_axis(all_fresh, best, 1)
-        return ids, sims
+        expand = min(max(2, width // 12), width)
+        out = np.empty((len(q), width), np.int64), np.empty((len(q), width), np.float32)
+        for block in _slices(np.arange(len(q)), VISITED, n):
+            m = len(block)
+            row = np.arange(m)  # the block's queries that go on
+            seen = np.zeros(m * n, bool)
+            ids = np.full((m, width), -1, np.int32)
+            far = np.full((m, width), 2, np.float32)  # the negative similarity
+            fresh = np.zeros((m, width), bool)
+            start = np.minimum(entry[block], n - 1)
+            ids[:, 0], far[:, 0], fresh[:, 0] = start, -np.einsum("qd,qd->q", self.v[start], q[block]), True
+            seen[row * n + start] = True
+            while True:
+                rank = np.where(fresh, far, 3)
+                top = np.argpartition(rank, expand - 1, axis=1)[:, :expand] + np.arange(len(row))[:, None] * width
+                ok = rank.take(top) < 3
+                some = ok.any(axis=1)
+                if not some.all():
+                    over = block[row[~some]]
+                    out[0][over], out[1][over] = ids[~some], -far[~some]
+                    row, ids, far, fresh, ok = row[some], ids[some], far[some], fresh[some], ok[some]
+                    if not len(row):
+                        break
+                    top = top[some] % width + np.arange(len(row))[:, None] * width
+                near = links[np.where(ok, ids.take(top), 0)]
+                fresh.reshape(-1)[top] = False
+                near[~ok] = -1
+                near = near.reshape(len(row), -1)
+                near[near >= n] = -1
+                near.sort(axis=1)
+                new = near >= 0
+                new[:, 1:] &= near[:, 1:] != near[:, :-1]
+                new &= ~seen.take(np.maximum(near, 0) + (row * n)[:, None])
+                at = np.flatnonzero(new)
+                of, node = row[at // near.shape[1]], near.take(at)
+                seen[of * n + node] = True
+                away = np.full(near.shape, 2, np.float32)
+                away.reshape(-1)[at] = -np.einsum("kd,kd->k", self.v[node], q[block[of]])
+                far, ids, fresh = np.concatenate([far, away], 1), np.concatenate([ids, near], 1), np.concatenate([fresh, new], 1)
+                best = np.argpartition(far, width - 1, axis=1)[:, :width] + np.arange(len(row))[:, None] * far.shape[1]
+                far, ids, fresh = far.take(best), ids.take(best), fresh.take(best)
+        return out
 
     def links_of(self, q: np.ndarray, threshold: float, beam: int = SEARCH_BEAM, audit: int = AUDIT,
                  recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) of cosine about ``threshold`` or more, for exact checking."""
+        return _joined(self.pairs(q, threshold, self.audited_beam(threshold, beam, recall), audit, recall))
+
+    def audited_beam(self, threshold: float, beam: int = SEARCH_BEAM, recall: float = RECALL) -> int:
+        """The beam, doubled until it finds the probes' nodes."""
+        if not len(self.v):
+            return beam
+        probe, home = self._probes(threshold)
+        while beam * 2 < len(self.v):
+            rows, nodes = _joined(self._widened(probe, np.float32(threshold - 1e-4), beam))
+            if (home[rows] == nodes).sum() >= recall * len(home):
+                break
+            beam *= 2
+        return beam
+
+    def pairs(self, q: np.ndarray, threshold: float, beam: int, audit: int = AUDIT,
+              recall: float = RECALL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``links_of`` in parts of bounded size, by a beam that is
+        doubled until it finds the links of ``audit`` of the queries."""
         low = np.float32(threshold - 1e-4)
-        n = len(self.v)
-        if not n or not len(q):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.v) or not len(q):
+            return
         sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-        probe, home = self._probes(threshold)
-        asked = np.concatenate([q[sample], probe])
         truth = (q[sample] @ self.v.T) >= low
-        width = beam
-        while width * 2 < n:
-            rows, nodes = self._widened(asked, low, width)
-            real = rows < len(sample)
-            found = truth[rows[real], nodes[real]].sum()
-            probed = (home[rows[~real] - len(sample)] == nodes[~real]).sum()
-            if found >= recall * truth.sum() and probed >= recall * len(home):
+        while beam * 2 < len(self.v):
+            if sum(truth[rows, nodes].sum() for rows, nodes in self._widened(q[sample], low, beam)) >= recall * truth.sum():
                 break
-            width *= 2
-        return self._widened(q, low, width)
+            beam *= 2
+        yield from self._widened(q, low, beam)
 
     def _probes(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Vectors whose cosine with a node is the threshold, and these nodes; every
@@ -235,29 +284,39 @@ class Graph:
         probe = np.where(some, threshold * v + np.sqrt(max(1.0 - threshold * threshold, 0.0)) * away, v)
         return probe.astype(np.float32), home
 
-    def _widened(self, q: np.ndarray, low: np.float32, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def _widened(self, q: np.ndarray, low: np.float32, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Beam searches; queries whose beam is mostly links search again with a
-        beam twice as wide, in the end by scanning the shard."""
-        rows, nodes = [], []
+        wider one, in the end by scanning the shard."""
         live = np.arange(len(q))
         entry = self._descend(q, 1)
         while len(live):
-            if width * 2 >= len(self.v):
-                for i in range(0, len(live), max(1, VISITED // len(self.v))):
-                    part = live[i: i + max(1, VISITED // len(self.v))]
+            scan = width * 2 >= len(self.v)
+            full = []
+            for part in _slices(live, VISITED // 4, len(self.v) if scan else width):
+                if scan:
                     a, b = np.nonzero(q[part] @ self.v.T >= low)
-                    rows.append(part[a])
-                    nodes.append(b)
-                break
-            ids, sims = self._beam(q[live], 0, entry[live], width)
-            hit = sims >= low
-            full = hit.sum(axis=1) * 2 > width
-            a, b = np.nonzero(hit & ~full[:, None])
-            rows.append(live[a])
-            nodes.append(ids[a, b])
-            live = live[full]
+                    yield part[a], b
+                    continue
+                ids, sims = self._beam(q[part], 0, entry[part], width)
+                hit = sims >= low
+                over = hit.sum(axis=1) * 2 > width
+                a, b = np.nonzero(hit & ~over[:, None])
+                yield part[a], ids[a, b]
+                full.append(part[over])
+            live = np.concatenate(full) if full else live[:0]
             width *= 4
-        return np.concatenate(rows), np.concatenate(nodes)
+
+
+def _slices(rows: np.ndarray, entries: int, width: int) -> Iterator[np.ndarray]:
+    """The rows in parts of ``entries`` at most, where a row has ``width`` of them."""
+    step = max(1, entries // max(width, 1))
+    return (rows[i: i + step] for i in range(0, len(rows), step))
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    rows, nodes = zip((none, none), *pairs)
+    return np.concatenate(rows), np.concatenate(nodes)
 
 
 def spanning_stars(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,96 +335,215 @@ def spanning_stars(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray,
     return members, label[members]
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+class Forest:
+    """Which nodes are connected, from pairs in any number: kept as stars when
+    there are more of them than nodes."""
+
+    def __init__(self, size: int):
+        self.size, self.pairs, self.held = size, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = a != b
+        self.pairs.append((a[apart], b[apart]))
+        self.held += int(apart.sum())
+        if self.held > 2 * self.size:
+            self.stars()
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        self.pairs = [spanning_stars(*_joined(iter(self.pairs)), self.size)]
+        self.held = len(self.pairs[0][0])
+        return self.pairs[0]
+
+
+class Vectors:
+    """Vectors as given, and what normalises them in double precision."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.scale, self.size = raw, np.ones((len(raw), 1)), np.ones((len(raw), 1))
+        self.slices = list(_slices(np.arange(len(raw)), SLICE_VALUES, raw.shape[1]))
+        for at in self.slices:
+            exact = raw[at].astype(np.float64)
+            self.scale[at] = np.abs(exact).max(axis=1, keepdims=True)
+            exact /= self.scale[at]
+            self.size[at] = np.sqrt((exact * exact).sum(axis=1, keepdims=True))
+
+    def unit(self, at: np.ndarray) -> np.ndarray:
+        return self.raw[at].astype(np.float64) / self.scale[at] / self.size[at]
+
+    def single(self) -> np.ndarray:
+        out = np.empty(self.raw.shape, np.float32)
+        for at in self.slices:
+            out[at] = self.unit(at)
+        return out
+
+
+class Asked:
+    """A shard that is asked: its graph, and the links found so far."""
+
+    def __init__(self, rows: list[dict], threshold: float, beam: int):
+        level = {k: [r for r in rows if r["level"] == k] for k in sorted({r["level"] for r in rows})}
+        self.ids, self.m = (np.concatenate([r[name] for r in level[0]]) for name in ("ids", "m"))
+        self.of = Vectors(np.concatenate([r["v"] for r in level[0]]))
+        self.graph = Graph(self.of.single(), links=[np.concatenate([r["links"] for r in x]) for x in level.values()])
+        self.threshold, self.beam = threshold, self.graph.audited_beam(threshold, beam)
+        self.forest = Forest(len(self.ids))
+
+    def links(self, q: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the rows it links with and one of its links; ``place``
+        is a query's own node here, or -1."""
+        ask = Vectors(q)
+        n, anchor = np.zeros(len(q), np.int64), np.full(len(q), -1)
+        for rows, nodes in self.graph.pairs(ask.single(), self.threshold, self.beam):
+            good = np.zeros(len(rows), bool)
+            for at in _slices(np.arange(len(rows)), SLICE_VALUES, q.shape[1]):  # cosine in double precision
+                good[at] = np.einsum("kd,kd->k", ask.unit(rows[at]), self.of.unit(nodes[at])) >= self.threshold
+            good &= place[rows] != nodes
+            rows, nodes = rows[good], nodes[good]
+            np.add.at(n, rows, self.m[nodes])
+            new = anchor[rows] < 0
+            anchor[rows[new]] = nodes[new]
+            self.forest.add(anchor[rows], nodes)
+        return n, anchor
+
+
+def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The graphs of the shards in these rows ``(shard, k, id, m, v)``, one for each
+    vector length, as blocks of nodes; level 0 has their vectors as well."""
+    shard, key, ids, m, long, flat = [], [], [], [], [], []
+    for batch in batches:
+        col = dict(zip(batch.schema.names, batch.columns))
+        key += [int(x[:15], 16) for x in col["k"].to_pylist()]
+        for to, x in ((shard, col["shard"]), (ids, col["id"]), (m, col["m"]), (long, pc.list_value_length(col["v"])), (flat, col["v"].flatten())):
+            to.append(x.to_numpy(zero_copy_only=False).copy())
+    if not key:
+        return
+    key = np.array(key, np.int64)
+    shard, ids, m, long, flat = (np.concatenate(x) for x in (shard, ids, m, long, flat))
+    start = np.cumsum(long) - long
+    for s, d in sorted({*zip(shard.tolist(), long.tolist())}):
+        at = np.flatnonzero((shard == s) & (long == d))
+        raw = flat.reshape(-1, d) if len(at) == len(long) else flat[start[at][:, None] + np.arange(d)]
+        g = Graph(Vectors(raw).single(), key[at])
+        step = max(1, BLOCK_BYTES // (d * raw.itemsize))
+        for level, links in enumerate(g.links):
+            for block, i in enumerate(range(0, len(links), step)):
+                rows = g.order[i: min(i + step, len(links))]
+                here = at[rows]
+                own = [x.tobytes() if level == 0 else None for x in (raw[rows], ids[here], key[here], m[here])]
+                one = [s, d, level, block, i, len(rows), *own, links[i: i + step].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, BLOCK.types)], schema=BLOCK)
+
+
+def searcher(kind: str, threshold: float, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's rows: a shard's blocks, then the blocks that ask it,
+    for each vector length."""
+    value = np.float32 if kind == "float" else np.float64
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def answers(asked: Asked, asks: list[dict]) -> pa.RecordBatch:
+        q, ids, keys, place = (np.concatenate([x[name] for x in asks]) for name in ("v", "ids", "keys", "place"))
+        n, anchor = asked.links(q, place)
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[some], keys[some], n[some], asked.ids[anchor[some]])], schema=schema)
+
+    def rest(asked: Asked) -> pa.RecordBatch:
+        member, root = asked.forest.stars()
+        return pa.RecordBatch.from_arrays([pa.array(asked.ids[member]), pa.nulls(len(member), pa.int64()), pa.array(np.zeros(len(member), np.int64)),
+                                           pa.array(asked.ids[root])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, asks, asked = None, [], [], None
+        for batch in batches:
+            for row in _blocks(batch, value):
+                if now != (row["task"], row["dim"]):
+                    if asked:
+                        yield from [answers(asked, asks)] if asks else []
+                        yield rest(asked)
+                    now, blocks, asks, asked = (row["task"], row["dim"]), [], [], None
+                if not row["asks"]:
+                    blocks.append(row)
+                    continue
+                if blocks:
+                    asked, blocks = Asked(blocks, threshold, beam), []
+                if asked:
+                    asks.append(row)
+                    if sum(len(x["ids"]) for x in asks) >= ASK_ROWS:
+                        yield answers(asked, asks)
+                        asks = []
+        if asked:
+            yield from [answers(asked, asks)] if asks else []
+            yield rest(asked)
+
+    return run
+
+
+def _blocks(batch: pa.RecordBatch, value: type) -> Iterator[dict]:
+    """Rows of a batch, with arrays instead of bytes."""
+    col = {name: x if pa.types.is_binary(x.type) else x.to_pylist() for name, x in zip(batch.schema.names, batch.columns)}
+    for i in range(batch.num_rows):
+        row = {name: x[i] for name, x in col.items()}
+        for name, kind in (("v", value), ("ids", np.int64), ("keys", np.int64), ("m", np.int64), ("links", np.int32)):
+            row[name] = np.frombuffer(row[name].as_buffer(), kind).copy() if row[name].is_valid else None
+        if row["v"] is not None:
+            row["v"] = row["v"].reshape(row["n"], row["dim"])
+        if row["links"] is not None:
+            row["links"] = row["links"].reshape(row["n"], -1)
+        row["place"] = np.arange(row["start"], row["start"] + row["n"]) if row["same"] else np.full(row["n"], -1)
+        yield row
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
                     shards: int | None = None, beam: int = SEARCH_BEAM) -> DataFrame:
     """``id, n_links, component_id, kept`` of every row."""
-    tidy_shuffles(vectors.sparkSession)
+    spark = vectors.sparkSession
+    tidy_shuffles(spark)
     v = F.col("__v")
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("__v"))
+    kind = "float" if vectors.select(vec_col).dtypes[0][1] == "array<float>" else "double"
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("__v"))
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
                       & F.exists(v, lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are the same component
-    src = src.withColumn("__v", F.when(fine, F.transform(v, lambda x: x + F.lit(0.0))))
-    src = stage_table(src.withColumn("k", F.when(v.isNotNull(), F.sha2(F.to_json(F.struct("__v")), 256))), "vec-rows")
+    src = src.withColumn("__v", F.when(fine, F.transform(v, lambda x: (x + F.lit(0.0)).cast(kind))))
+    text = F.to_json(F.struct(v.cast("array<double>").alias("__v")))
+    rows = stage_table(src.withColumn("k", F.when(v.isNotNull(), F.sha2(text, 256))), "vec-rows")
     # vectors whose rows all lack an id are numbered after the largest id
-    known = src.agg(F.max("id").alias("top"), F.count_if(F.col("id").isNull() & F.col("k").isNotNull()).alias("open")).first()
+    known = rows.agg(F.max("id").alias("top"), F.count_if(F.col("id").isNull() & F.col("k").isNotNull()).alias("open")).first()
     after = (known["top"] if known["top"] is not None else -1) + 1
     if known["open"] and after > 2**63 - 2**54:
         raise ValueError("no numbers are left above the ids for rows without id")
-    nodes = (src.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("__v").alias("v")))
+    wide = (rows.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("__v").alias("v")))
     if known["open"]:
-        nodes = nodes.withColumn("id", F.coalesce("id", F.lit(after) + F.monotonically_increasing_id()))
-    nodes = stage_table(nodes, "vec-nodes")
-    total = nodes.count()
-    shards = shards or max(MIN_SHARDS, -(-total // SHARD_ROWS))
-    own = nodes.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards).cast("long")).cast("int"))
-
-    def build(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py()
-        lists = rows.column("v").to_pylist()
-        out = []
-        for d in sorted({len(x) for x in lists}):  # a graph for each vector length
-            at = [i for i, x in enumerate(lists) if len(x) == d]
-            exact = np.array([lists[i] for i in at], np.float64)
-            scale = np.abs(exact).max(axis=1, keepdims=True)
-            exact /= scale
-            exact /= np.sqrt((exact * exact).sum(axis=1, keepdims=True))
-            key = np.array([int(rows.column("k")[i].as_py()[:15], 16) for i in at], np.int64)
-            g = Graph(exact, key)
-            at = np.array(at)[g.order]
-            ids = rows.column("id").to_numpy()[at]
-            m = rows.column("m").to_numpy()[at]
-            out.append({"shard": shard, "dim": d, "graph": _pack(
-                v=exact[g.order], id=ids, m=m, key=key[g.order], **{f"l{k}": x for k, x in enumerate(g.links)})})
-        return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("graph", pa.binary())]))
-
-    graphs = stage_table(own.groupBy("shard").applyInArrow(build, "shard int, dim int, graph binary"), "vec-graphs")
-    others = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asking = graphs.select(F.col("shard").alias("q"), others.alias("s"), "dim", "graph")
-    asked = graphs.select(others.alias("q"), F.col("shard").alias("s"), "dim", "graph")
-    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * shards)
-
-    def search(queries: pa.Table, targets: pa.Table) -> pa.Table:
-        kinds = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-        if not queries.num_rows or not targets.num_rows:
-            return pa.Table.from_pylist([], schema=kinds)
-        ask, shard = (np.load(io.BytesIO(t.column("graph")[0].as_py())) for t in (queries, targets))
-        same = queries.column("q")[0].as_py() == targets.column("s")[0].as_py()
-        depth = sum(1 for k in shard.files if k.startswith("l"))
-        exact = shard["v"]
-        g = Graph(exact, links=[shard[f"l{k}"] for k in range(depth)])
-        q = ask["v"]
-        rows, nodes = g.links_of(q.astype(np.float32), threshold, beam)
-        good = np.zeros(len(rows), bool)
-        for i in range(0, len(rows), 200_000):  # cosine in double precision
-            part = slice(i, i + 200_000)
-            good[part] = np.einsum("kd,kd->k", q[rows[part]], exact[nodes[part]]) >= threshold
-        if same:
-            good &= rows != nodes
-        rows, nodes = rows[good], nodes[good]
-        n = np.zeros(len(q), np.int64)
-        np.add.at(n, rows, shard["m"][nodes])
-        # one node set for the forest: queries first, then the shard's nodes
-        member, root = spanning_stars(rows, nodes + len(q), len(q) + len(exact))
-        names = np.concatenate([ask["id"], shard["id"]])
-        some = np.flatnonzero(n)
-        return pa.table([
-            pa.array(np.concatenate([ask["id"][some], names[member]])),
-            pa.array(np.concatenate([ask["key"][some], np.full(len(member), -1)]), mask=np.concatenate([np.zeros(len(some), bool), np.ones(len(member), bool)])),
-            pa.array(np.concatenate([n[some], np.zeros(len(member), np.int64)])),
-            pa.array(np.concatenate([np.zeros(len(some), np.int64), names[root]]), mask=np.concatenate([np.ones(len(some), bool), np.zeros(len(member), bool)]))],
-            schema=kinds)
-
-    found = (asking.repartition(parts, "q", "s", "dim").groupBy("q", "s", "dim")
-             .cogroup(asked.repartition(parts, "q", "s", "dim").groupBy("q", "s", "dim"))
-             .applyInArrow(search, "id long, key long, links long, root long"))
-    found = stage_table(found, "vec-links")
+        wide = wide.withColumn("id", F.coalesce("id", F.lit(after) + F.monotonically_increasing_id()))
+    wide = stage_table(wide, "vec-nodes")
+    # from here on only the graphs hold vectors
+    src = stage_table(rows.select("id", "k"), "vec-row-names")
+    discard(rows)
+    nodes = stage_table(wide.select("k", "id", "m"), "vec-node-names")
+    size = wide.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("values")).first()
+    shards = shards or max(MIN_SHARDS, -(-size["n"] // SHARD_ROWS), -(-(size["values"] or 0) // SHARD_VALUES))
+    own = wide.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards).cast("long")).cast("int"))
+    graphs = stage_table(own.repartitionById(shards, "shard").sortWithinPartitions("shard", "k").mapInArrow(
+        build_blocks, "shard int, dim int, level int, block int, start int, n int, v binary, ids binary, keys binary, m binary, links binary"), "vec-graphs")
+    discard(wide)
+
+    # a turn asks the shards from first to last; each is asked by `split` tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    turn = min(shards, max(1, TURN_ROWS // max(size["n"], 1)))
+    split = min(shards, -(-parts // turn))
+    found = []
+    for first in range(0, shards, turn):
+        last = min(shards, first + turn) - 1
+        each = lambda top: F.explode(F.sequence(F.lit(0), F.lit(top)))
+        asked = (graphs.where(F.col("shard").between(first, last)).withColumn("slice", each(split - 1))
+                 .select(((F.col("shard") - first) * split + F.col("slice")).alias("task"), F.lit(False).alias("asks"), F.lit(False).alias("same"), *graphs.columns))
+        asking = (graphs.where("level = 0").withColumn("links", F.lit(None).cast("binary")).withColumn("m", F.lit(None).cast("binary"))
+                  .withColumn("other", each(last - first))
+                  .select((F.col("other") * split + (F.col("shard") + F.col("block")) % split).alias("task"), F.lit(True).alias("asks"),
+                          (F.col("shard") == F.col("other") + first).alias("same"), *graphs.columns))
+        dealt = asked.unionByName(asking).repartitionById((last - first + 1) * split, "task")
+        found.append(stage_table(dealt.sortWithinPartitions("task", "dim", "asks", "level", "shard", "block").mapInArrow(
+            searcher(kind, threshold, beam), "id long, key long, links long, root long"), "vec-links"))
+    found = spark.read.parquet(*[x._staged_path for x in found])
     roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.where("key is not null").groupBy("key").agg(F.sum("links").alias("links"))
     key = F.conv(F.substring("k", 1, 15), 16, 10).cast("long")

@@ -123,3 +123,71 @@ def test_rows_without_id(spark):
                           (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
     alone = spark.createDataFrame([(None, v), (None, w)], "vec_id long, embedding array<double>")
     assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in H.near_duplicates(alone).collect()) == [(1, None, False), (1, None, True)]
+
+
+def test_staged_graphs_are_small_blocks(spark, monkeypatch):
+    staged = {}
+
+    def stage(df, name="stage", put=H.stage_table):
+        staged[name] = put(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(H, "stage_table", stage)
+    v = sparse(14, 3000, 64, 0)
+    run(spark, [(i, x.tolist()) for i, x in enumerate(v)], shards=2)
+    graphs = staged["vec-graphs"]
+    kinds = [name for name, kind in graphs.dtypes if kind == "binary"]
+    most = graphs.selectExpr(*(f"max(length({name})) as {name}" for name in kinds)).first()
+    assert max(x for x in most if x is not None) <= 1 << 17
+
+
+def test_most_links_are_returned():
+    v = sparse(15, 3000, 24, 0)
+    links = H.Graph(v, np.arange(len(v))).links[0]
+    a, j = np.nonzero(links >= 0)
+    b = links[a, j]
+    assert (links[b] == a[:, None]).any(axis=1).mean() >= 0.8
+
+
+def test_forest_holds_no_more_than_its_nodes():
+    rng = np.random.default_rng(16)
+    forest = H.Forest(100)
+    for _ in range(50):
+        a = rng.integers(0, 50, 1000)
+        forest.add(a, a + 50 * (rng.random(1000) < 0.5))
+        assert sum(len(x) for x, _ in forest.pairs) <= 200
+    member, root = forest.stars()
+    assert sorted(zip(member.tolist(), root.tolist())) == [(i + 50, i) for i in range(50)]
+
+
+def test_streamed_blocks_equal_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(H, "ASK_ROWS", 70)
+    v = sparse(17, 600, 16, 90)
+    v[:40] = v[0] + v[:40] * 0.05
+    ids, shard = np.arange(len(v)) * 3 + 1, np.arange(len(v)) % 2
+    rows = pa.RecordBatch.from_pylist([{"shard": int(s), "k": f"{int(i):064x}"[::-1], "id": int(i), "m": 1, "v": x.tolist()} for s, i, x in zip(shard, ids, v)],
+                                      schema=pa.schema([("shard", pa.int32()), ("k", pa.string()), ("id", pa.int64()), ("m", pa.int64()), ("v", pa.list_(pa.float64()))]))
+    blocks = [x for b in H.build_blocks(iter([rows])) for x in b.to_pylist()]
+    assert len(blocks) > 10
+    links, edges = {}, []
+    for s in (0, 1):
+        asks = [x | {"task": s, "asks": False, "same": False} for x in blocks if x["shard"] == s]
+        asks += [x | {"task": s, "asks": True, "same": x["shard"] == s, "m": None, "links": None} for x in blocks if x["level"] == 0]
+        schema = pa.schema([("task", pa.int32()), ("asks", pa.bool_()), ("same", pa.bool_()), *H.BLOCK])
+        batches = [pa.RecordBatch.from_pylist(asks[i: i + 7], schema=schema) for i in range(0, len(asks), 7)]
+        for got in H.searcher("double", 0.95, 24)(iter(batches)):
+            for row in got.to_pylist():
+                edges.append((row["id"], row["root"]))
+                if row["key"] is not None:
+                    links[row["id"]] = links.get(row["id"], 0) + row["links"]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    truth = unit @ unit.T >= 0.95
+    np.fill_diagonal(truth, False)
+    assert [links.get(int(i), 0) for i in ids] == truth.sum(axis=1).tolist()
+    a, b = np.nonzero(truth)
+    at = {int(i): n for n, i in enumerate(ids)}
+    mine = H.spanning_stars(np.array([at[x] for x, _ in edges]), np.array([at[y] for _, y in edges]), len(v))
+    assert [x.tolist() for x in mine] == [x.tolist() for x in H.spanning_stars(a, b, len(v))]
