@@ -262,7 +262,9 @@ class Graph:
         if not len(self.v) or not len(q):
             return
         sample = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-        truth = (q[sample] @ self.v.T) >= low
+        truth = np.empty((len(sample), len(self.v)), bool)
+        for at in _slices(np.arange(len(self.v)), VISITED // 4, len(sample)):
+            truth[:, at] = q[sample] @ self.v[at].T >= low
         while beam * 2 < len(self.v):
             if sum(truth[rows, nodes].sum() for rows, nodes in self._widened(q[sample], low, beam)) >= recall * truth.sum():
                 break
@@ -381,10 +383,11 @@ class Asked:
     """A shard that is asked: its graph, and the links found so far."""
 
     def __init__(self, rows: list[dict], threshold: float, beam: int):
-        level = {k: [r for r in rows if r["level"] == k] for k in sorted({r["level"] for r in rows})}
-        self.ids, self.m = (np.concatenate([r[name] for r in level[0]]) for name in ("ids", "m"))
-        self.of = Vectors(np.concatenate([r["v"] for r in level[0]]))
-        self.graph = Graph(self.of.single(), links=[np.concatenate([r["links"] for r in x]) for x in level.values()])
+        ids, m, v = (np.concatenate([r[name] for r in rows if r["level"] == 0]) for name in ("ids", "m", "v"))
+        links = [np.concatenate([r["links"] for r in rows if r["level"] == k]) for k in sorted({r["level"] for r in rows})]
+        rows.clear()  # they hold their batches
+        self.ids, self.m, self.of = ids, m, Vectors(v)
+        self.graph = Graph(self.of.single(), links=links)
         self.threshold, self.beam = threshold, self.graph.audited_beam(threshold, beam)
         self.forest = Forest(len(self.ids))
 
@@ -454,6 +457,7 @@ def searcher(kind: str, threshold: float, beam: int) -> Callable[[Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks, asks, asked = None, [], [], None
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for row in _blocks(batch, value):
                 if now != (row["task"], row["dim"]):
                     if asked:
@@ -464,7 +468,7 @@ def searcher(kind: str, threshold: float, beam: int) -> Callable[[Iterator[pa.Re
                     blocks.append(row)
                     continue
                 if blocks:
-                    asked, blocks = Asked(blocks, threshold, beam), []
+                    asked, blocks = Asked(blocks, threshold, beam), []  # takes the blocks out of the list
                 if asked:
                     asks.append(row)
                     if sum(len(x["ids"]) for x in asks) >= ASK_ROWS:
@@ -478,12 +482,23 @@ def searcher(kind: str, threshold: float, beam: int) -> Callable[[Iterator[pa.Re
 
 
 def _blocks(batch: pa.RecordBatch, value: type) -> Iterator[dict]:
-    """Rows of a batch, with arrays instead of bytes."""
-    col = {name: x if pa.types.is_binary(x.type) else x.to_pylist() for name, x in zip(batch.schema.names, batch.columns)}
+    """Rows of a batch, with arrays (views of the batch) instead of bytes."""
+    if not batch.num_rows:
+        return
+    kinds = {"v": value, "ids": np.int64, "keys": np.int64, "m": np.int64, "links": np.int32}
+    col = dict(zip(batch.schema.names, batch.columns))
+    plain = {name: x.to_pylist() for name, x in col.items() if name not in kinds}
+    there, at, data = {}, {}, {}
+    for name in kinds:  # a scalar would be a copy
+        x = col[name]
+        there[name] = x.is_valid().to_pylist()
+        _, offsets, data[name] = x.buffers()
+        at[name] = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset: x.offset + len(x) + 1].tolist()
     for i in range(batch.num_rows):
-        row = {name: x[i] for name, x in col.items()}
-        for name, kind in (("v", value), ("ids", np.int64), ("keys", np.int64), ("m", np.int64), ("links", np.int32)):
-            row[name] = np.frombuffer(row[name].as_buffer(), kind).copy() if row[name].is_valid else None
+        row = {name: x[i] for name, x in plain.items()}
+        for name, kind in kinds.items():
+            a, b = at[name][i], at[name][i + 1]
+            row[name] = np.frombuffer(data[name], kind, (b - a) // np.dtype(kind).itemsize, a) if there[name][i] else None
         if row["v"] is not None:
             row["v"] = row["v"].reshape(row["n"], row["dim"])
         if row["links"] is not None:
